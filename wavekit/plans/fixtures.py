@@ -105,8 +105,8 @@ def feature_importances(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, data_dir: str) -> DataFrame:
-    """T6: (row_id, label, prob, pred, prob2, label3) scored rows from orders."""
-    o = table(spark, data_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    """T6: (row_id, label, prob, pred, prob2, label3, year) scored rows from orders."""
+    o = table(spark, data_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     prob = F.least(F.greatest(F.col("o_totalprice") / 500000.0, F.lit(0.001)), F.lit(0.999)).cast("double")
     return o.select(
         F.col("o_orderkey").alias("row_id"),
@@ -115,4 +115,5 @@ def scored(spark: SparkSession, data_dir: str) -> DataFrame:
         (prob >= 0.5).cast("int").alias("pred"),
         F.round(prob, 2).alias("prob2"),
         F.col("o_orderstatus").alias("label3"),
+        F.year("o_orderdate").cast("int").alias("year"),
     )

@@ -31,4 +31,6 @@ def load_all() -> None:
     from wavekit.plans import (  # noqa: F401
         q_recode,
         q_profile,
+        q_models,
+        q_eval,
     )

@@ -112,7 +112,8 @@ SELECT o_orderkey AS row_id,
        CAST(least(greatest(o_totalprice / 500000.0, 0.001), 0.999) AS DOUBLE) AS prob,
        CAST(least(greatest(o_totalprice / 500000.0, 0.001), 0.999) >= 0.5 AS INT) AS pred,
        round(CAST(least(greatest(o_totalprice / 500000.0, 0.001), 0.999) AS DOUBLE), 2) AS prob2,
-       o_orderstatus AS label3
+       o_orderstatus AS label3,
+       CAST(year(o_orderdate) AS INT) AS year
 FROM orders
 """,
 )
