@@ -33,4 +33,5 @@ def load_all() -> None:
         q_profile,
         q_models,
         q_eval,
+        q_rank,
     )
