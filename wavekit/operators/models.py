@@ -244,20 +244,20 @@ def logit_by_group(
     import pandas as pd
 
     features = list(features)
-    cells = sufficient_cells(df, y, features, weight, by=[group])
-    gtype = df.schema[group].dataType.simpleString()
+    groups = [group] if isinstance(group, str) else list(group)
+    cells = sufficient_cells(df, y, features, weight, by=groups)
+    gschema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
     variables = ["intercept"] + features
     out_schema = (
-        f"{group} {gtype}, model string, variable string, beta double, se double, "
+        f"{gschema}, model string, variable string, beta double, se double, "
         "loglik double, n_obs bigint, sum_w double, sum_wy double"
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         beta, se, ll, n, sw, swy = _newton_group(pdf, features)
-        g = pdf[group].iloc[0]
         return pd.DataFrame(
             {
-                group: [g] * len(variables),
+                **{g: [pdf[g].iloc[0]] * len(variables) for g in groups},
                 "model": [model] * len(variables),
                 "variable": variables,
                 "beta": beta,
@@ -269,12 +269,12 @@ def logit_by_group(
             }
         )
 
-    res = cells.groupBy(group).applyInPandas(fit, out_schema).persist()
-    coefs = coefficient_table(res.select(group, "model", "variable", "beta", "se"))
+    res = cells.groupBy(*groups).applyInPandas(fit, out_schema)
+    coefs = coefficient_table(res.select(*groups, "model", "variable", "beta", "se"))
     p0 = F.col("sum_wy") / F.col("sum_w")
     stats = fit_table(
         res.where(F.col("variable") == "intercept").select(
-            group,
+            *groups,
             "model",
             "n_obs",
             F.lit(len(variables)).alias("n_params"),

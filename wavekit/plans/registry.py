@@ -34,4 +34,5 @@ def load_all() -> None:
         q_models,
         q_eval,
         q_rank,
+        q_split,
     )
