@@ -1,15 +1,19 @@
-"""Flagship query: survey view → recode → prevalence by wave, joined with the interrupted-series fit."""
+"""Flagship query: survey view → recode → complete cases → prevalence by wave, joined with the fitted
+curve of the interrupted-series logit (pre-trend, level change, slope change at the break)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavekit.operators import profile
+from wavekit.operators import models, profile, recode
 from wavekit.plans import fixtures as fx
 
 
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
-    clean = fx.survey_clean(spark, data_dir)
+    clean = recode.period_terms(fx.survey_clean(spark, data_dir), "wave", fx.BREAK_YEAR)
     prev = profile.prevalence_by(clean, "y", ["wave"])
-    return prev.withColumn("post", (F.col("wave") > fx.BREAK_YEAR).cast("int")).orderBy("wave")
+    its = models.logit(clean, "y", ["time", "post", "post_time"], model="its")
+    grid = recode.period_terms(prev.select("wave"), "wave", fx.BREAK_YEAR)
+    fitted = grid.select("wave", "post", its.probability().alias("its_fitted"))
+    return prev.join(fitted, "wave").withColumn("residual", F.col("prevalence") - F.col("its_fitted"))

@@ -35,4 +35,5 @@ def load_all() -> None:
         q_eval,
         q_rank,
         q_split,
+        q_corr,
     )
