@@ -36,4 +36,5 @@ def load_all() -> None:
         q_rank,
         q_split,
         q_corr,
+        q_sources,
     )
