@@ -37,4 +37,5 @@ def load_all() -> None:
         q_split,
         q_corr,
         q_sources,
+        q_attr,
     )
