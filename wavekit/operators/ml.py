@@ -93,12 +93,12 @@ def gbt(df: DataFrame, label: str = "label", max_iter: int = 100, max_depth: int
 
     from wavekit.functions.hashing import hash_uniform
 
-    g = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth, stepSize=step,
-                      subsamplingRate=subsample, maxBins=max_bins, featureSubsetStrategy=subset, seed=seed)
+    params = dict(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth, stepSize=step,
+                  subsamplingRate=subsample, maxBins=max_bins, featureSubsetStrategy=subset, seed=seed)
     if validation_frac:
         df = df.withColumn("__valid", hash_uniform(id_col, seed, "valid") < validation_frac)
-        g = g.setValidationIndicatorCol("__valid").setValidationTol(tol)
-    return g.fit(df)
+        params.update(validationIndicatorCol="__valid", validationTol=tol)
+    return GBTClassifier(**params).fit(df)
 
 
 def gbt_panel(df: DataFrame, label: str = "label", seed: int = 42, id_col: str = "row_id") -> dict:
@@ -121,15 +121,15 @@ def probability(model, df: DataFrame, label: str = "label", id_col: str | None =
 
 
 def search(df: DataFrame, estimator, grid: Sequence[dict], fold_col: str = "fold", label: str = "label",
-           parallelism: int = 4) -> DataFrame:
-    """Cross-validated search over parameter maps (grid or random draws) with a precomputed fold column.
-    Returns one row per trial: trial, params (string), mean and sd of the fold ROC-AUC."""
+           parallelism: int = 4, folds: int = 5) -> DataFrame:
+    """Cross-validated search over parameter maps (grid or random draws) with a precomputed fold column
+    (values 0..folds−1). Returns one row per trial: trial, params (string), mean and sd of the fold ROC-AUC."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
 
     maps = [{estimator.getParam(k): v for k, v in g.items()} for g in grid]
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=folds,
                         parallelism=parallelism, collectSubModels=False)
     m = cv.fit(df)
     std = list(getattr(m, "stdMetrics", []) or [None] * len(maps))

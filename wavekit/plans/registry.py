@@ -38,4 +38,5 @@ def load_all() -> None:
         q_corr,
         q_sources,
         q_attr,
+        q_ml,
     )
