@@ -155,8 +155,11 @@ def logit(
             )
             m = glr.fit(va.transform(data))
             beta = [float(m.intercept)] + [float(v) for v in m.coefficients]
-            ses = list(m.summary.coefficientStandardErrors)
-            se = [float(ses[-1])] + [float(s) for s in ses[:-1]]
+            try:
+                ses = list(m.summary.coefficientStandardErrors)
+                se = [float(ses[-1])] + [float(s) for s in ses[:-1]]
+            except Exception:  # constant working response: Spark's WLS skips the covariance
+                se = _fisher_se(data, features, beta)
         else:
             tot = data.agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")).first()
             p0 = tot["wy"] / tot["w"]
@@ -191,6 +194,29 @@ def logit(
     return LogitFit(model, variables, beta, se, coefs, stats)
 
 
+def _fisher_se(data: DataFrame, features: Sequence[str], beta: Sequence[float]) -> list[float]:
+    """√diag((XᵀWX)⁻¹), W = w·p(1−p): the (k+1)(k+2)/2 information sums in one aggregate, inverted on
+    the driver (a (k+1)² matrix)."""
+    import numpy as np
+
+    eta = F.lit(beta[0])
+    for b, c in zip(beta[1:], features):
+        eta = eta + F.lit(b) * F.col(c)
+    p = 1.0 / (1.0 + F.exp(-eta))
+    v = F.col("w") * p * (1 - p)
+    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
+    k = len(xs)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = data.agg(*[F.sum(v * xs[i] * xs[j]).alias(f"i{i}_{j}") for i, j in pairs]).first()
+    info = np.zeros((k, k))
+    for i, j in pairs:
+        info[i, j] = info[j, i] = row[f"i{i}_{j}"]
+    try:
+        return [float(s) for s in np.sqrt(np.diag(np.linalg.inv(info)))]
+    except np.linalg.LinAlgError:
+        return [float("nan")] * k
+
+
 # ---------------------------------------------------------------- per-group Newton on cells
 
 
