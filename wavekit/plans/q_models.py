@@ -122,7 +122,6 @@ FROM fits""",
 )
 def q_lr_test(spark, d):
     df = timed(spark, d)
-    spark_ = df.sparkSession
     null = models.null_model(df, "y").select(
         F.lit("null").alias("model"), F.lit(1).alias("model_no"), F.lit(1).alias("n_params"),
         F.col("null_loglik").alias("loglik"),
@@ -134,7 +133,6 @@ def q_lr_test(spark, d):
         F.lit("wave_saturated").alias("model"), F.lit(3).alias("model_no"), F.col("n_cells").cast("int").alias("n_params"),
         "loglik",
     )
-    del spark_
     fits = null.unionByName(lin).unionByName(sat)
     return inference.lr_test(fits, "model_no").select("model", "model_no", "n_params", "loglik", "lr_stat", "lr_df", "lr_p")
 
@@ -160,9 +158,12 @@ FROM pooled_fit p, seg_fit a, seg_fit b WHERE a.g = 0 AND b.g = 1""",
     ),
 )
 def q_chow_test(spark, d):
-    pooled = _fit_time(spark, d).stats
-    pre = _fit_time(spark, d, where=F.col("post") == 0, model="pre").stats
-    post = _fit_time(spark, d, where=F.col("post") == 1, model="post").stats
+    df = timed(spark, d)
+    pooled = models.logit(df, "y", ["time"], model="pooled").stats
+    # both segments in one pass: cells per (segment, time), one Newton solve per segment
+    _, seg = models.logit_by_group(df, "post", "y", ["time"], model="segment")
+    seg = seg.persist()
+    pre, post = seg.where(F.col("post") == 0), seg.where(F.col("post") == 1)
     return inference.chow_test(pooled, pre, post, k_predictors=1)
 
 
@@ -398,3 +399,21 @@ def q_nested_models(spark, d):
         "model_no", F.regexp_extract("model", r"(\d+)$", 1).cast("int")
     )
     return inference.lr_test(stats, "model_no")
+
+
+@register(
+    "sig_stars",
+    _sql(
+        f"""SELECT *, CASE WHEN p_value < 0.001 THEN '<0.001' ELSE printf('%.3f', round(p_value, 3)) END AS p_text,
+       printf('%.2f [%.2f, %.2f]%s', round(odds_ratio, 2), round(ci_lower, 2), round(ci_upper, 2), stars) AS or_text
+FROM (SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars
+      FROM (SELECT 'race' AS model, 'race_' || lower(k.race) AS variable, odds_ratio, ci_lower, ci_upper, p_value,
+                   abs(beta) AS abs_log_or
+            FROM (SELECT k.race, ln(k.a / k.b) - ln(r.a / r.b) AS beta, sqrt(1 / k.a + 1 / k.b + 1 / r.a + 1 / r.b) AS se
+                  FROM rc k, rc r WHERE r.race = '{RACES[0]}' AND k.race <> '{RACES[0]}') k,
+            LATERAL (SELECT {wald_cols('k.beta', 'k.se')})))""",
+        _race_cells_sql(),
+    ),
+)
+def q_sig_stars(spark, d):
+    return recode.sig_stars(inference.or_table(_race_fit(spark, d).coefficients), "p_value", "odds_ratio")
