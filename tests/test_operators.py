@@ -256,3 +256,26 @@ def test_chi2_lr_test_table(spark):
     rows = {r.model_no: r for r in inference.lr_test(fits).collect()}
     assert rows[1].lr_stat is None and rows[2].lr_stat == 10.0 and rows[3].lr_df == 2
     assert rows[3].lr_p == pytest.approx(math.exp(-1.0), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_tree_shap_efficiency(spark, kind):
+    """Σφ + E f = f(x) for every row (forest: probability; boosting: margin)."""
+    from wavekit.operators import ml, treeshap
+    from wavekit.session import scratch_path
+
+    df = spark.range(400).select(
+        F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+        ((F.col("id") * 13) % 11).cast("double").alias("c"),
+        (((F.col("id") % 7) + (F.col("id") % 5)) > 5).cast("double").alias("label"),
+    )
+    df = ml.assemble(df, ["a", "b", "c"])
+    if kind == "forest":
+        model = ml.random_forest(df, num_trees=5, max_depth=4, seed=1)
+    else:
+        model = ml.gbt(df, max_iter=5, max_depth=3, validation_frac=None, seed=1)
+    phi, base, out_kind = treeshap.shap_tree(df, model, "features", "row_id", ["a", "b", "c"], scratch_path(spark, "ts"))
+    total = phi.groupBy("row_id").agg(F.sum("phi").alias("s"))
+    f = treeshap.explained_output(model, df, "features", "row_id", out_kind)
+    diff = total.join(f, "row_id").select(F.max(F.abs(F.col("s") + F.lit(base) - F.col("f")))).first()[0]
+    assert diff < 1e-9

@@ -423,3 +423,26 @@ def q_bootstrap_se(spark, d):
     return coefs.groupBy("variable").agg(
         F.avg("beta").alias("beta_mean"), F.stddev_samp("beta").alias("bootstrap_se"), F.count(F.lit(1)).alias("replicates")
     )
+
+
+def _tree_phi(spark, d):
+    from wavekit.operators import treeshap
+
+    train, test, _, meta = prepared(spark, d)
+    model = ml.random_forest(train, num_trees=50, max_depth=6, seed=SEED)
+    phi, base, kind = treeshap.shap_tree(test, model, "features", "row_id", _slots(meta), scratch_path(spark, "treeshap"))
+    return phi, base, meta
+
+
+@register("shap_tree")
+def q_shap_tree(spark, d):
+    """Path-dependent tree Shapley values of a forest for every test row (long: row, slot, phi)."""
+    phi, base, _ = _tree_phi(spark, d)
+    return phi.withColumn("expected_value", F.lit(base))
+
+
+@register("shap_tree_importance")
+def q_shap_tree_importance(spark, d):
+    """mean|φ| per base feature, slots summed per row before the absolute value."""
+    phi, _, meta = _tree_phi(spark, d)
+    return attribution.shap_importance(phi, "row_id", meta=meta.select("slot", "base_feature"), sum_slots_first=True)
