@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
+
 Predict = Callable[[DataFrame], DataFrame]  # adds a ``prob`` column
 
 
@@ -41,7 +43,7 @@ def shap_linear(df: DataFrame, beta: Mapping[str, float], id_col: str, backgroun
     feats = list(beta)
     bg = background if background is not None else df
     means = bg.agg(*[F.avg(F.col(f).cast("double")).alias(f"__m_{f}") for f in feats])
-    j = df.crossJoin(F.broadcast(means))
+    j = attach(df, means)
     return j.select(
         id_col,
         F.inline(
@@ -96,7 +98,7 @@ def pair_phi_centred(df: DataFrame, features: Sequence[str], id_col: str) -> Dat
     """Pair attributions from products of centred columns: (id, f1, f2, phi) for f1 < f2 in list order."""
     feats = list(features)
     means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"__m_{f}") for f in feats])
-    j = df.crossJoin(F.broadcast(means))
+    j = attach(df, means)
     c = {f: F.col(f).cast("double") - F.col(f"__m_{f}") for f in feats}
     return j.select(
         id_col,
@@ -128,7 +130,7 @@ def attr_pairwise(pair_phi: DataFrame, meta: DataFrame | None = None, n_rows: Da
     b2 = F.greatest("__b1", "__b2")
     n = n_rows if n_rows is not None else pair_phi.agg(F.countDistinct(id_col).alias("__n"))
     agg = x.groupBy(b1.alias("b1"), b2.alias("b2")).agg(F.sum(F.abs("phi")).alias("__s"))
-    return agg.crossJoin(F.broadcast(n.select(F.col(n.columns[0]).alias("__n")))).select(
+    return attach(agg, n.select(F.col(n.columns[0]).alias("__n"))).select(
         "b1", "b2", (F.col("__s") / F.col("__n")).alias("value")
     )
 
@@ -162,13 +164,13 @@ def attr_pairwise_matrix(df: DataFrame, col: str, slots: Sequence[str], meta: Ma
 
 def three_way_proxy(pairs: DataFrame, value: str = "value") -> DataFrame:
     """Per base triple a < b < c: 2 × (v_ab + v_ac + v_bc) (sum of pairwise values, both directions);
-    missing pairs count 0. Self-joins of the small pair table."""
+    missing pairs count 0. The base features (a model-sized list) are enumerated into triples on the driver;
+    the three pair values are equi-joined from the small pair table."""
+    from itertools import combinations
+
     p = pairs.select("b1", "b2", F.col(value).alias("v"))
-    feats = p.select(F.col("b1").alias("f")).union(p.select(F.col("b2").alias("f"))).distinct()
-    a, b, c = feats.alias("a"), feats.alias("b"), feats.alias("c")
-    tri = a.crossJoin(b).crossJoin(c).where((F.col("a.f") < F.col("b.f")) & (F.col("b.f") < F.col("c.f"))).select(
-        F.col("a.f").alias("f1"), F.col("b.f").alias("f2"), F.col("c.f").alias("f3")
-    )
+    feats = sorted(r[0] for r in p.select(F.col("b1").alias("f")).union(p.select(F.col("b2").alias("f"))).distinct().collect())
+    tri = pairs.sparkSession.createDataFrame(list(combinations(feats, 3)), "f1 string, f2 string, f3 string")
 
     def look(x, y, name):
         return p.select(F.col("b1").alias(x), F.col("b2").alias(y), F.col("v").alias(name))
@@ -193,10 +195,16 @@ def local_explain(phi: DataFrame, id_col: str, row_id) -> DataFrame:
     return one.withColumn("position", F.row_number().over(w))
 
 
-def pdp(df: DataFrame, feature: str, values: DataFrame, predict: Predict) -> DataFrame:
-    """Mean prediction with ``feature`` set to each value of ``values`` (column ``value``): rows × values
-    (the value table is small and broadcast) → predict → groupBy(value).avg."""
-    grid = df.drop(feature).crossJoin(F.broadcast(values.select(F.col("value"))))
+def pdp(df: DataFrame, feature: str, values: DataFrame, predict: Predict, max_values: int = 10_000) -> DataFrame:
+    """Mean prediction with ``feature`` set to each value of ``values`` (column ``value``): each row is
+    exploded over the value grid (levels or grid points: a bounded list, checked) → predict →
+    groupBy(value).avg with map-side partial aggregation."""
+    grid_values = [r[0] for r in values.select("value").distinct().take(max_values + 1)]
+    if len(grid_values) > max_values:
+        raise ValueError(f"more than {max_values} PDP values: use a grid or quantiles")
+    dtype = values.schema["value"].dataType
+    arr = F.array(*[F.lit(v).cast(dtype) for v in grid_values])
+    grid = df.drop(feature).select("*", F.explode(arr).alias("value"))
     scored = predict(grid.withColumn(feature, F.col("value")))
     return scored.groupBy("value").agg(F.avg("prob").alias("mean_prediction"), F.count(F.lit(1)).alias("n"))
 
@@ -239,5 +247,5 @@ def permutation_importance(df: DataFrame, features: Sequence[str], predict: Pred
             perm = permute_column(df, id_col, f, seed + r)
             auc = roc_auc(predict(perm), label, "prob").select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "auc")
             rows.append(auc)
-    allr = reduce(DataFrame.unionByName, rows).crossJoin(base).withColumn("drop", F.col("base_auc") - F.col("auc"))
+    allr = attach(reduce(DataFrame.unionByName, rows), base).withColumn("drop", F.col("base_auc") - F.col("auc"))
     return allr.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_sd"))

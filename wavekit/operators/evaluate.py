@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
+
 
 def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets: int | None = None,
                       descending: bool = False) -> DataFrame:
@@ -92,7 +94,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "prob") -> DataF
     counts = score_counts(df, label, score)
     cum = cumulative_counts(counts, "score", ["pos", "neg"], descending=True)
     tot = counts.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    return cum.crossJoin(F.broadcast(tot)).select(
+    return attach(cum, tot).select(
         F.col("score").alias("threshold"),
         ((F.col("neg_before") + F.col("neg")) / F.col("__N")).alias("fpr"),
         ((F.col("pos_before") + F.col("pos")) / F.col("__P")).alias("tpr"),
@@ -165,7 +167,7 @@ def calibration_curve(df: DataFrame, label: str = "label", score: str = "prob",
     per non-empty bin: mean predicted, observed share, n."""
     inner = [i / n_bins for i in range(1, n_bins)]
     edges = df.agg(F.percentile(F.col(score), F.array(*[F.lit(p) for p in inner])).alias("__e"))
-    binned = df.crossJoin(F.broadcast(edges)).withColumn(
+    binned = attach(df, edges).withColumn(
         "bin", F.size(F.filter(F.col("__e"), lambda e: e < F.col(score))).cast("int")
     )
     return binned.groupBy("bin").agg(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavekit.functions.hashing import hash_uniform
+from wavekit.functions.scalars import attach
 
 
 def impute_fit(train: DataFrame, cols: Sequence[str], strategy: str = "median", fill_value=None) -> DataFrame:
@@ -40,7 +41,7 @@ def impute_fit(train: DataFrame, cols: Sequence[str], strategy: str = "median",
 def impute_apply(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL cells take the fitted value (params is the one-row table from ``impute_fit``)."""
     p = params.select(*[F.col(c).alias(f"__fill_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(p))
+    out = attach(df, p)
     for c in cols:
         # the column takes the fill value's type (a median of integer codes may be x.5)
         ftype = params.schema[c].dataType
@@ -60,7 +61,7 @@ def imputed_stack(df: DataFrame, cols: Sequence[str], m: int = 5, imp_col: str =
     median plus (i mod 2). Rows × M are produced by a narrow explode; stats are one aggregate."""
     med = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])
     imps = F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)
-    out = df.select("*", imps).crossJoin(F.broadcast(med.select(*[F.col(c).alias(f"__med_{c}") for c in cols])))
+    out = attach(df.select("*", imps), med.select(*[F.col(c).alias(f"__med_{c}") for c in cols]))
     for c in cols:
         dtype = df.schema[c].dataType
         med = F.col(f"__med_{c}") if isinstance(dtype, (T.DoubleType, T.FloatType)) else F.floor(F.col(f"__med_{c}"))
@@ -110,7 +111,7 @@ def mice(
         *[F.max(c).alias(f"__max_{c}") for c in targets],
     )
     base = df.select(id_col, *cols, *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets])
-    stack = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)).crossJoin(F.broadcast(stats))
+    stack = attach(base.select("*", F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)), stats)
     for c in targets:
         stack = stack.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")))
     for c in predictors:

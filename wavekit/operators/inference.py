@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavekit.functions import dist
+from wavekit.functions.scalars import attach
 
 
 def lr_test(fits: DataFrame, order_col: str = "model_no", by: Sequence[str] = ()) -> DataFrame:
@@ -38,9 +39,9 @@ def chow_test(pooled: DataFrame, pre: DataFrame, post: DataFrame, k_predictors:
     Inputs are fit tables (one row each).
     """
     df_ = k_predictors if compat else k_predictors + 1
-    row = pooled.select(F.col("loglik").alias("ll_pooled"), F.col("n_obs").alias("n_pooled")).crossJoin(
-        pre.select(F.col("loglik").alias("ll_pre"), F.col("n_obs").alias("n_pre"))
-    ).crossJoin(post.select(F.col("loglik").alias("ll_post"), F.col("n_obs").alias("n_post")))
+    row = pooled.select(F.col("loglik").alias("ll_pooled"), F.col("n_obs").alias("n_pooled"))
+    row = attach(row, pre.select(F.col("loglik").alias("ll_pre"), F.col("n_obs").alias("n_pre")))
+    row = attach(row, post.select(F.col("loglik").alias("ll_post"), F.col("n_obs").alias("n_post")))
     stat = -2 * (F.col("ll_pooled") - F.col("ll_pre") - F.col("ll_post"))
     return row.withColumns({"chow_stat": stat, "chow_df": F.lit(df_), "chow_p": dist.chi2_sf(stat, F.lit(df_))})
 
@@ -147,7 +148,7 @@ def kish_deff(df: DataFrame, weight: str) -> DataFrame:
 def se_design_effect(coefs: DataFrame, deff: DataFrame, level: float = 0.95) -> DataFrame:
     """SE·√DEFF with the Wald quantities recomputed (DEFF given as a one-row table)."""
     zc = dist.z_crit(level)
-    out = coefs.crossJoin(F.broadcast(deff.select("deff"))).withColumn("se_adj", F.col("se") * F.sqrt(F.col("deff")))
+    out = attach(coefs, deff.select("deff")).withColumn("se_adj", F.col("se") * F.sqrt(F.col("deff")))
     return out.withColumns(
         {
             "z_adj": F.col("beta") / F.col("se_adj"),
@@ -170,9 +171,8 @@ def auc_difference_z(a: DataFrame, b: DataFrame, n: int | None = None) -> DataFr
     """Simplified z test of two AUCs: se = √((a₁(1−a₁) + a₂(1−a₂))/n), n = test-set size of ``a``.
 
     Inputs are ``roc_auc`` rows (auc, n_pos, n_neg)."""
-    j = a.select(F.col("auc").alias("auc_1"), (F.col("n_pos") + F.col("n_neg")).alias("n")).crossJoin(
-        b.select(F.col("auc").alias("auc_2"))
-    )
+    j = attach(a.select(F.col("auc").alias("auc_1"), (F.col("n_pos") + F.col("n_neg")).alias("n")),
+               b.select(F.col("auc").alias("auc_2")))
     if n is not None:
         j = j.withColumn("n", F.lit(n))
     se = F.sqrt((F.col("auc_1") * (1 - F.col("auc_1")) + F.col("auc_2") * (1 - F.col("auc_2"))) / F.col("n"))

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
+
 
 @dataclass(frozen=True)
 class RunConfig:
@@ -42,7 +44,7 @@ def balanced_weights(df: DataFrame, label: str = "label", dst: str = "class_weig
     """class_weight = n / (k · n_c) (the 'balanced' rule); one small aggregate joined back."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    w = counts.crossJoin(tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(dst))
+    w = attach(counts, tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(dst))
     return df.join(F.broadcast(w), label)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavekit.functions.scalars import attach
 from wavekit.operators.recode import NUMERIC
 
 
@@ -55,7 +56,7 @@ def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 0, with_mean: bo
     src = stats_from if stats_from is not None else df
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
     stats = src.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[sd(c).alias(f"__s_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))
+    out = attach(df, stats)
     for c in cols:
         centred = F.col(c) - F.col(f"__m_{c}") if with_mean else F.col(c)
         out = out.withColumn(f"{c}{suffix}", centred / F.col(f"__s_{c}"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
 from wavekit.operators.recode import numeric_columns
 
 
@@ -140,7 +141,7 @@ def negative_counts(df: DataFrame, cols: Sequence[str] | None = None, only_posit
 def outlier_counts(df: DataFrame, cols: Sequence[str], k: float = 3.0, only_positive: bool = True) -> DataFrame:
     """Rows outside mean ± k·sd (ddof 1) per column: a stats pass, then a count pass."""
     stats = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_samp(c).alias(f"{c}__s") for c in cols])
-    joined = df.select(*cols).crossJoin(F.broadcast(stats))  # one stats row
+    joined = attach(df.select(*cols), stats)  # one stats row
     row = joined.agg(
         *[
             F.count_if(F.abs(F.col(c) - F.col(f"{c}__m")) > k * F.col(f"{c}__s")).alias(c)
@@ -194,7 +195,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
     b = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
         F.least(F.floor((x - F.col("__lo")) / width), F.lit(bins - 1))
     ).cast("int")
-    binned = df.where(x.isNotNull()).crossJoin(F.broadcast(rng)).withColumn("bin", b)
+    binned = attach(df.where(x.isNotNull()), rng).withColumn("bin", b)
     out = binned.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi")
     )

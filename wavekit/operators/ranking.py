@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
+
 
 def top_n(df: DataFrame, metric: str, k: int, key: str, by: Sequence[str] = ()) -> DataFrame:
     """k largest rows by ``metric`` (ties broken by ``key``), overall or per group (``rank`` column)."""
@@ -35,35 +37,38 @@ def consensus_tiers(ranked: DataFrame, k: int, model: str = "model", feature: st
     m = ranked.groupBy(feature).agg(F.count_if(F.col("rank") <= k).alias("n_models_top"))
     return (
         m.where(F.col("n_models_top") > 0)
-        .crossJoin(F.broadcast(n_models))
+        .transform(lambda x: attach(x, n_models))
         .withColumn("tier", (F.col("n_models") + 1 - F.col("n_models_top")).cast("int"))
         .drop("n_models")
     )
 
 
 def consensus_sensitivity(ranked: DataFrame, ks: Sequence[int], model: str = "model", feature: str = "feature") -> DataFrame:
-    """Consensus tiers for several k at once: the ranked table × the k list, grouped by (k, feature)."""
-    spark = ranked.sparkSession
-    kdf = spark.createDataFrame([(int(k),) for k in ks], "k int")
+    """Consensus tiers for several k at once: one ``groupBy(feature)`` with a top-k count per k, unpivoted
+    to (k, feature, n_models_top, tier) plus the per-k set sizes."""
+    ks = [int(k) for k in ks]
     n_models = ranked.agg(F.countDistinct(model).alias("n_models"))
-    m = (
-        ranked.crossJoin(F.broadcast(kdf))
-        .groupBy("k", feature)
-        .agg(F.count_if(F.col("rank") <= F.col("k")).alias("n_models_top"))
-    )
-    out = m.where(F.col("n_models_top") > 0).crossJoin(F.broadcast(n_models))
+    wide = ranked.groupBy(feature).agg(*[F.count_if(F.col("rank") <= k).alias(f"__k{k}") for k in ks])
+    m = wide.select(
+        feature,
+        F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__k{k}").alias("n_models_top")) for k in ks])),
+    ).select("k", feature, "n_models_top")
+    out = attach(m.where(F.col("n_models_top") > 0), n_models)
     out = out.withColumn("tier", (F.col("n_models") + 1 - F.col("n_models_top")).cast("int"))
     sizes = out.groupBy("k").agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("tier") == 1).alias("n_tier1"))
     return out.drop("n_models").join(sizes, "k")
 
 
 def nested_sets(tiers: DataFrame, n_sets: int | None = None, feature: str = "feature") -> DataFrame:
-    """Set j = union of tiers 1..j, for j = 1..n_sets (default: number of tiers): rows (set_no, feature, tier)."""
-    spark = tiers.sparkSession
+    """Set j = union of tiers 1..j, for j = 1..n_sets (default: number of tiers): rows (set_no, feature, tier).
+
+    A feature of tier t belongs to sets t..n_sets: one ``explode`` of that range per feature."""
     if n_sets is None:
         n_sets = tiers.agg(F.max("tier")).first()[0] or 0
-    sets = spark.createDataFrame([(j,) for j in range(1, n_sets + 1)], "set_no int")
-    return tiers.crossJoin(F.broadcast(sets)).where(F.col("tier") <= F.col("set_no")).select("set_no", feature, "tier")
+    member = F.when(F.col("tier") <= n_sets, F.sequence(F.col("tier"), F.lit(n_sets))).otherwise(F.array().cast("array<int>"))
+    return tiers.select(F.explode(member).alias("set_no"), feature, "tier").select(
+        F.col("set_no").cast("int").alias("set_no"), feature, "tier"
+    )
 
 
 def top_significant(coefs: DataFrame, k: int = 5, alpha: float = 0.05, model: str = "model") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavekit.functions.scalars import attach
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -188,7 +190,7 @@ def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     stats = df.agg(
         *[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols]
     )
-    out = df.crossJoin(F.broadcast(stats))  # exactly one row
+    out = attach(df, stats)  # exactly one row
     for c in cols:
         out = out.withColumn(f"{c}{suffix}", (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}"))
     return out.drop(*[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
@@ -249,7 +251,7 @@ def weight_normalize(df: DataFrame, weight_col: str = "survey_weight", dst: str
     aggregate pass, one stats row broadcast back.
     """
     stats = df.agg(F.avg(weight_col).alias("__wm"))
-    out = df.crossJoin(F.broadcast(stats))
+    out = attach(df, stats)
     return out.withColumn(dst or weight_col, F.coalesce(F.col(weight_col), F.col("__wm")) / F.col("__wm")).drop("__wm")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
 from wavekit.operators import evaluate, inference
 from wavekit.plans import fixtures as fx
 from wavekit.plans.newton_sql import two_sided_p_sql
@@ -156,4 +157,4 @@ def q_degradation(spark, d):
     s = _sc(spark, d)
     e = evaluate.roc_auc(s.where(F.col("year") <= 1995)).select(F.col("auc").alias("expected_auc"))
     o = evaluate.roc_auc(s.where(F.col("year") > 1995)).select(F.col("auc").alias("observed_auc"))
-    return evaluate.degradation(e.crossJoin(o), "expected_auc", "observed_auc")
+    return evaluate.degradation(attach(e, o), "expected_auc", "observed_auc")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
 from wavekit.operators import attribution, evaluate, impute, inference, ml, models, prep, profile, ranking, recode, split
 from wavekit.plans import fixtures as fx
 from wavekit.plans.newton_sql import newton_ctes
@@ -183,7 +184,7 @@ def q_random_forest(spark, d):
     train, test, _, meta = prepared(spark, d)
     model = ml.random_forest(train, num_trees=100, max_depth=8, seed=SEED)
     imp = ml.feature_importances(model, _slots(meta), spark, "random_forest")
-    return imp.crossJoin(_auc_row("random_forest", model, test).select("auc"))
+    return attach(imp, _auc_row("random_forest", model, test).select("auc"))
 
 
 @register("gbt")
@@ -294,7 +295,7 @@ def _logit_auc(df, feats, name, test=None):
     target = test if test is not None else df
     scored = target.withColumn("prob", fit.probability())
     auc = evaluate.roc_auc(scored, "y", "prob").select("auc")
-    return fit, fit.stats.crossJoin(auc)
+    return fit, attach(fit.stats, auc)
 
 
 @register("baseline_panel")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
 from wavekit.operators import inference, models, recode
 from wavekit.plans import fixtures as fx
 from wavekit.plans.newton_sql import Z95, chi2_sf_sql, coef_rows, newton_ctes, two_sided_p_sql, wald_cols
@@ -308,14 +309,14 @@ def _stratified_lr(spark, d, group: str, n_groups_sql: str):
     pooled = models.logit(df, "y", ["time"], model="pooled").stats
     coefs, stats = models.logit_by_group(df, group, "y", ["time"], model="time")
     strat = stats.agg(F.sum("loglik").alias("ll_strat"), F.count(F.lit(1)).alias("k"))
-    lr = pooled.select(F.col("loglik").alias("ll_pooled")).crossJoin(strat)
+    lr = attach(pooled.select(F.col("loglik").alias("ll_pooled")), strat)
     stat = 2 * (F.col("ll_strat") - F.col("ll_pooled"))
     dfree = (2 * (F.col("k") - 1)).cast("int")
     lr = lr.select(stat.alias("lr_stat"), dfree.alias("lr_df")).withColumn(
         "lr_p", inference.dist.chi2_sf(F.col("lr_stat"), F.col("lr_df"))
     )
     table = coefs.where(F.col("variable") == "time").select(group, "variable", "odds_ratio", "ci_lower", "ci_upper", "p_value")
-    return table.crossJoin(F.broadcast(lr))
+    return attach(table, lr)
 
 
 def _stratified_sql(group: str, cast: str):

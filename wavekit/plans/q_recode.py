@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavekit.functions.scalars import attach
 from wavekit.operators import profile, recode
 from wavekit.plans import fixtures as fx
 from wavekit.plans.registry import register
@@ -339,7 +340,7 @@ def _odds_ratio_by(spark, d, by):
     df = fx.survey_clean(spark, d)
     g = df.groupBy(by).agg(F.avg("y").alias("p"))
     tot = df.agg(F.avg("y").alias("p0"))
-    return g.crossJoin(F.broadcast(tot)).select(
+    return attach(g, tot).select(
         by, ((F.col("p") / (1 - F.col("p"))) / (F.col("p0") / (1 - F.col("p0")))).alias("odds_ratio")
     )
 
