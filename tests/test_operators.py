@@ -279,3 +279,17 @@ def test_tree_shap_efficiency(spark, kind):
     f = treeshap.explained_output(model, df, "features", "row_id", out_kind)
     diff = total.join(f, "row_id").select(F.max(F.abs(F.col("s") + F.lit(base) - F.col("f")))).first()[0]
     assert diff < 1e-9
+
+
+def test_quantiles_exact_order_statistics(spark):
+    vals = [5.0, 1.0, 3.0, 3.0, 10.0, None, 7.5]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(vals)], "x double, g int")
+    got = {r.prob: r.value for r in profile.quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    s = sorted(v for v in vals if v is not None)
+    for p, v in got.items():
+        pos = (len(s) - 1) * p
+        k = math.floor(pos)
+        exp = s[k] if k + 1 >= len(s) else s[k] + (s[k + 1] - s[k]) * (pos - k)
+        assert v == pytest.approx(exp)
+    grouped = profile.quantiles(df, "x", [0.5], by=["g"]).collect()
+    assert len(grouped) == 2

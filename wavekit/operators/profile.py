@@ -177,13 +177,40 @@ def suppress_small_cells(df: DataFrame, n_col: str, cols: Sequence[str], min_n:
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per probability."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = df.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), arr).alias("__q"))
-    return agg.select(
-        *by,
-        F.posexplode(F.arrays_zip(arr.alias("prob"), F.col("__q").alias("value"))).alias("__i", "__pq"),
-    ).select(*by, F.col("__pq.prob").alias("prob"), F.col("__pq.value").alias("value"))
+    """Exact quantiles, one row per probability: with pos = (n − 1)·p, k = ⌊pos⌋, d = pos − k, the value is
+    (1 − d)·lo + d·hi between the k-th and (k+1)-th order statistics (the SQL ``quantile_cont`` form).
+
+    Plan: distinct values with counts per group (partial aggregation) → cumulative counts (per group, or
+    bucketed when ungrouped) → each distinct value is tested against the |probs| target positions → one
+    small aggregate per (group, prob). Memory is bounded by distinct values, never by rows.
+    """
+    from wavekit.operators.evaluate import cumulative_counts
+
+    by = list(by)
+    x = F.col(col).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(*by, x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+        cum = counts.withColumn("__c_before", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn(
+            "__n", F.sum("__c").over(Window.partitionBy(*by))
+        )
+    else:
+        cum = attach(cumulative_counts(counts, "__v", ["__c"]), counts.agg(F.sum("__c").alias("__n")))
+    rows = cum.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    pos = (F.col("__n") - 1).cast("double") * F.col("prob")
+    k = F.floor(pos)
+    start, end = F.col("__c_before"), F.col("__c_before") + F.col("__c")
+    is_lo = (start <= k) & (k < end)
+    is_hi = (start <= k + 1) & (k + 1 < end)
+    hit = rows.where(is_lo | is_hi).select(
+        *by, "prob", (pos - k).alias("__d"),
+        F.when(is_lo, F.col("__v")).alias("__lo"), F.when(is_hi, F.col("__v")).alias("__hi"),
+    )
+    g = hit.groupBy(*by, "prob").agg(F.max("__lo").alias("lo"), F.max("__hi").alias("hi"), F.max("__d").alias("d"))
+    value = F.when(F.col("hi").isNull() | (F.col("d") == 0), F.col("lo")).otherwise(
+        (1 - F.col("d")) * F.col("lo") + F.col("d") * F.col("hi")
+    )
+    return g.select(*by, "prob", value.alias("value"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
