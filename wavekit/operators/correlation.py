@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,13 +58,13 @@ def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _avg_ranks(cells: DataFrame, side: str) -> DataFrame:
-    """Average rank of each distinct value of ``side`` within its pair: n_below + (m + 1)/2."""
+    """Average rank of each distinct value of ``side`` within its pair: n_below + (m + 1)/2, with n_below from
+    per-pair bucketed cumulative counts (no single-task window per pair)."""
+    from wavekit.operators.evaluate import cumulative_counts
+
     marg = cells.groupBy("var1", "var2", side).agg(F.sum("n").alias("__m"))
-    w = Window.partitionBy("var1", "var2").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-    return marg.select(
-        "var1", "var2", side,
-        (F.coalesce(F.sum("__m").over(w), F.lit(0)) + (F.col("__m") + 1) / 2.0).alias(f"rank_{side}"),
-    )
+    cum = cumulative_counts(marg, side, ["__m"], by=["var1", "var2"])
+    return cum.select("var1", "var2", side, (F.col("__m_before") + (F.col("__m") + 1) / 2.0).alias(f"rank_{side}"))
 
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -20,32 +20,46 @@ from wavekit.functions.scalars import attach
 
 
 def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets: int | None = None,
-                      descending: bool = False) -> DataFrame:
-    """For a table with one row per distinct ``key`` and count columns ``cols``, add
-    ``<c>_before`` = Σ c over keys strictly before this key (ascending, or descending order)."""
+                      descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """For a table with one row per distinct ``key`` (per group of ``by``) and count columns ``cols``, add
+    ``<c>_before`` = Σ c over keys strictly before this key in the same group (ascending or descending).
+
+    Balanced without a single-task window: approximate-quantile boundaries (global, or per group — a
+    groups × buckets table) cut each group's keys into buckets; bucket totals give offsets through a window
+    over the small (group, bucket) table; cumulative sums run in windows partitioned by (group, bucket).
+    Exactness never depends on the boundaries, only the balance does."""
     from pyspark.ml.feature import Bucketizer
 
+    by = list(by)
     spark = counts.sparkSession
     nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     k = F.col(key).cast("double")
-    bounds = []
-    if nb > 1:
-        probs = [i / nb for i in range(1, nb)]
-        row = counts.agg(F.percentile_approx(k, probs, 10000).alias("b")).first()
-        bounds = sorted(set(float(v) for v in (row["b"] or []) if v is not None))
-    splits = [float("-inf")] + bounds + [float("inf")]
     keyed = counts.withColumn("__k", k)
-    bucketed = Bucketizer(splits=splits, inputCol="__k", outputCol="__b").transform(keyed)
+    probs = [i / nb for i in range(1, nb)]
+    if not by:
+        bounds = []
+        if nb > 1:
+            row = counts.agg(F.percentile_approx(k, probs, 10000).alias("b")).first()
+            bounds = sorted(set(float(v) for v in (row["b"] or []) if v is not None))
+        splits = [float("-inf")] + bounds + [float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol="__k", outputCol="__b").transform(keyed)
+    elif nb > 1:
+        edges = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(k, probs, 10000)).alias("__edges"))
+        bucketed = keyed.join(edges, by).withColumn(
+            "__b", F.size(F.filter(F.col("__edges"), lambda e: e <= F.col("__k"))).cast("double")
+        ).drop("__edges")
+    else:
+        bucketed = keyed.withColumn("__b", F.lit(0.0))
     if descending:
         bucketed = bucketed.withColumn("__b", -F.col("__b"))
-    totals = bucketed.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wtot = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over ≤ nb rows
+    totals = bucketed.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    wtot = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # groups × buckets rows
     offsets = totals.select(
-        "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wtot), F.lit(0)).alias(f"__o_{c}") for c in cols]
+        *by, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wtot), F.lit(0)).alias(f"__o_{c}") for c in cols]
     )
     order = F.col("__k").desc() if descending else F.col("__k").asc()
-    win = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = bucketed.join(F.broadcast(offsets), "__b")
+    win = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = bucketed.join(F.broadcast(offsets) if not by else offsets, by + ["__b"])
     return out.select(
         *[c for c in counts.columns],
         *[(F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(win), F.lit(0))).alias(f"{c}_before") for c in cols],
@@ -66,15 +80,14 @@ def score_counts(df: DataFrame, label: str, score: str, weight: str | None = Non
 def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequence[str] = ()) -> DataFrame:
     """Mann–Whitney AUC with ties counted ½: Σ pos(s)·(neg below s + ½·neg(s)) / (P·N). One row (per group)."""
     if by:
-        # grouped variant: groups are few (models, folds); windows per (group) over distinct scores
+        # grouped variant (models, folds, periods): per-group bucketed cumulative counts
         y = F.col(label)
         counts = (
             df.where(y.isNotNull() & F.col(score).isNotNull())
             .groupBy(*by, F.col(score).alias("score"))
             .agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
         )
-        win = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        cum = counts.withColumn("neg_before", F.coalesce(F.sum("neg").over(win), F.lit(0)))
+        cum = cumulative_counts(counts, "score", ["neg"], by=list(by))
         return cum.groupBy(*by).agg(
             (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
             F.sum("pos").cast("long").alias("n_pos"),

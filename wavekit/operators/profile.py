@@ -190,10 +190,8 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     x = F.col(col).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*by, x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     if by:
-        w = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-        cum = counts.withColumn("__c_before", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn(
-            "__n", F.sum("__c").over(Window.partitionBy(*by))
-        )
+        totals = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+        cum = cumulative_counts(counts, "__v", ["__c"], by=by).join(totals, by)
     else:
         cum = attach(cumulative_counts(counts, "__v", ["__c"]), counts.agg(F.sum("__c").alias("__n")))
     rows = cum.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
