@@ -293,3 +293,12 @@ def test_quantiles_exact_order_statistics(spark):
         assert v == pytest.approx(exp)
     grouped = profile.quantiles(df, "x", [0.5], by=["g"]).collect()
     assert len(grouped) == 2
+
+
+def test_logit_separation_and_single_class_reported_not_raised(spark):
+    sep = spark.createDataFrame([(x, float(x >= 2)) for x in range(4) for _ in range(20)], "x int, y double")
+    assert models.logit(sep, "y", ["x"]).separation
+    one = spark.createDataFrame([(x, 1.0) for x in range(4) for _ in range(5)], "x int, y double")
+    assert models.logit(one, "y", ["x"]).separation
+    ok = spark.createDataFrame([(x, float((i + x) % 3 == 0)) for x in range(4) for i in range(30)], "x int, y double")
+    assert not models.logit(ok, "y", ["x"]).separation

@@ -57,6 +57,12 @@ class LogitFit:
     def probability(self, cols: Sequence[Column] | None = None) -> Column:
         return 1.0 / (1.0 + F.exp(-self.linear_predictor(cols)))
 
+    @property
+    def separation(self) -> bool:
+        """(Quasi-)separation or a single-class outcome: the MLE does not exist, estimates diverge and
+        standard errors blow up or are undefined. Reported, not raised."""
+        return any(abs(b) > 30 or not math.isfinite(s) or s > 1e3 for b, s in zip(self.beta, self.se))
+
 
 def coefficient_table(df: DataFrame, level: float = 0.95) -> DataFrame:
     """(…, beta, se) → adds z, two-sided normal p, odds ratio and Wald CI (all Column math)."""
