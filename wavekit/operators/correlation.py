@@ -69,7 +69,9 @@ def _avg_ranks(cells: DataFrame, side: str) -> DataFrame:
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(var1, var2, n, rho): Pearson on average ranks computed per pair over its complete rows."""
-    cells = pair_cells(df, cols)
+    # value cells are bounded by distinct value pairs: materialise once (reliable checkpoint) instead of
+    # re-deriving them from the rows in every branch below
+    cells = pair_cells(df, cols).checkpoint()
     ranked = cells.join(_avg_ranks(cells, "a"), ["var1", "var2", "a"]).join(_avg_ranks(cells, "b"), ["var1", "var2", "b"])
     n, x, y = F.col("n"), F.col("rank_a"), F.col("rank_b")
     g = ranked.groupBy("var1", "var2").agg(
@@ -126,7 +128,9 @@ def _concordance(pdf):
 def kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(var1, var2, n, tau_b). Cells per pair → one shuffle by pair → C − D per pair by a Fenwick sweep
     (``applyInPandas``; pairs run in parallel); tie corrections from the cell margins."""
-    cells = pair_cells(df, cols)
+    # value cells are bounded by distinct value pairs: materialise once (reliable checkpoint) instead of
+    # re-deriving them from the rows in every branch below
+    cells = pair_cells(df, cols).checkpoint()
     cd = cells.groupBy("var1", "var2").applyInPandas(_concordance, "var1 string, var2 string, c_minus_d double")
     ta = cells.groupBy("var1", "var2", "a").agg(F.sum("n").alias("m")).groupBy("var1", "var2").agg(
         F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("ties_a"), F.sum("m").alias("N")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from wavekit.functions.scalars import attach
 
+SMALL_GROUP = 200_000  # distinct keys per group that one window task handles without bucketing
+
 
 def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets: int | None = None,
                       descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
@@ -34,6 +36,15 @@ def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets:
     spark = counts.sparkSession
     nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     k = F.col(key).cast("double")
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    if by:
+        # groups whose distinct keys fit one task comfortably need no bucketing (checked, not assumed)
+        largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if largest <= SMALL_GROUP:
+            w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            return counts.select(
+                *counts.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in cols]
+            )
     keyed = counts.withColumn("__k", k)
     probs = [i / nb for i in range(1, nb)]
     if not by:
