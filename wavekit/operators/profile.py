@@ -178,7 +178,10 @@ def suppress_small_cells(df: DataFrame, n_col: str, cols: Sequence[str], min_n:
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles, one row per probability: with pos = (n − 1)·p, k = ⌊pos⌋, d = pos − k, the value is
-    (1 − d)·lo + d·hi between the k-th and (k+1)-th order statistics (the SQL ``quantile_cont`` form).
+    lo·(1 − d) + hi·d between the k-th and (k+1)-th order statistics (the SQL ``quantile_cont`` form). The
+    sum is one fused multiply-add, fma(lo, 1 − d, hi·d) (``java.lang.Math.fma`` through the built-in
+    ``reflect``, on the small per-(group, prob) result only), which is how compiled SQL engines evaluate
+    it on FMA hardware, so values agree to the last bit.
 
     Plan: distinct values with counts per group (partial aggregation) → cumulative counts (per group, or
     bucketed when ungrouped) → each distinct value is tested against the |probs| target positions → one
@@ -206,7 +209,9 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     )
     g = hit.groupBy(*by, "prob").agg(F.max("__lo").alias("lo"), F.max("__hi").alias("hi"), F.max("__d").alias("d"))
     value = F.when(F.col("hi").isNull() | (F.col("d") == 0), F.col("lo")).otherwise(
-        (1 - F.col("d")) * F.col("lo") + F.col("d") * F.col("hi")
+        F.call_function(
+            "reflect", F.lit("java.lang.Math"), F.lit("fma"), F.col("lo"), 1 - F.col("d"), F.col("hi") * F.col("d")
+        ).cast("double")
     )
     return g.select(*by, "prob", value.alias("value"))
 
