@@ -94,7 +94,8 @@ def exact_dedup(
         ids = ids.unionByName(d)
     full = rows.select("rid", "id", "n_chars", "sha").join(ids, "rid")
     first = F.struct((-F.col("n_chars")).alias("c"), F.col("id").isNull().alias("z"), "id", "rid")
-    groups = full.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(first).alias("best"))
+    # written out, so that the join below has an exchange of its own on both sides and can split a hot group
+    groups = cut(full.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(first).alias("best")))
     return full.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
