@@ -48,3 +48,41 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavekit.llm.exact import exact_dedup
 
     return exact_dedup(read_documents(spark, sf_dir))
+
+
+@_register("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.quality import score_quality, train_quality
+
+    docs = read_documents(spark, sf_dir)
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@_register("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.mixing import mix_sources
+
+    return mix_sources(read_documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
+
+
+@_register("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    """Per document: tokens, byte-fallback tokens, a digest of the ids, and whether decoding gives the text back."""
+    from wavekit.llm.pieces import MODEL_FILE, PieceTable, decode_pieces, encode_pieces
+
+    table = PieceTable.from_model(model_file or MODEL_FILE)
+    text = F.coalesce("text", F.lit(""))
+    coded = decode_pieces(encode_pieces(read_documents(spark, sf_dir).select("doc_id", text.alias("text")), table), table)
+    lo, hi = int(table.byte_ids.min()), int(table.byte_ids.max())
+    return coded.select(
+        "doc_id",
+        F.size("ids").alias("n_tokens"),
+        F.size(F.filter("ids", lambda i: i.between(lo, hi))).alias("n_byte_tokens"),
+        F.lower(F.hex(F.xxhash64("ids"))).alias("ids_xxh64"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )

@@ -126,7 +126,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = connected_components(_links(near)).withColumnRenamed("node", "fp")
     label = owner.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = label.groupBy("component").agg(F.min("owner").alias("component_id"))
-    by_fp = label.join(smallest, "component").select("fp", "component_id")
+    # written out, so that the join below can split a fingerprint that a large share of the rows has
+    by_fp = cut(label.join(smallest, "component").select("fp", "component_id"))
     return rows.join(by_fp, "fp").select(
         F.col("id").alias(id_col),
         "fp",
