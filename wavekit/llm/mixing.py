@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from wavekit.llm.common import WORD, cut, whole_text
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 BLOCK_ROWS = 4096
+#: Rows of each source that the last flight leaves to the landing, besides its own two: 2¹⁶ choices are tried.
+LANDING = 14
 _EPS = 1e-9
 
 
@@ -45,19 +48,14 @@ def _flight(prob: list[float], size: list[float], draws: list[float]) -> list[fl
     return p
 
 
-def _land(prob: list[float], size: list[float], owed: float) -> list[float]:
-    """Landing of the last (at most two) undecided: the 0/1 choice whose words come closest to what is owed."""
-    open_ = [k for k, v in enumerate(prob) if _EPS < v < 1 - _EPS]
-    best = None
-    for code in range(1 << len(open_)):
-        pick = [code >> b & 1 for b in range(len(open_))]
-        miss = abs(sum(c * size[k] for c, k in zip(pick, open_)) - owed)
-        if best is None or miss < best[0]:
-            best = (miss, pick)
-    out = list(prob)
-    for k, c in zip(open_, best[1]):
-        out[k] = float(c)
-    return out
+def _land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Landing of the last few undecided rows (at most LANDING + 2): of all 0/1 choices the one that comes
+    closest to the words they owe, then to the documents."""
+    n = len(prob)
+    pick = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    words = np.abs(pick @ size - prob @ size)
+    rows = np.abs(pick.sum(1) - prob.sum())
+    return pick[np.argmin(words + 0.02 * size.mean() * rows)].astype(float)
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -91,17 +89,27 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.least(cap, F.col("weight") * F.lit(float(level))))
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with the keys of ``mix_sources``'s rows: ``__n_words`` and, for rows that agree in id, source and
+    number of words, ``__nth`` from 1. Only needed where ids repeat."""
+    words = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
+    same = Window.partitionBy(id_col, source_col, "__n_words").orderBy(F.xxhash64(whole_text(text_col)))
+    return docs.withColumn("__n_words", words).withColumn("__nth", F.row_number().over(same).cast("long"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often the mix takes each document: ``<id_col>, source, size, source_size, target, copies, taken``.
+    """How often the mix takes each document: ``<id_col>, source, size, nth, source_size, target, copies,
+    taken`` (``nth`` numbers rows that agree in id, source and size).
 
     Size is the number of words. Sources by code point, null last, weigh 1, 2, 3, repeating, and share all words;
     a target stops at 3 times its source's size and the excess is reshared. A document of a source with ratio
     r = target / size is taken floor(r) times and once more with probability r - floor(r); these probabilities
     are decided by the cube method, balancing words and documents of every source.
 
-    Flight runs in blocks of (source, hash of the row) of some thousand rows, larger documents first; each block
-    leaves at most two undecided rows, which meet in fewer blocks in the next round, until one block per source
-    lands its last two. So a source with a third of all rows is spread over many blocks, and rounds are few
+    Flight runs in blocks of (source, hash of the row) of some thousand rows; each block leaves at most two
+    undecided rows, which meet in fewer blocks in the next round, until one block per source is left. That one
+    keeps back 14 rows and lands them with its last two, so the words of a source come as close to the target as
+    16 documents allow. So a source with a third of all rows is spread over many blocks, and rounds are few
     (logarithm to base 2,000). Draws are hashes of the id: reruns agree.
 
     Null text has size 0; documents without words are taken 0 words. The null source is a source. Rows that
@@ -131,7 +139,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("nth") == F.col("k")) & (F.col("size") == F.col("z")),
         "left",
     ).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target",
+        F.col("id").alias(id_col), "source", "size", "nth", "source_size", "target",
         (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"),
         ((F.col("whole") + F.coalesce("extra", F.lit(0))) * F.col("size")).cast("long").alias("taken"),
     )
@@ -145,13 +153,14 @@ def _decide(rows: DataFrame) -> DataFrame:
 
     def flight(last: bool):
         def fly(block: pd.DataFrame) -> pd.DataFrame:
-            # larger documents are decided first, so that small ones are left over
-            block = block.sort_values(["size", "draw", "id", "nth"], ascending=[False, True, True, True], kind="stable")
-            size, prob = block["size"].tolist(), block["prob"].tolist()
-            p = _flight(prob, size, block["draw"].tolist())
+            block = block.sort_values(["draw", "id", "nth"], kind="stable")
+            fly_to = max(0, len(block) - LANDING) if last else len(block)
+            head = block.iloc[:fly_to]
+            p = np.array(_flight(head["prob"].tolist(), head["size"].tolist(), head["draw"].tolist()) + block["prob"].tolist()[fly_to:])
             if last:
-                owed = sum(v * s for v, s in zip(p, size) if _EPS < v < 1 - _EPS)
-                p = _land(p, size, owed)
+                left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+                if len(left):
+                    p[left] = _land(p[left], block["size"].to_numpy(float)[left])
             return block.drop(columns="block").assign(prob=p)
 
         return fly

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavekit.llm.common import whole_text
@@ -230,9 +230,16 @@ def score_quality(
     in ``keep`` are ignored, so clashing names do no harm. An empty table gives an empty table.
     """
 
+    score = quality_score(model, text_col, passage_bytes).alias("score")
+    scored = docs.select(*(F.col(f"`{c}`") for c in keep or [id_col]), score)
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def quality_score(model: AttentionMIL, text_col: str = "text", passage_bytes: int = PASSAGE_BYTES) -> Column:
+    """The score as a column."""
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(list(texts), passage_bytes))
 
-    scored = docs.select(*(F.col(f"`{c}`") for c in keep or [id_col]), score(whole_text(text_col)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(whole_text(text_col))

@@ -86,3 +86,72 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None =
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
     )
+
+
+@_register("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.pii import BASE, find_pii
+
+    found = find_pii(read_documents(spark, sf_dir))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s.base)
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s.score)), F.lit(0.0)).alias("top_score"),
+    )
+
+
+@_register("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.digest import neighbour_fingerprints
+
+    return neighbour_fingerprints(read_documents(spark, sf_dir))
+
+
+LINES_SQL = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n_lines FROM t),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
+e AS (SELECT *, CASE WHEN i = 0 OR (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 3 = 0 THEN 1 ELSE 0 END AS cut FROM h),
+c AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
+chunk AS (SELECT doc_id, k, min(i) AS start, count(*) AS n, any_value(n_lines) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS txt
+          FROM c GROUP BY doc_id, k),
+r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY txt, n >= 2 ORDER BY doc_id, start) > 1 AS gone FROM chunk)
+SELECT doc_id, CAST(any_value(n_lines) AS INTEGER) AS n_lines,
+       CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS INTEGER) AS n_removed,
+       sha256(coalesce(string_agg(txt, chr(10) ORDER BY start) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+@_register("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.lines import dedup_lines
+
+    return dedup_lines(read_documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@_register("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: confirmed licence paragraphs, their families, and what the classifier found unconfirmed."""
+    from wavekit.llm.license import scan_licences, train_licences
+
+    docs = read_documents(spark, sf_dir)
+    found = scan_licences(docs, train_licences(docs))
+    sure = F.filter("found", lambda x: x.confirmed)
+    return found.select(
+        "doc_id",
+        F.size(sure).alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x.family))), ",").alias("families"),
+        F.array_join(F.transform(sure, lambda x: F.concat_ws(":", x.paragraph.cast("string"), x.family)), ",").alias("paragraphs"),
+        (F.size("found") - F.size(sure)).alias("n_unconfirmed"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x.probability)), F.lit(0.0)).alias("top_probability"),
+    )

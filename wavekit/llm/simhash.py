@@ -39,13 +39,14 @@ def simhash64(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp) for every row; whole texts, Arrow batches."""
+    """(id, hash of the text, fp) for every row; whole texts, Arrow batches."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash64(t, shingle_words) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), fp(whole_text(text_col)).alias("fp"))
+    text = whole_text(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), fp(text).alias("fp"))
 
 
 def _signed(x: int) -> int:
@@ -107,7 +108,8 @@ def _links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate components: ``<id_col>, fp, fingerprint, component_id`` for every input row.
+    """Near-duplicate components: ``<id_col>, fp, fingerprint, component_id, component, text_key`` for every
+    input row (``component``: the component's smallest fingerprint; ``text_key``: XXH64 of the text).
 
     Words are runs of non-white space, A-Z lower-cased; shingles of three words with repeats, one shingle of all
     words for shorter texts. No words (null and empty text too): fingerprint 0, linked like any other.
@@ -127,10 +129,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = owner.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = label.groupBy("component").agg(F.min("owner").alias("component_id"))
     # written out, so that the join below can split a fingerprint that a large share of the rows has
-    by_fp = cut(label.join(smallest, "component").select("fp", "component_id"))
+    by_fp = cut(label.join(smallest, "component").select("fp", "component", "component_id"))
     return rows.join(by_fp, "fp").select(
         F.col("id").alias(id_col),
         "fp",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
+        "component",
+        "text_key",
     )
