@@ -97,10 +97,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s.base)
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in BASE),
+        *(count(kind) for kind in BASE),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s.score)), F.lit(0.0)).alias("top_score"),
@@ -155,3 +158,31 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("found") - F.size(sure)).alias("n_unconfirmed"),
         F.coalesce(F.array_max(F.transform("found", lambda x: x.probability)), F.lit(0.0)).alias("top_probability"),
     )
+
+
+SUBSTRING_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+           FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM t WHERE len(ws) >= 13)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS gone FROM win),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM t),
+f AS (SELECT w.doc_id, w.p, w.word,
+             max(CASE WHEN m.gone THEN 1 ELSE 0 END)
+               OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone
+      FROM w LEFT JOIN m ON m.doc_id = w.doc_id AND m.i = w.p),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r,
+             string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_words, CAST(coalesce(g.r, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+@_register("op2_substring_dedup", SUBSTRING_SQL)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.substring import dedup_substrings
+
+    return dedup_substrings(read_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wavekit.llm.common import connected_components, cut, whole_text
+from wavekit.llm.common import connected_components, cut, partitions_for, whole_text
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -17,6 +17,8 @@ _ONES = (1 << 64) - 1
 #: The 64 bits in three blocks: of at most three differing bits, two of the blocks hold at most two.
 _BLOCKS = ((0, 21), (21, 42), (42, 64))
 _CHUNK = 1 << 16
+#: Distinct fingerprints whose variants one task emits.
+FINGERPRINTS_A_TASK = 1 << 15
 
 
 def simhash64(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -123,8 +125,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     can have a neighbour, exactly and without pairs.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    owner = rows.groupBy("fp").agg(F.min("id").alias("owner"))
-    near = cut(_suspects(owner.select("fp")))
+    owner = cut(rows.groupBy("fp").agg(F.min("id").alias("owner")))
+    # 132 variants each: many more rows than the table that they come from, so it is dealt out first
+    parts = partitions_for(docs.sparkSession, owner.count(), FINGERPRINTS_A_TASK)
+    near = cut(_suspects(owner.select("fp").repartition(parts, "fp")))
+    parts = partitions_for(docs.sparkSession, near.count(), FINGERPRINTS_A_TASK // 4)
+    near = near.repartition(parts, "fp")
     comps = connected_components(_links(near)).withColumnRenamed("node", "fp")
     label = owner.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = label.groupBy("component").agg(F.min("owner").alias("component_id"))
