@@ -59,7 +59,7 @@ def _land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``sources(source, source_size)`` → with ``weight`` and ``target``. Sources are ranked by code point (null
+    """A table of sources with their ``source_size`` → with ``weight`` and ``target``. Sources are ranked by code point (null
     last) in range partitions with counted offsets; the water level is found by rounds of one small aggregate."""
     ranged = cut(
         sizes.withColumn("z", F.col("source").isNull())
@@ -72,10 +72,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         offset += [F.lit(pid), F.lit(before)]
         before += counts[pid]
     if not counts:
-        return sizes.select("source", "source_size", F.lit(1).alias("weight"), F.lit(0.0).alias("target"))
+        return sizes.withColumns({"weight": F.lit(1), "target": F.lit(0.0)})
     rank = F.row_number().over(Window.partitionBy("pid").orderBy("z", "source")) - 1 + F.create_map(*offset)[F.col("pid")]
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    ranked = cut(ranged.select("source", "source_size", weight.alias("weight")))
+    ranked = cut(ranged.select(*sizes.columns, weight.alias("weight")))
     cap = F.col("source_size") * float(MAX_REPEAT)
     total, w = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
     level = total / w
@@ -107,9 +107,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are decided by the cube method, balancing words and documents of every source.
 
     Flight runs in blocks of (source, hash of the row) of some thousand rows; each block leaves at most two
-    undecided rows, which meet in fewer blocks in the next round, until one block per source is left. That one
-    keeps back 14 rows and lands them with its last two, so the words of a source come as close to the target as
-    16 documents allow. So a source with a third of all rows is spread over many blocks, and rounds are few
+    undecided rows, which meet in fewer blocks in the next round, until one block per source is left. Some rows
+    wait for that one; it keeps back 14 rows of all sizes and lands them with its last two, so the words of a source
+    come as close to the target as 16 documents allow. So a source with a third of all rows is spread over many blocks, and rounds are few
     (logarithm to base 2,000). Draws are hashes of the id: reruns agree.
 
     Null text has size 0; documents without words are taken 0 words. The null source is a source. Rows that
@@ -121,7 +121,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # Repeated rows are numbered so that each has a key of its own without depending on row order.
     base = cut(base.groupBy("id", "source", "size").agg(F.count("*").alias("n")).withColumn("nth", F.explode(F.expr("sequence(1, n)"))).drop("n"))
-    targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sizes = cut(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    targets = source_targets(sizes)
     targets = targets.withColumnRenamed("source", "s")
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     draw = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.col("nth").cast("string"), F.lit("mix")), 256)
@@ -148,15 +149,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _decide(rows: DataFrame) -> DataFrame:
     """(id, source, nth, size, extra): the cube method over the rows with a fractional probability."""
     columns = ["id", "source", "nth", "size", "prob", "draw"]
-    open_ = rows.where((F.col("prob") > _EPS) & (F.col("size") > 0)).select(*columns)
+    undecided = rows.where((F.col("prob") > _EPS) & (F.col("size") > 0))
+    # some rows of each source wait for its last block, as what flights leave over are mostly large documents
+    waits = F.pmod(F.xxhash64("id", "nth", F.lit("landing")), F.col("n_docs")) < 2 * LANDING
+    held, open_ = undecided.where(waits).select(*columns), undecided.where(~waits).select(*columns)
     n, done, kind = open_.count(), [], open_.schema
 
     def flight(last: bool):
         def fly(block: pd.DataFrame) -> pd.DataFrame:
             block = block.sort_values(["draw", "id", "nth"], kind="stable")
-            fly_to = max(0, len(block) - LANDING) if last else len(block)
-            head = block.iloc[:fly_to]
-            p = np.array(_flight(head["prob"].tolist(), head["size"].tolist(), head["draw"].tolist()) + block["prob"].tolist()[fly_to:])
+            flies = np.ones(len(block), bool)
+            if last:  # rows of all sizes, from the smallest to the largest, are left to the landing
+                by_size = np.argsort(block["size"].to_numpy(), kind="stable")
+                flies[by_size[np.linspace(0, len(block) - 1, min(LANDING, len(block))).astype(int)]] = False
+            p = block["prob"].to_numpy(float).copy()
+            head = block[flies]
+            p[flies] = _flight(head["prob"].tolist(), head["size"].tolist(), head["draw"].tolist())
             if last:
                 left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
                 if len(left):
@@ -167,6 +175,8 @@ def _decide(rows: DataFrame) -> DataFrame:
 
     blocks = max(1, -(-n // BLOCK_ROWS))
     while True:
+        if blocks == 1:
+            open_ = open_.unionByName(held)
         salt = F.pmod(F.xxhash64("id", "nth", F.lit(blocks)), F.lit(blocks))
         flown = cut(
             open_.withColumn("block", salt).groupBy("source", "block")

@@ -199,8 +199,9 @@ class PieceTable:
         every = [w for t in texts for w in t]
         if not every:
             return [np.zeros(0, np.int32) for _ in texts]
-        code, distinct = pd.factorize(np.asarray(every, object))
-        ids = self._words(list(distinct))
+        number: dict[str, int] = {}  # not pandas: its tables don't tell lone surrogates apart
+        code = np.fromiter((number.setdefault(w, len(number)) for w in every), np.int64, len(every))
+        ids = self._words(list(number))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         flat = _gather(np.concatenate(ids), first[code], size[code])

@@ -129,8 +129,8 @@ class AttentionMIL:
     def scores(self, texts, passage_bytes: int) -> np.ndarray:
         out = np.empty(len(texts))
         for at, x, counts in _bags(texts, passage_bytes):
-            out[at : at + len(counts)] = self.forward(x, counts)["p"] if self.prior is None else self.prior
-        return out
+            out[at : at + len(counts)] = self.forward(x.astype(np.float64), counts)["p"] if self.prior is None else self.prior
+        return out.round(9)  # the last digits depend on what else is in the batch
 
     def gradients(self, f: dict[str, np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
         q, bag = self.params, f["bag"]
@@ -178,6 +178,7 @@ def fit_mil(x: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12
                 m2[name] = 0.999 * m2[name] + 0.001 * g * g
                 fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 m.params[name] = (m.params[name] - rate * fix * m1[name] / (np.sqrt(m2[name]) + 1e-8)).astype(np.float32)
+    m.params = {k: v.astype(np.float64) for k, v in m.params.items()}
     return m
 
 

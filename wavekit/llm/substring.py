@@ -82,8 +82,8 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sequences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of the documents of a batch: (symbols with a 0 behind every piece, its document for each symbol, place
-    of the symbol in its document). Some documents at a time; a long one in pieces that overlap by a window less
+    """Pieces of the documents of a batch: (symbols with a 0 before and behind every piece, its document for each
+    symbol, place of the symbol in its document). Some documents at a time; a long one in pieces that overlap by a window less
     one word, so that every window is in one piece."""
     data, offsets = _texts(column)
     k = 0
@@ -95,16 +95,15 @@ def _sequences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
             hashes = _long(data[offsets[k] : offsets[end]])
             for at in range(0, max(1, len(hashes) - WINDOW + 1), _PIECE):
                 part = hashes[at : at + _PIECE + WINDOW - 1]
-                yield np.append(part, _U(0)), np.full(len(part) + 1, k), np.arange(at, at + len(part) + 1)
+                yield np.concatenate([[_U(0)], part, [_U(0)]]), np.full(len(part) + 2, k), np.arange(at - 1, at + len(part) + 1)
         else:
             h, start = _some(data, offsets[k : end + 1])
             doc = np.searchsorted(offsets[k : end + 1], start + offsets[k], "right") - 1
             count = np.bincount(doc, minlength=end - k)
-            shift = np.arange(len(h)) + doc
-            symbols = np.zeros(len(h) + end - k, _U)
-            symbols[shift] = h
-            owner = np.repeat(np.arange(end - k), count + 1)
-            first = np.concatenate(([0], np.cumsum(count + 1)[:-1]))
+            symbols = np.zeros(len(h) + end - k + 1, _U)
+            symbols[np.arange(len(h)) + doc + 1] = h
+            owner = np.append(0, np.repeat(np.arange(end - k), count + 1))
+            first = np.concatenate(([1], 1 + np.cumsum(count + 1)[:-1]))
             yield symbols, owner + k, np.arange(len(symbols)) - first[owner]
         k = end
 
@@ -136,8 +135,8 @@ Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def parse(symbols: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
     """Levels of the parse: names and the stretch [lo, hi) of words each symbol depends on. Words come first, then
-    runs, then rounds of pairs. A 0 separates documents and is never merged; a symbol that depends on one has it in
-    its stretch."""
+    runs, then rounds of pairs. A 0 stands before, between and behind documents and is never merged; a symbol that
+    depends on one has it in its stretch."""
     n = len(symbols)
     place = np.arange(n)
     out: list[Level] = [(symbols, place, place + 1)]
