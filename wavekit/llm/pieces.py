@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from wavekit.llm.common import whole_text
+from pyspark.sql import types as T
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal SPACE character of the text (a lone surrogate, which no text column holds).
 _LITERAL = "\udfff"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(44)
+_COUNT = 1 << 28
 _CHUNK_CHARS = 1 << 21
-_CACHE_WORDS = 200_000
-_MATRIX = 1 << 21
+_CACHE_WORDS = 300_000
+_MATRIX = 1 << 20
 _NONE = -np.inf
 
 
@@ -55,6 +58,10 @@ class PieceTable:
                 raise ValueError("two pieces have one hash or one text")
             self.keys[n] = key[order], np.asarray(ids, np.int32)[order], np.asarray([scores[i] for i in ids], np.float64)[order]
         self.longest = max(by_length, default=1)
+        # which leading bits of a hash any key has: most substrings are no piece and stop here
+        self.filters = {n: np.zeros(1 << (64 - int(_SHIFT)), bool) for n in self.keys}
+        for n, (key, _, _) in self.keys.items():
+            self.filters[n][(key >> _SHIFT).astype(np.int64)] = True
         ordinary = [pieces[i] for ids in by_length.values() for i in ids]
         self.unknown = min((scores[i] for ids in by_length.values() for i in ids), default=0.0) - 10.0
         if any(SPACE in p.lstrip(SPACE) for p in ordinary):
@@ -71,10 +78,11 @@ class PieceTable:
         self.raw_len = np.fromiter(map(len, raw), np.int64, len(raw))
         self.raw_start = np.concatenate(([0], np.cumsum(self.raw_len)[:-1])) if raw else np.zeros(0, np.int64)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self._cache: dict[str, np.ndarray] = {}
+        self._cache: dict[str, int] = {}  # first id in _flat · _COUNT + number of ids
+        self._flat = np.zeros(0, np.int32)
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}}
+        return self.__dict__ | {"_cache": {}, "_flat": np.zeros(0, np.int32)}
 
     @classmethod
     def from_model(cls, path: str) -> PieceTable:
@@ -91,43 +99,63 @@ class PieceTable:
 
     # -- encoding ---------------------------------------------------------------------------------------------
 
-    def _viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Best segmentation of words of one length; at equal scores the longer last piece wins."""
-        pre, size, n = _prefix_hashes(_codes(words)), len(words[0]), len(words)
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each word) of the best segmentations of words of one length;
+        at equal scores the longer last piece wins. All words advance together, one character at a time."""
+        codes = _codes(words)
+        pre, size, n = _prefix_hashes(codes), len(words[0]), len(words)
         power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(self.longest + 1)]
-        best = np.full((n, size + 1), _NONE)
-        best[:, 0] = 0
-        back = np.zeros((n, size + 1), np.int32)
-        piece = np.full((n, size + 1), -1, np.int32)
+        best = np.full((size + 1, n), _NONE)
+        best[0] = 0
+        back = np.ones((size + 1, n), np.int32)
+        piece = np.full((size + 1, n), -1, np.int32)
         for end in range(1, size + 1):
-            top, length, which = np.full(n, _NONE), np.ones(n, np.int32), np.full(n, -1, np.int32)
-            for k in range(min(end, self.longest), 0, -1):
-                if k in self.keys:
-                    keys, ids, scores = self.keys[k]
-                    h = pre[:, end] - pre[:, end - k] * power[k]
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[at] == h
-                    value = np.where(hit, best[:, end - k] + scores[at], _NONE)
+            top, length, which = best[end], back[end], piece[end]
+            top[:] = best[end - 1] + self.unknown  # a character without a piece of its own
+            # from short to long: a longer piece wins at equal scores
+            for k in range(1, min(end, self.longest) + 1):
+                if k not in self.keys:
+                    continue
+                h = pre[:, end] - pre[:, end - k] * power[k]
+                maybe = np.flatnonzero(self.filters[k][(h >> _SHIFT).astype(np.int64)])
+                if not len(maybe):
+                    continue
+                keys, ids, scores = self.keys[k]
+                at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+                hit = keys[at] == h[maybe]
+                row, at = maybe[hit], at[hit]
+                value = best[end - k, row] + scores[at]
+                if k == 1:
+                    better = np.ones(len(row), bool)
                 else:
-                    hit, value = np.zeros(n, bool), np.full(n, _NONE)
-                if k == 1:  # a character without a piece of its own
-                    value = np.where(hit, value, best[:, end - 1] + self.unknown)
-                better = value > top
-                top = np.where(better, value, top)
-                length[better] = k
-                which[better] = np.where(hit, ids[at], -1)[better] if k in self.keys else -1
-            best[:, end], back[:, end], piece[:, end] = top, length, which
-        out: list[list[np.ndarray]] = [[] for _ in range(n)]
+                    better = value >= top[row]
+                row, at = row[better], at[better]
+                top[row], length[row], which[row] = value[better], k, ids[at]
         ends, rows = np.full(n, size), np.arange(n)
-        trail: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        trail = []
         while len(rows):
-            trail.append((rows, ends, piece[rows, ends]))
-            ends = ends - back[rows, ends]
+            trail.append((rows, ends, piece[ends, rows]))
+            ends = ends - back[ends, rows]
             rows, ends = rows[ends > 0], ends[ends > 0]
-        for rows, ends, which in reversed(trail):
-            for r, e, w in zip(rows.tolist(), ends.tolist(), which.tolist()):
-                out[r].extend([w] if w >= 0 else self._fallback(words[r][e - 1]))
-        return [np.asarray(x, np.int32) for x in out]
+        rows, ends, which = (np.concatenate([t[k] for t in reversed(trail)]) for k in range(3))
+        order = np.argsort(rows, kind="stable")
+        rows, ends, which = rows[order], ends[order], which[order]
+        unknown = np.flatnonzero(which < 0)
+        if not len(unknown):
+            return which, np.bincount(rows, minlength=n)
+        # characters without a piece become byte pieces
+        symbol = codes[rows[unknown], ends[unknown] - 1] - np.uint64(1)
+        distinct, back_to = np.unique(symbol, return_inverse=True)
+        spelled = [np.asarray(self._fallback(chr(int(c))), np.int32) for c in distinct]
+        count = np.ones(len(which), np.int64)
+        count[unknown] = np.array([len(x) for x in spelled])[back_to]
+        flat = np.repeat(which, count)
+        first = np.cumsum(count) - count
+        for k, ids in enumerate(spelled):
+            at = first[unknown[back_to == k]]
+            for j, i in enumerate(ids):
+                flat[at + j] = i
+        return flat, np.bincount(rows, weights=count, minlength=n).astype(np.int64)
 
     def _fallback(self, ch: str) -> list[int]:
         if self.byte_ids is None:
@@ -135,9 +163,6 @@ class PieceTable:
         raw = SPACE.encode() if ch == _LITERAL else ch.encode("utf-8", "surrogatepass")
         return self.byte_ids[list(raw)].tolist()
 
-    def _spelled(self, ids: np.ndarray) -> str:
-        return self._join(ids).decode("utf-8", "surrogatepass")
-
     def _scalar(self, word: str) -> np.ndarray:
         """The same maximum piece by piece on the text itself; used where a substring hash met a foreign key."""
         own = {self.pieces[i]: (i, s) for keys, ids, scores in self.keys.values() for i, s in zip(ids.tolist(), scores.tolist())}
@@ -158,28 +183,41 @@ class PieceTable:
             end -= k
         return np.asarray(out, np.int32)
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        found: dict[str, np.ndarray] = {}
-        new: dict[int, list[str]] = {}
-        for w in words:
-            ids = self._cache.get(w)
-            if ids is None:
-                new.setdefault(len(w), []).append(w)
-            else:
-                found[w] = ids
-        for size, group in new.items():
-            step = max(1, _MATRIX // (size + 1))
+    def _checked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_viterbi`` with the spelling of every word compared; a word whose substring hash met a foreign key
+        (none in practice) is segmented on the text itself."""
+        flat, count = self._viterbi(words)
+        if self.byte_ids is None:
+            return flat, count
+        spelled = lambda w: w.replace(SPACE, " ").replace(_LITERAL, SPACE).encode("utf-8", "surrogatepass")
+        ends = np.cumsum(count)
+        size = np.add.reduceat(self.raw_len[flat], ends - count)
+        code = _codes(words) - np.uint64(1)
+        meant = np.where(code == ord(SPACE), 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)).sum(1)
+        if np.array_equal(size, meant) and self._join(flat) == spelled("".join(words)):
+            return flat, count
+        parts = np.split(flat, ends[:-1])
+        parts = [x if self._join(x) == spelled(w) else self._scalar(w) for x, w in zip(parts, words)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) of each word in ``self._flat``, which holds the ids of the words met so far."""
+        if len(self._cache) >= _CACHE_WORDS:
+            self._cache, self._flat = {}, np.zeros(0, np.int32)
+        unmet = [w for w in words if w not in self._cache]
+        unmet.sort(key=len)
+        found, at = [self._flat], len(self._flat)
+        for size, group in groupby(unmet, len):
+            group, step = list(group), max(1, _MATRIX // (size + 1))
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                for w, ids in zip(part, self._viterbi(part)):
-                    if self.byte_ids is not None and self._spelled(ids) != w.replace(SPACE, " ").replace(_LITERAL, SPACE):
-                        ids = self._scalar(w)
-                    found[w] = ids
-                    if size <= 64:
-                        if len(self._cache) >= _CACHE_WORDS:
-                            self._cache.clear()
-                        self._cache[w] = ids
-        return [found[w] for w in words]
+                flat, count = self._checked(part)
+                found.append(flat)
+                self._cache.update(zip(part, ((at + np.cumsum(count) - count) * _COUNT + count).tolist()))
+                at += len(flat)
+        self._flat = np.concatenate(found)
+        place = np.fromiter(map(self._cache.__getitem__, words), np.int64, len(words))
+        return place // _COUNT, place % _COUNT
 
     def encode_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of whole texts, some million characters at a time."""
@@ -196,15 +234,13 @@ class PieceTable:
         return out + (self._encode_parts(held) if held else [])
 
     def _encode_parts(self, texts: list[list[str]]) -> list[np.ndarray]:
-        every = [w for t in texts for w in t]
-        if not every:
+        distinct = dict.fromkeys(chain.from_iterable(texts))
+        if not distinct:
             return [np.zeros(0, np.int32) for _ in texts]
-        number: dict[str, int] = {}  # not pandas: its tables don't tell lone surrogates apart
-        code = np.fromiter((number.setdefault(w, len(number)) for w in every), np.int64, len(every))
-        ids = self._words(list(number))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        flat = _gather(np.concatenate(ids), first[code], size[code])
+        first, size = self._words(list(distinct))
+        number = dict(zip(distinct, range(len(distinct))))
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        flat = _gather(self._flat, first[code], size[code])
         ends = np.concatenate(([0], np.cumsum(size[code])))
         cut = ends[np.concatenate(([0], np.cumsum([len(t) for t in texts])))]
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -230,26 +266,53 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.arange(total) + shift]
 
 
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of about ``most`` units at most."""
+    at, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        total += n
+        if total >= most or k == len(sizes) - 1:
+            yield at, k + 1 - at
+            at, total = k + 1, 0
+
+
+def _with(b: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, name])
+
+
 def encode_pieces(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add ``ids_col`` (array of int): the segmentation of the whole text with the largest sum of piece scores.
 
     Spaces become U+2581 and one is put before the text; characters without a piece become UTF-8 byte pieces, as
     does a literal U+2581, so that decoding gives the text back exactly. Null and empty texts have no ids. Rows,
     repeated ones too, and other columns stay; an existing ``ids_col`` is replaced. Empty tables stay empty.
+    Batches are worked on some million characters at a time.
     """
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != ids_col))
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(table.encode_batch(list(texts)), dtype=object)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n in _slices(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(), _CHUNK_CHARS):
+                part = b.slice(first, n)
+                ids = table.encode_batch([t or "" for t in part.column(at).to_pylist()])
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                yield _with(part, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())), ids_col)
 
-    return docs.withColumn(ids_col, encode(whole_text(text_col)))
+    return docs.mapInArrow(encode, T.StructType([*docs.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_pieces(df: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add ``text_col``: the text of ``ids_col`` (null or no ids: the empty text)."""
-
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series([table.decode(x) for x in ids], dtype=object)
-
-    return df.withColumn(text_col, decode(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
+    """Add ``text_col``: the text of ``ids_col`` (null or no ids: the empty text); an existing one is replaced."""
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c != text_col))
+    at = df.columns.index(ids_col)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n in _slices(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(), _CHUNK_CHARS // 4):
+                part = b.slice(first, n)
+                size = pc.fill_null(pc.list_value_length(part.column(at)), 0).to_numpy()
+                ids = np.split(part.column(at).flatten().to_numpy(zero_copy_only=False), np.cumsum(size)[:-1])
+                yield _with(part, pa.array([table.decode(x) for x in ids], pa.string()), text_col)
+
+    return df.mapInArrow(decode, T.StructType([*df.schema, T.StructField(text_col, T.StringType())]))
