@@ -126,13 +126,13 @@ def test_auc_ties_single_class_and_brute_force(spark):
     brute = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg) / (len(pos) * len(neg))
     assert auc == pytest.approx(brute)
     one = spark.createDataFrame([(1, 0.2), (1, 0.3)], "label int, prob double")
-    with pytest.raises(Exception):
-        evaluate.roc_auc(one).first()  # no negatives: AUC undefined (ANSI division by zero)
+    assert evaluate.roc_auc(one).first().auc is None  # no negatives: AUC undefined
+    both = df.withColumn("g", F.lit("two")).unionByName(one.withColumn("g", F.lit("one")))
+    got = {r.g: r.auc for r in evaluate.roc_auc(both, by=["g"]).collect()}
+    assert got["one"] is None and got["two"] == pytest.approx(brute)
 
 
 def test_distribution_tails():
-    row = lambda e: e
-    del row
     from statistics import NormalDist
 
     assert dist.z_crit(0.95) == pytest.approx(1.959963984540054)
@@ -145,7 +145,126 @@ def test_distribution_columns(spark):
     exp = [0.3173105, 0.0500435, 0.0500372, 0.0500097, 1.0]
     for (p, _), e in zip(got, exp):
         assert p == pytest.approx(e, abs=2e-6)
-    assert got[0][1] == pytest.approx(math.erfc(1 / math.sqrt(2)), abs=2e-7)
+    assert got[0][1] == pytest.approx(math.erfc(1 / math.sqrt(2)), rel=1e-12)
+
+
+def test_tails_keep_relative_accuracy(spark):
+    """Against the C library's erfc, from the middle to twenty standard deviations."""
+    xs = [k / 8 for k in range(-40, 160)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for x, r in zip(xs, df.select("x", dist.erfc("x").alias("e"), dist.two_sided_p("x").alias("p")).orderBy("x").collect()):
+        assert r.e == pytest.approx(math.erfc(x), rel=1e-9)
+        assert r.p == pytest.approx(math.erfc(abs(x) / math.sqrt(2)), rel=1e-9)
+
+
+def test_interaction_test_ignores_a_difference_in_level(spark):
+    """Exactly balanced cells: two groups with different levels and one common slope give an LR near 0; different
+    slopes reject."""
+    def rows(shift, slopes):
+        out = []
+        for g, b in enumerate(slopes):
+            for x in range(4):
+                n = 100_000
+                k = round(n / (1 + math.exp(-(-1 + shift * g + b * x))))
+                out += [(g, x, 1.0, k), (g, x, 0.0, n - k)]
+        return spark.createDataFrame(out, "g int, x int, y double, w int")
+
+    def test(shift, slopes):
+        return inference.interaction_test(rows(shift, slopes), "y", ["g", "x"], [("g", "x")], weight="w").collect()
+
+    same = test(1.5, (0.3, 0.3))
+    assert len(same) == 4 and all(r.lr_df == 1 and r.lr_stat < 0.01 and r.lr_p > 0.9 for r in same)
+    assert all(r.lr_p < 1e-10 for r in test(0.0, (0.3, 0.4)))
+
+
+def test_degradation_bands_are_of_the_absolute_drop(spark):
+    df = spark.createDataFrame([(0.9, 0.9 - d) for d in (-0.1, 0.02, 0.04, 0.07, 0.2)], "e double, o double")
+    assert [r.band for r in evaluate.degradation(df, "e", "o").collect()] == ["Excellent", "Excellent", "Good", "Moderate", "Significant"]
+
+
+def test_a_wave_that_is_added_reaches_every_output(spark, tmp_path):
+    from wavekit.operators import setops
+    from wavekit.plans.q_sources import STRING_COLS, DOUBLE_COLS, write_waves
+    from wavekit.sources import waves
+
+    kind = ("respondent_id long, wave int, form string, nicotine12 int, sex_raw int, race string, region int, "
+            "marijuana12 int, alcohol12 int, cigarette12 int, survey_weight double")
+    raw = spark.createDataFrame([(k, 1990 + 10 * (k % 4), "0012" if k % 3 else "0810", 1, 1, "a", 1, 1, 2, 3, 1.0) for k in range(24)], kind)
+    frames, _ = waves.scan_tsv_waves(spark, write_waves(raw, f"file://{tmp_path}/w"), STRING_COLS, DOUBLE_COLS)
+    assert {waves.source_name_parts(n)[0] for n in frames} == {1990, 2000, 2010, 2020}
+    assert sum(f.count() for f in frames.values()) == 24
+    coefs = spark.createDataFrame([(f"w{w}", "x", 0.1, 0.01, 1.1) for w in (1990, 2030)], "model string, variable string, beta double, p_value double, odds_ratio double")
+    assert setops.predictor_presence(coefs).first().w2030 == 2 and setops.key_pivot(coefs).first().beta_w2030 == 0.1
+
+
+def test_feature_pairs_are_walked_in_order(spark):
+    """A~B and B~C but not A~C: B goes, and C, whose only partner is gone, stays."""
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(4000):
+        a, c = r.gauss(0, 1), r.gauss(0, 1)
+        rows.append((a, a + c, c))
+    got = {x.variable: x.reason for x in correlation.select_features(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    assert got == {"a": "kept", "b": "correlated", "c": "kept"}
+
+
+def test_spearman_ranks_only_the_rows_of_a_pair(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2, 3]), r.choice([1, 2, 5]), r.choice([None, r.random(), 0.5])) for _ in range(400)]
+    got = {(x.var1, x.var2): (x.n, x.rho) for x in correlation.spearman(spark.createDataFrame(rows, "a int, b int, c double"), ["a", "b", "c"]).collect()}
+
+    def rank(v):
+        return [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+
+    for i, j, key in ((0, 1, ("a", "b")), (0, 2, ("a", "c")), (1, 2, ("b", "c"))):
+        pair = [(x[i], x[j]) for x in rows if x[i] is not None and x[j] is not None]
+        a, b = rank([p[0] for p in pair]), rank([p[1] for p in pair])
+        ma, mb = sum(a) / len(a), sum(b) / len(b)
+        rho = sum((x - ma) * (y - mb) for x, y in zip(a, b)) / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
+        assert got[key][0] == len(pair) and got[key][1] == pytest.approx(rho)
+
+
+def test_column_quantiles_modes_and_distinct_counts(spark):
+    rows = [(1, 1.5, "x"), (1, None, "y"), (2, 2.5, None), (4, 2.5, "x"), (None, 7.0, "z")]
+    df = spark.createDataFrame(rows, "a int, b double, c string")
+    counts = profile.column_counts(df, ["a", "b"])
+    q = {(r.variable, r.prob): r.value for r in profile.column_quantiles(counts, [0.25, 0.5]).collect()}
+    assert q == {("a", 0.25): 1.0, ("a", 0.5): 1.5, ("b", 0.25): 2.25, ("b", 0.5): 2.5}
+    assert {r.variable: r.mode for r in profile.column_modes(counts).collect()} == {"a": 1.0, "b": 2.5}
+    assert {r.variable: r.n_distinct for r in profile.distinct_counts(df, ["a", "b", "c"]).collect()} == {"a": 3, "b": 3, "c": 3}
+    assert impute.impute_fit(df, ["a", "c"], "most_frequent").first().asDict() == {"a": 1, "c": "x"}
+    assert profile.column_medians(df.where("false"), ["a"]).first().a is None
+
+
+def test_buckets_grow_with_the_rows(monkeypatch, spark):
+    monkeypatch.setattr(split, "BUCKET_ROWS", 1)
+    df = spark.range(16**3 + 1).withColumn("s", F.lit(1))
+    assert split._digits(df) == 4
+    assert split.split_stratified(df, "id", ["s"], 0.25).groupBy("split").count().where("split = 'test'").first()["count"] == 1024
+
+
+def test_no_checkpoint_folder_of_its_own_on_a_cluster():
+    from wavekit.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext = Context
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        ensure_checkpoint_dir(Session)
 
 
 def test_logit_cells_equal_rows(spark):

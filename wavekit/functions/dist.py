@@ -11,10 +11,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed constants of the Abramowitz–Stegun 7.1.26 approximation to erfc (|error| < 1.5e-7).
-AS_P = 0.3275911
-AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-
 SQRT2 = math.sqrt(2.0)
 SQRT_PI = math.sqrt(math.pi)
 
@@ -24,13 +20,20 @@ def _c(x) -> Column:
 
 
 def erfc(x) -> Column:
-    """erfc for any real x; uses erfc(-x) = 2 - erfc(x)."""
-    x = _c(x)
+    """erfc for any real x with relative accuracy in the tail: the power series of erf below 2.5, the continued
+    fraction x + (1/2)/(x + (2/2)/(x + ...)) beyond (backward from the 60th term); erfc(-x) = 2 - erfc(x)."""
+    x = _c(x).cast("double")
     ax = F.abs(x)
-    t = 1.0 / (1.0 + AS_P * ax)
-    a1, a2, a3, a4, a5 = AS_A
-    poly = t * (a1 + t * (a2 + t * (a3 + t * (a4 + t * a5))))
-    pos = poly * F.exp(-ax * ax)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("t")),
+        lambda acc, n: F.struct(
+            (acc["s"] - acc["t"] * ax * ax / n / (2 * n + 1)).alias("s"),
+            (-acc["t"] * ax * ax / n).alias("t"),
+        ),
+    )["s"]
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), ax, lambda f, k: ax + k / 2.0 / f)
+    pos = F.when(ax < 2.5, 1.0 - 2.0 / SQRT_PI * ax * series).otherwise(F.exp(-ax * ax) / SQRT_PI / fraction)
     return F.when(x.isNull(), None).when(x >= 0, pos).otherwise(2.0 - pos)
 
 

@@ -122,7 +122,7 @@ def attr_pairwise(pair_phi: DataFrame, meta: DataFrame | None = None, n_rows: Da
     if meta is not None:
         m1 = meta.select(F.col("slot").alias("f1"), F.col("base_feature").alias("__b1"))
         m2 = meta.select(F.col("slot").alias("f2"), F.col("base_feature").alias("__b2"))
-        x = x.join(F.broadcast(m1), "f1").join(F.broadcast(m2), "f2")
+        x = x.join(m1, "f1").join(m2, "f2")
     else:
         x = x.withColumn("__b1", F.col("f1")).withColumn("__b2", F.col("f2"))
     x = x.where(F.col("__b1") != F.col("__b2"))
@@ -195,40 +195,41 @@ def local_explain(phi: DataFrame, id_col: str, row_id) -> DataFrame:
     return one.withColumn("position", F.row_number().over(w))
 
 
-def pdp(df: DataFrame, feature: str, values: DataFrame, predict: Predict, max_values: int = 10_000) -> DataFrame:
-    """Mean prediction with ``feature`` set to each value of ``values`` (column ``value``): each row is
-    exploded over the value grid (levels or grid points: a bounded list, checked) → predict →
-    groupBy(value).avg with map-side partial aggregation."""
-    grid_values = [r[0] for r in values.select("value").distinct().take(max_values + 1)]
-    if len(grid_values) > max_values:
-        raise ValueError(f"more than {max_values} PDP values: use a grid or quantiles")
-    dtype = values.schema["value"].dataType
-    arr = F.array(*[F.lit(v).cast(dtype) for v in grid_values])
-    grid = df.drop(feature).select("*", F.explode(arr).alias("value"))
+def pdp(df: DataFrame, feature: str, values: DataFrame, predict: Predict, inputs: Sequence[str] | None = None) -> DataFrame:
+    """Mean prediction with ``feature`` set to each value of ``values`` (column ``value``). The rows are first
+    collapsed to the cells of the other columns that the prediction reads (``inputs``; default: all columns) with
+    their counts; each cell then meets every value of the grid, which travels as one array, and the predictions
+    are averaged by count."""
+    others = [c for c in (inputs or df.columns) if c != feature]
+    cells = df.groupBy(*others).agg(F.count(F.lit(1)).alias("__n"))
+    grid = attach(cells, values.agg(F.collect_set("value").alias("__v"))).withColumn("value", F.explode("__v")).drop("__v")
     scored = predict(grid.withColumn(feature, F.col("value")))
-    return scored.groupBy("value").agg(F.avg("prob").alias("mean_prediction"), F.count(F.lit(1)).alias("n"))
+    return scored.groupBy("value").agg(
+        (F.sum(F.col("prob") * F.col("__n")) / F.sum("__n")).alias("mean_prediction"), F.sum("__n").alias("n")
+    )
 
 
-def pdp_discrete(df: DataFrame, feature: str, predict: Predict) -> DataFrame:
+def pdp_discrete(df: DataFrame, feature: str, predict: Predict, inputs: Sequence[str] | None = None) -> DataFrame:
     """PDP over the observed levels of a discrete feature."""
     levels = df.select(F.col(feature).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return pdp(df, feature, levels, predict)
+    return pdp(df, feature, levels, predict, inputs)
 
 
 def pdp_grid(df: DataFrame, feature: str, predict: Predict, n_points: int | None = None,
-             quantiles: Sequence[float] | None = None) -> DataFrame:
+             quantiles: Sequence[float] | None = None, inputs: Sequence[str] | None = None) -> DataFrame:
     """PDP over an equal-width grid of n points between min and max, or over exact quantiles."""
     x = F.col(feature).cast("double")
     if quantiles is not None:
-        arr = F.array(*[F.lit(float(q)) for q in quantiles])
-        values = df.agg(F.percentile(x, arr).alias("__q")).select(F.explode("__q").alias("value"))
+        from wavekit.operators import profile
+
+        values = profile.quantiles(df, feature, quantiles).select("value")
     else:
         rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
         n = n_points or 20
         values = rng.select(
             F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "lo", "hi"
         ).select((F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (n - 1)).alias("value"))
-    return pdp(df, feature, values.distinct(), predict)
+    return pdp(df, feature, values.distinct(), predict, inputs)
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], predict: Predict, id_col: str, label: str = "label",

@@ -1,10 +1,9 @@
 """Pairwise-complete correlation: Pearson, Spearman (average ranks) and Kendall τ-b.
 
-All pairs are stacked into one long table (pair, a, b) so a single ``groupBy(pair, a, b)`` collapses
-the data to value cells with map-side partial aggregation. Ranks and τ are then computed from the
-cells, whose size is bounded by the product of the two columns' level counts (coded survey items:
-tens of cells). Columns with very many distinct values should be binned first; ``max_cells`` guards
-the Kendall self-join.
+Pearson is one wide aggregate. Spearman ranks each column once over its distinct values (again only for pairs
+with a column that has nulls) and is one wide aggregate of the joined ranks. Kendall collapses every pair to
+value cells, whose number is bounded by the product of the two columns' level counts (coded survey items:
+tens of cells), and sweeps them; columns with very many distinct values should be binned first.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavekit.operators.profile import distinct_counts
+
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     cols = list(cols)
@@ -57,32 +58,55 @@ def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def _avg_ranks(cells: DataFrame, side: str) -> DataFrame:
-    """Average rank of each distinct value of ``side`` within its pair: n_below + (m + 1)/2, with n_below from
-    per-pair bucketed cumulative counts (no single-task window per pair)."""
+def conditional_ranks(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]:
+    """``df`` with the average ranks of every column: one rank column for all its values, and one more for each
+    other column that has nulls (the rank among rows where that one is present too). Returns the frame and
+    {(column, other): rank column}.
+
+    Ranks are made once per distinct value: one stacked, partially aggregated group-by counts each value, in all
+    rows and in those where each null-bearing column is present; bucketed cumulative counts turn counts into
+    ranks; a join by value brings each column's ranks to its rows. Rows are never multiplied by pairs."""
     from wavekit.operators.evaluate import cumulative_counts
+    from wavekit.session import ensure_checkpoint_dir
 
-    marg = cells.groupBy("var1", "var2", side).agg(F.sum("n").alias("__m"))
-    cum = cumulative_counts(marg, side, ["__m"], by=["var1", "var2"])
-    return cum.select("var1", "var2", side, (F.col("__m_before") + (F.col("__m") + 1) / 2.0).alias(f"rank_{side}"))
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = list(cols)
+    num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    nulls = num.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"c{i}") for i in range(len(cols))]).first()
+    holes = [i for i in range(len(cols)) if nulls[f"c{i}"]]
+    values = F.array(*[F.struct(F.lit(i).alias("j"), F.col(f"c{i}").alias("v")) for i in range(len(cols))])
+    present = [F.col(f"c{i}").isNotNull().cast("long").alias(f"p{i}") for i in holes]
+    stacked = num.select(F.explode(values).alias("s"), *present).where("s.v is not null")
+    counts = stacked.groupBy(F.col("s.j").alias("j"), F.col("s.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"p{i}").alias(f"n{i}") for i in holes]
+    ).checkpoint()
+    names = ["n", *[f"n{i}" for i in holes]]
+    ranks = cumulative_counts(counts, "v", names, by=["j"]).select(
+        "j", "v", *[(F.col(f"{k}_before") + (F.col(k) + 1) / 2.0).alias(f"r_{k}") for k in names]
+    ).checkpoint()
+    out, where = num, {}
+    for i, c in enumerate(cols):
+        mine = [k for k in names if k != f"n{i}"]
+        own = ranks.where(F.col("j") == i).select(F.col("v").alias(f"v{i}"), *[F.col(f"r_{k}").alias(f"r{i}_{k}") for k in mine])
+        out = out.join(own, F.col(f"c{i}") == F.col(f"v{i}"), "left").drop(f"v{i}")
+        for o, other in enumerate(cols):
+            where[c, other] = f"r{i}_n{o}" if o in holes else f"r{i}_n"
+    return out, where
 
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(var1, var2, n, rho): Pearson on average ranks computed per pair over its complete rows."""
-    # value cells are bounded by distinct value pairs: materialise once (reliable checkpoint) instead of
-    # re-deriving them from the rows in every branch below
-    cells = pair_cells(df, cols).checkpoint()
-    ranked = cells.join(_avg_ranks(cells, "a"), ["var1", "var2", "a"]).join(_avg_ranks(cells, "b"), ["var1", "var2", "b"])
-    n, x, y = F.col("n"), F.col("rank_a"), F.col("rank_b")
-    g = ranked.groupBy("var1", "var2").agg(
-        F.sum(n).alias("N"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * x).alias("sxx"),
-        F.sum(n * y * y).alias("syy"), F.sum(n * x * y).alias("sxy"),
-    )
-    N = F.col("N")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / N
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / N
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / N
-    return g.select("var1", "var2", N.alias("n"), (cov / F.sqrt(vx * vy)).alias("rho"))
+    """(var1, var2, n, rho): Pearson on average ranks over each pair's complete rows, in one wide aggregate."""
+    ranked, where = conditional_ranks(df, cols)
+    aggs, pairs = [], _pairs(cols)
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(where[a, b]), F.col(where[b, a])
+        both = x.isNotNull() & y.isNotNull()
+        aggs += [F.count_if(both).alias(f"n{i}"), F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}")]
+    row = ranked.agg(*aggs)
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("rho"))
+        for i, (a, b) in enumerate(pairs)
+    ]))).where("n > 0")
 
 
 def _concordance(pdf):
@@ -172,27 +196,19 @@ def corr_pairs(corr: DataFrame, value: str = "rho", lo: float = 0.5, hi: float =
 def select_features(df: DataFrame, cols: Sequence[str], max_missing: float = 0.70, max_abs_corr: float = 0.5,
                     leakage: Sequence[str] = ()) -> DataFrame:
     """Data-driven drop list: missing share > max_missing, zero variance (< 2 distinct values), named leakage,
-    and for each pair with |Spearman ρ| > max_abs_corr the later column of the pair. (variable, keep, reason)."""
+    and, walking the pairs with |Spearman ρ| > max_abs_corr in order, the later column of each pair whose earlier one
+    is still in. (variable, keep, reason)."""
     cols = list(cols)
-    prof = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in cols],
-        *[F.count_distinct(c).alias(f"d_{c}") for c in cols],
-    )
-    base = prof.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("variable"), F.lit(i).alias("position"),
-                             (F.col(f"m_{c}") / F.col("__n")).alias("missing_share"), F.col(f"d_{c}").alias("n_distinct"))
-                    for i, c in enumerate(cols)
-                ]
-            )
-        )
-    )
-    strong = spearman(df, cols).where(F.abs(F.col("rho")) > max_abs_corr).select(F.col("var2").alias("variable")).distinct()
-    strong = strong.withColumn("__corr", F.lit(True))
-    out = base.join(strong, "variable", "left")
+    missing = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    shares = missing.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), (F.col(c) / F.col("__n")).alias("missing_share")) for c in cols])))
+    base = distinct_counts(df, cols).join(shares, "variable").select("variable", "position", "missing_share", "n_distinct")
+    # the pairs are walked in column order: a column that is out already takes no other one with it
+    strong = {(r.var1, r.var2) for r in spearman(df, cols).where(F.abs(F.col("rho")) > max_abs_corr).collect()}  # columns²/2 at most
+    out_already: set[str] = set()
+    for i, a in enumerate(cols):
+        if a not in out_already:
+            out_already |= {b for b in cols[i + 1:] if (a, b) in strong}
+    out = base.withColumn("__corr", F.col("variable").isin(sorted(out_already) or [""]))
     reason = (
         F.when(F.col("variable").isin(list(leakage) or [""]), "leakage")
         .when(F.col("missing_share") > max_missing, "missing")

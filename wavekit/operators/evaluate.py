@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavekit.functions.scalars import attach
 
-SMALL_GROUP = 200_000  # distinct keys per group that one window task handles without bucketing
+
+#: Upper limits of the drop in AUC and their names.
+BANDS = ((0.03, "Excellent"), (0.05, "Good"), (0.10, "Moderate"), (None, "Significant"))
 
 
 def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets: int | None = None,
@@ -36,15 +38,6 @@ def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets:
     spark = counts.sparkSession
     nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     k = F.col(key).cast("double")
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    if by:
-        # groups whose distinct keys fit one task comfortably need no bucketing (checked, not assumed)
-        largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        if largest <= SMALL_GROUP:
-            w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-            return counts.select(
-                *counts.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in cols]
-            )
     keyed = counts.withColumn("__k", k)
     probs = [i / nb for i in range(1, nb)]
     if not by:
@@ -88,6 +81,12 @@ def score_counts(df: DataFrame, label: str, score: str, weight: str | None = Non
     )
 
 
+def _auc() -> Column:
+    """Null where a group has one class only."""
+    pairs = F.sum("pos") * F.sum("neg")
+    return F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))) / F.when(pairs > 0, pairs)
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequence[str] = ()) -> DataFrame:
     """Mann–Whitney AUC with ties counted ½: Σ pos(s)·(neg below s + ½·neg(s)) / (P·N). One row (per group)."""
     if by:
@@ -100,14 +99,14 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequen
         )
         cum = cumulative_counts(counts, "score", ["neg"], by=list(by))
         return cum.groupBy(*by).agg(
-            (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+            _auc().alias("auc"),
             F.sum("pos").cast("long").alias("n_pos"),
             F.sum("neg").cast("long").alias("n_neg"),
         )
     counts = score_counts(df, label, score)
     cum = cumulative_counts(counts, "score", ["neg"])
     return cum.agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        _auc().alias("auc"),
         F.sum("pos").cast("long").alias("n_pos"),
         F.sum("neg").cast("long").alias("n_neg"),
     )
@@ -187,10 +186,13 @@ def brier(df: DataFrame, label: str = "label", score: str = "prob") -> DataFrame
 
 
 def calibration_curve(df: DataFrame, label: str = "label", score: str = "prob", n_bins: int = 10) -> DataFrame:
-    """Quantile bins (edges = exact percentiles of the score); bin id = number of inner edges below the score;
+    """Quantile bins (edges = exact quantiles of the score); bin id = number of inner edges below the score;
     per non-empty bin: mean predicted, observed share, n."""
     inner = [i / n_bins for i in range(1, n_bins)]
-    edges = df.agg(F.percentile(F.col(score), F.array(*[F.lit(p) for p in inner])).alias("__e"))
+    from wavekit.operators.profile import quantiles
+
+    # as many values as there are inner edges
+    edges = quantiles(df, score, inner).agg(F.array_sort(F.collect_list("value")).alias("__e"))
     binned = attach(df, edges).withColumn(
         "bin", F.size(F.filter(F.col("__e"), lambda e: e < F.col(score))).cast("int")
     )
@@ -201,13 +203,9 @@ def calibration_curve(df: DataFrame, label: str = "label", score: str = "prob",
 
 
 def degradation(df: DataFrame, expected: str, observed: str) -> DataFrame:
-    """Expected − observed score, in % of expected, with a verbal band."""
+    """Expected − observed score, also in % of expected, with the verbal band of the absolute drop."""
     d = F.col(expected) - F.col(observed)
-    pct = 100 * d / F.col(expected)
-    return df.withColumns(
-        {
-            "degradation": d,
-            "degradation_pct": pct,
-            "band": F.when(pct < 2, "minimal").when(pct < 5, "small").when(pct < 10, "moderate").otherwise("substantial"),
-        }
-    )
+    band = F.lit(BANDS[-1][1])
+    for limit, name in reversed(BANDS[:-1]):
+        band = F.when(d < limit, name).otherwise(band)
+    return df.withColumns({"degradation": d, "degradation_pct": 100 * d / F.col(expected), "band": band})

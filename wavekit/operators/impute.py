@@ -1,7 +1,6 @@
 """Simple and multiple imputation.
 
-``impute_fit`` is one aggregate over the training rows (exact median via ``percentile``, mean,
-deterministic mode, or a constant) returning a one-row parameter table; ``impute_apply`` is a
+``impute_fit`` fits on the training rows (exact median and mode from stacked value counts, mean, or a constant) returning a one-row parameter table; ``impute_apply`` is a
 ``coalesce`` against that broadcast row. ``mice`` runs chained equations as Spark ML regressions
 (one distributed fit per column per sweep, all M chains in one table keyed by ``imp``) and
 cuts lineage with a reliable ``checkpoint`` after each sweep.
@@ -10,6 +9,7 @@ cuts lineage with a reliable ``checkpoint`` after each sweep.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +17,21 @@ from pyspark.sql import types as T
 
 from wavekit.functions.hashing import hash_uniform
 from wavekit.functions.scalars import attach
+from wavekit.operators.profile import column_counts, column_medians, column_modes
+from wavekit.operators.recode import NUMERIC
 
 
 def impute_fit(train: DataFrame, cols: Sequence[str], strategy: str = "median", fill_value=None) -> DataFrame:
-    """One-row table of fill values fitted on ``train``."""
+    """One-row table of fill values fitted on ``train`` (medians and modes from stacked value counts)."""
+    if strategy == "median":
+        return column_medians(train, cols)
+    if strategy == "most_frequent":
+        return _modes(train, cols)
     aggs = []
     for c in cols:
         x = F.col(c)
-        if strategy == "median":
-            e = F.percentile(x.cast("double"), 0.5)
-        elif strategy == "mean":
+        if strategy == "mean":
             e = F.avg(x)
-        elif strategy == "most_frequent":
-            e = F.mode(x, deterministic=True)
         elif strategy == "constant":
             e = F.lit(fill_value)
         else:
@@ -38,6 +40,19 @@ def impute_fit(train: DataFrame, cols: Sequence[str], strategy: str = "median",
     return train.agg(*aggs)
 
 
+def _modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with the most frequent value of every column (the smallest of several), in the column's type."""
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC)]
+    parts = []
+    if numeric:
+        found = column_modes(column_counts(df, numeric))
+        parts.append(found.agg(*[F.max(F.when(F.col("variable") == c, F.col("mode"))).cast(df.schema[c].dataType).alias(c) for c in numeric]))
+    for c in (c for c in cols if c not in numeric):
+        n = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+        parts.append(n.agg(F.min_by(c, F.struct(-F.col("__n"), F.col(c))).alias(c)))
+    return reduce(attach, parts).select(*cols)
+
+
 def impute_apply(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL cells take the fitted value (params is the one-row table from ``impute_fit``)."""
     p = params.select(*[F.col(c).alias(f"__fill_{c}") for c in cols])
@@ -59,7 +74,7 @@ def impute_simple(train: DataFrame, test: DataFrame | None, cols: Sequence[str],
 def imputed_stack(df: DataFrame, cols: Sequence[str], m: int = 5, imp_col: str = "imp") -> DataFrame:
     """Deterministic family of M completed copies in one table: a NULL cell of copy i takes the column's
     median plus (i mod 2). Rows × M are produced by a narrow explode; stats are one aggregate."""
-    med = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])
+    med = column_medians(df, cols)
     imps = F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)
     out = attach(df.select("*", imps), med.select(*[F.col(c).alias(f"__med_{c}") for c in cols]))
     for c in cols:
@@ -105,11 +120,8 @@ def mice(
     ensure_checkpoint_dir(df.sparkSession)
     targets, predictors = list(targets), list(predictors)
     cols = list(dict.fromkeys(targets + predictors))
-    stats = df.agg(
-        *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"__med_{c}") for c in targets],
-        *[F.min(c).alias(f"__min_{c}") for c in targets],
-        *[F.max(c).alias(f"__max_{c}") for c in targets],
-    )
+    stats = df.agg(*[F.min(c).alias(f"__min_{c}") for c in targets], *[F.max(c).alias(f"__max_{c}") for c in targets])
+    stats = attach(stats, column_medians(df, targets).select(*[F.col(c).alias(f"__med_{c}") for c in targets]))
     base = df.select(id_col, *cols, *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets])
     stack = attach(base.select("*", F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)), stats)
     for c in targets:
@@ -143,8 +155,6 @@ def mice(
                                             F.col(f"{c}__sd").alias("sd")) for c in targets])),
             )
         )
-    from functools import reduce
-
     trace = reduce(DataFrame.unionByName, traces)
     keep = [id_col, imp_col] + cols
     out = stack.select(*keep)

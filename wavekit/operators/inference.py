@@ -32,6 +32,23 @@ def lr_between(full_ll, reduced_ll, df) -> dict:
     return {"lr_stat": stat, "lr_df": df, "lr_p": dist.chi2_sf(stat, df)}
 
 
+def interaction_test(df: DataFrame, y: str, main: Sequence[str], products: Sequence[tuple[str, str]],
+                     weight: str | None = None, model: str = "interaction") -> DataFrame:
+    """Do the effects of some predictors differ by group? Both models hold all main effects (the group's too); the
+    full one adds the products. Coefficients of the full model with the LR test of the products beside them:
+    df = number of products. A plain difference in level does not reject."""
+    from wavekit.operators.models import logit
+
+    names = [f"{a}_x_{b}" for a, b in products]
+    need = list(dict.fromkeys([*main, *(c for p in products for c in p)]))
+    rows = df.dropna(subset=need).withColumns({n: F.col(a) * F.col(b) for n, (a, b) in zip(names, products)})
+    reduced = logit(rows, y, list(main), weight=weight, model=f"{model}_main")
+    full = logit(rows, y, [*main, *names], weight=weight, model=model)
+    both = attach(full.stats.select(F.col("loglik").alias("f")), reduced.stats.select(F.col("loglik").alias("r")))
+    lr = both.select(*[c.alias(k) for k, c in lr_between(F.col("f"), F.col("r"), F.lit(len(names))).items()])
+    return attach(full.coefficients, lr)
+
+
 def chow_test(pooled: DataFrame, pre: DataFrame, post: DataFrame, k_predictors: int, compat: bool = False) -> DataFrame:
     """Chow-type LR test of a structural break: −2(logL_pooled − logL_pre − logL_post).
 

@@ -13,40 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavekit.functions.scalars import attach
+from wavekit.operators.profile import column_medians, distinct_counts
 from wavekit.operators.recode import NUMERIC
 
 
 def infer_feature_types(df: DataFrame, cols: Sequence[str], max_levels: int = 20) -> DataFrame:
     """variable, n_distinct (exact), kind: string/bool columns or ≤ ``max_levels`` distinct values are categorical.
 
-    One aggregate with an exact ``count_distinct`` per column.
+    One stacked group-by for all columns.
     """
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols])
-    structs = []
-    for c in cols:
-        dt = df.schema[c].dataType
-        is_num = isinstance(dt, NUMERIC) and not isinstance(dt, T.BooleanType)
-        kind = (
-            F.when(F.col(c) <= max_levels, "categorical").otherwise("numeric") if is_num else F.lit("categorical")
-        )
-        structs.append(F.struct(F.lit(c).alias("variable"), F.col(c).alias("n_distinct"), kind.alias("kind")))
-    return row.select(F.inline(F.array(*structs)))
+    is_num = lambda c: isinstance(df.schema[c].dataType, NUMERIC) and not isinstance(df.schema[c].dataType, T.BooleanType)
+    numeric = F.col("variable").isin([c for c in cols if is_num(c)]) & (F.col("n_distinct") > max_levels)
+    kind = F.when(numeric, "numeric").otherwise("categorical")
+    return distinct_counts(df, cols).select("variable", "n_distinct", kind.alias("kind"))
 
 
 def varying_columns(df: DataFrame, ordered_cols: Sequence[str], k: int = 10) -> DataFrame:
     """Features with ≥ 2 distinct non-null values, kept in the given (importance) order, first ``k``."""
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in ordered_cols])
-    long = row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("variable"), F.lit(i).alias("position"), F.col(c).alias("n_distinct"))
-                    for i, c in enumerate(ordered_cols)
-                ]
-            )
-        )
-    )
-    return long.where(F.col("n_distinct") >= 2).orderBy("position").limit(k)
+    return distinct_counts(df, ordered_cols).where(F.col("n_distinct") >= 2).orderBy("position").limit(k)
 
 
 def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 0, with_mean: bool = True, stats_from: DataFrame | None = None,
@@ -112,14 +96,14 @@ def preprocess_pipeline(train: DataFrame, numeric: Sequence[str], categorical: S
     from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 
     numeric, categorical = list(numeric), list(categorical)
+    medians = column_medians(train, numeric).first()
     stats = train.agg(
-        *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"med_{c}") for c in numeric],
         *[F.avg(F.col(c)).alias(f"mean_{c}") for c in numeric],
         *[F.stddev_pop(F.col(c)).alias(f"sd_{c}") for c in numeric],
     ).first()
     exprs = []
     for c in numeric:
-        med, mean, sd = stats[f"med_{c}"], stats[f"mean_{c}"], stats[f"sd_{c}"] or 1.0
+        med, mean, sd = medians[c], stats[f"mean_{c}"], stats[f"sd_{c}"] or 1.0
         # fill from the exact train median, then centre/scale with the train mean and population sd
         exprs.append(f"(coalesce(CAST({c} AS DOUBLE), {med!r}) - {mean!r}) / {sd!r} AS __num_{c}")
     sql = "SELECT *" + "".join(f", {e}" for e in exprs) + " FROM __THIS__"

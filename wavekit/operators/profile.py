@@ -8,12 +8,14 @@ long table. Grouped profiles shuffle only the partial aggregates of their (few)
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavekit.functions.scalars import attach
 from wavekit.operators.recode import numeric_columns
+from wavekit.session import ensure_checkpoint_dir
 
 
 def _long(row_df: DataFrame, entries: list[Column]) -> DataFrame:
@@ -25,16 +27,19 @@ def frequency_table(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFram
     """Per group: value (NULL kept as its own row), n, percent of the group."""
     by = list(by)
     counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    # the window runs over the aggregated (group, value) rows only
-    return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(w))
+    total = counts.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(F.sum("n").alias("__t"))
+    if not by:
+        return attach(counts, total).withColumn("percent", 100.0 * F.col("n") / F.col("__t")).drop("__t")
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
+    return counts.join(total, same).select(*counts.columns, (100.0 * F.col("n") / F.col("__t")).alias("percent"))
 
 
 def value_counts(df: DataFrame, col: str, normalize: bool = False, top: int | None = None) -> DataFrame:
     """Counts (or shares) per value, largest first, value as tie key; optional top-k."""
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+        total = out.agg(F.sum("n").alias("__t"))
+        out = attach(out, total).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
     if top is not None:
         out = out.orderBy(F.desc("n"), F.asc_nulls_last(col)).limit(top)
     return out
@@ -55,49 +60,64 @@ def dataset_summary(df: DataFrame, by: str, categorical: Sequence[str] | None =
     )
 
 
-def column_profile(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """describe() + distinct count per column in one aggregate: count, mean, std (ddof 1), min, q25,
-    median, q75, max, n_distinct.
-
-    Exact quartiles use ``percentile`` (state = map of distinct values, small for coded survey
-    items); ``approx=True`` switches to ``percentile_approx`` for high-cardinality columns.
-    """
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = (
-            F.percentile_approx(x, [0.25, 0.5, 0.75], 100000)
-            if approx
-            else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        )
-        aggs += [
-            F.count(x).alias(f"{c}__count"),
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev_samp(x).alias(f"{c}__std"),
-            F.min(x).alias(f"{c}__min"),
-            q.alias(f"{c}__q"),
-            F.max(x).alias(f"{c}__max"),
-            F.count_distinct(x).alias(f"{c}__nd"),
-        ]
-    row = df.agg(*aggs)
-    return _long(
-        row,
-        [
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.col(f"{c}__count").alias("count"),
-                F.col(f"{c}__mean").alias("mean"),
-                F.col(f"{c}__std").alias("std"),
-                F.col(f"{c}__min").alias("min"),
-                F.col(f"{c}__q")[0].alias("q25"),
-                F.col(f"{c}__q")[1].alias("median"),
-                F.col(f"{c}__q")[2].alias("q75"),
-                F.col(f"{c}__max").alias("max"),
-                F.col(f"{c}__nd").alias("n_distinct"),
-            )
-            for c in cols
-        ],
-    )
+def column_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, variable, value, n): how often each numeric column has each value (null: none). All columns are
+    stacked into one partially aggregated group-by; the result is written to the checkpoint folder, as what is
+    derived from it (quantiles, distinct counts, modes) reads it several times."""
+    values = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
+    stacked = df.select(*by, F.explode(values).alias("__s")).select(*by, "__s.variable", "__s.value")
+    counts = stacked.where("value is not null").groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    return counts.checkpoint()
+
+
+def column_quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, variable, prob, value): exact quantiles of every column of a ``column_counts`` table."""
+    keys = [*by, "variable"]
+    return _quantiles(counts.select(*keys, F.col("value").alias("__v"), F.col("n").alias("__c")), probs, keys)
+
+
+def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with the exact median of every column."""
+    q = column_quantiles(column_counts(df, cols), [0.5])
+    return q.agg(*[F.max(F.when(F.col("variable") == c, F.col("value"))).alias(c) for c in cols])
+
+
+def column_modes(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, variable, mode): the most frequent value, the smallest of several."""
+    best = F.max(F.struct("n", (-F.col("value")).alias("v")))
+    return counts.groupBy(*by, "variable").agg(best.alias("__b")).select(*by, "variable", (-F.col("__b.v")).alias("mode"))
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(variable, position, n_distinct) of columns of any type: one stacked group-by, then a count; columns without
+    a value have 0."""
+    values = F.array(*[F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)])
+    stacked = df.select(F.explode(values).alias("__s")).select("__s.position", "__s.value").where("value is not null")
+    n = stacked.distinct().groupBy("position").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "position int, variable string")
+    return names.join(n, "position", "left").select("variable", "position", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
+
+
+def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """describe() + distinct count per column: count, mean, std (ddof 1), min, q25, median, q75, max, n_distinct.
+    Moments come from one wide aggregate, exact quartiles and distinct counts from the column counts."""
+    row = df.agg(*[
+        f(F.col(c).cast("double")).alias(f"{c}__{k}")
+        for c in cols
+        for k, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+    ])
+    moments = _long(row, [
+        F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{k}").alias(k) for k in ("count", "mean", "std", "min", "max")]) for c in cols
+    ])
+    counts = column_counts(df, cols)
+    q = column_quantiles(counts, [0.25, 0.5, 0.75]).groupBy("variable").agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(k) for p, k in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))
+    ])
+    nd = counts.groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"))
+    out = moments.join(q, "variable", "left").join(nd, "variable", "left")
+    names = ("variable", "count", "mean", "std", "min", "q25", "median", "q75", "max")
+    return out.select(*names, F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
 
 
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -177,21 +197,21 @@ def suppress_small_cells(df: DataFrame, n_col: str, cols: Sequence[str], min_n:
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles, one row per probability: with pos = (n − 1)·p, k = ⌊pos⌋, d = pos − k, the value is
-    lo·(1 − d) + hi·d between the k-th and (k+1)-th order statistics (the SQL ``quantile_cont`` form). The
-    sum is one fused multiply-add, fma(lo, 1 − d, hi·d) (``java.lang.Math.fma`` through the built-in
-    ``reflect``, on the small per-(group, prob) result only), which is how compiled SQL engines evaluate
-    it on FMA hardware, so values agree to the last bit.
-
-    Plan: distinct values with counts per group (partial aggregation) → cumulative counts (per group, or
-    bucketed when ungrouped) → each distinct value is tested against the |probs| target positions → one
-    small aggregate per (group, prob). Memory is bounded by distinct values, never by rows.
-    """
-    from wavekit.operators.evaluate import cumulative_counts
+    """Exact quantiles, one row per probability: with pos = (n − 1)·p, k = ⌊pos⌋, the value is interpolated between
+    the k-th and (k+1)-th order statistics.
 
-    by = list(by)
+    Plan: distinct values with counts per group (partial aggregation) → bucketed cumulative counts → each distinct
+    value is tested against the |probs| target positions → one small aggregate per (group, prob). Memory is
+    bounded by a bucket of distinct values.
+    """
     x = F.col(col).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*by, x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    return _quantiles(counts, probs, list(by))
+
+
+def _quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    from wavekit.operators.evaluate import cumulative_counts
+
     if by:
         totals = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
         cum = cumulative_counts(counts, "__v", ["__c"], by=by).join(totals, by)
@@ -209,9 +229,7 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     )
     g = hit.groupBy(*by, "prob").agg(F.max("__lo").alias("lo"), F.max("__hi").alias("hi"), F.max("__d").alias("d"))
     value = F.when(F.col("hi").isNull() | (F.col("d") == 0), F.col("lo")).otherwise(
-        F.call_function(
-            "reflect", F.lit("java.lang.Math"), F.lit("fma"), F.col("lo"), 1 - F.col("d"), F.col("hi") * F.col("d")
-        ).cast("double")
+        F.col("lo") * (1 - F.col("d")) + F.col("hi") * F.col("d")
     )
     return g.select(*by, "prob", value.alias("value"))
 
@@ -237,37 +255,17 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
 
 def imputation_compare(stack: DataFrame, cols: Sequence[str], imp_col: str = "imp") -> DataFrame:
     """Per imputation and variable: mean, sd, min, median, max, mode (smallest of ties)."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev_samp(x).alias(f"{c}__sd"),
-            F.min(x).alias(f"{c}__min"),
-            F.percentile(x, 0.5).alias(f"{c}__med"),
-            F.max(x).alias(f"{c}__max"),
-            F.mode(x, deterministic=True).alias(f"{c}__mode"),
-        ]
-    wide = stack.groupBy(imp_col).agg(*aggs)
-    return wide.select(
+    stats = {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = stack.groupBy(imp_col).agg(*[f(F.col(c).cast("double")).alias(f"{c}__{k}") for c in cols for k, f in stats.items()])
+    moments = wide.select(
         imp_col,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("variable"),
-                        F.col(f"{c}__mean").alias("mean"),
-                        F.col(f"{c}__sd").alias("sd"),
-                        F.col(f"{c}__min").alias("min"),
-                        F.col(f"{c}__med").alias("median"),
-                        F.col(f"{c}__max").alias("max"),
-                        F.col(f"{c}__mode").alias("mode"),
-                    )
-                    for c in cols
-                ]
-            )
-        ),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{k}").alias(k) for k in stats]) for c in cols])),
     )
+    counts = column_counts(stack, cols, by=[imp_col])
+    keys = [imp_col, "variable"]
+    medians = column_quantiles(counts, [0.5], by=[imp_col]).select(*keys, F.col("value").alias("median"))
+    out = moments.join(medians, keys, "left").join(column_modes(counts, by=[imp_col]), keys, "left")
+    return out.select(*keys, "mean", "sd", "min", "median", "max", "mode")
 
 
 def minmax_metrics(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:

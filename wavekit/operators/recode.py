@@ -116,18 +116,6 @@ def harmonize_outcome(frames: Mapping[str, DataFrame], outcome_by_source: Mappin
     return out
 
 
-def harmonize_outcome_column(df: DataFrame, source_col: str, outcome_by_source: Mapping[str, str], target: str) -> DataFrame:
-    """Same for a stacked frame: pick the source-specific column per row, drop the originals."""
-    expr = F.lit(None)
-    cols = sorted(set(outcome_by_source.values()))
-    chain = None
-    for name, src in outcome_by_source.items():
-        cond = F.col(source_col) == name
-        chain = F.when(cond, F.col(src)) if chain is None else chain.when(cond, F.col(src))
-    expr = chain if chain is not None else expr
-    return df.withColumn(target, expr).drop(*[c for c in cols if c != target])
-
-
 def add_grade(df: DataFrame, form_col: str = "form", grade_col: str | None = None, fixed_grade: int = 12,
               form_with_grade: str = "0810", dst: str = "grade") -> DataFrame:
     """Form with a grade question copies it; the senior form gets the literal grade."""

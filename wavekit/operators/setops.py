@@ -31,16 +31,23 @@ def stack_ranked(pairs: DataFrame, triples: DataFrame, value: str, k: int | None
     return out.where(F.col("rank") <= k) if k else out
 
 
-def predictor_presence(coefs: DataFrame, models: Sequence[str], alpha: float = 0.05, variable: str = "variable",
+def models_of(coefs: DataFrame, model: str = "model") -> list[str]:
+    """The models of a coefficient table, in order (a result table: one value per fitted model)."""
+    return sorted(r[0] for r in coefs.select(model).distinct().collect() if r[0] is not None)
+
+
+def predictor_presence(coefs: DataFrame, models: Sequence[str] | None = None, alpha: float = 0.05, variable: str = "variable",
                        model: str = "model") -> DataFrame:
-    """Predictor × model matrix: 0 absent, 1 present, 2 significant (p < alpha). Models are the pivot values."""
+    """Predictor × model matrix: 0 absent, 1 present, 2 significant (p < alpha). ``models``: the pivot values
+    (default: all of the table's)."""
+    models = list(models) if models is not None else models_of(coefs, model)
     status = coefs.select(variable, model, F.when(F.col("p_value") < alpha, 2).otherwise(1).alias("status"))
     return status.groupBy(variable).pivot(model, list(models)).agg(F.max("status")).fillna(0, subset=list(models))
 
 
-def key_pivot(coefs: DataFrame, models: Sequence[str], variable: str = "variable", model: str = "model") -> DataFrame:
+def key_pivot(coefs: DataFrame, models: Sequence[str] | None = None, variable: str = "variable", model: str = "model") -> DataFrame:
     """Predictor × model pivots of β (absent → 0) and of log2 OR (absent OR → 1, i.e. 0), with Σ|β| for ordering."""
-    models = list(models)
+    models = list(models) if models is not None else models_of(coefs, model)
     beta = coefs.groupBy(variable).pivot(model, models).agg(F.first("beta")).fillna(0.0, subset=models)
     beta = beta.select(variable, *[F.col(m).alias(f"beta_{m}") for m in models])
     orp = coefs.groupBy(variable).pivot(model, models).agg(F.first("odds_ratio")).fillna(1.0, subset=models)

@@ -1,7 +1,8 @@
 """Splitting and resampling with portable hashing.
 
 Exact-quota stratified ranks without a per-stratum single-task window: rows get an md5 key;
-counts per (stratum, 3-hex-digit prefix) form a small table (≤ strata × 4096 rows) whose
+counts per (stratum, leading hex digits) form a small table (4096 buckets per stratum, more when a
+stratum is larger than 4096 × 100,000 rows) whose
 cumulative sums give each prefix bucket's offset. Only the rows of the one boundary bucket per
 stratum need a row_number (split), or a window partitioned by (stratum, bucket) — thousands of
 balanced partitions — gives every row its exact rank (folds).
@@ -11,13 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavekit.functions.hashing import hash_key, hash_uniform, poisson1_weight
 
-PREFIX = 3  # hex digits → 4096 buckets per stratum
-BROADCAST_ROWS = 2_000_000
+BUCKET_ROWS = 100_000  # rows of one stratum that a bucket holds on average, at most
+
+
+def _digits(df: DataFrame) -> int:
+    """Hex digits of the md5 key that number the buckets: 3 (4096 buckets) or as many as the rows need."""
+    digits, n = 3, df.count()
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def _bucket_offsets(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -30,18 +38,12 @@ def _bucket_offsets(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
     )
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Broadcast the bucket table only when its row count is proven small; otherwise a shuffle join."""
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
-
-
 def stratified_rank(df: DataFrame, id_col: str, strata: Sequence[str], seed: int = 42) -> DataFrame:
     """Adds ``rank_in_stratum`` (1-based, md5 order, id as tie key) and ``stratum_n`` for every row."""
     strata = list(strata)
-    keyed = df.withColumn("__h", hash_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, PREFIX))
+    keyed = df.withColumn("__h", hash_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, _digits(df)))
     offsets = _bucket_offsets(keyed, strata)
-    j = _join_small(keyed, offsets, strata + ["__b"])
+    j = keyed.join(offsets, strata + ["__b"])
     w = Window.partitionBy(*strata, "__b").orderBy("__h", id_col)
     return (
         j.withColumn("rank_in_stratum", (F.col("__before") + F.row_number().over(w)).cast("long"))
@@ -54,9 +56,9 @@ def split_stratified(df: DataFrame, id_col: str, strata: Sequence[str], test_fra
                      dst: str = "split") -> DataFrame:
     """Exact quota per stratum: the first round(test_frac·n_s) rows in md5 order are 'test', the rest 'train'."""
     strata = list(strata)
-    keyed = df.withColumn("__h", hash_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, PREFIX))
+    keyed = df.withColumn("__h", hash_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, _digits(df)))
     offsets = _bucket_offsets(keyed, strata).withColumn("__q", F.round(F.col("__n_s") * test_frac).cast("long"))
-    j = _join_small(keyed, offsets, strata + ["__b"])
+    j = keyed.join(offsets, strata + ["__b"])
     decided = (
         F.when(F.col("__before") + F.col("__cnt") <= F.col("__q"), F.lit("test"))
         .when(F.col("__before") >= F.col("__q"), F.lit("train"))
@@ -129,18 +131,14 @@ def permute_column(df: DataFrame, id_col: str, col: str, seed: int = 42, dst: st
 
 
 def _rank_strings(df: DataFrame, key: str) -> DataFrame:
-    """Exact 1-based rank of unique string keys: bucket by the first 3 characters, offsets from a
+    """Exact 1-based rank of unique string keys: bucket by the first characters, offsets from a
     small per-bucket count table, row_number inside each bucket."""
-    b = F.substring(F.col(key), 1, PREFIX)
+    b = F.substring(F.col(key), 1, _digits(df))
     keyed = df.withColumn("__kb", b)
     counts = keyed.groupBy("__kb").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)  # ≤ 4096 rows
+    w = Window.orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     offs = counts.select("__kb", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
     wi = Window.partitionBy("__kb").orderBy(key)
-    return keyed.join(F.broadcast(offs), "__kb").withColumn(
+    return keyed.join(offs, "__kb").withColumn(
         "__rank", F.col("__off") + F.row_number().over(wi)
     ).drop("__kb", "__off")
-
-
-def hash_order(id_col: str, seed: int) -> Column:
-    return hash_key(id_col, seed)

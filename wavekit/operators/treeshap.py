@@ -14,7 +14,6 @@ Efficiency holds exactly: Σ_i φ_i = f(x) − E f, E f = Σ_leaves value·Π z.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -161,11 +160,6 @@ def shap_tree(df: DataFrame, model, features_col: str, id_col: str, slots: Seque
     return out, base, kind
 
 
-def leaves_json(leaves: Sequence[Leaf]) -> str:
-    """Serialisable view of the decomposition (for inspection)."""
-    return json.dumps([lf.__dict__ for lf in leaves])
-
-
 def explained_output(model, df: DataFrame, features_col: str, id_col: str, kind: str) -> DataFrame:
     """The quantity the attributions add up to: P(class 1) for forests, the raw margin for boosting."""
     from pyspark.ml.functions import vector_to_array

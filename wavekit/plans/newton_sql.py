@@ -40,19 +40,14 @@ UNION ALL SELECT {extra}'{model}', '{x_name}', b1, se1 FROM {fit}"""
 # Fixed constant: two-sided 95 % normal critical value.
 Z95 = 1.959963984540054
 
-ERFC_SQL = (
-    "(CASE WHEN ({x}) >= 0 THEN {pos} ELSE 2 - {pos} END)"
-)
-
-
 def erfc_sql(x: str) -> str:
-    """Abramowitz–Stegun 7.1.26 (same constants as functions.dist)."""
-    t = f"(1 / (1 + 0.3275911 * abs({x})))"
-    poly = (
-        f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))))"
-    )
-    pos = f"({poly} * exp(-abs({x}) * abs({x})))"
-    return ERFC_SQL.format(x=x, pos=pos)
+    """erfc by numerical integration, independent of ``functions.dist``: for x >= 0,
+    2/√π · exp(-x²) · ∫ exp(-t² - 2xt) dt over [0, 7] by Simpson's rule."""
+    point = "(i * 0.005)"
+    weight = "CASE WHEN i = 0 OR i = 1400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    total = f"list_sum(list_transform(range(0, 1401), lambda i: ({weight}) * exp(-{point} * {point} - 2 * abs({x}) * {point})))"
+    pos = f"(2 / sqrt(pi()) * exp(-abs({x}) * abs({x})) * 0.005 / 3 * {total})"
+    return f"(CASE WHEN ({x}) >= 0 THEN {pos} ELSE 2 - {pos} END)"
 
 
 def two_sided_p_sql(z: str) -> str:
@@ -79,3 +74,45 @@ def chi2_sf_sql(x: str, df: str) -> str:
         f"(CASE WHEN ({x}) IS NULL OR ({df}) IS NULL OR ({df}) < 1 THEN NULL WHEN ({x}) <= 0 THEN CAST(1 AS DOUBLE) "
         f"WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
     )
+
+
+def newton_multi(cells: str, prefix: str, terms: list[str], iters: int = 9) -> str:
+    """CTEs of a logit with any number of parameters (intercept, then ``terms``: expressions of the cell columns)
+    by Newton steps. Each step sums the score and the information matrix over the cells and solves by sweeping
+    the augmented matrix, one CTE a pivot. ``<prefix>_fit`` has one row: b0..bk, se0..sek, loglik."""
+    x = ["1.0", *[f"CAST({t} AS DOUBLE)" for t in terms]]
+    p = len(x)
+    design = f"{prefix}_x AS MATERIALIZED (SELECT n, w, wy, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(x)) + f" FROM {cells})"
+    parts = [design, f"{prefix}_0 AS MATERIALIZED (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in range(p)) + ")"]
+    eta = " + ".join(f"s.b{i} * c.x{i}" for i in range(p))
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def name(i, j):
+        return f"h{min(i, j)}_{max(i, j)}"
+
+    for k in range(iters + 1):
+        sums = [f"sum(v * x{i} * x{j}) AS {name(i, j)}" for i, j in upper] + [f"sum(x{i} * (wy - w * p)) AS g{i}" for i in range(p)]
+        parts.append(
+            f"{prefix}_{k}_s0 AS MATERIALIZED (SELECT {', '.join(sums)}, "
+            f"sum(-wy * ln(1 + exp(-eta)) - (w - wy) * ln(1 + exp(eta))) AS ll "
+            f"FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT c.*, {eta} AS eta, 1 / (1 + exp(-({eta}))) AS p "
+            f"FROM {prefix}_x c, {prefix}_{k} s)))"
+        )
+        for d in range(p):  # sweep on pivot d: after all pivots the matrix is minus the inverse, g the step
+            piv = name(d, d)
+            cols = []
+            for i, j in upper:
+                if i == d and j == d:
+                    cols.append(f"-1 / {piv} AS {name(i, j)}")
+                elif d in (i, j):
+                    cols.append(f"{name(i, j)} / {piv} AS {name(i, j)}")
+                else:
+                    cols.append(f"{name(i, j)} - {name(i, d)} * {name(d, j)} / {piv} AS {name(i, j)}")
+            cols += [f"g{d} / {piv} AS g{d}" if i == d else f"g{i} - {name(i, d)} * g{d} / {piv} AS g{i}" for i in range(p)]
+            parts.append(f"{prefix}_{k}_s{d + 1} AS MATERIALIZED (SELECT {', '.join(cols)}, ll FROM {prefix}_{k}_s{d})")
+        if k < iters:
+            step = ", ".join(f"s.b{i} + g.g{i} AS b{i}" for i in range(p))
+            parts.append(f"{prefix}_{k + 1} AS MATERIALIZED (SELECT {step} FROM {prefix}_{k} s, {prefix}_{k}_s{p} g)")
+    fit = ", ".join(f"s.b{i}" for i in range(p)) + ", " + ", ".join(f"sqrt(-g.{name(i, i)}) AS se{i}" for i in range(p))
+    parts.append(f"{prefix}_fit AS MATERIALIZED (SELECT {fit}, g.ll AS loglik FROM {prefix}_{iters} s, {prefix}_{iters}_s{p} g)")
+    return ",\n".join(parts)

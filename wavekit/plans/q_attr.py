@@ -220,7 +220,7 @@ SELECT race AS value, avg(y) AS mean_prediction, (SELECT count(*) FROM timed) AS
 def q_pdp_discrete(spark, d):
     df = recode.dummies(timed(spark, d), "race", RACES[1:], prefix="race_")
     fit = models.logit(df, "y", [f"race_{r.lower()}" for r in RACES[1:]], model="race")
-    return attribution.pdp_discrete(timed(spark, d).select("respondent_id", "race"), "race", _race_predict(fit))
+    return attribution.pdp_discrete(timed(spark, d).select("respondent_id", "race"), "race", _race_predict(fit), inputs=["race"])
 
 
 PDP_Q = [0.05 + 0.1 * i for i in range(10)]
@@ -241,4 +241,4 @@ def q_pdp_grid(spark, d):
     df = timed(spark, d)
     fit = models.logit(df, "y", ["time"], model="time")
     predict = lambda x: x.withColumn("prob", fit.probability([F.col("time")]))
-    return attribution.pdp_grid(df.select("respondent_id", "time"), "time", predict, quantiles=[round(p, 10) for p in PDP_Q])
+    return attribution.pdp_grid(df.select("respondent_id", "time"), "time", predict, quantiles=[round(p, 10) for p in PDP_Q], inputs=["time"])

@@ -147,8 +147,8 @@ def q_auc_difference_z(spark, d):
 o AS ({AUC_SQL.format(score="prob", where="WHERE year > 1995")})
 SELECT e.auc AS expected_auc, o.auc AS observed_auc, e.auc - o.auc AS degradation,
        100 * (e.auc - o.auc) / e.auc AS degradation_pct,
-       CASE WHEN 100 * (e.auc - o.auc) / e.auc < 2 THEN 'minimal' WHEN 100 * (e.auc - o.auc) / e.auc < 5 THEN 'small'
-            WHEN 100 * (e.auc - o.auc) / e.auc < 10 THEN 'moderate' ELSE 'substantial' END AS band
+       CASE WHEN e.auc - o.auc < 0.03 THEN 'Excellent' WHEN e.auc - o.auc < 0.05 THEN 'Good'
+            WHEN e.auc - o.auc < 0.10 THEN 'Moderate' ELSE 'Significant' END AS band
 FROM e, o""",
         "scored",
     ),

@@ -394,8 +394,8 @@ def q_pdp_panel(spark, d):
     logit_pred = lambda x: x.withColumn("prob", fit.probability())
     rf = ml.random_forest(ml.assemble(df, SURVEY_FEATS).withColumnRenamed("y", "label"), num_trees=50, max_depth=6, seed=SEED)
     rf_pred = lambda x: rf.transform(ml.assemble(x, SURVEY_FEATS)).withColumn("prob", vector_to_array("probability")[1])
-    a = attribution.pdp_discrete(df, "alcohol12", logit_pred).withColumn("model", F.lit("logit"))
-    b = attribution.pdp_discrete(df, "alcohol12", rf_pred).withColumn("model", F.lit("random_forest"))
+    a = attribution.pdp_discrete(df, "alcohol12", logit_pred, SURVEY_FEATS).withColumn("model", F.lit("logit"))
+    b = attribution.pdp_discrete(df, "alcohol12", rf_pred, SURVEY_FEATS).withColumn("model", F.lit("random_forest"))
     return a.unionByName(b)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavekit.functions.scalars import attach
 from wavekit.operators import inference, models, recode
 from wavekit.plans import fixtures as fx
-from wavekit.plans.newton_sql import Z95, chi2_sf_sql, coef_rows, newton_ctes, two_sided_p_sql, wald_cols
+from wavekit.plans.newton_sql import Z95, chi2_sf_sql, coef_rows, newton_ctes, newton_multi, two_sided_p_sql, wald_cols
 from wavekit.plans.registry import register
 from wavekit.plans.views import with_views
 
@@ -304,44 +304,51 @@ def q_weighted_vs_unweighted(spark, d):
     return inference.weighted_vs_unweighted(w, u)
 
 
-def _stratified_lr(spark, d, group: str, n_groups_sql: str):
-    df = timed(spark, d)
-    pooled = models.logit(df, "y", ["time"], model="pooled").stats
-    coefs, stats = models.logit_by_group(df, group, "y", ["time"], model="time")
-    strat = stats.agg(F.sum("loglik").alias("ll_strat"), F.count(F.lit(1)).alias("k"))
-    lr = attach(pooled.select(F.col("loglik").alias("ll_pooled")), strat)
-    stat = 2 * (F.col("ll_strat") - F.col("ll_pooled"))
-    dfree = (2 * (F.col("k") - 1)).cast("int")
-    lr = lr.select(stat.alias("lr_stat"), dfree.alias("lr_df")).withColumn(
-        "lr_p", inference.dist.chi2_sf(F.col("lr_stat"), F.col("lr_df"))
+GENDER_MAIN = ["sex", "marijuana12", "alcohol12", "time", "cigarette12"]
+GENDER_PRODUCTS = [("sex", "marijuana12"), ("sex", "alcohol12")]
+RACE_DUMMIES = [f"race_{r.lower()}" for r in RACES[1:]]
+TREND_MAIN = [*RACE_DUMMIES, "marijuana12", "alcohol12", "time"]
+TREND_PRODUCTS = [(r, "time") for r in RACE_DUMMIES]
+
+
+def _interaction_sql(main, products, model):
+    """Twin of ``inference.interaction_test``: both models by Newton steps over the cells of all predictors."""
+    names = [f"{a}_x_{b}" for a, b in products]
+    keys = ["race" if c.startswith("race_") else c for c in main]
+    keys = list(dict.fromkeys(keys))
+    dummy = {f"race_{r.lower()}": f"CASE WHEN race = '{r}' THEN 1 ELSE 0 END" for r in RACES[1:]}
+    x = [dummy.get(c, c) for c in main]
+    prod = [f"({dummy.get(a, a)}) * ({dummy.get(b, b)})" for a, b in products]
+    cells = (
+        f"ic AS MATERIALIZED (SELECT {', '.join(keys)}, count(*) AS n, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy FROM timed WHERE "
+        + " AND ".join(f"{k} IS NOT NULL" for k in keys) + f" GROUP BY {', '.join(keys)})"
+    )
+    rows = " UNION ALL ".join(
+        f"SELECT '{model}' AS model, '{v}' AS variable, b{i} AS beta, se{i} AS se FROM f_fit"
+        for i, v in enumerate(["intercept", *main, *names])
     )
-    table = coefs.where(F.col("variable") == "time").select(group, "variable", "odds_ratio", "ci_lower", "ci_upper", "p_value")
-    return attach(table, lr)
-
-
-def _stratified_sql(group: str, cast: str):
     return _sql(
-        f"""SELECT CAST(m.g AS {cast}) AS {group}, 'time' AS variable, exp(m.b1) AS odds_ratio,
-       exp(m.b1 - {Z95} * m.se1) AS ci_lower, exp(m.b1 + {Z95} * m.se1) AS ci_upper,
-       {two_sided_p_sql('m.b1 / m.se1')} AS p_value, lr.lr_stat, lr.lr_df, lr.lr_p
-FROM m_fit m, (SELECT stat AS lr_stat, dfree AS lr_df, {chi2_sf_sql('stat', 'dfree')} AS lr_p
-               FROM (SELECT 2 * ((SELECT sum(loglik) FROM m_fit) - (SELECT loglik FROM p_fit)) AS stat,
-                            CAST(2 * ((SELECT count(*) FROM m_fit) - 1) AS INT) AS dfree)) lr""",
-        _cells("c", g=group),
-        newton_ctes("c", "m"),
-        _cells("cp"),
-        newton_ctes("cp", "p"),
+        f"""SELECT m.model, m.variable, m.beta, m.se, w.z, w.p_value, w.odds_ratio, w.ci_lower, w.ci_upper,
+       lr.stat AS lr_stat, CAST({len(names)} AS INT) AS lr_df, {chi2_sf_sql('lr.stat', str(len(names)))} AS lr_p
+FROM ({rows}) m, LATERAL (SELECT {wald_cols('m.beta', 'm.se')}) w,
+     (SELECT 2 * ((SELECT loglik FROM f_fit) - (SELECT loglik FROM r_fit)) AS stat) lr""",
+        cells,
+        newton_multi("ic", "r", x),
+        newton_multi("ic", "f", [*x, *prod]),
     )
 
 
-@register("gender_interactions", _stratified_sql("sex", "INT"))
+@register("gender_interactions", _interaction_sql(GENDER_MAIN, GENDER_PRODUCTS, "gender"))
 def q_gender_interactions(spark, d):
-    return _stratified_lr(spark, d, "sex", "2")
+    """Do marijuana and alcohol matter differently by sex? (df 2)"""
+    return inference.interaction_test(timed(spark, d), "y", GENDER_MAIN, GENDER_PRODUCTS, model="gender")
 
 
-@register("group_trend_test", _stratified_sql("race", "VARCHAR"))
+@register("group_trend_test", _interaction_sql(TREND_MAIN, TREND_PRODUCTS, "race_trend"))
 def q_group_trend_test(spark, d):
-    return _stratified_lr(spark, d, "race", "5")
+    """Do the trends differ by race? (df = number of races − 1)"""
+    df = recode.dummies(timed(spark, d), "race", RACES[1:], prefix="race_")
+    return inference.interaction_test(df, "y", TREND_MAIN, TREND_PRODUCTS, model="race_trend")
 
 
 @register(

@@ -11,8 +11,8 @@ from wavekit.plans.q_models import RACES, TIMED_SQL, _cells, _fit_time, timed
 from wavekit.plans.registry import register
 from wavekit.plans.views import with_views
 
-WAVES = list(range(1995, 2002))
-WAVE_MODELS = [f"w{w}" for w in WAVES]
+# Columns of the SQL twins: the waves of the given tables. The operators take theirs from the coefficients.
+WAVE_MODELS = [f"w{w}" for w in range(1995, 2002)]
 
 
 def _imp(spark, d):
@@ -155,7 +155,7 @@ def q_top_significant(spark, d):
     ),
 )
 def q_predictor_presence(spark, d):
-    return setops.predictor_presence(wave_race_coefs(spark, d), WAVE_MODELS)
+    return setops.predictor_presence(wave_race_coefs(spark, d))
 
 
 @register(
@@ -171,7 +171,7 @@ def q_predictor_presence(spark, d):
     ),
 )
 def q_key_pivot(spark, d):
-    return setops.key_pivot(wave_race_coefs(spark, d), WAVE_MODELS)
+    return setops.key_pivot(wave_race_coefs(spark, d))
 
 
 @register(

@@ -292,7 +292,7 @@ def q_infer_feature_types(spark, d):
 
 def _varying_sql():
     parts = [
-        f"SELECT '{c}' AS variable, CAST({i} AS INT) AS position, count(DISTINCT {c}) AS n_distinct FROM survey_nonull WHERE wave = 1995"
+        f"SELECT '{c}' AS variable, CAST({i} AS INT) AS position, count(DISTINCT {c}) AS n_distinct FROM survey_nonull"
         for i, c in enumerate(FEATURES)
     ]
     return with_views(
@@ -305,8 +305,7 @@ def _varying_sql():
 def q_varying_columns(spark, d):
     from wavekit.operators import prep
 
-    df = _nonull(spark, d).where(F.col("wave") == 1995)
-    return prep.varying_columns(df, FEATURES, k=10)
+    return prep.varying_columns(_nonull(spark, d), FEATURES, k=10)
 
 
 @register(

@@ -19,14 +19,6 @@ from wavekit.sources import sinks, waves
 STRING_COLS = ["V2151", "V1070"]
 DOUBLE_COLS = ["ARCHIVE_WT"]
 EXTRA_WAVE = 2000
-_WRITTEN: dict[tuple, object] = {}
-
-
-def _memo(spark, key, make):
-    k = (spark.sparkContext.applicationId,) + key
-    if k not in _WRITTEN:
-        _WRITTEN[k] = make()
-    return _WRITTEN[k]
 
 
 def _columns(wave: int, form: str) -> list:
@@ -47,13 +39,13 @@ def _columns(wave: int, form: str) -> list:
 
 
 def wave_files(spark, d) -> list[waves.Source]:
-    def make():
-        raw = fx.survey_raw(spark, d)
-        keys = [(w, f) for w in range(1995, 2002) for f in ("0012", "0810")]
-        root = scratch_path(spark, "waves")
-        return waves.write_wave_files(raw, root, "wave", "form", {key: _columns(*key) for key in keys})
+    """One file per (wave, form) that the data has."""
+    return write_waves(fx.survey_raw(spark, d), scratch_path(spark, "waves"))
+
 
-    return _memo(spark, ("waves", d), make)
+def write_waves(raw: DataFrame, root: str) -> list[waves.Source]:
+    keys = sorted((r.wave, r.form) for r in raw.select("wave", "form").distinct().collect())  # one row a file
+    return waves.write_wave_files(raw, root, "wave", "form", {key: _columns(*key) for key in keys})
 
 
 def _frames(spark, d):
@@ -166,19 +158,19 @@ CLEAN_COLS = "respondent_id, wave, sex, race, region, marijuana12, alcohol12, ci
 @register("scan_csv", with_views(f"SELECT {CLEAN_COLS} FROM survey_clean", "survey_clean"))
 def q_scan_csv(spark, d):
     clean = fx.survey_clean(spark, d)
-    path = _memo(spark, ("csv", d), lambda: sinks.sink_table(clean, scratch_path(spark, "clean-csv"), fmt="csv"))
+    path = sinks.sink_table(clean, scratch_path(spark, "clean-csv"), fmt="csv")
     return waves.scan_csv(spark, path, schema=clean.schema)
 
 
 @register("sink_table", with_views(f"SELECT {CLEAN_COLS} FROM survey_clean", "survey_clean"))
 def q_sink_table(spark, d):
     clean = fx.survey_clean(spark, d)
-    path = _memo(spark, ("parquet", d), lambda: sinks.sink_table(clean, scratch_path(spark, "clean")))
+    path = sinks.sink_table(clean, scratch_path(spark, "clean"))
     return spark.read.parquet(path)
 
 
 def _family(spark, d):
-    return _memo(spark, ("imputations", d), lambda: sinks.sink_imputations(stack(spark, d), scratch_path(spark, "imputed")))
+    return sinks.sink_imputations(stack(spark, d), scratch_path(spark, "imputed"))
 
 
 @register("sink_imputations", with_views(f"SELECT {IMPUTED_COLS} FROM imputed", "imputed"))
@@ -200,13 +192,9 @@ def q_scan_imputed_family(spark, d):
     with_views(f"WITH {WAVE_COEF_SQL}\nSELECT model, variable, beta, se FROM wc0", "survey_clean"),
 )
 def q_scan_results_glob(spark, d):
-    def make():
-        coefs = wave_race_coefs(spark, d).select("model", "variable", "beta", "se").persist()
-        names = [r[0] for r in coefs.select("model").distinct().collect()]
-        root = scratch_path(spark, "results")
-        sinks.sink_results({n: coefs.where(F.col("model") == n).drop("model") for n in names}, root)
-        coefs.unpersist()
-        return root
-
-    root = _memo(spark, ("results", d), make)
+    coefs = wave_race_coefs(spark, d).select("model", "variable", "beta", "se").persist()
+    names = [r[0] for r in coefs.select("model").distinct().collect()]
+    root = scratch_path(spark, "results")
+    sinks.sink_results({n: coefs.where(F.col("model") == n).drop("model") for n in names}, root)
+    coefs.unpersist()
     return sinks.scan_results_glob(spark, root, "variable string, beta double, se double")

@@ -93,7 +93,6 @@ view(
 SELECT 'm' || CAST(l.l_linenumber AS VARCHAR) AS model, p.p_brand AS feature,
        p.p_brand || ':' || p.p_type AS slot, sum(l.l_extendedprice) AS importance
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_linenumber BETWEEN 1 AND 6
 GROUP BY l.l_linenumber, p.p_brand, p.p_type
 """,
 )

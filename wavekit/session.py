@@ -33,8 +33,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset (tests on one
-    machine) do we create one of our own.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine (a ``local`` master, as in tests) is an
+    unset one replaced by a folder of our own; on a cluster that would be a folder other machines don't see, so it
+    raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="wavekit-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
