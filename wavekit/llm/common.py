@@ -39,6 +39,13 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
+def hash_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
+    """At most about 1.5 times ``rows`` of ``total`` rows, those with the smallest hashes: a filter, so that a
+    following ``limit`` does not gather rows from every partition."""
+    share = min(1.0, 1.5 * rows / max(total, 1) + 20 / max(total, 1))
+    return df.where(F.pmod(key, F.lit(1 << 40)) <= int(share * (1 << 40)))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge.
 

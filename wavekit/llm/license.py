@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavekit.llm.common import whole_text
+from wavekit.llm.common import hash_sample, whole_text
 
 #: Wordings by which texts state their licence.
 TEMPLATES = {
@@ -280,7 +280,9 @@ def train_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The unknown class learns from a bounded sample of corpus windows: ``max_docs`` documents by hash of the
     text, ``max_windows`` windows of 24 words."""
     text = whole_text(text_col)
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).where("octet_length(t) <= 65536").orderBy("h").limit(max_docs).select("t")
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).where("octet_length(t) <= 65536")
+    # equal texts have one hash: they count once
+    rows = hash_sample(rows, F.col("h"), max_docs, docs.count()).dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 40)), "t").limit(max_docs).select("t")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavekit.llm.common import whole_text
+from wavekit.llm.common import hash_sample, whole_text
 
 PASSAGE_BYTES = 512
 #: Bounds of the training sample; scoring has none.
@@ -189,13 +189,14 @@ def train_quality(
     """Fit on a bounded sample of the labelled rows: ``max_docs`` documents of at most ``max_passages`` passages,
     chosen by a hash of the id among rows whose crc32(id as text) mod 4 is not 2 and whose label is 0 or 1."""
     i = F.col("i")
-    sample = (
+    usable = (
         labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
         .where("i is not null and y in (0, 1)")
         .where(F.crc32(i.cast("string")) % 4 != 2)
         .groupBy("i").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("i"), "i").limit(max_docs)
     )
+    sample = hash_sample(usable, F.xxhash64("i"), max_docs, usable.count())
+    sample = sample.orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 40)), "i").limit(max_docs)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -211,7 +212,7 @@ def train_quality(
         docs.select(F.col(id_col).alias("i"), text.alias("t"))
         .where(F.octet_length("t") <= max_passages * passage_bytes)
         .join(F.broadcast(sample), "i")  # at most max_docs rows
-        .orderBy(F.xxhash64("i"), "i", "t").limit(max_docs)
+        .orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 40)), "i", "t").limit(max_docs)
         .mapInPandas(features, sample.schema.add("x", "binary"))
         .toPandas()
         .sort_values(["i", "x"])
