@@ -16,7 +16,7 @@ PASSAGE_BYTES = 512
 #: Bounds of the training sample; scoring has none.
 MAX_TRAIN_DOCS = 6000
 MAX_TRAIN_PASSAGES = 2000  # longer documents are not trained on
-_CHUNK = 1 << 22
+_CHUNK = 1 << 19  # bytes of text worked on at a time: some ten arrays of eight bytes each
 
 # Byte classes: fine ones are counted alone, coarse ones also as pairs.
 _GROUPS = [
@@ -82,12 +82,12 @@ def _bags(texts, passage_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
     """(index of the first text, features of its and the following texts' passages, passages of each), some MB of
     text at a time; the passages of one very long text come in one piece but are computed in several."""
     at, bufs, counts, held = 0, [], [], 0
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    for i, t in enumerate(data):
+    for i, text in enumerate(texts):
+        t = text.encode("utf-8", "surrogatepass")
         bufs.append(t)
         counts.append(max(1, -(-len(t) // passage_bytes)))
         held += len(t)
-        if held >= _CHUNK or i == len(data) - 1:
+        if held >= _CHUNK or i == len(texts) - 1:
             yield at, _all_features(bufs, passage_bytes), np.array(counts)
             at, bufs, counts, held = i + 1, [], [], 0
 
