@@ -11,12 +11,13 @@ The same machinery gives exact average ranks (see ``cumulative_counts``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavekit.functions.scalars import attach
+from wavekit.session import saved
 
 
 #: Upper limits of the drop in AUC and their names.
@@ -97,13 +98,14 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequen
             .groupBy(*by, F.col(score).alias("score"))
             .agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
         )
+        counts = saved(counts)
         cum = cumulative_counts(counts, "score", ["neg"], by=list(by))
         return cum.groupBy(*by).agg(
             _auc().alias("auc"),
             F.sum("pos").cast("long").alias("n_pos"),
             F.sum("neg").cast("long").alias("n_neg"),
         )
-    counts = score_counts(df, label, score)
+    counts = saved(score_counts(df, label, score))  # scores are read several times, scoring happens once
     cum = cumulative_counts(counts, "score", ["neg"])
     return cum.agg(
         _auc().alias("auc"),
@@ -114,7 +116,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequen
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score: share of negatives / positives with score ≥ threshold."""
-    counts = score_counts(df, label, score)
+    counts = saved(score_counts(df, label, score))
     cum = cumulative_counts(counts, "score", ["pos", "neg"], descending=True)
     tot = counts.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
     return attach(cum, tot).select(
@@ -175,6 +177,37 @@ def class_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -> Da
     return per.unionByName(weighted).unionByName(acc)
 
 
+def metric_set(df: DataFrame, label: str = "label", score: str = "prob", threshold: float = 0.5) -> DataFrame:
+    """One row for a scored set: accuracy, support-weighted precision, recall and F1 at the threshold, ROC AUC,
+    log-loss, n_pos, n_neg."""
+    y = F.col(label).cast("int")
+    rated = df.where(y.isNotNull() & F.col(score).isNotNull()).select(
+        y.alias("label"), F.col(score).alias("prob"), (F.col(score) >= threshold).cast("int").alias("pred")
+    )
+    by_class = class_metrics(rated)
+    pick = lambda cls, c: F.max(F.when(F.col("class") == cls, F.col(c)))
+    row = by_class.agg(pick("accuracy", "recall").alias("accuracy"), *[pick("weighted", c).alias(c) for c in ("precision", "recall", "f1")])
+    row = attach(row, roc_auc(rated))
+    return attach(row, log_loss(rated).select("log_loss")).select("accuracy", "precision", "recall", "f1", "auc", "log_loss", "n_pos", "n_neg")
+
+
+def roc_auc_ovr(df: DataFrame, label: str, scores: Mapping[str, str]) -> DataFrame:
+    """One-vs-rest AUC of every class (class → score column) with its support, and their mean ('macro') and
+    support-weighted mean ('weighted'). Rows are stacked by class and ranked in one grouped pass."""
+    entries = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).cast("double").alias("prob")) for k, c in scores.items()])
+    long = df.select(F.col(label).alias("__y"), F.explode(entries).alias("__s")).select(
+        "__s.class", "__s.prob", (F.col("__y") == F.col("__s.class")).cast("int").alias("label")
+    )
+    per = roc_auc(long, by=["class"]).select("class", "auc", F.col("n_pos").alias("support"))
+    means = per.agg(
+        F.avg("auc").alias("m"), (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("w"), F.sum("support").alias("s")
+    )
+    rows = means.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("class"), F.col(v).alias("auc"), F.col("s").alias("support")) for k, v in (("macro", "m"), ("weighted", "w"))
+    ])))
+    return per.unionByName(rows)
+
+
 def log_loss(df: DataFrame, label: str = "label", score: str = "prob", eps: float = 1e-15) -> DataFrame:
     p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps))
     y = F.col(label)

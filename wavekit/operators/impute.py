@@ -1,23 +1,23 @@
 """Simple and multiple imputation.
 
 ``impute_fit`` fits on the training rows (exact median and mode from stacked value counts, mean, or a constant) returning a one-row parameter table; ``impute_apply`` is a
-``coalesce`` against that broadcast row. ``mice`` runs chained equations as Spark ML regressions
-(one distributed fit per column per sweep, all M chains in one table keyed by ``imp``) and
-cuts lineage with a reliable ``checkpoint`` after each sweep.
+``coalesce`` against that broadcast row. ``mice`` runs chained equations (M independent
+chains in one table keyed by ``imp``, each regression solved from one aggregate of moments) and cuts lineage with a
+reliable ``checkpoint`` after each sweep.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavekit.functions.hashing import hash_uniform
 from wavekit.functions.scalars import attach
-from wavekit.operators.profile import column_counts, column_medians, column_modes
+from wavekit.operators.profile import column_counts, column_medians, column_modes, distinct_counts
 from wavekit.operators.recode import NUMERIC
 
 
@@ -92,73 +92,155 @@ def _normal_from_hash(id_col: str, seed, *extra):
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * 3.141592653589793 * u2)
 
 
+#: Bins of the prediction in predictive mean matching, and the number of codes up to which a target is matched.
+PMM_BINS = 400
+MAX_CODES = 100
+
+
+def _moments(stack: DataFrame, target: str, feats: Sequence[str], imp_col: str) -> dict:
+    """Per chain: X'X, X'y, y'y and n over the observed rows, from one partially aggregated pass (chains x
+    features² numbers reach the driver)."""
+    import numpy as np
+
+    x = [F.lit(1.0), *[F.col(f) for f in feats]]
+    p, y = len(x), F.col(target)
+    rows = (
+        stack.where(~F.col(f"__miss_{target}")).groupBy(imp_col)
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(y * y).alias("yy"),
+            F.array(*[F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p)]).alias("xx"),
+            F.array(*[F.sum(v * y) for v in x]).alias("xy"),
+        ).collect()
+    )
+    out = {}
+    for r in rows:
+        xx = np.zeros((p, p))
+        xx[np.triu_indices(p)] = r.xx
+        out[r[imp_col]] = (xx + np.triu(xx, 1).T, np.array(r.xy), r.yy, r.n)
+    return out
+
+
+def _draw(moments, rng):
+    """Least-squares coefficients, and a draw of (coefficients, residual sd) from their posterior."""
+    import numpy as np
+
+    xx, xy, yy, n = moments
+    inv = np.linalg.pinv(xx)
+    beta = inv @ xy
+    rss = max(yy - beta @ xy, 1e-9)
+    sigma = float(np.sqrt(rss / rng.chisquare(max(n - len(beta), 1))))
+    value, vector = np.linalg.eigh((inv + inv.T) / 2)
+    return beta, beta + sigma * (vector * np.sqrt(np.maximum(value, 0))) @ rng.standard_normal(len(beta)), sigma
+
+
+def _by_chain(imp_col: str, values: dict) -> Column:
+    return F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])[F.col(imp_col)]
+
+
+def _linear(imp_col: str, feats: Sequence[str], betas: dict) -> Column:
+    out = _by_chain(imp_col, {k: float(b[0]) for k, b in betas.items()})
+    for i, f in enumerate(feats, start=1):
+        out = out + _by_chain(imp_col, {k: float(b[i]) for k, b in betas.items()}) * F.col(f)
+    return out
+
+
+def _donors(stack: DataFrame, target: str, imp_col: str, bin_: Column) -> DataFrame:
+    """(chain, bin, values, cumulative shares) of the observed codes by bin of the predicted mean; an empty bin takes
+    the nearest one that has donors. Chains x bins x codes counts reach the driver."""
+    import numpy as np
+
+    counts = stack.where(~F.col(f"__miss_{target}")).groupBy(imp_col, bin_.alias("b"), F.col(target).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cells: dict = {}
+    for r in counts.collect():
+        cells.setdefault(r[imp_col], {}).setdefault(r.b, []).append((r.v, r.n))
+    rows = []
+    for chain, bins in cells.items():
+        full = np.array(sorted(bins))
+        for b in range(PMM_BINS):
+            own = sorted(bins[int(full[np.argmin(np.abs(full - b))])])
+            n = np.cumsum([k for _, k in own])
+            rows.append((chain, b, [float(v) for v, _ in own], [float(c) for c in n / n[-1]]))
+    return stack.sparkSession.createDataFrame(rows, f"{imp_col} int, __b int, __vals array<double>, __cum array<double>")
+
+
 def mice(
     df: DataFrame,
     id_col: str,
     targets: Sequence[str],
     predictors: Sequence[str],
     m: int = 5,
-    sweeps: int = 5,
+    sweeps: int = 20,
     seed: int = 42,
     imp_col: str = "imp",
-    integer_targets: bool = True,
+    methods: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Chained-equation imputation (stochastic linear regression per target, all chains at once).
-
-    Start: NULL → observed median. Each sweep and target: fit ``LinearRegression`` of the target on the
-    other columns (current values) over its observed rows, per chain (``imp`` enters as one-hot so the M
-    chains share one distributed fit but keep separate intercepts); missing cells get prediction +
-    residual-sd × hash-normal (chain- and sweep-specific seed), rounded and clipped to the observed range
-    for integer codes. Observed cells never change. Returns (stack, trace) where trace has mean/sd per
-    (imp, sweep, variable).
+    """Multiple imputation by chained equations: ``m`` independent chains, kept in one table.
+
+    Start: a null cell takes the median. Each sweep and
+    target regresses the target on all other columns (current values) over its observed rows, separately in each
+    chain; the coefficients and residual sd used are a draw from their posterior, so imputations differ between
+    chains by more than noise. Methods (``methods``, default by type): ``pmm`` for coded targets (up to 100
+    observed values) matches each missing row's drawn prediction to observed rows with a like predicted mean and
+    takes one of their values; ``logreg`` for 0/1 targets draws from the fitted probability; ``norm`` for others
+    adds normal noise, clipped to the observed range. Observed cells never change.
+
+    Every step is one aggregate over the rows; regressions are solved from its moments. Random numbers are hashes
+    of the id (rows) and seeded per chain, sweep and target (coefficients): results do not depend on partitions or
+    retries. Lineage is cut every sweep. Returns (stack, trace): trace has mean and sd per (imp, sweep, variable).
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    import numpy as np
 
     from wavekit.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
     targets, predictors = list(targets), list(predictors)
     cols = list(dict.fromkeys(targets + predictors))
-    stats = df.agg(*[F.min(c).alias(f"__min_{c}") for c in targets], *[F.max(c).alias(f"__max_{c}") for c in targets])
-    stats = attach(stats, column_medians(df, targets).select(*[F.col(c).alias(f"__med_{c}") for c in targets]))
-    base = df.select(id_col, *cols, *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets])
-    stack = attach(base.select("*", F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)), stats)
-    for c in targets:
-        stack = stack.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")))
-    for c in predictors:
-        if c not in targets:
-            stack = stack.withColumn(c, F.col(c).cast("double"))
-    stack = stack.withColumns({f"__imp_{i}": (F.col(imp_col) == i).cast("double") for i in range(2, m + 1)})
-    stack = stack.checkpoint()
+    levels = {r.variable: r.n_distinct for r in distinct_counts(df, targets).collect()}
+    span = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols], *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in cols]).first()
+
+    def method(c):
+        binary = levels[c] <= 2 and span[f"lo_{c}"] == 0 and span[f"hi_{c}"] == 1
+        return (methods or {}).get(c) or ("logreg" if binary else "pmm" if levels[c] <= MAX_CODES else "norm")
+
+    base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols], *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets])
+    stack = attach(base, column_medians(df, targets).select(*[F.col(c).alias(f"__med_{c}") for c in targets]))
+    stack = stack.select(
+        id_col, F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col), *[f"__miss_{c}" for c in targets],
+        *[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in targets else F.col(c) for c in cols],
+    ).checkpoint()
+    names = stack.columns
     traces = []
     for sweep in range(1, sweeps + 1):
-        for c in targets:
-            feats = [p for p in cols if p != c] + [f"__imp_{i}" for i in range(2, m + 1)]
-            va = VectorAssembler(inputCols=feats, outputCol="__x", handleInvalid="keep")
-            data = va.transform(stack)
-            lr = LinearRegression(featuresCol="__x", labelCol=c, predictionCol="__pred", regParam=0.0)
-            model = lr.fit(data.where(~F.col(f"__miss_{c}")))
-            rmse = float(model.summary.rootMeanSquaredError)
-            pred = model.transform(data)
-            draw = F.col("__pred") + rmse * _normal_from_hash(id_col, seed, F.col(imp_col), sweep, c)
-            if integer_targets:
-                draw = F.least(F.greatest(F.round(draw), F.col(f"__min_{c}")), F.col(f"__max_{c}"))
-            stack = pred.withColumn(c, F.when(F.col(f"__miss_{c}"), draw).otherwise(F.col(c))).drop("__x", "__pred")
-        stack = stack.checkpoint()  # reliable: survives executor loss, cuts the per-sweep lineage
-        traces.append(
-            stack.groupBy(imp_col).agg(
-                *[F.avg(c).alias(f"{c}__mean") for c in targets], *[F.stddev_samp(c).alias(f"{c}__sd") for c in targets]
-            ).select(
-                imp_col, F.lit(sweep).alias("sweep"),
-                F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"{c}__mean").alias("mean"),
-                                            F.col(f"{c}__sd").alias("sd")) for c in targets])),
-            )
-        )
-    trace = reduce(DataFrame.unionByName, traces)
-    keep = [id_col, imp_col] + cols
-    out = stack.select(*keep)
-    for c in targets:
-        if integer_targets:
-            out = out.withColumn(c, F.col(c).cast(df.schema[c].dataType))
-    return out, trace
+        for t, c in enumerate(targets):
+            if levels[c] == 0:
+                continue
+            feats = [p for p in cols if p != c]
+            fits = {k: _draw(v, np.random.default_rng([seed, sweep, t, k])) for k, v in _moments(stack.dropna(subset=feats), c, feats, imp_col).items()}
+            drawn = _linear(imp_col, feats, {k: f[1] for k, f in fits.items()})
+            u = hash_uniform(id_col, seed, F.col(imp_col), sweep, c)
+            if method(c) == "pmm":
+                fitted = {k: f[0] for k, f in fits.items()}
+                ends = {
+                    k: tuple(b[0] + sum(f(b[i] * span[f"lo_{x}"], b[i] * span[f"hi_{x}"]) for i, x in enumerate(feats, start=1)) for f in (min, max))
+                    for k, b in fitted.items()
+                }
+                lo = _by_chain(imp_col, {k: float(e[0]) for k, e in ends.items()})
+                width = _by_chain(imp_col, {k: float(max(e[1] - e[0], 1e-9)) / PMM_BINS for k, e in ends.items()})
+                place = lambda v: F.least(F.greatest(F.floor((v - lo) / width), F.lit(0)), F.lit(PMM_BINS - 1)).cast("int")
+                donors = _donors(stack.dropna(subset=feats), c, imp_col, place(_linear(imp_col, feats, fitted)))
+                matched = stack.withColumn("__b", place(drawn)).join(donors, [imp_col, "__b"], "left")
+                value = F.get("__vals", F.least(F.size(F.filter("__cum", lambda s: s < u)), F.size("__vals") - 1))
+            elif method(c) == "logreg":
+                # the drawn linear fit of a 0/1 target is its probability, kept inside (0, 1)
+                matched, value = stack, (u < F.least(F.greatest(drawn, F.lit(0.001)), F.lit(0.999))).cast("double")
+            else:
+                noise = _by_chain(imp_col, {k: f[2] for k, f in fits.items()}) * _normal_from_hash(id_col, seed, F.col(imp_col), sweep, c)
+                matched, value = stack, F.least(F.greatest(drawn + noise, F.lit(span[f"lo_{c}"])), F.lit(span[f"hi_{c}"]))
+            stack = matched.withColumn(c, F.when(F.col(f"__miss_{c}"), F.coalesce(value, F.col(c))).otherwise(F.col(c))).select(*names)
+        stack = stack.checkpoint()
+        stats = stack.groupBy(imp_col).agg(*[f(c).alias(f"{c}__{k}") for c in targets for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+        traces.append(stats.select(imp_col, F.lit(sweep).alias("sweep"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("variable"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("sd")) for c in targets
+        ]))))
+    out = stack.select(id_col, imp_col, *[F.col(c).cast(df.schema[c].dataType) if c in targets else F.col(c) for c in cols])
+    return out, reduce(DataFrame.unionByName, traces)

@@ -14,8 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavekit.functions.scalars import attach
-
 
 @dataclass(frozen=True)
 class RunConfig:
@@ -40,14 +38,6 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def balanced_weights(df: DataFrame, label: str = "label", dst: str = "class_weight") -> DataFrame:
-    """class_weight = n / (k · n_c) (the 'balanced' rule); one small aggregate joined back."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    w = attach(counts, tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(dst))
-    return df.join(F.broadcast(w), label)
-
-
 def logit_penalized(df: DataFrame, features: Sequence[str], label: str = "label", C: float = 1.0, l1_ratio: float = 0.0,
                     weight: str | None = None, family: str = "binomial", max_iter: int = 200):
     """LogisticRegression with regParam = 1/(C·n), elasticNetParam = l1_ratio, no internal standardisation.
@@ -183,6 +173,17 @@ def stacking(df: DataFrame, bases: Mapping[str, callable], fold_col: str = "fold
     return meta, names, wide
 
 
+def stack_scores(meta, fitted: Mapping[str, object], df: DataFrame, label: str = "label", id_col: str = "row_id") -> DataFrame:
+    """(id, label, one score per base, prob of the stack) of rows that no base or meta-model was fitted on."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = df
+    for name, model in fitted.items():
+        out = model.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    out = meta.transform(assemble(out.select(id_col, label, *fitted), list(fitted), "meta_features"))
+    return out.select(id_col, label, *fitted, vector_to_array("probability")[1].alias("prob"))
+
+
 def stack_weights(meta, names: Sequence[str], spark) -> DataFrame:
     """Meta-model coefficient per base learner, ordered by |coef|."""
     rows = [(n, float(c), abs(float(c))) for n, c in zip(names, meta.coefficients)]

@@ -200,6 +200,18 @@ def logit(
     return LogitFit(model, variables, beta, se, coefs, stats)
 
 
+def nested_logits(df: DataFrame, y: str, sets: Sequence[Sequence[str]], weight: str | None = None) -> DataFrame:
+    """Plain logits on nested predictor sets over the rows that are complete for the largest one: fit statistics and
+    the LR test of each model against the one before."""
+    from functools import reduce
+
+    from wavekit.operators.inference import lr_test
+
+    rows = df.dropna(subset=list(dict.fromkeys(f for s in sets for f in s)))
+    fits = [logit(rows, y, list(s), weight=weight, model=f"model_{i}").stats.withColumn("model_no", F.lit(i)) for i, s in enumerate(sets, start=1)]
+    return lr_test(reduce(DataFrame.unionByName, fits), "model_no")
+
+
 def _fisher_se(data: DataFrame, features: Sequence[str], beta: Sequence[float]) -> list[float]:
     """√diag((XᵀWX)⁻¹), W = w·p(1−p): the (k+1)(k+2)/2 information sums in one aggregate, inverted on
     the driver (a (k+1)² matrix)."""

@@ -257,7 +257,7 @@ def target_encode(df: DataFrame, col: str, dst: str | None = None) -> tuple[Data
         .distinct()
         .withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
     )
-    out = df.join(F.broadcast(mapping), F.col(col) == F.col("value"), "left").drop("value")
+    out = df.join(mapping, F.col(col) == F.col("value"), "left").drop("value")
     out = out.withColumnRenamed("code", dst or f"{col}_code")
     return out, mapping
 

@@ -94,6 +94,52 @@ def q_class_metrics(spark, d):
     return evaluate.class_metrics(_pred3(_sc(spark, d)), "label3", "pred3")
 
 
+OVR = {"F": "prob", "O": "score_o", "P": "score_p"}
+
+
+def _ovr_sql():
+    parts = []
+    for cls, score in (("F", "prob"), ("O", "1 - prob"), ("P", "1 - abs(prob - 0.5)")):
+        parts.append(
+            f"""SELECT '{cls}' AS class, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc, CAST(sum(pos) AS BIGINT) AS support
+FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT {score} AS s, sum(CASE WHEN label3 = '{cls}' THEN 1 ELSE 0 END) AS pos,
+                   sum(CASE WHEN label3 = '{cls}' THEN 0 ELSE 1 END) AS neg FROM scored GROUP BY 1))"""
+        )
+    return with_views(
+        "WITH per AS (" + "\nUNION ALL ".join(parts) + """)
+SELECT * FROM per UNION ALL SELECT 'macro', avg(auc), CAST(sum(support) AS BIGINT) FROM per
+UNION ALL SELECT 'weighted', sum(auc * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per""",
+        "scored",
+    )
+
+
+@register("roc_auc_ovr", _ovr_sql())
+def q_roc_auc_ovr(spark, d):
+    s = _sc(spark, d).withColumns({"score_o": 1 - F.col("prob"), "score_p": 1 - F.abs(F.col("prob") - 0.5)})
+    return evaluate.roc_auc_ovr(s, "label3", OVR)
+
+
+@register(
+    "metric_set",
+    with_views(
+        f"""WITH s AS (SELECT label AS t, pred AS p FROM scored),
+per AS (SELECT c, sum(CASE WHEN t = c AND p = c THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN t = c THEN 1 ELSE 0 END) AS support,
+               sum(CASE WHEN p = c THEN 1 ELSE 0 END) AS predicted FROM (SELECT unnest([0, 1]) AS c), s GROUP BY c),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS re FROM per),
+f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM m),
+a AS ({AUC_SQL.format(score="prob", where="")})
+SELECT sum(tp) / sum(support) AS accuracy, sum(pr * support) / sum(support) AS precision, sum(re * support) / sum(support) AS recall,
+       sum(f1 * support) / sum(support) AS f1, any_value(a.auc) AS auc,
+       (SELECT -avg(label * ln(prob) + (1 - label) * ln(1 - prob)) FROM scored) AS log_loss,
+       any_value(a.n_pos) AS n_pos, any_value(a.n_neg) AS n_neg FROM f, a""",
+        "scored",
+    ),
+)
+def q_metric_set(spark, d):
+    return evaluate.metric_set(_sc(spark, d))
+
+
 @register(
     "log_loss",
     with_views(

@@ -58,9 +58,8 @@ def prepared(spark, d):
 
 
 def _auc_row(name, model, test):
-    return evaluate.roc_auc(ml.probability(model, test, "label", "row_id"), "label", "prob").select(
-        F.lit(name).alias("model"), "auc", "n_pos", "n_neg"
-    )
+    """Metric set of a fitted member on the held-out rows."""
+    return evaluate.metric_set(ml.probability(model, test, "label", "row_id")).withColumn("model", F.lit(name))
 
 
 @register("logit_l2")
@@ -74,22 +73,10 @@ def _slots(meta):
     return [r[0] for r in meta.orderBy("slot_index").select("slot").collect()]
 
 
-_LASSO: dict = {}
-
-
-def _best_lasso(spark, d):
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _LASSO:
-        coefs, trials = _search_lasso(spark, d)
-        # both are small result tables: keep them materialised for reuse by lasso_select
-        _LASSO[key] = (spark.createDataFrame(coefs.collect(), coefs.schema), spark.createDataFrame(trials.collect(), trials.schema))
-    return _LASSO[key]
-
-
 def _search_lasso(spark, d):
     from pyspark.ml.classification import LogisticRegression
 
-    train, test, _, meta = prepared(spark, d)
+    train, _, _, meta = prepared(spark, d)
     n = train.count()
     est = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=1.0, standardization=False)
     trials = ml.search(train, est, [{"regParam": 1.0 / (c * n)} for c in C_GRID], "fold")
@@ -100,7 +87,7 @@ def _search_lasso(spark, d):
 
 @register("logit_lasso")
 def q_logit_lasso(spark, d):
-    return _best_lasso(spark, d)[0]
+    return _search_lasso(spark, d)[0]
 
 
 @register("search_grid")
@@ -109,7 +96,7 @@ def q_search_grid(spark, d):
 
     train, _, _, _ = prepared(spark, d)
     est = RandomForestClassifier(featuresCol="features", labelCol="label", seed=SEED)
-    return ml.search(train.cache(), est, ml.grid({"maxDepth": [3, 6], "numTrees": [20, 50]}), "fold")
+    return ml.search(train, est, ml.grid({"maxDepth": [3, 6], "numTrees": [20, 50]}), "fold")
 
 
 @register("search_random")
@@ -119,12 +106,12 @@ def q_search_random(spark, d):
     train, _, _, _ = prepared(spark, d)
     est = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED)
     space = {"maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "maxIter": [10, 20, 30], "subsamplingRate": [0.7, 1.0]}
-    return ml.search(train.cache(), est, ml.random_grid(space, ml.RunConfig(preset="fast").n_draws // 2, SEED), "fold")
+    return ml.search(train, est, ml.random_grid(space, ml.RunConfig(preset="fast").n_draws, SEED), "fold")
 
 
 @register("lasso_select")
 def q_lasso_select(spark, d):
-    return ml.lasso_select(_best_lasso(spark, d)[0])
+    return ml.lasso_select(_search_lasso(spark, d)[0])
 
 
 @register("logit_poly")
@@ -158,7 +145,7 @@ def q_logit_multinomial(spark, d):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    lambdas = [10 ** (-k / 2) for k in range(2, 12)]  # penalty path, strongest first
+    lambdas = [10 ** (-1 - k / 10) for k in range(50)]  # penalty path, strongest first
     grid = ParamGridBuilder().addGrid(est.regParam, lambdas).build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="label"),
                         foldCol="fold", numFolds=5, parallelism=4).fit(df)
@@ -207,7 +194,6 @@ def q_gbt_panel(spark, d):
 
 def _trained_panel(spark, d):
     train, test, _, _ = prepared(spark, d)
-    train = train.cache()
     members = {n: f(train) for n, f in _panel(train, test).items()}
     members.update(ml.gbt_panel(train, seed=SEED))
     return train, test, members
@@ -220,30 +206,32 @@ def q_train_panel(spark, d):
     return ranking.model_leaderboard(rows, "auc", baseline="logit_l2")
 
 
-def _stack(spark, d):
-    train, test, _, _ = prepared(spark, d)
-    train = train.cache()
-    bases = {
-        "logit_l2": lambda tr: ml.logit_penalized(tr, [], C=1.0)[0],
-        "random_forest": lambda tr: ml.random_forest(tr, num_trees=50, max_depth=6, seed=SEED),
-        "gbt": lambda tr: ml.gbt(tr, max_iter=30, max_depth=3, seed=SEED),
-    }
-    return ml.stacking(train, bases, "fold", "label", 5, "row_id")
+#: Six kinds of base learners.
+STACK_BASES = {
+    "logit_l2": lambda tr: ml.logit_penalized(tr, [], C=1.0)[0],
+    "logit_lasso": lambda tr: ml.logit_penalized(tr, [], C=0.1, l1_ratio=1.0)[0],
+    "random_forest": lambda tr: ml.random_forest(tr, num_trees=50, max_depth=6, seed=SEED),
+    "gbt": lambda tr: ml.gbt(tr, max_iter=20, max_depth=3, seed=SEED),
+    "gbt_binned": lambda tr: ml.gbt(tr, max_iter=20, max_depth=3, max_bins=128, seed=SEED),
+    "boost_a": lambda tr: ml.gbt(tr, max_iter=20, max_depth=4, subsample=0.8, subset="onethird", seed=SEED),
+}
 
 
 @register("stacking")
 def q_stacking(spark, d):
-    meta, names, oof = _stack(spark, d)
-    scored = meta.transform(ml.assemble(oof, names, "meta_features"))
-    from pyspark.ml.functions import vector_to_array
-
-    return evaluate.roc_auc(scored.withColumn("prob", vector_to_array("probability")[1]), "label", "prob").select(
-        F.lit("stacking_oof").alias("model"), "auc", "n_pos", "n_neg")
+    """Meta-model on out-of-fold scores of the training rows; metrics of the stack and of each base on the test
+    rows, which none of them has seen."""
+    train, test, _, _ = prepared(spark, d)
+    meta, names, _ = ml.stacking(train, STACK_BASES, "fold", "label", 5, "row_id")
+    scored = ml.stack_scores(meta, {n: STACK_BASES[n](train) for n in names}, test).checkpoint()
+    rows = [evaluate.metric_set(scored, "label", c).withColumn("model", F.lit(n)) for n, c in [("stacking", "prob"), *((n, n) for n in names)]]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @register("stack_weights")
 def q_stack_weights(spark, d):
-    meta, names, _ = _stack(spark, d)
+    train, _, _, _ = prepared(spark, d)
+    meta, names, _ = ml.stacking(train, STACK_BASES, "fold", "label", 5, "row_id")
     return ml.stack_weights(meta, names, spark)
 
 
@@ -289,45 +277,89 @@ def _survey_complete(spark, d):
     return recode.filter_complete(timed(spark, d), SURVEY_FEATS)
 
 
-def _logit_auc(df, feats, name, test=None):
-    """Plain (cell-collapsed) logit on ``df``; AUC of its probabilities on ``test`` (or ``df``)."""
-    fit = models.logit(df, "y", feats, model=name)
-    target = test if test is not None else df
-    scored = target.withColumn("prob", fit.probability())
-    auc = evaluate.roc_auc(scored, "y", "prob").select("auc")
-    return fit, attach(fit.stats, auc)
+def _held_out_logit(train, test, feats, name):
+    """Plain (cell-collapsed) logit on the training rows; its fit statistics there and its metric set on the test
+    rows."""
+    fit = models.logit(train, "y", feats, model=name)
+    scores = evaluate.metric_set(test.withColumn("prob", fit.probability()), "y", "prob")
+    return attach(fit.stats, scores).withColumn("n_features", F.lit(len(feats)))
+
+
+def _survey_split(spark, d):
+    df = split.split_stratified(_survey_complete(spark, d), "respondent_id", ["y"], 0.2, SEED).checkpoint()
+    return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+
+
+def _survey_importances(train):
+    """(model, feature, importance) of a forest, a boosting and a standardised logit on the training rows."""
+    va = ml.assemble(train, SURVEY_FEATS).withColumnsRenamed({"y": "label", "respondent_id": "row_id"})
+    spark = train.sparkSession
+    trees = {"random_forest": ml.random_forest(va, num_trees=50, max_depth=6, seed=SEED), "gbt": ml.gbt(va, max_iter=30, max_depth=4, seed=SEED)}
+    imps = [ml.feature_importances(m, SURVEY_FEATS, spark, n).withColumnRenamed("slot", "feature") for n, m in trees.items()]
+    sd = train.agg(*[F.stddev_pop(c).alias(c) for c in SURVEY_FEATS]).first()
+    beta = models.logit(train, "y", SURVEY_FEATS, model="logit").coefficients.where("variable <> 'intercept'")
+    scale = F.create_map(*[x for c in SURVEY_FEATS for x in (F.lit(c), F.lit(float(sd[c])))])
+    imps.append(beta.select("model", F.col("variable").alias("feature"), F.abs(F.col("beta") * scale[F.col("variable")]).alias("importance")))
+    return reduce(DataFrame.unionByName, imps).checkpoint()
+
+
+def _consensus_sets(imps, k=3):
+    """Nested feature sets by consensus tier: [[tier 1], [tiers 1-2], ...] (sets that add nothing are left out)."""
+    tiers = ranking.consensus_tiers(ranking.rank_by_model(imps), k=k)
+    rows = ranking.nested_sets(tiers).collect()  # features x tiers
+    sets: dict[int, list[str]] = {}
+    for r in rows:
+        sets.setdefault(r.set_no, []).append(r.feature)
+    out: list[list[str]] = []
+    for no in sorted(sets):
+        feats = [f for f in SURVEY_FEATS if f in sets[no]]
+        if not out or len(feats) > len(out[-1]):
+            out.append(feats)
+    return out
 
 
 @register("baseline_panel")
 def q_baseline_panel(spark, d):
-    """Feature sets — theory list, lasso-selected, top by forest importance, all — each refit as a plain logit."""
+    """Five feature sets — theory list, lasso-selected, top by boosting importance, consensus, all — each refit as a
+    plain logit on the training rows and scored on the test rows."""
     from pyspark.ml.classification import LogisticRegression
 
-    df = _survey_complete(spark, d).cache()
-    n = df.count()
-    va = ml.assemble(df, SURVEY_FEATS)
+    train, test = _survey_split(spark, d)
+    n = train.count()
     lasso = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (0.01 * n), elasticNetParam=1.0,
-                               standardization=True).fit(va)
+                               standardization=True).fit(ml.assemble(train, SURVEY_FEATS))
     lasso_sel = [f for f, b in zip(SURVEY_FEATS, lasso.coefficients) if abs(b) > 1e-5] or SURVEY_FEATS[:1]
-    rf = ml.random_forest(va.withColumnRenamed("y", "label"), num_trees=50, max_depth=6, seed=SEED)
-    top = [f for _, f in sorted(zip(rf.featureImportances.toArray(), SURVEY_FEATS), reverse=True)[:3]]
-    sets = {"theory": ["sex", "marijuana12", "alcohol12"], "lasso": lasso_sel, "boosted_top": top, "all": SURVEY_FEATS}
-    rows = [_logit_auc(df, feats, name)[1].withColumn("n_features", F.lit(len(feats))) for name, feats in sets.items()]
-    return reduce(DataFrame.unionByName, rows)
+    imps = _survey_importances(train)
+    top = [r.feature for r in ranking.top_n(imps.where("model = 'gbt'"), "importance", 3, "feature").collect()]
+    sets = {"theory": ["sex", "marijuana12", "alcohol12"], "lasso": lasso_sel, "boosted_top": top,
+            "consensus": _consensus_sets(imps)[-1], "all": SURVEY_FEATS}
+    return reduce(DataFrame.unionByName, [_held_out_logit(train, test, feats, name) for name, feats in sets.items()])
 
 
 @register("incremental_value")
 def q_incremental_value(spark, d):
-    """Cumulative tiers of predictors: n features, AUC, logL, AIC, gain in AUC and LR test against the previous tier."""
-    df = _survey_complete(spark, d).cache()
-    tiers = [SURVEY_FEATS[: i + 1] for i in range(len(SURVEY_FEATS))]
-    rows = [
-        _logit_auc(df, feats, f"tier_{i}")[1].withColumn("tier", F.lit(i)).withColumn("n_features", F.lit(len(feats)))
-        for i, feats in enumerate(tiers, start=1)
-    ]
-    fits = reduce(DataFrame.unionByName, rows)
-    out = inference.lr_test(fits, "tier")
-    return ranking.adjacent_compare(out, "tier", ["auc"])
+    """Consensus tiers added one after the other: fit statistics and LR test against the tier before on the
+    training rows; held-out AUC, its gain over the tier before and over the first, and the z test against it."""
+    train, test = _survey_split(spark, d)
+    sets = _consensus_sets(_survey_importances(train))
+    if sets[-1] != SURVEY_FEATS:
+        sets.append(SURVEY_FEATS)
+    rows = [_held_out_logit(train, test, feats, f"tier_{i}").withColumn("tier", F.lit(i)) for i, feats in enumerate(sets, start=1)]
+    fits = reduce(DataFrame.unionByName, rows).checkpoint()
+    out = ranking.adjacent_compare(inference.lr_test(fits, "tier"), "tier", ["auc"])
+    first = fits.where("tier = 1").select(F.col("auc").alias("auc_first"))
+    out = attach(out, first).withColumn("auc_gain_first", F.col("auc") - F.col("auc_first"))
+    n = F.col("n_pos") + F.col("n_neg")
+    se = F.sqrt((F.col("auc") * (1 - F.col("auc")) + F.col("auc_first") * (1 - F.col("auc_first"))) / n)
+    return out.withColumn("p_first", F.when(F.col("tier") > 1, inference.dist.two_sided_p(F.col("auc_gain_first") / se)))
+
+
+@register("nested_models")
+def q_nested_models(spark, d):
+    """Logits on the nested consensus sets, same complete rows, with adjacent LR tests."""
+    df = _survey_complete(spark, d).checkpoint()
+    sets = _consensus_sets(_survey_importances(df))
+    return models.nested_logits(df, "y", sets)
 
 
 @register("temporal_validation")
@@ -335,13 +367,9 @@ def q_temporal_validation(spark, d):
     """Panel fitted on the early waves, scored on the late waves."""
     df = split.split_temporal(_survey_complete(spark, d), "wave", 1999, 2000)
     feats = [f for f in SURVEY_FEATS if f != "time"]
-    va = ml.assemble(df, feats).withColumnRenamed("y", "label").withColumnRenamed("respondent_id", "row_id").cache()
+    va = ml.assemble(df, feats).withColumnRenamed("y", "label").withColumnRenamed("respondent_id", "row_id").checkpoint()
     train, test = va.where(F.col("split") == "train"), va.where(F.col("split") == "test")
-    members = {
-        "logit_l2": ml.logit_penalized(train, feats, C=1.0)[0],
-        "random_forest": ml.random_forest(train, num_trees=50, max_depth=6, seed=SEED),
-        "gbt": ml.gbt(train, max_iter=30, max_depth=3, seed=SEED),
-    }
+    members = {n: fit(train) for n, fit in STACK_BASES.items()}
     return reduce(DataFrame.unionByName, [_auc_row(n, m, test) for n, m in members.items()])
 
 
@@ -350,7 +378,7 @@ def q_robust_imputation(spark, d):
     """Forest AUC by imputation strategy (fitted on the training split), difference from the median baseline."""
     keys = list(fx.KEY_VARS)
     df = split.split_stratified(timed(spark, d), "respondent_id", ["y"], 0.2, SEED).withColumnRenamed("y", "label")
-    df = df.withColumnRenamed("respondent_id", "row_id").cache()
+    df = df.withColumnRenamed("respondent_id", "row_id").checkpoint()
     rows = []
     for strategy, fill in [("median", None), ("mean", None), ("most_frequent", None), ("constant", 0)]:
         tr, te, _ = impute.impute_simple(df.where(F.col("split") == "train"), df.where(F.col("split") == "test"), keys,
@@ -366,7 +394,7 @@ def q_robust_imputation(spark, d):
 @register("repeat_splits")
 def q_repeat_splits(spark, d):
     """Ten seeds: stratified split, plain logit refit, test AUC; summary over seeds."""
-    df = _survey_complete(spark, d).cache()
+    df = _survey_complete(spark, d).checkpoint()
     rows = []
     for seed in range(10):
         s = split.split_stratified(df, "respondent_id", ["y"], 0.2, seed)
@@ -381,7 +409,7 @@ def q_permutation_importance(spark, d):
     df = _survey_complete(spark, d)
     fit = models.logit(df, "y", SURVEY_FEATS, model="all")
     predict = lambda x: x.withColumn("prob", fit.probability())
-    return attribution.permutation_importance(df, ["marijuana12", "sex", "time"], predict, "respondent_id", "y", repeats=5)
+    return attribution.permutation_importance(df, SURVEY_FEATS, predict, "respondent_id", "y", repeats=5)
 
 
 @register("pdp_panel")
@@ -389,7 +417,7 @@ def q_pdp_panel(spark, d):
     """PDP of the outcome over alcohol12 levels for a plain logit and a forest, stacked with a model column."""
     from pyspark.ml.functions import vector_to_array
 
-    df = _survey_complete(spark, d).cache()
+    df = _survey_complete(spark, d).checkpoint()
     fit = models.logit(df, "y", SURVEY_FEATS, model="logit")
     logit_pred = lambda x: x.withColumn("prob", fit.probability())
     rf = ml.random_forest(ml.assemble(df, SURVEY_FEATS).withColumnRenamed("y", "label"), num_trees=50, max_depth=6, seed=SEED)

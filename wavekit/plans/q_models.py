@@ -338,6 +338,25 @@ FROM ({rows}) m, LATERAL (SELECT {wald_cols('m.beta', 'm.se')}) w,
     )
 
 
+@register(
+    "flagship",
+    _sql(
+        """SELECT p.wave, p.prevalence, p.n, p.sd, p.sd / sqrt(p.n) AS se, p.prevalence - 1.96 * p.sd / sqrt(p.n) AS ci_lower,
+       p.prevalence + 1.96 * p.sd / sqrt(p.n) AS ci_upper, c.post, 1 / (1 + exp(-(b0 + b1 * time + b2 * post + b3 * post_time))) AS its_fitted,
+       p.prevalence - 1 / (1 + exp(-(b0 + b1 * time + b2 * post + b3 * post_time))) AS residual
+FROM (SELECT wave, avg(y) AS prevalence, count(*) AS n, stddev_samp(y) AS sd FROM timed GROUP BY wave) p
+JOIN fc c ON p.wave = c.wave, fl_fit""",
+        """fc AS MATERIALIZED (SELECT wave, time, post, post_time, count(*) AS n, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy
+  FROM timed GROUP BY wave, time, post, post_time)""",
+        newton_multi("fc", "fl", ["time", "post", "post_time"]),
+    ),
+)
+def q_flagship(spark, d):
+    from wavekit.plans.flagship import flagship
+
+    return flagship(spark, d)
+
+
 @register("gender_interactions", _interaction_sql(GENDER_MAIN, GENDER_PRODUCTS, "gender"))
 def q_gender_interactions(spark, d):
     """Do marijuana and alcohol matter differently by sex? (df 2)"""
@@ -370,6 +389,18 @@ def q_se_design_effect(spark, d):
     return inference.se_design_effect(coefs, deff)
 
 
+def _auc_of(fit: str) -> str:
+    """AUC of a fitted trend over all rows, from its year cells."""
+    return f"""(SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) FROM (
+  SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM (SELECT 1 / (1 + exp(-(b0 + b1 * time))) AS p, sum(y) AS pos, count(*) - sum(y) AS neg FROM timed, {fit} GROUP BY 1)))"""
+
+
+def _log_loss_of(fit: str) -> str:
+    return f"""(SELECT -avg(y * ln(p) + (1 - y) * ln(1 - p))
+  FROM (SELECT y, 1 / (1 + exp(-(b0 + b1 * time))) AS p FROM timed, {fit}))"""
+
+
 @register(
     "model_summary",
     _sql(
@@ -378,8 +409,9 @@ def q_se_design_effect(spark, d):
 FROM (SELECT model, n_obs, CAST(2 AS INT) AS n_params, loglik,
              sum_wy * ln(sum_wy / sum_w) + (sum_w - sum_wy) * ln(1 - sum_wy / sum_w) AS null_loglik, sum_w,
              4 - 2 * loglik AS aic, 2 * ln(n_obs) - 2 * loglik AS bic,
-             1 - loglik / (sum_wy * ln(sum_wy / sum_w) + (sum_w - sum_wy) * ln(1 - sum_wy / sum_w)) AS mcfadden_r2, b1, se1
-      FROM (SELECT 'time' AS model, * FROM mu_fit UNION ALL SELECT 'time_weighted', * FROM mw_fit)) f""",
+             1 - loglik / (sum_wy * ln(sum_wy / sum_w) + (sum_w - sum_wy) * ln(1 - sum_wy / sum_w)) AS mcfadden_r2, b1, se1, auc, log_loss
+      FROM (SELECT 'time' AS model, *, {_auc_of('mu_fit')} AS auc, {_log_loss_of('mu_fit')} AS log_loss FROM mu_fit
+            UNION ALL SELECT 'time_weighted', *, {_auc_of('mw_fit')}, {_log_loss_of('mw_fit')} FROM mw_fit)) f""",
         _cells("cu"),
         newton_ctes("cu", "mu"),
         _cells("cw", weight="weight"),
@@ -387,10 +419,15 @@ FROM (SELECT model, n_obs, CAST(2 AS INT) AS n_params, loglik,
     ).replace("SELECT f.*,", "SELECT f.* EXCLUDE (b1, se1),"),
 )
 def q_model_summary(spark, d):
+    from wavekit.operators import evaluate
+
+    df = timed(spark, d)
     fits = [_fit_time(spark, d, model="time"), _fit_time(spark, d, weight="weight", model="time_weighted")]
     coefs = reduce(DataFrame.unionByName, [f.coefficients for f in fits])
-    stats = reduce(DataFrame.unionByName, [f.stats for f in fits])
-    return inference.model_summary(coefs, stats)
+    scores = [df.withColumn("prob", f.probability()) for f in fits]
+    stats = [attach(attach(f.stats, evaluate.roc_auc(s, "y", "prob").select("auc")), evaluate.log_loss(s, "y", "prob").select("log_loss"))
+             for f, s in zip(fits, scores)]
+    return inference.model_summary(coefs, reduce(DataFrame.unionByName, stats))
 
 
 NESTED = [["time"], ["time", "sex"], ["time", "sex", "marijuana12"], ["time", "sex", "marijuana12", "alcohol12"],
@@ -398,15 +435,32 @@ NESTED = [["time"], ["time", "sex"], ["time", "sex", "marijuana12"], ["time", "s
           ["time", "sex", "marijuana12", "alcohol12", "cigarette12", "region"]]
 
 
-@register("nested_models")
-def q_nested_models(spark, d):
-    """Six cumulative predictor sets on the same complete-case rows, with adjacent LR tests."""
-    df = recode.filter_complete(timed(spark, d), NESTED[-1])
-    fits = [models.logit(df, "y", feats, model=f"model_{i}") for i, feats in enumerate(NESTED, start=1)]
-    stats = reduce(DataFrame.unionByName, [f.stats for f in fits]).withColumn(
-        "model_no", F.regexp_extract("model", r"(\d+)$", 1).cast("int")
+def _nested_sql():
+    keys = NESTED[-1]
+    cells = (
+        f"nc AS MATERIALIZED (SELECT {', '.join(keys)}, count(*) AS n, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy FROM timed WHERE "
+        + " AND ".join(f"{k} IS NOT NULL" for k in keys) + f" GROUP BY {', '.join(keys)})"
+    )
+    fits = [newton_multi("nc", f"n{i}", feats) for i, feats in enumerate(NESTED, start=1)]
+    rows = " UNION ALL ".join(
+        f"SELECT 'model_{i}' AS model, {i} AS model_no, {len(feats) + 1} AS n_params, loglik FROM n{i}_fit" for i, feats in enumerate(NESTED, start=1)
     )
-    return inference.lr_test(stats, "model_no")
+    return _sql(
+        f"""SELECT model, CAST(model_no AS INT) AS model_no, n_obs, CAST(n_params AS INT) AS n_params, loglik, null_loglik, sum_w,
+       2 * n_params - 2 * loglik AS aic, n_params * ln(n_obs) - 2 * loglik AS bic, 1 - loglik / null_loglik AS mcfadden_r2,
+       lr_stat, CAST(lr_df AS INT) AS lr_df, {chi2_sf_sql('lr_stat', 'lr_df')} AS lr_p
+FROM (SELECT *, 2 * (loglik - lag(loglik) OVER (ORDER BY model_no)) AS lr_stat, n_params - lag(n_params) OVER (ORDER BY model_no) AS lr_df
+      FROM ({rows}), (SELECT CAST(sum(n) AS BIGINT) AS n_obs, sum(w) AS sum_w,
+                             sum(wy) * ln(sum(wy) / sum(w)) + (sum(w) - sum(wy)) * ln(1 - sum(wy) / sum(w)) AS null_loglik FROM nc))""",
+        cells,
+        *fits,
+    )
+
+
+@register("nested_models_listed", _nested_sql())
+def q_nested_models_listed(spark, d):
+    """Six cumulative predictor sets on the same complete-case rows, with adjacent LR tests."""
+    return models.nested_logits(timed(spark, d), "y", NESTED)
 
 
 @register(

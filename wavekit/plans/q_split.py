@@ -3,6 +3,9 @@ imputations (§2.9)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavekit.functions.hashing import poisson1_cutpoints
@@ -226,7 +229,9 @@ def q_preprocess_pipeline(spark, d):
     to the number of non-zero values per slot (a data-sized check of the assembled vectors)."""
     s = _split(spark, d)
     model, meta = prep.preprocess_pipeline(s.where(F.col("split") == "train"), ["survey_weight", *KEYS], ["race", "region"])
-    vec = model.transform(s).select(F.posexplode(F.udf(lambda v: [float(x) for x in v.toArray()], "array<double>")("features")))
+    from pyspark.ml.functions import vector_to_array
+
+    vec = model.transform(s).select(F.posexplode(vector_to_array("features")))
     nz = vec.groupBy(F.col("pos").alias("slot_index")).agg(F.count_if(F.col("col") != 0).alias("n_nonzero"))
     return meta.join(nz, "slot_index", "left")
 
@@ -400,16 +405,49 @@ def q_lr_test_mi(spark, d):
     return inference.lr_test_mi(null.unionByName(full), "imp", "model_no")
 
 
+MICE_PREDICTORS = ["sex", "region", "wave", "y"]
+
+
+def _mice(spark, d, sweeps=20):
+    return impute.mice(fx.survey_clean(spark, d), "respondent_id", KEYS, MICE_PREDICTORS, m=fx.N_IMPUTATIONS, sweeps=sweeps, seed=SEED)
+
+
 @register("mice")
 def q_mice(spark, d):
-    """Chained equations (M = 5 chains, 5 sweeps) on the three key variables."""
-    df = fx.survey_clean(spark, d)
-    out, _ = impute.mice(df, "respondent_id", KEYS, ["sex", "region", "wave", "y"], m=5, sweeps=5, seed=SEED)
-    return out
+    """Chained equations (M = 5 chains, 20 sweeps) on the three key variables."""
+    return _mice(spark, d)[0]
 
 
 @register("mice_trace")
 def q_mice_trace(spark, d):
-    df = fx.survey_clean(spark, d)
-    _, trace = impute.mice(df, "respondent_id", KEYS, ["sex", "region", "wave", "y"], m=5, sweeps=5, seed=SEED)
-    return trace
+    """Mean and sd per chain, sweep and variable over the first 10 sweeps."""
+    return _mice(spark, d, sweeps=10)[1]
+
+
+@register(
+    "mice_invariants",
+    with_views(
+        "\nUNION ALL ".join(
+            f"""SELECT CAST(imp AS INT) AS imp, '{v}' AS variable, count(*) AS n_rows, count(*) - count({v}) AS n_imputed,
+       CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_foreign
+FROM survey_clean, (SELECT unnest(range(1, {fx.N_IMPUTATIONS + 1})) AS imp) GROUP BY imp"""
+            for v in KEYS
+        ),
+        "survey_clean",
+    ),
+)
+def q_mice_invariants(spark, d):
+    """Per chain and variable: rows, imputed cells, and how many are still null, changed an observed cell or hold a
+    code that nobody gave (all 0)."""
+    before = fx.survey_clean(spark, d).select(F.col("respondent_id"), *[F.col(c).alias(f"o_{c}") for c in KEYS])
+    both = _mice(spark, d, sweeps=2)[0].join(before, "respondent_id")
+    parts = []
+    for c in KEYS:
+        codes = [r[0] for r in before.select(f"o_{c}").where(F.col(f"o_{c}").isNotNull()).distinct().collect()]  # a coded item
+        old, new = F.col(f"o_{c}"), F.col(c)
+        parts.append(both.groupBy("imp").agg(
+            F.lit(c).alias("variable"), F.count(F.lit(1)).alias("n_rows"), F.count_if(old.isNull()).alias("n_imputed"),
+            F.count_if(new.isNull()).alias("n_null"), F.count_if(old.isNotNull() & (old != new)).alias("n_changed"),
+            F.count_if(~new.isin(codes)).alias("n_foreign"),
+        ))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "wavekit") -> SparkSession:
@@ -50,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: what is derived from it reads it instead of computing it again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for tables written by a job (never machine-local)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
