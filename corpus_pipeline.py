@@ -87,10 +87,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    from wavekit.llm.pieces import MODEL_FILE, PieceTable, decode_pieces, encode_pieces
+    from wavekit.llm.pieces import MODEL_FILE, PieceTable, encode_pieces
 
     table = PieceTable.from_model(MODEL_FILE)
-    coded = decode_pieces(encode_pieces(docs.select("doc_id", "source", "lang", whole_text("text").alias("text")), table), table)
+    coded = encode_pieces(docs.select("doc_id", "source", "lang", whole_text("text").alias("text")), table, decoded_col="decoded")
     return coded.select("doc_id", "source", "lang", "ids", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

@@ -388,6 +388,8 @@ def test_piece_rows(edge, clashing, empty, table):
     for docs in (edge, clashing):
         got = pieces.decode_pieces(pieces.encode_pieces(docs, table), table).collect()
         assert Counter((r.doc_id, r.decoded) for r in got) == Counter((r[0], r[1] or "") for r in edge_rows())
+        once = pieces.encode_pieces(docs, table, decoded_col="decoded").collect()
+        assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in once) == Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got)
     assert pieces.encode_pieces(empty, table).count() == 0
 
 

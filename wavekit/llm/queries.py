@@ -72,11 +72,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
     """Per document: tokens, byte-fallback tokens, a digest of the ids, and whether decoding gives the text back."""
-    from wavekit.llm.pieces import MODEL_FILE, PieceTable, decode_pieces, encode_pieces
+    from wavekit.llm.pieces import MODEL_FILE, PieceTable, encode_pieces
 
     table = PieceTable.from_model(model_file or MODEL_FILE)
     text = F.coalesce("text", F.lit(""))
-    coded = decode_pieces(encode_pieces(read_documents(spark, sf_dir).select("doc_id", text.alias("text")), table), table)
+    coded = encode_pieces(read_documents(spark, sf_dir).select("doc_id", text.alias("text")), table, decoded_col="decoded")
     lo, hi = int(table.byte_ids.min()), int(table.byte_ids.max())
     return coded.select(
         "doc_id",
