@@ -135,6 +135,20 @@ def attr_pairwise(pair_phi: DataFrame, meta: DataFrame | None = None, n_rows: Da
     )
 
 
+def attr_pairwise_centred(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """mean|cᵢ·cⱼ| of centred columns per unordered feature pair, over the rows where both are present: the means,
+    then one wide aggregate (no row per pair)."""
+    feats = list(features)
+    j = attach(df, df.agg(*[F.avg(F.col(f).cast("double")).alias(f"__m_{f}") for f in feats]))
+    c = {f: F.col(f).cast("double") - F.col(f"__m_{f}") for f in feats}
+    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
+    row = j.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.abs(c[a] * c[b])).alias(f"s{k}") for k, (a, b) in enumerate(pairs)])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(min(p)).alias("b1"), F.lit(max(p)).alias("b2"), (F.col(f"s{k}") / F.col("n")).alias("value"))
+        for k, p in enumerate(pairs)
+    ])))
+
+
 def attr_pairwise_matrix(df: DataFrame, col: str, slots: Sequence[str], meta: Mapping[str, str]) -> DataFrame:
     """Per-row p×p interaction matrices (array<array<double>>) → per base pair Σ|φᵢⱼ| partial sums inside each
     Arrow batch (``mapInPandas``), then one small ``groupBy`` — the p² tensor never leaves the executor."""
@@ -164,13 +178,13 @@ def attr_pairwise_matrix(df: DataFrame, col: str, slots: Sequence[str], meta: Ma
 
 def three_way_proxy(pairs: DataFrame, value: str = "value") -> DataFrame:
     """Per base triple a < b < c: 2 × (v_ab + v_ac + v_bc) (sum of pairwise values, both directions);
-    missing pairs count 0. The base features (a model-sized list) are enumerated into triples on the driver;
-    the three pair values are equi-joined from the small pair table."""
-    from itertools import combinations
-
+    missing pairs count 0. Each feature meets the later ones of the sorted list (a model-sized array); the three
+    pair values are equi-joined from the small pair table."""
     p = pairs.select("b1", "b2", F.col(value).alias("v"))
-    feats = sorted(r[0] for r in p.select(F.col("b1").alias("f")).union(p.select(F.col("b2").alias("f"))).distinct().collect())
-    tri = pairs.sparkSession.createDataFrame(list(combinations(feats, 3)), "f1 string, f2 string, f3 string")
+    feats = p.select(F.col("b1").alias("f1")).union(p.select(F.col("b2"))).distinct()
+    later = lambda f: F.filter("__all", lambda x: x > F.col(f))
+    tri = attach(feats, feats.agg(F.collect_set("f1").alias("__all")))
+    tri = tri.withColumn("f2", F.explode(later("f1"))).withColumn("f3", F.explode(later("f2"))).drop("__all")
 
     def look(x, y, name):
         return p.select(F.col("b1").alias(x), F.col("b2").alias(y), F.col("v").alias(name))

@@ -132,8 +132,7 @@ PAIR_SQL = COMPLETE_SQL + ",\ncm AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}" f
 
 
 def _pairs(spark, d):
-    pp = attribution.pair_phi_centred(_complete(spark, d), PAIR_FEATURES, "respondent_id")
-    return attribution.attr_pairwise(pp, id_col="respondent_id")
+    return attribution.attr_pairwise_centred(_complete(spark, d), PAIR_FEATURES)
 
 
 def _pair_sql(body: str) -> str:

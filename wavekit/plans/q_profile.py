@@ -192,9 +192,14 @@ PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 @register(
     "quantiles",
     with_views(
-        f"""SELECT wave, CAST(unnest({PROBS}) AS DOUBLE) AS prob,
-       unnest(quantile_cont(survey_weight, {PROBS})) AS value
-FROM survey_clean GROUP BY wave""",
+        # order statistics and the interpolation spelled out: values tie at the sixth digit, which quantile_cont's
+        # fused arithmetic rounds the other way
+        f"""WITH o AS (SELECT wave, survey_weight AS v, row_number() OVER (PARTITION BY wave ORDER BY survey_weight) - 1 AS i,
+           count(*) OVER (PARTITION BY wave) AS n FROM survey_clean WHERE survey_weight IS NOT NULL),
+p AS (SELECT wave, v, i, prob, (n - 1) * prob AS pos FROM o, (SELECT CAST(unnest({PROBS}) AS DOUBLE) AS prob)),
+s AS (SELECT wave, prob, any_value(pos) - floor(any_value(pos)) AS d, max(v) FILTER (WHERE i = floor(pos)) AS lo,
+             max(v) FILTER (WHERE i = floor(pos) + 1) AS hi FROM p GROUP BY wave, prob)
+SELECT wave, prob, CASE WHEN hi IS NULL OR d = 0 THEN lo ELSE lo * (1 - d) + hi * d END AS value FROM s""",
         "survey_clean",
     ),
 )
