@@ -139,6 +139,19 @@ def test_flight_keeps_both_sums():
         assert abs(sum(q) - sum(p)) < 1e-5 and abs(np.dot(q, size) - np.dot(p, size)) < 1e-3
 
 
+def test_large_rows_are_decided_first_and_both_sums_stay():
+    r = np.random.default_rng(3)
+    hits = []
+    for _ in range(300):
+        size = np.concatenate([r.integers(1, 60, 300), [20_000, 9_000]]).astype(float)
+        p = np.full(302, 0.4)
+        q = mixing._flight_of_large(p, size, r.random(302))
+        assert np.isclose(q.sum(), p.sum()) and np.isclose(q @ size, p @ size) and ((q >= 0) & (q <= 1)).all()
+        hits.append(q[-1])
+    decided = [h for h in hits if h in (0, 1)]
+    assert len(decided) > 250 and abs(np.mean(hits) - 0.4) < 0.1
+
+
 def test_flight_draws_each_row_with_its_probability():
     r = np.random.default_rng(2)
     p, size = [0.3] * 30, r.integers(1, 9, 30).tolist()

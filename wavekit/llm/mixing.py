@@ -16,6 +16,8 @@ MAX_REPEAT = 3
 BLOCK_ROWS = 4096
 #: Rows of each source that the last flight leaves to the landing, besides its own two: 2¹⁶ choices are tried.
 LANDING = 14
+#: Largest rows of a block that are decided first.
+LARGE = 32
 _EPS = 1e-9
 
 
@@ -48,6 +50,36 @@ def _flight(prob: list[float], size: list[float], draws: list[float]) -> list[fl
     return p
 
 
+def _flight_of_large(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Decide the largest rows while many others can make up for them: each moves to 0 or 1 along the null-space
+    direction that spreads its words and its count over all undecided rows of the block (weights p(1 - p)). Three at
+    a time, a large row would stay undecided to the end, as small ones reach 0 or 1 long before it."""
+    p = p.copy()
+    for i in np.argsort(-size, kind="stable")[:LARGE].tolist():
+        draw = draws[i]
+        for _ in range(100):
+            open_ = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+            others = open_[open_ != i]
+            if not _EPS < p[i] < 1 - _EPS or len(others) < 4 * LANDING:
+                break
+            w, s = p[others] * (1 - p[others]), size[others]
+            g = np.minimum(s, 4 * s.mean())  # no other row moves much faster than the rest
+            a, b, c, d = w.sum(), (w * g).sum(), (w * s).sum(), (w * g * s).sum()
+            if a * d - b * c > 1e-9 * a * d:
+                # moves w(x + y g) with sum -1 and sum of words -size
+                y = (c - a * size[i]) / (a * d - b * c)
+                u = w * ((-1 - y * b) / a + y * g)
+            else:  # all others of one size: the words are balanced
+                u = -size[i] / c * w
+            u, at = np.append(u, 1.0), np.append(others, i)
+            up = np.min(np.where(u > 0, 1 - p[at], p[at]) / np.maximum(np.abs(u), 1e-300))
+            down = np.min(np.where(u > 0, p[at], 1 - p[at]) / np.maximum(np.abs(u), 1e-300))
+            p[at] += (up if draw * (up + down) < down else -down) * u
+            p[at] = np.where(p[at] < _EPS, 0.0, np.where(p[at] > 1 - _EPS, 1.0, p[at]))
+            draw = (draw * 1.6180339887 + 0.6180339887) % 1
+    return p
+
+
 def _land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Landing of the last few undecided rows (at most LANDING + 2): of all 0/1 choices the one that comes
     closest to the words they owe, then to the documents."""
@@ -106,7 +138,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     r = target / size is taken floor(r) times and once more with probability r - floor(r); these probabilities
     are decided by the cube method, balancing words and documents of every source.
 
-    Flight runs in blocks of (source, hash of the row) of some thousand rows; each block leaves at most two
+    Flight runs in blocks of (source, hash of the row) of about 4,096 rows, the largest ones first; each block leaves at most two
     undecided rows, which meet in fewer blocks in the next round, until one block per source is left. Some rows
     wait for that one; it keeps back 14 rows of all sizes and lands them with its last two, so the words of a source
     come as close to the target as 16 documents allow. So a source with a third of all rows is spread over many blocks, and rounds are few
@@ -148,46 +180,49 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _decide(rows: DataFrame) -> DataFrame:
     """(id, source, nth, size, extra): the cube method over the rows with a fractional probability."""
-    columns = ["id", "source", "nth", "size", "prob", "draw"]
+    columns = ["id", "source", "nth", "size", "prob", "draw", "blocks"]
     undecided = rows.where((F.col("prob") > _EPS) & (F.col("size") > 0))
+    undecided = undecided.withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK_ROWS).cast("long"))
     # some rows of each source wait for its last block, as what flights leave over are mostly large documents
     waits = F.pmod(F.xxhash64("id", "nth", F.lit("landing")), F.col("n_docs")) < 2 * LANDING
     held, open_ = undecided.where(waits).select(*columns), undecided.where(~waits).select(*columns)
-    n, done, kind = open_.count(), [], open_.schema
+    done, kind = [], open_.schema
 
     def flight(last: bool):
         def fly(block: pd.DataFrame) -> pd.DataFrame:
             block = block.sort_values(["draw", "id", "nth"], kind="stable")
+            size, draws = block["size"].to_numpy(float), block["draw"].to_numpy(float)
+            p = _flight_of_large(block["prob"].to_numpy(float), size, draws)
             flies = np.ones(len(block), bool)
-            if last:  # rows of all sizes, from the smallest to the largest, are left to the landing
-                by_size = np.argsort(block["size"].to_numpy(), kind="stable")
-                flies[by_size[np.linspace(0, len(block) - 1, min(LANDING, len(block))).astype(int)]] = False
-            p = block["prob"].to_numpy(float).copy()
-            head = block[flies]
-            p[flies] = _flight(head["prob"].tolist(), head["size"].tolist(), head["draw"].tolist())
+            if last:  # undecided rows of all sizes, from the smallest to the largest, are left to the landing
+                open_ = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+                by_size = open_[np.argsort(size[open_], kind="stable")]
+                flies[by_size[np.linspace(0, len(open_) - 1, min(LANDING, len(open_))).astype(int)]] = False
+            p[flies] = _flight(p[flies].tolist(), size[flies].tolist(), draws[flies].tolist())
             if last:
                 left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
                 if len(left):
-                    p[left] = _land(p[left], block["size"].to_numpy(float)[left])
+                    p[left] = _land(p[left], size[left])
             return block.drop(columns="block").assign(prob=p)
 
         return fly
 
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    while True:
-        if blocks == 1:
-            open_ = open_.unionByName(held)
-        salt = F.pmod(F.xxhash64("id", "nth", F.lit(blocks)), F.lit(blocks))
-        flown = cut(
-            open_.withColumn("block", salt).groupBy("source", "block")
-            .applyInPandas(flight(blocks == 1), kind)
-        )
+    def decided(flown: DataFrame) -> DataFrame:
+        return flown.select("id", "source", "nth", "size", F.round("prob").cast("int").alias("extra"))
+
+    most = rows.agg(F.max("n_docs")).first()[0] or 1
+    most = -(-most // BLOCK_ROWS)
+    while most > 1:  # sources of several blocks; what these leave over meets in fewer
+        salt = F.pmod(F.xxhash64("id", "nth", "blocks"), F.col("blocks"))
+        several = open_.where("blocks > 1").withColumn("block", salt)
+        flown = cut(several.groupBy("source", "block").applyInPandas(flight(False), kind))
         end = (F.col("prob") <= _EPS) | (F.col("prob") >= 1 - _EPS)
-        done.append(flown.where(end).select("id", "source", "nth", "size", F.round("prob").cast("int").alias("extra")))
-        if blocks == 1:
-            break
-        open_ = flown.where(~end)
-        blocks = 1 if blocks <= BLOCK_ROWS // 2 else -(-blocks * 2 // BLOCK_ROWS)
+        done.append(decided(flown.where(end)))
+        rest = flown.where(~end).withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK_ROWS).cast("long"))
+        open_ = open_.where("blocks = 1").unionByName(rest)
+        most = -(-most * 2 // BLOCK_ROWS)
+    last = open_.unionByName(held).withColumn("block", F.lit(0).cast("long")).groupBy("source", "block")
+    done.append(decided(cut(last.applyInPandas(flight(True), kind))))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
