@@ -311,6 +311,30 @@ def test_a_licence_within_a_long_paragraph(licences, monkeypatch):
     assert licences.scan([text, text], 0.5, 0.6) == got
 
 
+def wrapped(form, width, prefix=""):
+    lines, line = [], prefix
+    for w in form.split():
+        if len(line) + len(w) + 1 > width and line != prefix:
+            lines.append(line)
+            line = prefix
+        line = f"{line} {w}"
+    return "\n".join([*lines, line])
+
+
+def test_wrapped_licences(licences, monkeypatch):
+    texts, want = [], []
+    for family, forms in license.TEMPLATES.items():
+        for form in forms:
+            for width, prefix in ((70, ""), (40, " *"), (24, "#")):
+                texts.append(f"{words(8, 30)}\n\n{wrapped(form, width, prefix)}\n\n{words(9, 40)}")
+                want.append([(2, family)])
+    scan = lambda: [[(f["paragraph"], f["family"]) for f in x if f["confirmed"]] for x in licences.scan(texts, 0.5, 0.6)]
+    assert scan() == want
+    whole = licences.scan(texts, 0.5, 0.6)
+    monkeypatch.setattr(license, "_CHUNK", 60)
+    assert licences.scan(texts, 0.5, 0.6) == whole
+
+
 def test_licence_rows(edge, clashing, empty):
     model = license.train_licences(edge)
     for docs in (edge, clashing):

@@ -1,8 +1,9 @@
-"""Licence scan: sparse word n-gram logistic regression over the paragraphs of a document, with a calibrated
+"""Licence scan: sparse word n-gram logistic regression over the lines of a document and across them, with a calibrated
 unknown class; a template comparison confirms what it finds."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -94,6 +95,8 @@ _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.cumprod(np.full(64, 0xD1342543DE82EF95, np.uint64))
 _CHUNK = 1 << 20
+#: Pairs of one statement stand no further apart than this.
+_GAP = 4
 
 
 def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +122,32 @@ def _grams(text: str) -> np.ndarray:
     return np.concatenate([h, _pairs(h)])
 
 
+@dataclass
+class _Hit:
+    """A window that states a licence: its line, and the words of the text that say so."""
+
+    line: int
+    family: str
+    probability: float
+    similarity: float
+    confirmed: bool
+    first: int
+    last: int
+    over: bool  # the window runs over a line end
+
+
+@dataclass
+class _Rest:
+    """Last words of a part whose text goes on: the text, the number in it of the first of them, how many of them
+    stand before the next window, hashes and lines."""
+
+    text: int
+    word: int
+    seen: int
+    h: np.ndarray
+    line: np.ndarray
+
+
 @dataclass
 class LicenceModel:
     families: list[str]  # the last one is unknown
@@ -126,7 +155,7 @@ class LicenceModel:
     weights: np.ndarray  # one row a key, one column a family
     bias: np.ndarray
     calibration: tuple[float, float]  # slope and offset of the log-odds of "states a licence"
-    templates: list[tuple[str, frozenset[int]]]
+    templates: list[tuple[str, dict[int, int]]]  # word pairs and their first places
 
     def _contributions(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -148,15 +177,39 @@ class LicenceModel:
         odds = self.calibration[0] * (known - logits[:, -1]) + self.calibration[1]
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
-    def similarity(self, family: str, h: np.ndarray) -> float:
-        """Largest share of a template's word pairs that the window has."""
-        own = set(_pairs(h).tolist())
-        return max((len(own & t) / len(t) for f, t in self.templates if f == family), default=0.0)
+    def _match(self, family: str, pairs: np.ndarray, before: np.ndarray) -> tuple[float, int, int]:
+        """Largest share of a template's word pairs among ``pairs``, and the words [first, last) where the most of
+        them stand together; ``first`` is negative where the template begins in the pairs ``before``."""
+        own = set(pairs.tolist())
+        sim, t = max(((len(own & t.keys()) / len(t), t) for f, t in self.templates if f == family), key=lambda x: x[0])
+        code = pairs.tolist()
+        at = np.flatnonzero([p in t for p in code])
+        if not len(at):
+            return sim, 0, len(pairs) + 1
+        group = np.cumsum(np.diff(at, prepend=at[0]) > _GAP)
+        at = at[group == np.bincount(group).argmax()].tolist()
+        while len(at) > 1 and t[code[at[0]]] > t[code[at[1]]]:  # a pair of the template that stands in front by chance
+            del at[0]
+        first, place = at[0], t[code[at[0]]]
+        for i, p in zip(range(-1, -len(before) - 1, -1), before[::-1].tolist()):
+            if first - i > _GAP:
+                break
+            if t.get(p, place) < place:
+                first, place = i, t[p]
+        return sim, first, at[-1] + 2
+
+    def _judge(self, logits: np.ndarray, h: np.ndarray, before: np.ndarray, min_similarity: float) -> list[tuple[str, float, bool, int, int]]:
+        """(family, similarity, confirmed, first word, last word + 1) of a window that states a licence."""
+        family = self.families[int(logits[:-1].argmax())]
+        sim, a, b = self._match(family, _pairs(h), before)
+        sure = sim >= min_similarity
+        return [(family, sim, sure, a if sure else 0, b if sure else len(h))]
 
     def scan(self, texts: Sequence[str], min_probability: float, min_similarity: float) -> list[list[dict]]:
-        """For every text its paragraphs (lines, from 0) that state a licence; whole texts, in parts of some MB."""
-        out: list[list[dict]] = [[] for _ in texts]
-        owner, base, held, size = [], [], [], 0
+        """For every text the lines (from 0) where a licence statement starts; whole texts, in parts of some MB."""
+        found: list[list[_Hit]] = [[] for _ in texts]
+        rest = _Rest(-1, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        owner, held, size = [], [], 0
         for k, t in enumerate(texts):
             for no, line in enumerate(t.split("\n")):
                 raw = line.encode("utf-8", "surrogatepass")
@@ -164,36 +217,90 @@ class LicenceModel:
                 owner.append((k, no))
                 size += len(raw) + 1
                 if size >= _CHUNK:
-                    self._scan_lines(held, owner, min_probability, min_similarity, out)
+                    rest = self._scan_lines(held, owner, rest, False, min_probability, min_similarity, found)
                     owner, held, size = [], [], 0
-        if held:
-            self._scan_lines(held, owner, min_probability, min_similarity, out)
-        return out
+        self._scan_lines(held, owner, rest, True, min_probability, min_similarity, found)
+        return [_settled(x) for x in found]
 
-    def _scan_lines(self, lines, owner, min_probability, min_similarity, out) -> None:
+    def _scan_lines(self, lines, owner, rest: _Rest, last_part: bool, min_probability, min_similarity, found) -> _Rest:
+        """Windows of every line, and windows that run over the line ends of a text. Words at the end of a part
+        that no full window has read from its start go to the next part, so parts change no result."""
         h, start, _ = _tokens(b"\n".join(lines))
-        if not len(h):
-            return
-        begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])[:-1]))
+        begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))[: len(lines)].astype(np.int64)
         lo = np.searchsorted(start, begin)
-        hi = np.append(lo[1:], len(h))
-        count = np.maximum(1, -(-np.maximum(hi - lo - WINDOW, 0) // STRIDE) + 1) * (hi > lo)
-        line = np.repeat(np.arange(len(lines)), count)
-        nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-        first = lo[line] + nth * STRIDE
-        last = np.minimum(first + WINDOW, hi[line])
+        hi = np.append(lo[1:], len(h))[: len(lines)]
+        words = hi - lo
+        # the words kept from the part before stand in front
+        kept = len(rest.h)
+        h = np.concatenate([rest.h, h])
+        lo, hi = lo + kept, hi + kept
+        text = np.concatenate([np.full(kept, rest.text), np.repeat([k for k, _ in owner], words)]).astype(np.int64)
+        line = np.concatenate([rest.line, np.repeat([no for _, no in owner], words)]).astype(np.int64)
+
+        def spread(a, b):
+            n = np.maximum(1, -(-np.maximum(b - a - WINDOW, 0) // STRIDE) + 1) * (b > a)
+            which = np.repeat(np.arange(len(a)), n)
+            first = a[which] + (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+            return first, np.minimum(first + WINDOW, b[which])
+
+        first, last = spread(lo, hi)
+        in_line = len(first)
+        edge = np.flatnonzero(np.diff(text)) + 1
+        a, b = np.append(0, edge)[: len(h)], np.append(edge, len(h))[: len(h)]
+        fresh = a + (text[a] == rest.text) * rest.seen  # the first word that begins a window
+        over_first, over_last = spread(fresh, b)
+        next_rest = _Rest(-1, 0, 0, h[:0], line[:0])
+        zero = {int(text[x]): 0 for x in a}  # number in its text of the first word of each text here
+        if kept:
+            zero[rest.text] = rest.word
+        if len(h) and not last_part:  # the last text may go on: its windows that are not full wait
+            wait = (over_first >= fresh[-1]) & (over_last - over_first < WINDOW)
+            over_first, over_last = over_first[~wait], over_last[~wait]
+            full = max(0, (b[-1] - fresh[-1] - WINDOW) // STRIDE + 1)
+            cut = int(fresh[-1]) + full * STRIDE
+            from_ = max(int(a[-1]), cut - WINDOW)
+            k = int(text[-1])
+            next_rest = _Rest(k, zero[k] + from_ - int(a[-1]), cut - from_, h[from_:], line[from_:])
+        # a rest that begins inside a window read before and has no word beyond it is no window of its own
+        done = (text[over_first] == rest.text) & (over_first == rest.seen) & (rest.seen > 0) & (over_last <= rest.seen + WINDOW - STRIDE) if kept else False
+        over = ~(done | (line[over_first] == line[over_last - 1]))
+        first, last = np.append(first, over_first[over]), np.append(last, over_last[over])
+        if not len(first):
+            return next_rest
         logits = self.windows(h, first, last)
         p = self.probability(logits)
-        best: dict[tuple[int, str], dict] = {}
+        base = dict(zip(text[a].tolist(), a.tolist())) if len(h) else {}
         for w in np.flatnonzero(p >= min_probability):
-            family = self.families[int(logits[w, :-1].argmax())]
-            sim = self.similarity(family, h[first[w] : last[w]])
-            key = int(line[w]), family
-            if key not in best or (sim, p[w]) > (best[key]["similarity"], best[key]["probability"]):
-                best[key] = {"family": family, "probability": float(p[w]), "similarity": sim, "confirmed": sim >= min_similarity}
-        for (i, _), found in sorted(best.items()):
-            k, no = owner[i]
-            out[k].append({"paragraph": no} | found)
+            f = int(first[w])
+            k = int(text[f])
+            shift = zero[k] - base[k]
+            before = _pairs(h[max(base[k], f - WINDOW) : f + 1]) if w >= in_line else h[:0]
+            for family, sim, sure, x, y in self._judge(logits[w], h[f : last[w]], before, min_similarity):
+                found[k].append(_Hit(int(line[f + x]), family, float(p[w]), sim, sure, f + x + shift, f + y + shift, bool(w >= in_line)))
+        return next_rest
+
+
+def _settled(hits: list[_Hit]) -> list[dict]:
+    """One entry a line and family; a statement found by windows of a line and over line ends counts once."""
+    best: dict[tuple[int, str], _Hit] = {}
+    for x in hits:
+        key = x.line, x.family
+        if not x.over and (key not in best or (x.similarity, x.probability) > (best[key].similarity, best[key].probability)):
+            best[key] = x
+    order = lambda x: (not x.confirmed, x.over if not x.confirmed else False, -x.similarity, x.over, -x.probability, x.first)
+    out: dict[tuple[int, str], _Hit] = {}
+    spans: dict[str, list[tuple[int, int]]] = {}
+    for x in sorted([*best.values(), *(x for x in hits if x.over)], key=order):
+        own = spans.setdefault(x.family, [])
+        at = bisect_left(own, (x.first, x.last))
+        met = (at > 0 and own[at - 1][1] > x.first) or (at < len(own) and own[at][0] < x.last)
+        if not met and (x.line, x.family) not in out:
+            own.insert(at, (x.first, x.last))
+            out[x.line, x.family] = x
+    return [
+        {"paragraph": x.line, "family": x.family, "probability": x.probability, "similarity": x.similarity, "confirmed": x.confirmed}
+        for _, x in sorted(out.items())
+    ]
 
 
 def _samples(background: Sequence[str], rng) -> tuple[list[str], list[str]]:
@@ -227,11 +334,12 @@ def fit_licences(background: Sequence[str], epochs: int = 12, rate: float = 0.05
     """Softmax regression on word and word-pair counts over the square root of their number; a seeded third of
     the sample is held out to calibrate the odds of the unknown class (Platt scaling)."""
     rng = np.random.default_rng(11)
-    templates = [(f, frozenset(_pairs(_grams(t)[: len(_tokens(t.encode())[0])]).tolist())) for f, forms in TEMPLATES.items() for t in forms]
+    places = lambda pairs: {p: i for i, p in reversed(list(enumerate(pairs.tolist())))}
+    templates = [(f, places(_pairs(_tokens(t.encode())[0]))) for f, forms in TEMPLATES.items() for t in forms]
     plain = []
     for t in background:  # corpus windows that do state a licence are not examples of the unknown class
         own = set(_pairs(_tokens(t.encode("utf-8", "surrogatepass"))[0]).tolist())
-        if not any(len(own & s) >= 0.5 * len(s) for _, s in templates):
+        if not any(len(own & s.keys()) >= 0.5 * len(s) for _, s in templates):
             plain.append(t)
     texts, names = _samples(plain, rng)
     families = [*TEMPLATES, UNKNOWN]
@@ -304,8 +412,9 @@ def scan_licences(
     """``<id_col>, found``: for every row the paragraphs of the whole text that state a licence, as an array of
     (paragraph, family, probability, similarity, confirmed).
 
-    A paragraph is a line; long ones are read in windows of 24 words, 12 apart, and the window closest to a
-    template of the family stands for the paragraph. Null and empty texts have none. Rows are looked at alone, so
+    Every line is read in windows of 24 words, 12 apart, and the whole text in such windows that run over line
+    ends (blank lines too), so wrapped statements meet the whole template. ``paragraph`` is the line where the
+    statement starts; of the windows that see a statement the one closest to a template stands for it. Null and empty texts have none. Rows are looked at alone, so
     repeated rows give repeated results; extra columns are ignored; an empty table gives an empty table."""
     kind = "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
 
