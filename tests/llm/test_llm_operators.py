@@ -335,6 +335,26 @@ def test_wrapped_licences(licences, monkeypatch):
     assert licences.scan(texts, 0.5, 0.6) == whole
 
 
+def test_every_family_of_a_window(licences):
+    texts = {
+        "Licensed under the Apache License, Version 2.0, or released under the MIT License": ["apache", "mit"],
+        "Licensed under the BSD 3-Clause License or released under the MIT License": ["bsd", "mit"],
+        "Licensed under CC BY-SA 4.0; code licensed under the Mozilla Public License, version 2.0": ["cc_by_sa", "mpl"],
+        "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": ["lgpl"],
+        "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": ["agpl"],
+        "Licensed under CC BY-NC 4.0": ["cc_by_nc"],
+    }
+    found = licences.scan(list(texts), 0.5, 0.6)
+    assert [sorted(f["family"] for f in x if f["confirmed"]) for x in found] == list(texts.values())
+
+
+def test_related_families_are_told_apart_by_their_own_pairs(licences):
+    h = license._tokens(b"You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation")[0]
+    logits = np.zeros(len(licences.families))
+    logits[licences.families.index("agpl")] = 1  # the wrong one is a little ahead
+    assert [x[0] for x in licences._judge(logits, h, h[:0], 0.6) if x[2]] == ["lgpl"]
+
+
 def test_licence_rows(edge, clashing, empty):
     model = license.train_licences(edge)
     for docs in (edge, clashing):

@@ -157,6 +157,10 @@ class LicenceModel:
     calibration: tuple[float, float]  # slope and offset of the log-odds of "states a licence"
     templates: list[tuple[str, dict[int, int]]]  # word pairs and their first places
 
+    def __post_init__(self) -> None:
+        of = {f: {p for g, t in self.templates if g == f for p in t} for f in self.families[:-1]}
+        self.own_pairs = {f: own - set().union(*(of[g] for g in of if g != f)) for f, own in of.items()}
+
     def _contributions(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hit = self.keys[at] == h
@@ -199,11 +203,18 @@ class LicenceModel:
         return sim, first, at[-1] + 2
 
     def _judge(self, logits: np.ndarray, h: np.ndarray, before: np.ndarray, min_similarity: float) -> list[tuple[str, float, bool, int, int]]:
-        """(family, similarity, confirmed, first word, last word + 1) of a window that states a licence."""
-        family = self.families[int(logits[:-1].argmax())]
-        sim, a, b = self._match(family, _pairs(h), before)
-        sure = sim >= min_similarity
-        return [(family, sim, sure, a if sure else 0, b if sure else len(h))]
+        """(family, similarity, confirmed, first word, last word + 1) of a window that states a licence: every family
+        whose template is near and of whose templates it has a word pair that no other family's have (related
+        families share most pairs); if none has one, the likeliest family when its template is near. Where none is
+        confirmed, the likeliest family stands for the window."""
+        pairs = _pairs(h)
+        likeliest = self.families[int(logits[:-1].argmax())]
+        near = {f: m for f in self.families[:-1] if (m := self._match(f, pairs, before))[0] >= min_similarity}
+        have = set(pairs.tolist())
+        sure = [f for f in near if have & self.own_pairs[f]] or [f for f in near if f == likeliest]
+        if sure:
+            return [(f, near[f][0], True, near[f][1], near[f][2]) for f in sure]
+        return [(likeliest, self._match(likeliest, pairs, before)[0], False, 0, len(h))]
 
     def scan(self, texts: Sequence[str], min_probability: float, min_similarity: float) -> list[list[dict]]:
         """For every text the lines (from 0) where a licence statement starts; whole texts, in parts of some MB."""
@@ -414,7 +425,7 @@ def scan_licences(
 
     Every line is read in windows of 24 words, 12 apart, and the whole text in such windows that run over line
     ends (blank lines too), so wrapped statements meet the whole template. ``paragraph`` is the line where the
-    statement starts; of the windows that see a statement the one closest to a template stands for it. Null and empty texts have none. Rows are looked at alone, so
+    statement starts; of the windows that see a statement the one closest to a template stands for it. Each family whose template confirms a window is reported. Null and empty texts have none. Rows are looked at alone, so
     repeated rows give repeated results; extra columns are ignored; an empty table gives an empty table."""
     kind = "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
 
