@@ -61,6 +61,20 @@ def test_spans_the_method_adds():
     assert spans("part 078-05-1120.") == []
 
 
+def test_account_numbers_before_words_and_numbers():
+    spans = lambda t: [t[s:e] for k, s, e, *_ in pii.find_spans(t) if k == "iban"]
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for iban in (de, gb, no, de.replace(" ", "")):
+        for behind in ("", " BIC COBADEFFXXX", " 2024", " 12 EUR", " A", ". X", "\nBIC"):
+            assert spans(f"IBAN {iban}{behind}") == [iban], behind
+    assert spans(f"IBAN {de} {gb} BIC") == [de, gb]
+    assert spans(f"{de}x") == [] and spans("DE88 3704 0044 0532 0130 00 BIC") == []
+    other = f"ZZ{98 - int('370400440532013000353500') % 97:02d}370400440532013000"  # a country without a fixed length
+    assert spans(f"{other} BIC") == [other]
+    for t in ("AB12 " * 10**5, "A1" * 10**5, "DE89 3704 " * 10**5):
+        pii.find_spans(t)
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 10**6, "1" * 10**6, "1 " * 10**6, "+" + "(" * 10**6, "a@" * 10**5, "1." * 10**5):
         pii.find_spans(t)

@@ -22,7 +22,19 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {
+    k: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in names.split()
+}
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
 #: Words near a span that make a kind likelier; a span without checksum needs one.
@@ -96,12 +108,27 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the account number that passes mod 97 and ends where a word or group ends, as words and
+    numbers behind it may look like further groups: of the country's length, and the longest where the country has
+    none in the table."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        length = _IBAN_LENGTHS.get(m[0][:2])
+        for end in sorted((x.end() for x in _IBAN_END.finditer(text, m.start(), m.end() + 1) if x.end() <= m.end()), reverse=True):
+            code = text[m.start() : end].replace(" ", "")
+            if len(code) < 15:
+                break
+            if length in (None, len(code)) and mod97(code):
+                yield m.start(), end
+                at = end
+                break
+
+
 def _further(text: str) -> Iterator[tuple[str, int, int]]:
     """What the method adds: account numbers by mod 97, shorter cards by Luhn, national numbers by context."""
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", s, e) for s, e in _ibans(text))
     for m in _CARD.finditer(text):
         if m.end() - m.start() < 64 and 13 <= len(d := _digits(m[0])) <= 15 and luhn(d):
             yield "card_short", m.start(), m.end()
