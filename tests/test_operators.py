@@ -297,6 +297,29 @@ def test_rubin_identical_imputations_degenerate(spark):
     assert r2.total_var >= r2.within_var and r2.df > 0
 
 
+def test_kendall_in_buckets(spark):
+    import random
+
+    r = random.Random(5)
+    data = [(r.choice([0, 0, 0, r.randrange(40)]), round(r.gauss(0, 1), 2), r.choice([None, 1.5, r.random()])) for _ in range(400)]
+    df = spark.createDataFrame(data, "a int, b double, c double")
+    sign = lambda x, y: (x > y) - (x < y)
+    got = {(x.var1, x.var2): x for x in correlation.kendall(df, ["a", "b", "c"], bucket_cells=25).collect()}
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        rows = [(t[i], t[j]) for t in data if t[i] is not None and t[j] is not None]
+        s = ta = tb = 0
+        for k, (x1, y1) in enumerate(rows):
+            for x2, y2 in rows[:k]:
+                s += sign(x1, x2) * sign(y1, y2)
+                ta += x1 != x2
+                tb += y1 != y2
+        assert got["abc"[i], "abc"[j]].tau_b == pytest.approx(s / math.sqrt(ta * tb))
+        assert got["abc"[i], "abc"[j]].n == len(rows)
+    cells = correlation._bucketed(correlation.pair_cells(df, ["a", "b", "c"]), 25)
+    sizes = correlation._sweeps(cells).groupBy("var1", "var2", "side", "bucket").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 50
+
+
 def test_spearman_kendall_brute_force(spark):
     import itertools
 

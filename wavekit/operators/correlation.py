@@ -2,19 +2,22 @@
 
 Pearson is one wide aggregate. Spearman ranks each column once over its distinct values (again only for pairs
 with a column that has nulls) and is one wide aggregate of the joined ranks. Kendall collapses every pair to
-value cells, whose number is bounded by the product of the two columns' level counts (coded survey items:
-tens of cells), and sweeps them; columns with very many distinct values should be binned first.
+value cells, cuts both columns into buckets of bounded size, counts concordances between buckets from a table of
+buckets and sweeps cells inside a bucket only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavekit.operators.profile import distinct_counts
 
+#: About so many value cells of a pair are swept in one task.
+BUCKET_CELLS = 50_000
+
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     cols = list(cols)
@@ -149,13 +152,81 @@ def _concordance(pdf):
     return pd.DataFrame({"var1": [pdf["var1"].iloc[0]], "var2": [pdf["var2"].iloc[0]], "c_minus_d": [float(acc)]})
 
 
-def kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(var1, var2, n, tau_b). Cells per pair → one shuffle by pair → C − D per pair by a Fenwick sweep
-    (``applyInPandas``; pairs run in parallel); tie corrections from the cell margins."""
+def _bucketed(cells: DataFrame, bucket_cells: int) -> DataFrame | None:
+    """Cells with the buckets ``i`` of a and ``j`` of b, or None where every pair fits one bucket. Approximate
+    quantiles of the cells are edges; an edge is a bucket of its own (odd numbers: one value, so no order inside) and
+    the values between two edges are another (even numbers: at most about ``bucket_cells`` cells, however many
+    cells one value has). Results never depend on where the edges are."""
+    import numpy as np
+
+    most = cells.groupBy("var1", "var2").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // bucket_cells)
+    if parts < 2:
+        return None
+    probs, accuracy = [k / parts for k in range(1, parts)], max(10000, 20 * parts)
+    edges = {
+        (r.var1, r.var2): (np.unique(r.a), np.unique(r.b))
+        for r in cells.groupBy("var1", "var2").agg(
+            F.percentile_approx("a", probs, accuracy).alias("a"), F.percentile_approx("b", probs, accuracy).alias("b")
+        ).collect()  # pairs × edges
+    }
+
+    def number(values, cut):
+        at = np.searchsorted(cut, values)
+        return 2 * at + (cut[np.minimum(at, len(cut) - 1)] == values)
+
+    def buckets(batches):
+        for pdf in batches:
+            pdf["i"] = pdf["j"] = 0
+            for pair, at in pdf.groupby(["var1", "var2"]).indices.items():
+                for col, value, cut in (("i", "a", edges[pair][0]), ("j", "b", edges[pair][1])):
+                    pdf.iloc[at, pdf.columns.get_loc(col)] = number(pdf[value].to_numpy()[at], cut)
+            yield pdf
+
+    return cells.mapInPandas(buckets, "var1 string, var2 string, a double, b double, n long, i long, j long").checkpoint()
+
+
+def _sweeps(cells: DataFrame) -> DataFrame:
+    """(var1, var2, side, bucket, a, b, n): the groups of cells to sweep — cells of one bucket of a by their values,
+    and cells of one bucket of b by their value of b and the bucket of a. Buckets of one value have no order inside."""
+    own = cells.where("i % 2 = 0").select("var1", "var2", F.lit("a").alias("side"), F.col("i").alias("bucket"), "a", "b", "n")
+    across = cells.where("j % 2 = 0").groupBy("var1", "var2", "j", "i", "b").agg(F.sum("n").alias("n")).select(
+        "var1", "var2", F.lit("b").alias("side"), F.col("j").alias("bucket"), F.col("i").cast("double").alias("a"), "b", "n"
+    )
+    return own.unionByName(across)
+
+
+def _between(cells: DataFrame) -> DataFrame:
+    """(var1, var2, c_minus_d) of cells that differ in both buckets, from the buckets × buckets table of a pair:
+    counts of larger i by window over one column of the table, then of smaller j over one row."""
+    pair = ["var1", "var2"]
+    table = cells.groupBy(*pair, "i", "j").agg(F.sum("n").alias("n")).checkpoint()
+    grid = table.select(*pair, "i").distinct().join(table.select(*pair, "j").distinct(), pair)
+    grid = grid.join(table, [*pair, "i", "j"], "left").fillna(0, ["n"])
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    larger = F.coalesce(F.sum("n").over(before(Window.partitionBy(*pair, "j").orderBy(F.desc("i")))), F.lit(0))
+    row = Window.partitionBy(*pair, "i")
+    less = F.coalesce(F.sum("larger").over(before(row.orderBy("j"))), F.lit(0))
+    out = grid.withColumn("larger", larger).select(
+        *pair, "n", (F.sum("larger").over(row) - F.col("larger") - 2 * less).alias("net")
+    )
+    return out.groupBy(*pair).agg(F.sum(F.col("n").cast("double") * F.col("net")).alias("c_minus_d"))
+
+
+def kendall(df: DataFrame, cols: Sequence[str], bucket_cells: int = BUCKET_CELLS) -> DataFrame:
+    """(var1, var2, n, tau_b). C − D of the value cells of a pair in three parts: cells in one bucket of a, cells in
+    one bucket of b but not of a (both by Fenwick sweeps of bounded groups, ``applyInPandas``), and cells that differ
+    in both buckets (windows over the table of buckets); tie corrections from the cell margins."""
     # value cells are bounded by distinct value pairs: materialise once (reliable checkpoint) instead of
     # re-deriving them from the rows in every branch below
     cells = pair_cells(df, cols).checkpoint()
-    cd = cells.groupBy("var1", "var2").applyInPandas(_concordance, "var1 string, var2 string, c_minus_d double")
+    bucketed = _bucketed(cells, bucket_cells)
+    kind = "var1 string, var2 string, c_minus_d double"
+    if bucketed is None:
+        cd = cells.groupBy("var1", "var2").applyInPandas(_concordance, kind)
+    else:
+        swept = _sweeps(bucketed).groupBy("var1", "var2", "side", "bucket").applyInPandas(_concordance, kind)
+        cd = swept.unionByName(_between(bucketed)).groupBy("var1", "var2").agg(F.sum("c_minus_d").alias("c_minus_d"))
     ta = cells.groupBy("var1", "var2", "a").agg(F.sum("n").alias("m")).groupBy("var1", "var2").agg(
         F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("ties_a"), F.sum("m").alias("N")
     )
