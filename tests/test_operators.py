@@ -297,6 +297,28 @@ def test_rubin_identical_imputations_degenerate(spark):
     assert r2.total_var >= r2.within_var and r2.df > 0
 
 
+def test_poly_vector_has_every_product(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense([2.0, 3.0, 0.0, 5.0]),), (Vectors.sparse(4, {1: 7.0, 3: 1.0}),)]
+    out, terms = prep.poly_vector(spark.createDataFrame(rows, ["features"]), 4)
+    assert len(terms) == 10 and {t for t in terms if len(t) == 2} == {(i, j) for j in range(4) for i in range(j)}
+    for (x,), r in zip(rows, out.collect()):
+        assert list(r.features.toArray()) == [math.prod(float(x[k]) for k in t) for t in terms]
+
+
+def test_interactions_hold_all_slots(spark):
+    from tests.conftest import SMOKE_DIR
+    from wavekit.plans import q_ml
+
+    _, _, _, meta = q_ml.prepared(spark, SMOKE_DIR)
+    n = meta.count()
+    coefs = q_ml.q_logit_poly(spark, SMOKE_DIR)
+    assert coefs.columns == ["variable", "beta"] and coefs.count() == 1 + n * (n + 1) // 2
+    combos = {r.combo for r in q_ml.q_interaction_rank(spark, SMOKE_DIR).collect()}
+    assert {"lang x source", "lang x n_words", "n_chars x source"} <= combos
+
+
 def test_kendall_in_buckets(spark):
     import random
 

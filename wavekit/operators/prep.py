@@ -65,6 +65,21 @@ def poly_interactions(df: DataFrame, cols: Sequence[str], sep: str = "__x__") ->
     return df.withColumns({f"{a}{sep}{b}": F.col(a) * F.col(b) for i, a in enumerate(cols) for b in cols[i + 1:]})
 
 
+def poly_vector(df: DataFrame, slots: int, input_col: str = "features", output_col: str = "features") -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """All slots of a vector and their pairwise products xᵢ·xⱼ (i < j), no squares, as one vector (sparse stays sparse).
+    Returns (frame, the slots of each term): slots · (slots + 1) / 2 terms."""
+    from pyspark.ml.feature import PolynomialExpansion, VectorSlicer
+
+    # degree 2 gives, for every j in turn: xⱼ, x₀·xⱼ, x₁·xⱼ, …, xⱼ·xⱼ
+    terms = [t for j in range(slots) for t in [(j,), *((i, j) for i in range(j + 1))]]
+    kept = [k for k, t in enumerate(terms) if len(set(t)) == len(t)]
+    wide = PolynomialExpansion(degree=2, inputCol=input_col, outputCol="__poly").transform(df)
+    if output_col in wide.columns:
+        wide = wide.drop(output_col)
+    out = VectorSlicer(inputCol="__poly", outputCol=output_col, indices=kept).transform(wide).drop("__poly")
+    return out, [terms[k] for k in kept]
+
+
 def cross_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-empty cells of every level pair (fᵢ = a, fⱼ = b): which pairwise dummy products are non-zero
     anywhere, with counts (one ``groupBy`` per pair via a stacked key)."""

@@ -114,21 +114,26 @@ def q_lasso_select(spark, d):
     return ml.lasso_select(_search_lasso(spark, d)[0])
 
 
+def _poly_coefs(spark, d):
+    """(variable, beta, components) of the elastic net on all slots and all products of two slots; ``components`` are
+    the base features of a term's slots."""
+    train, _, _, meta = prepared(spark, d)
+    slots = meta.orderBy("slot_index").select("slot", "base_feature").collect()  # slots of the model
+    wide, terms = prep.poly_vector(train, len(slots))
+    names = ["__x__".join(slots[k][0] for k in t) for t in terms]
+    _, coefs = ml.logit_penalized(wide, names, C=1.0, l1_ratio=0.5)
+    bases = spark.createDataFrame([(n, [slots[k][1] for k in t]) for n, t in zip(names, terms)], "variable string, components array<string>")
+    return coefs.join(bases, "variable", "left")
+
+
 @register("logit_poly")
 def q_logit_poly(spark, d):
-    train, _, _, _ = prepared(spark, d)
-    poly = prep.poly_interactions(prep.standardize(train, NUMERIC, stats_from=train, suffix="_s"),
-                                  [f"{c}_s" for c in NUMERIC])
-    terms = [c for c in poly.columns if "__x__" in c] + [f"{c}_s" for c in NUMERIC]
-    _, coefs = ml.logit_penalized(ml.assemble(poly.drop("features"), terms), terms, C=1.0, l1_ratio=0.5)
-    return coefs
+    return _poly_coefs(spark, d).drop("components")
 
 
 @register("interaction_rank")
 def q_interaction_rank(spark, d):
-    coefs = q_logit_poly(spark, d).where(F.col("variable") != "intercept")
-    comps = F.transform(F.split("variable", "__x__"), lambda s: F.regexp_replace(s, "_s$", ""))
-    return attribution.interaction_rank(coefs.withColumn("components", comps))
+    return attribution.interaction_rank(_poly_coefs(spark, d).where(F.col("components").isNotNull()))
 
 
 @register("logit_multinomial")
