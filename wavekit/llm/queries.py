@@ -186,3 +186,29 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: The vocabularies of op11 and op12: files of the installed module, the same on every machine or read on the driver.
+BYTE_LEVEL, PIECES, WORD_ENDS = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str, file_a: str | None = None, file_b: str | None = None) -> DataFrame:
+    from wavekit.llm.alignment import align_tokenizers
+
+    found = align_tokenizers(read_documents(spark, sf_dir), file_a or _tokenizer(BYTE_LEVEL), file_b or _tokenizer(PIECES), groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@_register("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from wavekit.llm.packing import pack_sequences
+
+    pieces = pack_sequences(read_documents(spark, sf_dir).select("doc_id", "text"), tokenizer or _tokenizer(WORD_ENDS))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
