@@ -212,3 +212,57 @@ def op12_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 
     pieces = pack_sequences(read_documents(spark, sf_dir).select("doc_id", "text"), tokenizer or _tokenizer(WORD_ENDS))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+# The checksum of a decimal number, bit by bit over its digits' bytes (ASCII), lowest bit first.
+_CRC_SQL = """
+SELECT doc_id, list_reduce(bits, lambda c, b: CASE WHEN (c & 1) <> b THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT) AS c
+FROM (SELECT DISTINCT doc_id, list_transform(range(0, 8 * length(doc_id::VARCHAR)),
+             lambda i: ((ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1)::BIGINT) AS bits
+      FROM documents WHERE doc_id IS NOT NULL)
+"""
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_SQL}),
+f AS (SELECT d.doc_id, lang, coalesce(xor(c, 4294967295) % 7 = 0, false) AS tampered,
+        coalesce(octet_length(encode(d.doc_id::VARCHAR)) || ':' || d.doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+          || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+        coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS m,
+        coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS m2,
+        coalesce(octet_length(encode(text)) || ':' || text, '-') AS z
+      FROM documents d LEFT JOIN crc USING (doc_id)),
+leaf AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, h, t
+         FROM (SELECT doc_id, lang, sha256(a || m || z) AS h, CASE WHEN tampered THEN sha256(a || m2 || z) ELSE sha256(a || m || z) END AS t FROM f)),
+node AS (SELECT lang, 0 AS lv, i, n, h FROM leaf
+         UNION ALL
+         SELECT lang, lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, lv, i // 2, n),
+sub AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h, lv AS top FROM node WHERE n = 1),
+high AS (SELECT 0 AS lv, i, n, h FROM sub
+         UNION ALL
+         SELECT lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lv, i // 2, n),
+fold AS (SELECT l.doc_id, l.lang, l.i AS leaf_i, l.h AS leaf, s.h AS subroot, s.i AS k, s.top, 0 AS lv, l.i, l.n, l.t AS acc, '' AS proof
+         FROM leaf l JOIN sub s ON l.lang IS NOT DISTINCT FROM s.lang
+         UNION ALL
+         SELECT f.doc_id, f.lang, f.leaf_i, f.leaf, f.subroot, f.k, f.top, f.lv + 1, f.i // 2, (f.n + 1) // 2,
+                sha256(CASE WHEN f.i % 2 = 0 THEN f.acc || coalesce(x.h, '') ELSE x.h || f.acc END), f.proof || coalesce(x.h, '')
+         FROM fold f LEFT JOIN node x ON x.lv = f.lv AND x.lang IS NOT DISTINCT FROM f.lang AND x.i = xor(f.i, 1)
+         WHERE f.n > 1),
+fold2 AS (SELECT doc_id, lang, leaf_i, leaf, subroot, 0 AS lv, k AS i, (SELECT count(*) FROM sub) AS n, acc, proof FROM fold WHERE n = 1
+          UNION ALL
+          SELECT f.doc_id, f.lang, f.leaf_i, f.leaf, f.subroot, f.lv + 1, f.i // 2, (f.n + 1) // 2,
+                 sha256(CASE WHEN f.i % 2 = 0 THEN f.acc || coalesce(x.h, '') ELSE x.h || f.acc END), f.proof || coalesce(x.h, '')
+          FROM fold2 f LEFT JOIN high x ON x.lv = f.lv AND x.i = xor(f.i, 1)
+          WHERE f.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM (SELECT *, (SELECT h FROM high WHERE n = 1) AS root FROM fold2 WHERE n = 1)
+"""
+
+
+@_register("op13_manifest", MERKLE_SQL)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavekit.llm.merkle import manifest
+
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    found = manifest(read_documents(spark, sf_dir), tampered={"n_chars": F.col("n_chars") + 1}, tamper_where=chosen)
+    proof = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", "verified")
