@@ -264,5 +264,5 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
     found = manifest(read_documents(spark, sf_dir), tampered={"n_chars": F.col("n_chars") + 1}, tamper_where=chosen)
-    proof = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    proof = F.lower(F.array_join(F.transform("proof", lambda s: F.hex(F.concat(s["left"], s["right"]))), ""))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", "verified")
