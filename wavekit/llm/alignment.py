@@ -36,7 +36,7 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, doc_ends: np.ndarray, stret
     stops = np.minimum(np.repeat(doc_ends - sizes, n) + (inside + 1) * stretch, np.repeat(doc_ends, n))
     # tokens that end inside a stretch: no link crosses it, as links are common ends
     a_stop, b_stop = np.searchsorted(ends_a, stops, side="right"), np.searchsorted(ends_b, stops, side="right")
-    state = np.stack((np.concatenate(([0], a_stop[:-1])), np.concatenate(([0], b_stop[:-1])), a_stop, b_stop))
+    state = np.stack((np.concatenate(([0], a_stop))[:-1], np.concatenate(([0], b_stop))[:-1], a_stop, b_stop))
     found: list[np.ndarray] = []
     while True:
         live = (state[0] < state[2]) & (state[1] < state[3])

@@ -327,7 +327,7 @@ def pack_sequences(
     """
     spark = docs.sparkSession
     result = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-    kept = [c for c in docs.columns if c not in (*result, text_col, "tokens", "task", "item", "nth", "blocks")]
+    kept = [c for c in docs.columns if c not in (*result, text_col)]
     names = {c: f"__{k}" for k, c in enumerate(kept)}
     path = scratch_path(spark, "tokens")
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{text_col}`").alias("text"))
