@@ -32,7 +32,8 @@ def odd_texts(n):
     parts = [" ", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", "　", "​", "﻿", "a", "word", "The", "é",
              "́", "é", "É", "'s", "'", "12", "7", ".", ",", "!?", "▁", "<|endoftext|>", "<|startoftext|>", "ß", "Σ", "ΑΣ", "\U0001f600", "日本", "\x00",
              "\x01", "İ", "x" * 30, "<s>", "<0x41>", "K", "word,", "don't", "naïve"]
-    return ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(n)]
+    visible = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xA0, 0x100)), "don't", "WE'LL", "'re"]
+    return ["".join(r.choice(parts if k % 2 else visible) for _ in range(r.randrange(14))) for k in range(n)]
 
 
 # -- coders -----------------------------------------------------------------------------------------------------------

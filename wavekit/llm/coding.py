@@ -18,9 +18,13 @@ import numpy as np
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 _WORDS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t-\r])")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SPACE_LETTERS = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
-_DROPPED_SPACE = re.compile(r"[A-Za-z]+(?=[,.;:!?])|[^ \t-\r]+")
+_NOT_SPACE = re.compile(r"[^ \t-\r]+")
+#: White space that str.split knows beside the six characters.
+_ODD_SPACES = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_VISIBLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The word pattern of the vocabulary for lower-case ASCII and Latin-1 letters.
+_WORD_MATCH = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _PIECES = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 _CACHE_PARTS = 400_000
 _COUNT = 1 << 28
@@ -140,10 +144,11 @@ def byte_level_coder(model: str) -> Coder:
 
 
 def word_end_coder(model: str) -> Coder:
-    """BPE with word ends and dropped white space, from the text of its json file: white space ends a word, and so
-    does a mark behind a Latin letter. Strings of special tokens become their ids, the library's default. Parts of
-    Latin-1 letters (their lower case is one code point each) take the quicker merge library, in which a character
-    that no such part has stands for the word's end and merges first; the others take the full library."""
+    """BPE with word ends and dropped white space, from the text of its json file: texts are cut at the six white-space
+    characters. Strings of special tokens become their ids, the library's default. Parts of visible ASCII characters
+    and Latin-1 letters (their lower case is one code point each, and they are composed) are matched here and take the
+    quicker merge library, in which a character that no such part has stands for a word's end and merges first; the
+    others, and parts that may hold a special token, take the full library."""
     import tiktoken
 
     tok = _library(model)
@@ -157,20 +162,25 @@ def word_end_coder(model: str) -> Coder:
 
     tokens = [*(c + suffix for c, b in byte_of.items() if b != ord(mark)), *byte_of, *made]
     quick = tiktoken.Encoding(
-        "parts", pat_str=f"[^{mark}]+{mark}", mergeable_ranks={raw(t): k for k, t in enumerate(tokens)}, special_tokens={}
+        "parts", pat_str=f"[^{mark} ]+{mark}| ", mergeable_ranks={raw(t): k for k, t in enumerate(tokens)}, special_tokens={}
     )._core_bpe
     id_of = np.array([vocab[t] for t in tokens], np.int32)
-    last = np.array([t.endswith(suffix) for t in tokens])
+    space = next(k for k, t in enumerate(tokens) if byte_of.get(t) == ord(" "))
+
+    def split(text: str) -> list[str]:
+        return _NOT_SPACE.findall(text) if any(c in text for c in _ODD_SPACES) else text.split()
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((_LETTERS.fullmatch(p) is not None for p in parts), bool, len(parts))
+        plain = np.fromiter((_VISIBLE.fullmatch(p) is not None and "<|" not in p for p in parts), bool, len(parts))
         row = [parts[k] for k in np.flatnonzero(plain)]
-        found = np.array(quick.encode_ordinary("".join(p.lower() + mark for p in row)), np.int64)
-        ends = np.flatnonzero(last[found]) + 1
+        marked = _WORD_MATCH.sub(r"\g<0>" + mark, " ".join(row).lower())
+        found = np.array(quick.encode_ordinary(marked), np.int64)
+        between = np.flatnonzero(found == space)
+        ends = np.concatenate((between - np.arange(len(between)), [len(found) - len(between)])) if row else between
         rest = _library_ids(tok, [parts[k] for k in np.flatnonzero(~plain)])
-        return _merged(plain, (id_of[found], np.diff(ends, prepend=0)), rest)
+        return _merged(plain, (id_of[found[found != space]], np.diff(ends, prepend=0)), rest)
 
-    return Coder(_DROPPED_SPACE.findall, encode)
+    return Coder(split, encode)
 
 
 def piece_coder(model: bytes) -> Coder:

@@ -312,6 +312,13 @@ def tokenise(docs: DataFrame, tokenizer_json: str, text_col: str = "text", end_i
     return docs.mapInArrow(run, schema)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A small table written to the shared folder, so that the planner knows its size before it joins it."""
+    path = scratch_path(df.sparkSession, "ranks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pack_sequences(
     docs: DataFrame, tokenizer_json: str, text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, unit: int = UNIT, loose: float = LOOSE
 ) -> DataFrame:
@@ -337,10 +344,10 @@ def pack_sequences(
     # counts by (task, item length): bounded by tasks × capacity, whatever the rows
     counts = coded.groupBy("task", "item").agg(F.count("*").alias("n"))
     before = Window.partitionBy("item").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("task", "item", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))
+    ranks = _written(counts.select("task", "item", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0")))
     tasks = coded.groupBy("task").agg(F.sum(F.expr(f"tokens div {capacity}")).alias("n"))
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
-    tasks = tasks.select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("block0"))
+    tasks = _written(tasks.select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("block0")))
     plan = make_plan({r["item"]: r["n"] for r in counts.groupBy("item").agg(F.sum("n").alias("n")).collect() if r["item"]}, capacity, unit, loose)
 
     row = "item long, lo long, hi long, first long, at long, stream boolean"
