@@ -90,7 +90,7 @@ def aligned_brute(rows, libraries):
     ]
 
 
-@pytest.mark.parametrize("chunk", [50, 2_000_000])
+@pytest.mark.parametrize("chunk", [50, alignment.CHUNK_CHARS])
 def test_alignment_equals_brute_force(spark, libraries, chunk):
     rows = edge_rows() + [(500 + k, t, "en", "a", None) for k, t in enumerate(odd_texts(60))]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)

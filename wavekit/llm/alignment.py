@@ -23,7 +23,7 @@ from wavekit.session import scratch_path
 #: Bytes of one stretch of a document: longer documents take several places of the state vector.
 STRETCH = 4096
 #: Characters of the texts that share one chunk: a chunk's links are counted before they are shuffled.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, doc_ends: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:

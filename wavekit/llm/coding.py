@@ -26,7 +26,7 @@ _VISIBLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The word pattern of the vocabulary for lower-case ASCII and Latin-1 letters.
 _WORD_MATCH = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _PIECES = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
-_CACHE_PARTS = 400_000
+_CACHE_PARTS = 250_000
 _COUNT = 1 << 28
 
 
