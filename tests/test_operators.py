@@ -319,14 +319,14 @@ def test_interactions_hold_all_slots(spark):
     assert {"lang x source", "lang x n_words", "n_chars x source"} <= combos
 
 
-def test_kendall_in_buckets(spark):
+def test_kendall_by_the_bits_of_the_ranks(spark):
     import random
 
     r = random.Random(5)
     data = [(r.choice([0, 0, 0, r.randrange(40)]), round(r.gauss(0, 1), 2), r.choice([None, 1.5, r.random()])) for _ in range(400)]
     df = spark.createDataFrame(data, "a int, b double, c double")
     sign = lambda x, y: (x > y) - (x < y)
-    got = {(x.var1, x.var2): x for x in correlation.kendall(df, ["a", "b", "c"], bucket_cells=25).collect()}
+    got = {(x.var1, x.var2): x for x in correlation.kendall(df, ["a", "b", "c"]).collect()}
     for i, j in ((0, 1), (0, 2), (1, 2)):
         rows = [(t[i], t[j]) for t in data if t[i] is not None and t[j] is not None]
         s = ta = tb = 0
@@ -337,9 +337,20 @@ def test_kendall_in_buckets(spark):
                 tb += y1 != y2
         assert got["abc"[i], "abc"[j]].tau_b == pytest.approx(s / math.sqrt(ta * tb))
         assert got["abc"[i], "abc"[j]].n == len(rows)
-    cells = correlation._bucketed(correlation.pair_cells(df, ["a", "b", "c"]), 25)
-    sizes = correlation._sweeps(cells).groupBy("var1", "var2", "side", "bucket").count()
-    assert sizes.agg({"count": "max"}).first()[0] <= 50
+
+
+def test_running_total_is_the_total_before_each_row(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [(k % 7, k, r.randrange(10**12)) for k in range(3000)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, k long, n long").repartition(6)
+    want, total = {}, 0
+    for g, k, n in sorted(rows):
+        want[g, k] = total
+        total += n
+    assert {(x.g, x.k): x.t for x in correlation.running_total(df, ["g", "k"], "n", "t").collect()} == want
 
 
 def test_spearman_kendall_brute_force(spark):

@@ -96,6 +96,40 @@ def chi2_sf(x, df) -> Column:
     )
 
 
+def chi2_pdf(x, df) -> Column:
+    """Density of the χ² distribution with integer df ≥ 1 at x > 0: x^{df/2−1} e^{−x/2} / (2^{df/2} Γ(df/2)), with the
+    logarithm of Γ from its recurrence over halves."""
+    x, df = _c(x).cast("double"), _c(df).cast("int")
+    start = F.when(df % 2 == 0, F.lit(0.0)).otherwise(F.lit(math.log(SQRT_PI)))  # ln Γ(1), ln Γ(1/2)
+    first = F.when(df % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.5))
+    steps = F.when(df >= 3, F.sequence(F.lit(0), ((df - 1) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    log_gamma = F.aggregate(steps, start, lambda acc, i: acc + F.log(first + i))
+    half = df / 2.0
+    return F.exp((half - 1) * F.log(x) - x / 2 - half * math.log(2.0) - log_gamma)
+
+
+def chi2_quantile(p, df) -> Column:
+    """x with P(X ≤ x) = p for the χ² distribution with integer df ≥ 1 and 0 < p < 1 (0 at p ≤ 0, null at p ≥ 1): the
+    upper tail halves an interval that holds the root 40 times, then eight Newton steps on it, kept in the interval."""
+    p, df = _c(p).cast("double"), _c(df).cast("int")
+    tail = 1 - p
+    top = df + 4 * F.sqrt(-2.0 * df * F.log(tail)) - 4 * F.log(tail) + 10
+
+    def halve(acc, _):
+        mid = (acc["lo"] + acc["hi"]) / 2
+        left = chi2_sf(mid, df) < tail  # the root is below the middle
+        return F.struct(F.when(left, acc["lo"]).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(acc["hi"]).alias("hi"))
+
+    box = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve)
+
+    def newton(x, _):
+        better = x + (chi2_sf(x, df) - tail) / chi2_pdf(x, df)
+        return F.when(better > 0, better).otherwise(x / 2)
+
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(8)), (box["lo"] + box["hi"]) / 2, newton)
+    return F.when(p.isNull() | df.isNull() | (df < 1) | (p >= 1), None).when(p <= 0, F.lit(0.0)).otherwise(root)
+
+
 def z_crit(level: float = 0.95) -> float:
     """Two-sided normal critical value for a confidence level (driver-side constant)."""
     from statistics import NormalDist

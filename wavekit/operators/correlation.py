@@ -2,8 +2,7 @@
 
 Pearson is one wide aggregate. Spearman ranks each column once over its distinct values (again only for pairs
 with a column that has nulls) and is one wide aggregate of the joined ranks. Kendall collapses every pair to
-value cells, cuts both columns into buckets of bounded size, counts concordances between buckets from a table of
-buckets and sweeps cells inside a bucket only.
+value cells and counts concordances by the bits of one column's ranks, with running totals over the other.
 """
 
 from __future__ import annotations
@@ -15,10 +14,6 @@ from pyspark.sql import functions as F
 
 from wavekit.operators.profile import distinct_counts
 
-#: About so many value cells of a pair are swept in one task.
-BUCKET_CELLS = 50_000
-
-
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     cols = list(cols)
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
@@ -112,128 +107,88 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ]))).where("n > 0")
 
 
-def _concordance(pdf):
-    """C − D over the value cells of one pair: walk the distinct a values from largest to smallest,
-    keeping a Fenwick tree of counts over b ranks for all cells with a larger a. O(K log K)."""
-    import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values(["a", "b"], ascending=[False, True])
-    b_rank = np.searchsorted(np.unique(pdf["b"].to_numpy()), pdf["b"].to_numpy()) + 1
-    size = int(b_rank.max()) if len(b_rank) else 0
-    tree = [0] * (size + 1)
-    total = 0
-    acc = 0
-    a_vals = pdf["a"].to_numpy()
-    counts = pdf["n"].to_numpy()
-    i, k = 0, len(pdf)
-    while i < k:
-        j = i
-        while j < k and a_vals[j] == a_vals[i]:
-            j += 1
-        for t in range(i, j):  # query the cells with a strictly larger a
-            r = int(b_rank[t])
-            below, x = 0, r - 1
-            while x > 0:
-                below += tree[x]
-                x -= x & -x
-            upto, x = 0, r
-            while x > 0:
-                upto += tree[x]
-                x -= x & -x
-            acc += int(counts[t]) * ((total - upto) - below)
-        for t in range(i, j):  # then add this a-group
-            x, v = int(b_rank[t]), int(counts[t])
-            total += v
-            while x <= size:
-                tree[x] += v
-                x += x & -x
-        i = j
-    return pd.DataFrame({"var1": [pdf["var1"].iloc[0]], "var2": [pdf["var2"].iloc[0]], "c_minus_d": [float(acc)]})
-
-
-def _bucketed(cells: DataFrame, bucket_cells: int) -> DataFrame | None:
-    """Cells with the buckets ``i`` of a and ``j`` of b, or None where every pair fits one bucket. Approximate
-    quantiles of the cells are edges; an edge is a bucket of its own (odd numbers: one value, so no order inside) and
-    the values between two edges are another (even numbers: at most about ``bucket_cells`` cells, however many
-    cells one value has). Results never depend on where the edges are."""
-    import numpy as np
-
-    most = cells.groupBy("var1", "var2").count().agg(F.max("count")).first()[0] or 0
-    parts = -(-most // bucket_cells)
-    if parts < 2:
-        return None
-    probs, accuracy = [k / parts for k in range(1, parts)], max(10000, 20 * parts)
-    edges = {
-        (r.var1, r.var2): (np.unique(r.a), np.unique(r.b))
-        for r in cells.groupBy("var1", "var2").agg(
-            F.percentile_approx("a", probs, accuracy).alias("a"), F.percentile_approx("b", probs, accuracy).alias("b")
-        ).collect()  # pairs × edges
-    }
-
-    def number(values, cut):
-        at = np.searchsorted(cut, values)
-        return 2 * at + (cut[np.minimum(at, len(cut) - 1)] == values)
-
-    def buckets(batches):
-        for pdf in batches:
-            pdf["i"] = pdf["j"] = 0
-            for pair, at in pdf.groupby(["var1", "var2"]).indices.items():
-                for col, value, cut in (("i", "a", edges[pair][0]), ("j", "b", edges[pair][1])):
-                    pdf.iloc[at, pdf.columns.get_loc(col)] = number(pdf[value].to_numpy()[at], cut)
-            yield pdf
-
-    return cells.mapInPandas(buckets, "var1 string, var2 string, a double, b double, n long, i long, j long").checkpoint()
-
-
-def _sweeps(cells: DataFrame) -> DataFrame:
-    """(var1, var2, side, bucket, a, b, n): the groups of cells to sweep — cells of one bucket of a by their values,
-    and cells of one bucket of b by their value of b and the bucket of a. Buckets of one value have no order inside."""
-    own = cells.where("i % 2 = 0").select("var1", "var2", F.lit("a").alias("side"), F.col("i").alias("bucket"), "a", "b", "n")
-    across = cells.where("j % 2 = 0").groupBy("var1", "var2", "j", "i", "b").agg(F.sum("n").alias("n")).select(
-        "var1", "var2", F.lit("b").alias("side"), F.col("j").alias("bucket"), F.col("i").cast("double").alias("a"), "b", "n"
-    )
-    return own.unionByName(across)
-
+def running_total(df: DataFrame, order: Sequence[str], value: str, dst: str) -> DataFrame:
+    """Add ``dst``: Σ ``value`` over all rows before this one in the order of ``order`` (rows of one key must be one row).
+    One range-partitioned sort; a task adds up its own rows as they stream by, and the partitions' totals (one number
+    each) give where it starts. No window holds more than a batch."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = df.columns.index(value)
+
+    def add_up(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        total, task = 0, TaskContext.get().partitionId()
+        for b in batches:
+            v = b.column(at).to_numpy(zero_copy_only=False)
+            ends = total + np.cumsum(v)
+            if len(v):
+                total = int(ends[-1])
+            cols = [*b.columns, pa.array(ends - v, pa.int64()), pa.array(np.full(len(v), task), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "__before", "__task"])
+
+    schema = T.StructType([*df.schema, T.StructField("__before", T.LongType()), T.StructField("__task", T.IntegerType())])
+    summed = placed.mapInArrow(add_up, schema).checkpoint()
+    totals = summed.groupBy("__task").agg(F.sum(value).alias("__n"))
+    first = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("__task", first.alias("__first"))  # one row a partition
+    return summed.join(F.broadcast(starts), "__task").withColumn(dst, F.col("__first") + F.col("__before")).drop("__task", "__first", "__before")
+
+
+def concordances(cells: DataFrame) -> DataFrame:
+    """(var1, var2, c_minus_d): concordant less discordant pairs of observations over the value cells (a, b, n) of every
+    pair of columns.
+
+    Two cells with different a part at exactly one bit of a's rank, the highest that differs: there they stand in one
+    node (the ranks' bits above) on its left and right. So each cell is one row on each of the levels of its rank's
+    bits; cells of one node, level and b are added up; and a running total of the left counts in the order of b within
+    the nodes says how many left cells lie below every right cell. Rows grow with cells × levels (the column with
+    fewer values gives the levels), no group is held by one task, and all sums are exact integers."""
+    from wavekit.operators.evaluate import cumulative_counts
 
-def _between(cells: DataFrame) -> DataFrame:
-    """(var1, var2, c_minus_d) of cells that differ in both buckets, from the buckets × buckets table of a pair:
-    counts of larger i by window over one column of the table, then of smaller j over one row."""
     pair = ["var1", "var2"]
-    table = cells.groupBy(*pair, "i", "j").agg(F.sum("n").alias("n")).checkpoint()
-    grid = table.select(*pair, "i").distinct().join(table.select(*pair, "j").distinct(), pair)
-    grid = grid.join(table, [*pair, "i", "j"], "left").fillna(0, ["n"])
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    larger = F.coalesce(F.sum("n").over(before(Window.partitionBy(*pair, "j").orderBy(F.desc("i")))), F.lit(0))
-    row = Window.partitionBy(*pair, "i")
-    less = F.coalesce(F.sum("larger").over(before(row.orderBy("j"))), F.lit(0))
-    out = grid.withColumn("larger", larger).select(
-        *pair, "n", (F.sum("larger").over(row) - F.col("larger") - 2 * less).alias("net")
+    values = lambda c: cells.groupBy(*pair, F.col(c).alias("v")).agg(F.lit(1).alias("one"))
+    width = values("a").groupBy(*pair).agg(F.count("*").alias("na")).join(values("b").groupBy(*pair).agg(F.count("*").alias("nb")), pair)
+    sides = cells.join(F.broadcast(width), pair).select(  # one row a pair of columns
+        *pair, F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("v"),
+        F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("b"), "n", F.least("na", "nb").alias("values"),
+    )
+    ranks = cumulative_counts(sides.groupBy(*pair, "v").agg(F.lit(1).alias("one")).checkpoint(), "v", ["one"], by=pair)
+    ranked = sides.join(ranks.select(*pair, "v", F.col("one_before").alias("rank")), [*pair, "v"])
+    levels = F.length(F.bin(F.col("values") - 1)) - 1  # the highest bit that a rank can have
+    rows = ranked.where("values > 1").select(*pair, "rank", "b", "n", F.explode(F.sequence(F.lit(0), levels)).alias("level"))
+    node, right = F.expr("shiftright(rank, level + 1)"), F.expr("shiftright(rank, level) & 1 = 1")
+    sums = rows.groupBy(*pair, "level", node.alias("node"), "b").agg(
+        F.sum(F.when(right, 0).otherwise(F.col("n"))).cast("long").alias("l"), F.sum(F.when(right, F.col("n")).otherwise(0)).cast("long").alias("r")
     )
-    return out.groupBy(*pair).agg(F.sum(F.col("n").cast("double") * F.col("net")).alias("c_minus_d"))
-
-
-def kendall(df: DataFrame, cols: Sequence[str], bucket_cells: int = BUCKET_CELLS) -> DataFrame:
-    """(var1, var2, n, tau_b). C − D of the value cells of a pair in three parts: cells in one bucket of a, cells in
-    one bucket of b but not of a (both by Fenwick sweeps of bounded groups, ``applyInPandas``), and cells that differ
-    in both buckets (windows over the table of buckets); tie corrections from the cell margins."""
+    placed = running_total(sums, [*pair, "level", "node", "b"], "l", "before")
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    nodes = placed.groupBy(*pair, "level", "node").agg(
+        F.sum(whole("r") * whole("before")).alias("rb"), F.sum(whole("r") * whole("l")).alias("rl"), F.sum("r").alias("r"),
+        F.sum("l").alias("l"), F.min("before").alias("start"),
+    )
+    below = F.col("rb") - whole("r") * whole("start")  # left and right with the left one below
+    net = 2 * below + F.col("rl") - whole("r") * whole("l")
+    return nodes.groupBy(*pair).agg(F.sum(net.cast("decimal(38,0)")).cast("double").alias("c_minus_d"))
+
+
+def kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(var1, var2, n, tau_b): concordances of the value cells of every pair, counted by the bits of the ranks; tie
+    corrections from the cell margins."""
     # value cells are bounded by distinct value pairs: materialise once (reliable checkpoint) instead of
     # re-deriving them from the rows in every branch below
     cells = pair_cells(df, cols).checkpoint()
-    bucketed = _bucketed(cells, bucket_cells)
-    kind = "var1 string, var2 string, c_minus_d double"
-    if bucketed is None:
-        cd = cells.groupBy("var1", "var2").applyInPandas(_concordance, kind)
-    else:
-        swept = _sweeps(bucketed).groupBy("var1", "var2", "side", "bucket").applyInPandas(_concordance, kind)
-        cd = swept.unionByName(_between(bucketed)).groupBy("var1", "var2").agg(F.sum("c_minus_d").alias("c_minus_d"))
     ta = cells.groupBy("var1", "var2", "a").agg(F.sum("n").alias("m")).groupBy("var1", "var2").agg(
         F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("ties_a"), F.sum("m").alias("N")
     )
     tb = cells.groupBy("var1", "var2", "b").agg(F.sum("n").alias("m")).groupBy("var1", "var2").agg(
         F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("ties_b")
     )
-    out = ta.join(tb, ["var1", "var2"]).join(cd, ["var1", "var2"], "left").fillna(0.0, ["c_minus_d"])
+    out = ta.join(tb, ["var1", "var2"]).join(concordances(cells), ["var1", "var2"], "left").fillna(0.0, ["c_minus_d"])
     n0 = F.col("N") * (F.col("N") - 1) / 2
     tau = F.col("c_minus_d") / F.sqrt((n0 - F.col("ties_a")) * (n0 - F.col("ties_b")))
     return out.select("var1", "var2", F.col("N").alias("n"), tau.alias("tau_b"))
