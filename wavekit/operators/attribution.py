@@ -10,9 +10,13 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavekit.functions.scalars import attach
 
+#: Values that a partial dependence is taken at, at most.
+MAX_GRID = 1000
+
 Predict = Callable[[DataFrame], DataFrame]  # adds a ``prob`` column
 
 
@@ -212,11 +216,15 @@ def local_explain(phi: DataFrame, id_col: str, row_id) -> DataFrame:
 def pdp(df: DataFrame, feature: str, values: DataFrame, predict: Predict, inputs: Sequence[str] | None = None) -> DataFrame:
     """Mean prediction with ``feature`` set to each value of ``values`` (column ``value``). The rows are first
     collapsed to the cells of the other columns that the prediction reads (``inputs``; default: all columns) with
-    their counts; each cell then meets every value of the grid, which travels as one array, and the predictions
-    are averaged by count."""
+    their counts; each cell then meets every value of the grid, which travels as one array (at most
+    ``MAX_GRID`` values, more raise), and the predictions are averaged by count."""
     others = [c for c in (inputs or df.columns) if c != feature]
+    points = [r.value for r in values.select("value").distinct().limit(MAX_GRID + 1).collect()]
+    if len(points) > MAX_GRID:
+        raise ValueError(f"{feature}: more than {MAX_GRID} values; bin it or give a grid")
     cells = df.groupBy(*others).agg(F.count(F.lit(1)).alias("__n"))
-    grid = attach(cells, values.agg(F.collect_set("value").alias("__v"))).withColumn("value", F.explode("__v")).drop("__v")
+    at = F.array(*[F.lit(v) for v in points]).cast(T.ArrayType(values.schema["value"].dataType))
+    grid = cells.withColumn("value", F.explode(at))
     scored = predict(grid.withColumn(feature, F.col("value")))
     return scored.groupBy("value").agg(
         (F.sum(F.col("prob") * F.col("__n")) / F.sum("__n")).alias("mean_prediction"), F.sum("__n").alias("n")
@@ -248,19 +256,12 @@ def pdp_grid(df: DataFrame, feature: str, predict: Predict, n_points: int | None
 
 def permutation_importance(df: DataFrame, features: Sequence[str], predict: Predict, id_col: str, label: str = "label",
                            repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Drop in ROC-AUC when one feature is permuted (hash permutation per repeat): mean and sd per feature.
-    Each (feature, repeat) is a distributed job; the driver only sees the AUC rows."""
-    from functools import reduce
-
+    """Drop in ROC-AUC when one feature is permuted: mean and sd per feature over ``repeats`` keyed permutations. All
+    features and repeats are one frame (``split.permuted``), scored once and evaluated by one grouped AUC."""
     from wavekit.operators.evaluate import roc_auc
-    from wavekit.operators.split import permute_column
+    from wavekit.operators.split import permuted
 
     base = roc_auc(predict(df), label, "prob").select(F.col("auc").alias("base_auc"))
-    rows = []
-    for f in features:
-        for r in range(repeats):
-            perm = permute_column(df, id_col, f, seed + r)
-            auc = roc_auc(predict(perm), label, "prob").select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "auc")
-            rows.append(auc)
-    allr = attach(reduce(DataFrame.unionByName, rows), base).withColumn("drop", F.col("base_auc") - F.col("auc"))
-    return allr.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_sd"))
+    scored = predict(permuted(df, id_col, features, repeats, seed))
+    drops = attach(roc_auc(scored, label, "prob", by=["feature", "repeat"]), base).withColumn("drop", F.col("base_auc") - F.col("auc"))
+    return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_sd"))

@@ -235,7 +235,12 @@ def _fisher_se(data: DataFrame, features: Sequence[str], beta: Sequence[float])
         return [float("nan")] * k
 
 
-# ---------------------------------------------------------------- per-group Newton on cells
+# ---------------------------------------------------------------- per-group Newton
+
+#: Cells of the largest group up to which a group is solved in one task; larger ones by one aggregate a step.
+GROUP_CELLS = 20_000
+#: Numbers of a state table (groups × parameters) up to which it is broadcast to the cells.
+STATE_NUMBERS = 100_000
 
 
 def _newton_group(pdf, features, max_iter=100, tol=1e-12):
@@ -271,6 +276,71 @@ def _newton_group(pdf, features, max_iter=100, tol=1e-12):
     return beta, se, ll, int(pdf["n"].sum()), float(w.sum()), float(wy.sum())
 
 
+def _solve_groups(cells: DataFrame, groups: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(groups…, beta, se, loglik, n_obs, sum_w, sum_wy): every group's cells in one task."""
+    import pandas as pd
+
+    kinds = ", ".join(f"{g} {cells.schema[g].dataType.simpleString()}" for g in groups)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        beta, se, ll, n, sw, swy = _newton_group(pdf, features)
+        own = {g: [pdf[g].iloc[0]] for g in groups}
+        return pd.DataFrame({**own, "beta": [beta.tolist()], "se": [se.tolist()], "loglik": [ll], "n_obs": [n], "sum_w": [sw], "sum_wy": [swy]})
+
+    return cells.groupBy(*groups).applyInPandas(fit, f"{kinds}, beta array<double>, se array<double>, loglik double, n_obs bigint, sum_w double, sum_wy double")
+
+
+def _newton_by_aggregates(cells: DataFrame, groups: Sequence[str], features: Sequence[str], max_iter: int = 30, tol: float = 1e-9) -> DataFrame:
+    """As ``_solve_groups`` for groups of any size: a step is one partially aggregated pass that gives every group's
+    gradient and information at its current coefficients; the small systems are solved by group in the tasks of the
+    state table, which is written every step. Groups that separate stop at ``max_iter`` with what they have."""
+    import numpy as np
+    import pandas as pd
+
+    from wavekit.session import saved
+
+    k = len(features) + 1
+    xs = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    kinds = ", ".join(f"{g} {cells.schema[g].dataType.simpleString()}" for g in groups)
+    state = saved(cells.groupBy(*groups).agg(F.array(*[F.lit(0.0)] * k).alias("beta")))
+    small = state.count() * k <= STATE_NUMBERS
+
+    def solve(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            grad = np.vstack(pdf["grad"].to_numpy())
+            info = np.zeros((len(pdf), k, k))
+            info[:, *np.triu_indices(k)] = np.vstack(pdf["info"].to_numpy())
+            info = info + np.triu(info, 1).transpose(0, 2, 1)
+            inverse = np.linalg.pinv(info, hermitian=True)
+            step = np.einsum("gij,gj->gi", inverse, grad)
+            with np.errstate(invalid="ignore"):
+                se = np.sqrt(np.einsum("gii->gi", inverse))
+            out = pdf[[*groups, "loglik", "n_obs", "sum_w", "sum_wy"]].copy()
+            out["beta"], out["se"] = list(np.vstack(pdf["beta"].to_numpy()) + step), list(se)
+            out["moved"] = np.abs(step).max(1)
+            yield out[[*groups, "beta", "se", "loglik", "n_obs", "sum_w", "sum_wy", "moved"]]
+
+    for _ in range(max_iter):
+        betas = state.select(*groups, "beta")
+        rows = cells.join(F.broadcast(betas) if small else betas, list(groups))
+        eta = xs[0] * F.col("beta")[0]
+        for i in range(1, k):
+            eta = eta + xs[i] * F.col("beta")[i]
+        rows = rows.withColumn("__eta", eta).withColumn("__p", 1.0 / (1.0 + F.exp(-F.col("__eta"))))
+        rest, v = F.col("wy") - F.col("w") * F.col("__p"), F.col("w") * F.col("__p") * (1 - F.col("__p"))
+        sums = rows.groupBy(*groups).agg(
+            F.first("beta").alias("beta"), F.array(*[F.sum(x * rest) for x in xs]).alias("grad"),
+            F.array(*[F.sum(v * xs[i] * xs[j]) for i in range(k) for j in range(i, k)]).alias("info"),
+            F.sum(_loglik_expr(F.col("__eta"))).alias("loglik"), F.sum("n").cast("long").alias("n_obs"), F.sum("w").alias("sum_w"), F.sum("wy").alias("sum_wy"),
+        )
+        state = saved(sums.mapInPandas(solve, f"{kinds}, beta array<double>, se array<double>, loglik double, n_obs bigint, sum_w double, sum_wy double, moved double"))
+        if (state.agg(F.max("moved")).first()[0] or 0.0) < tol:
+            break
+    return state.drop("moved")
+
+
 def logit_by_group(
     df: DataFrame,
     group: str,
@@ -278,46 +348,30 @@ def logit_by_group(
     features: Sequence[str],
     weight: str | None = None,
     model: str = "model",
+    group_cells: int = GROUP_CELLS,
 ) -> tuple[DataFrame, DataFrame]:
     """One logit per stratum of ``group`` (any number of strata, fitted in parallel).
 
-    Plan: cells per (group, predictors) with partial aggregation → one shuffle by group →
-    ``applyInPandas`` Newton per group on its cells. Predictors must be discrete (bounded cells).
-    Returns (coefficients, fit stats), both keyed by ``group``.
+    Rows collapse to cells per (group, predictors) with partial aggregation. Where the largest group has at most
+    ``group_cells`` of them (coded predictors), a group's cells are solved in one task; beyond that (continuous
+    predictors, which need no binning) every Newton step is one aggregate over all groups' cells. Both give the same
+    estimates. Returns (coefficients, fit stats), both keyed by ``group``.
     """
-    import pandas as pd
+    from wavekit.session import saved
 
     features = list(features)
     groups = [group] if isinstance(group, str) else list(group)
-    cells = sufficient_cells(df, y, features, weight, by=groups)
-    gschema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
+    cells = saved(sufficient_cells(df, y, features, weight, by=groups))
     variables = ["intercept"] + features
-    out_schema = (
-        f"{gschema}, model string, variable string, beta double, se double, "
-        "loglik double, n_obs bigint, sum_w double, sum_wy double"
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        beta, se, ll, n, sw, swy = _newton_group(pdf, features)
-        return pd.DataFrame(
-            {
-                **{g: [pdf[g].iloc[0]] * len(variables) for g in groups},
-                "model": [model] * len(variables),
-                "variable": variables,
-                "beta": beta,
-                "se": se,
-                "loglik": [ll] * len(variables),
-                "n_obs": [n] * len(variables),
-                "sum_w": [sw] * len(variables),
-                "sum_wy": [swy] * len(variables),
-            }
-        )
-
-    res = cells.groupBy(*groups).applyInPandas(fit, out_schema)
-    coefs = coefficient_table(res.select(*groups, "model", "variable", "beta", "se"))
+    most = cells.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    fits = (_solve_groups if most <= group_cells else _newton_by_aggregates)(cells, groups, features)
+    fits = fits.withColumn("model", F.lit(model))
+    named = F.arrays_zip(F.array(*[F.lit(v) for v in variables]).alias("variable"), F.col("beta"), F.col("se"))
+    long = fits.select(*groups, "model", F.explode(named).alias("x"))
+    coefs = coefficient_table(long.select(*groups, "model", *[F.col("x")[c].alias(c) for c in ("variable", "beta", "se")]))
     p0 = F.col("sum_wy") / F.col("sum_w")
     stats = fit_table(
-        res.where(F.col("variable") == "intercept").select(
+        fits.select(
             *groups,
             "model",
             "n_obs",

@@ -10,10 +10,13 @@ balanced partitions — gives every row its exact rank (folds).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavekit.functions.hashing import hash_key, hash_uniform, poisson1_weight
 
@@ -114,20 +117,206 @@ def bootstrap_mean(df: DataFrame, id_col: str, value: str, replicates: int, seed
     )
 
 
+# ---------------------------------------------------------------- exact-n bootstrap
+
+#: Rows of one leaf of the tree of hash buckets, on average.
+LEAF_ROWS = 64
+
+
+def _binomial(u, n, p):
+    """Inverse distribution function of Binomial(n, p) at u, elementwise over numpy arrays: the smallest k whose
+    cumulative probability reaches u. Small counts are added up from 0 together; a large one takes its own window of
+    14 standard deviations around the mean, beyond which less than 1e-30 lies."""
+    import numpy as np
+
+    n, p, u = np.broadcast_arrays(n, p, u)
+    out = np.where(p >= 1, n, 0).astype(np.int64)
+    todo = (p > 0) & (p < 1) & (n > 0)
+    small = todo & (n * np.minimum(p, 1 - p) < 50)
+    big = np.argwhere(todo & ~small)
+    # from the likelier end: k counts draws of the rarer kind, read from the other tail where that is the complement
+    flip = small & (p > 0.5)
+    q = np.where(flip, 1 - p, p)
+    at = np.nonzero(small)
+    nn, qq, v = n[at].astype(float), q[at], np.where(flip, 1 - u, u)[at]
+    prob = np.exp(nn * np.log1p(-qq))
+    total, k, found = prob.copy(), np.zeros(len(nn), np.int64), np.zeros(len(nn), bool)
+    strict = flip[at]  # of 1 − u the smallest k with F(k) > 1 − u
+    while True:
+        found |= np.where(strict, total > v, total >= v) | (k >= nn)
+        if found.all():
+            break
+        go = ~found
+        k[go] += 1
+        prob[go] *= (nn[go] - k[go] + 1) / k[go] * qq[go] / (1 - qq[go])
+        total[go] += prob[go]
+    out[at] = np.where(strict, nn.astype(np.int64) - k, k)
+    for place in map(tuple, big):
+        m, pr = int(n[place]), float(p[place])
+        sd = (m * pr * (1 - pr)) ** 0.5
+        lo, hi = max(0, int(m * pr - 14 * sd)), min(m, int(m * pr + 14 * sd) + 1)
+        ks = np.arange(lo, hi + 1)
+        ratio = np.log((m - ks[1:] + 1) / ks[1:] * pr / (1 - pr))
+        logs = np.concatenate(([0.0], np.cumsum(ratio)))
+        pmf = np.exp(logs - logs.max())
+        cdf = np.cumsum(pmf / pmf.sum())
+        out[place] = ks[min(int(np.searchsorted(cdf, u[place])), len(ks) - 1)]
+    return out
+
+
+def _uniforms(keys, seed: int, replicates: int):
+    """Uniforms [0, 1) by key and replicate r (0-based): the (r mod 4)-th 32 bits of the md5 of 'key:seed:(r div 4)'."""
+    import hashlib
+
+    import numpy as np
+
+    parts = -(-replicates // 4)
+    raw = [hashlib.md5(f"{k}:{seed}:{part}".encode()).digest() for k in keys for part in range(parts)]
+    return np.frombuffer(b"".join(raw), ">u4").reshape(len(keys), 4 * parts)[:, :replicates] / 4294967296.0
+
+
+def _deal(draws, sizes, keys, seed: int):
+    """Deal every replicate's ``draws`` (replicates) over children of ``sizes``: one after the other, a child gets a
+    binomial share of the draws that are left, in proportion to its size among the sizes that are left."""
+    import numpy as np
+
+    u = _uniforms(keys, seed, len(draws))
+    left, rest, out = draws.copy(), int(sum(sizes)), np.zeros((len(sizes), len(draws)), np.int64)
+    for k, size in enumerate(sizes):
+        out[k] = _binomial(u[k], left, size / rest)
+        left, rest = left - out[k], rest - size
+    return out
+
+
+def bootstrap_exact(df: DataFrame, id_col: str, replicates: int, seed: int = 42, dst: str = "boot_w") -> DataFrame:
+    """Add ``dst``: an array with the multiplicity of the row in each of ``replicates`` bootstrap samples of exactly n draws
+    (n the number of rows), multinomial over the rows.
+
+    A replicate's n draws are split down a tree of hash buckets: the leading hex digits of the rows' md5 keys, one
+    digit a level, until a bucket has about ``LEAF_ROWS`` rows, then the bucket's rows. At every node the children take
+    their draws by conditional binomials, whose uniforms are hashes of (child, seed, replicate): reruns, retries and
+    other partitionings agree. Only counts by bucket go down the tree; no draw and no row is multiplied by replicates.
+    Ids must be unique; rows with a null id are taken as one bucket's rows in no stated order.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = df.sparkSession
+    n = df.count()
+    digits = 1
+    while n > LEAF_ROWS * 16**digits:
+        digits += 1
+    key = F.coalesce(hash_key(id_col, seed), F.md5(F.lit("")))
+    counts = df.groupBy(F.substring(key, 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
+    counts = counts.checkpoint()
+    draws = spark.createDataFrame([("", [n] * replicates)], "bucket string, draws array<long>")
+    for level in range(1, digits + 1):
+        nodes = counts.groupBy(F.substring("bucket", 1, level).alias("bucket")).agg(F.sum("size").alias("size"))
+        nodes = nodes.withColumn("parent", F.substring("bucket", 1, level - 1))
+        nodes = nodes.join(draws.select(F.col("bucket").alias("parent"), "draws"), "parent")
+        many = F.substring("parent", 1, max(0, level - 3))  # some parents a group: at most 4096 children
+
+        def split_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            for _, own in pdf.sort_values("bucket").groupby("parent", sort=False):
+                dealt = _deal(np.asarray(own["draws"].iloc[0]), own["size"].tolist(), own["bucket"].tolist(), seed)
+                parts.append(pd.DataFrame({"bucket": own["bucket"], "draws": list(dealt)}))
+            return pd.concat(parts)
+
+        draws = nodes.withColumn("many", many).groupBy("many").applyInPandas(split_nodes, "bucket string, draws array<long>")
+        draws = draws.checkpoint()
+
+    # the rows of a bucket: its children, in the order of their keys
+    keyed = df.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, digits)).withColumn("__many", F.substring("__key", 1, max(1, digits - 1)))
+    keyed = keyed.join(draws.select(F.col("bucket").alias("__bucket"), F.col("draws").alias("__draws")), "__bucket")
+    columns, schema = list(df.columns), T.StructType([*df.schema, T.StructField(dst, T.ArrayType(T.LongType()))])
+    names = schema.names
+
+    def split_rows(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("__key").to_numpy(zero_copy_only=False), table.column("__bucket").to_numpy(zero_copy_only=False)))
+        table = table.take(pa.array(order))
+        buckets, keys = table.column("__bucket").to_pylist(), table.column("__key").to_pylist()
+        weights, k = np.zeros((len(keys), replicates), np.int64), 0
+        while k < len(keys):
+            j = k
+            while j < len(keys) and buckets[j] == buckets[k]:
+                j += 1
+            weights[k:j] = _deal(np.array(table.column("__draws")[k].as_py()), [1] * (j - k), keys[k:j], seed)
+            k = j
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(weights.reshape(-1)), replicates).cast(pa.list_(pa.int64()))
+        return pa.Table.from_arrays([*(table.column(c) for c in columns), lists], names=names)
+
+    return keyed.groupBy("__many").applyInArrow(split_rows, schema)
+
+
+def bootstrap_exact_mean(df: DataFrame, id_col: str, value: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, n_boot, mean): Σw and weighted mean of ``value`` over its non-null rows in every exact-n replicate, in
+    one wide aggregate (no row per replicate)."""
+    w = bootstrap_exact(df.where(F.col(value).isNotNull()), id_col, replicates, seed, "__w")
+    row = w.agg(*[F.sum(F.col("__w")[r]).alias(f"n{r}") for r in range(replicates)], *[F.sum(F.col("__w")[r] * F.col(value)).alias(f"s{r}") for r in range(replicates)])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(r + 1).alias("replicate"), F.col(f"n{r}").alias("n_boot"), (F.col(f"s{r}") / F.col(f"n{r}")).alias("mean")) for r in range(replicates)
+    ])))
+
+
+# ---------------------------------------------------------------- permutation
+
+
+def dense_index(df: DataFrame, id_col: str, seed: int = 42, dst: str = "index") -> DataFrame:
+    """Add ``dst``: 0 … n − 1 in the order of the md5 keys of the ids (of any type), without a window over all rows."""
+    keyed = df.withColumn("__key", F.coalesce(hash_key(id_col, seed), F.lit("")))
+    return _rank_strings(keyed, "__key").withColumn(dst, F.col("__rank") - 1).drop("__key", "__rank")
+
+
+def keyed_permutation(index: Column, n: int, key: Column | str, rounds: int = 4) -> Column:
+    """A permutation of 0 … n − 1 chosen by ``key``, as an expression: a Feistel network on a · b ≥ n places (a = ⌈√n⌉,
+    b = ⌈n / a⌉) whose halves are added to modulo a and b; a result beyond n goes through it again. There are fewer
+    than a such places and each is met once, so the walk always ends, and few rows walk at all."""
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = -(-max(n, 1) // a)
+    key = F.lit(key) if isinstance(key, str) else key
+
+    def mixed(r: int, half: Column, m: int) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit(str(r)), half.cast("string"))), 1, 8), 16, 10).cast("long") % m
+
+    def once(v: Column) -> Column:
+        x, y = F.floor(v / b).cast("long"), v % b
+        for r in range(rounds):
+            x = (x + mixed(2 * r, y, a)) % a
+            y = (y + mixed(2 * r + 1, x, b)) % b
+        return x * b + y
+
+    first = once(index)
+    if a * b == n:
+        return first
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    return F.when(first < n, first).otherwise(walk)
+
+
+def permuted(df: DataFrame, id_col: str, cols: Sequence[str], repeats: int = 1, seed: int = 42) -> DataFrame:
+    """The rows of ``df`` once per column of ``cols`` and repeat, with that column permuted over all rows: columns
+    ``feature`` and ``repeat`` (0-based) added. One dense index serves all; a row sends its value of every column to the
+    place that the keyed permutation of (column, repeat) gives, in one shuffle."""
+    from wavekit.session import saved
+
+    cols = list(cols)
+    indexed = saved(dense_index(df, id_col, seed, "__index"))
+    n = indexed.count()
+    jobs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in cols for r in range(repeats)])
+    sent = indexed.select("__index", *cols, F.explode(jobs).alias("__job"))
+    place = keyed_permutation(F.col("__index"), n, F.concat_ws(":", F.lit(str(seed)), F.col("__job.feature"), F.col("__job.repeat").cast("string")))
+    sent = sent.select(
+        place.alias("__index"), "__job.feature", "__job.repeat",
+        *[F.when(F.col("__job.feature") == c, F.col(f"`{c}`")).alias(f"__v{k}") for k, c in enumerate(cols)],
+    )
+    out = indexed.join(sent, "__index").drop("__index")
+    return out.withColumns({c: F.when(F.col("feature") == c, F.col(f"__v{k}")).otherwise(F.col(f"`{c}`")) for k, c in enumerate(cols)}).drop(*[f"__v{k}" for k in range(len(cols))])
+
+
 def permute_column(df: DataFrame, id_col: str, col: str, seed: int = 42, dst: str | None = None) -> DataFrame:
-    """Shuffle one column across rows, keep the rest: the i-th row in id order receives the value of the
-    i-th row in md5 order. Ranks come from bucketed cumulative counts (no single-partition window)."""
-    from wavekit.operators.evaluate import cumulative_counts
-
-    ids = df.select(F.col(id_col).alias("__id"), F.lit(1).alias("__one"))
-    r1 = cumulative_counts(ids, "__id", ["__one"]).select("__id", (F.col("__one_before") + 1).alias("__r"))
-    keyed = df.select(F.col(id_col).alias("__id2"), F.col(col).alias("__v"), hash_key(id_col, seed).alias("__h"))
-    # md5 keys are hex strings: rank them by their numeric prefix + full key through a (key, 1) table
-    hk = keyed.select("__h", "__v", F.lit(1).alias("__one"))
-    r2 = _rank_strings(hk, "__h").select(F.col("__rank").alias("__r"), "__v")
-    perm = r1.join(r2, "__r").select(F.col("__id").alias(id_col), F.col("__v").alias(dst or col))
-    base = df.drop(col) if (dst or col) == col else df
-    return base.join(perm, id_col)
+    """Shuffle one column across rows, keep the rest (``dst``: the permuted copy's name); ids of any type."""
+    own = df if dst is None or dst == col else df.withColumn(dst, F.col(f"`{col}`"))
+    return permuted(own, id_col, [dst or col], 1, seed).drop("feature", "repeat")
 
 
 def _rank_strings(df: DataFrame, key: str) -> DataFrame:
