@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from wavekit.functions import dist
+from wavekit.functions import dist, ordering
 from wavekit.operators import (
     attribution,
     correlation,
@@ -350,7 +350,7 @@ def test_running_total_is_the_total_before_each_row(spark):
     for g, k, n in sorted(rows):
         want[g, k] = total
         total += n
-    assert {(x.g, x.k): x.t for x in correlation.running_total(df, ["g", "k"], "n", "t").collect()} == want
+    assert {(x.g, x.k): x.t for x in ordering.running_total(df, ["g", "k"], "n", "t").collect()} == want
 
 
 def test_spearman_kendall_brute_force(spark):
@@ -439,7 +439,8 @@ def test_mice_chains_differ_and_pool(spark):
         y = float(r.random() < 1 / (1 + math.exp(2 - 0.5 * x)))
         rows.append((i, x if r.random() < 0.6 else None, z, b if r.random() < 0.8 else None, y))
     df = spark.createDataFrame(rows, "id long, x int, z int, b double, y double")
-    out, _ = impute.mice(df, "id", ["x", "b"], ["z", "y"], m=4, sweeps=3, seed=2)
+    # the method of a column follows the caller or the column's type, never its values
+    out, _ = impute.mice(df, "id", ["x", "b"], ["z", "y"], m=4, sweeps=3, seed=2, methods={"b": "logreg"})
     out = out.checkpoint()
     assert {v.x for v in out.select("x").distinct().collect()} <= {v[1] for v in rows if v[1] is not None}
     assert {v.b for v in out.select("b").distinct().collect()} == {0.0, 1.0}

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavekit.functions.ordering import running_total
 from wavekit.operators.profile import distinct_counts
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -107,38 +108,6 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ]))).where("n > 0")
 
 
-def running_total(df: DataFrame, order: Sequence[str], value: str, dst: str) -> DataFrame:
-    """Add ``dst``: Σ ``value`` over all rows before this one in the order of ``order`` (rows of one key must be one row).
-    One range-partitioned sort; a task adds up its own rows as they stream by, and the partitions' totals (one number
-    each) give where it starts. No window holds more than a batch."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    at = df.columns.index(value)
-
-    def add_up(batches):
-        import numpy as np
-        from pyspark import TaskContext
-
-        total, task = 0, TaskContext.get().partitionId()
-        for b in batches:
-            v = b.column(at).to_numpy(zero_copy_only=False)
-            ends = total + np.cumsum(v)
-            if len(v):
-                total = int(ends[-1])
-            cols = [*b.columns, pa.array(ends - v, pa.int64()), pa.array(np.full(len(v), task), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "__before", "__task"])
-
-    schema = T.StructType([*df.schema, T.StructField("__before", T.LongType()), T.StructField("__task", T.IntegerType())])
-    summed = placed.mapInArrow(add_up, schema).checkpoint()
-    totals = summed.groupBy("__task").agg(F.sum(value).alias("__n"))
-    first = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("__task", first.alias("__first"))  # one row a partition
-    return summed.join(F.broadcast(starts), "__task").withColumn(dst, F.col("__first") + F.col("__before")).drop("__task", "__first", "__before")
-
-
 def concordances(cells: DataFrame) -> DataFrame:
     """(var1, var2, c_minus_d): concordant less discordant pairs of observations over the value cells (a, b, n) of every
     pair of columns.

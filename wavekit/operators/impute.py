@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from wavekit.functions.hashing import hash_uniform
 from wavekit.functions.scalars import attach
-from wavekit.operators.profile import column_counts, column_medians, column_modes, distinct_counts
+from wavekit.operators.profile import column_counts, column_medians, column_modes
 from wavekit.operators.recode import NUMERIC
 
 
@@ -92,17 +92,19 @@ def _normal_from_hash(id_col: str, seed, *extra):
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * 3.141592653589793 * u2)
 
 
-#: Bins of the prediction in predictive mean matching, and the number of codes up to which a target is matched.
+#: Bins of the prediction in predictive mean matching.
 PMM_BINS = 400
-MAX_CODES = 100
+#: Levels of an unordered column, at most (more raise), and the ridge that keeps separated classes finite.
+MAX_CLASSES = 50
+RIDGE = 1e-3
 
 
-def _moments(stack: DataFrame, target: str, feats: Sequence[str], imp_col: str) -> dict:
+def _moments(stack: DataFrame, target: str, feats: Sequence[Column], imp_col: str) -> dict:
     """Per chain: X'X, X'y, y'y and n over the observed rows, from one partially aggregated pass (chains x
     features² numbers reach the driver)."""
     import numpy as np
 
-    x = [F.lit(1.0), *[F.col(f) for f in feats]]
+    x = [F.lit(1.0), *feats]
     p, y = len(x), F.col(target)
     rows = (
         stack.where(~F.col(f"__miss_{target}")).groupBy(imp_col)
@@ -120,6 +122,13 @@ def _moments(stack: DataFrame, target: str, feats: Sequence[str], imp_col: str)
     return out
 
 
+def _normal_draw(mean, covariance, rng):
+    import numpy as np
+
+    value, vector = np.linalg.eigh((covariance + covariance.T) / 2)
+    return mean + (vector * np.sqrt(np.maximum(value, 0))) @ rng.standard_normal(len(mean))
+
+
 def _draw(moments, rng):
     """Least-squares coefficients, and a draw of (coefficients, residual sd) from their posterior."""
     import numpy as np
@@ -129,38 +138,98 @@ def _draw(moments, rng):
     beta = inv @ xy
     rss = max(yy - beta @ xy, 1e-9)
     sigma = float(np.sqrt(rss / rng.chisquare(max(n - len(beta), 1))))
-    value, vector = np.linalg.eigh((inv + inv.T) / 2)
-    return beta, beta + sigma * (vector * np.sqrt(np.maximum(value, 0))) @ rng.standard_normal(len(beta)), sigma
+    return beta, _normal_draw(beta, sigma**2 * inv, rng), sigma
 
 
 def _by_chain(imp_col: str, values: dict) -> Column:
     return F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])[F.col(imp_col)]
 
 
-def _linear(imp_col: str, feats: Sequence[str], betas: dict) -> Column:
+def _linear(imp_col: str, feats: Sequence[Column], betas: dict) -> Column:
     out = _by_chain(imp_col, {k: float(b[0]) for k, b in betas.items()})
-    for i, f in enumerate(feats, start=1):
-        out = out + _by_chain(imp_col, {k: float(b[i]) for k, b in betas.items()}) * F.col(f)
+    for i, x in enumerate(feats, start=1):
+        out = out + _by_chain(imp_col, {k: float(b[i]) for k, b in betas.items()}) * x
     return out
 
 
+def _class_shares(imp_col: str, feats: Sequence[Column], betas: dict, classes: int) -> list[Column]:
+    """Probabilities of classes 1 … K − 1 (class 0 is the reference) under the chains' coefficients ((K − 1) × p)."""
+    odds = [F.exp(F.least(_linear(imp_col, feats, {k: b[c] for k, b in betas.items()}), F.lit(500.0))) for c in range(classes - 1)]
+    total = sum(odds, F.lit(1.0))
+    return [o / total for o in odds]
+
+
+def fit_classes(cells: DataFrame, target: str, feats: Sequence[Column], classes: int, imp_col: str, steps: int = 30, tol: float = 1e-8) -> dict:
+    """{chain: (coefficients ((K − 1) × p), covariance)} of a multinomial logit of ``target`` (codes 0 … K − 1) on
+    ``feats`` over rows with counts ``n``, for all chains at once: a Newton step is one partially aggregated pass that
+    gives every chain's gradient and information. ``RIDGE`` times the identity is added to the information."""
+    import numpy as np
+
+    x, free = [F.lit(1.0), *feats], classes - 1
+    p, n = len(x), F.col("n").cast("double")
+    chains = [r[0] for r in cells.select(imp_col).distinct().collect()]  # the m chains
+    betas = {k: np.zeros((free, p)) for k in chains}
+    blocks = [(k, c) for k in range(free) for c in range(k, free)]
+    upper = np.triu_indices(p)
+    information = {}
+    for _ in range(steps):
+        named = cells.withColumns({f"__p{k}": v for k, v in enumerate(_class_shares(imp_col, feats, betas, classes))})
+        prob = [F.col(f"__p{k}") for k in range(free)]
+        rows = named.groupBy(imp_col).agg(
+            F.array(*[F.sum(n * ((F.col(target) == k + 1).cast("double") - prob[k]) * v) for k in range(free) for v in x]).alias("g"),
+            F.array(*[
+                F.sum(n * prob[k] * ((1 - prob[c]) if k == c else -prob[c]) * x[i] * x[j]) for k, c in blocks for i in range(p) for j in range(i, p)
+            ]).alias("h"),
+        ).collect()  # chains × (classes · features)² / 2 numbers
+        moved = 0.0
+        for r in rows:
+            info, at = np.zeros((free * p, free * p)), 0
+            for k, c in blocks:
+                half = np.zeros((p, p))
+                half[upper] = r.h[at : at + len(upper[0])]
+                at += len(upper[0])
+                block = half + np.triu(half, 1).T
+                info[k * p : (k + 1) * p, c * p : (c + 1) * p] = block
+                info[c * p : (c + 1) * p, k * p : (k + 1) * p] = block
+            info += RIDGE * np.eye(free * p)
+            beta = betas[r[imp_col]].reshape(-1)
+            step = np.linalg.solve(info, np.array(r.g) - RIDGE * beta)
+            betas[r[imp_col]] = (beta + step).reshape(free, p)
+            information[r[imp_col]] = info
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < tol:
+            break
+    return {k: (betas[k], np.linalg.inv(information[k])) for k in information}
+
+
 def _donors(stack: DataFrame, target: str, imp_col: str, bin_: Column) -> DataFrame:
     """(chain, bin, values, cumulative shares) of the observed codes by bin of the predicted mean; an empty bin takes
-    the nearest one that has donors. Chains x bins x codes counts reach the driver."""
+    the nearest one that has donors. The codes stay on the cluster; which bins have any (chains × bins) does not."""
     import numpy as np
 
     counts = stack.where(~F.col(f"__miss_{target}")).groupBy(imp_col, bin_.alias("b"), F.col(target).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cells: dict = {}
-    for r in counts.collect():
-        cells.setdefault(r[imp_col], {}).setdefault(r.b, []).append((r.v, r.n))
-    rows = []
-    for chain, bins in cells.items():
-        full = np.array(sorted(bins))
-        for b in range(PMM_BINS):
-            own = sorted(bins[int(full[np.argmin(np.abs(full - b))])])
-            n = np.cumsum([k for _, k in own])
-            rows.append((chain, b, [float(v) for v, _ in own], [float(c) for c in n / n[-1]]))
-    return stack.sparkSession.createDataFrame(rows, f"{imp_col} int, __b int, __vals array<double>, __cum array<double>")
+    sorted_ = F.array_sort(F.collect_list(F.struct("v", "n")))
+    cells = counts.groupBy(imp_col, "b").agg(sorted_.alias("c"), F.sum("n").alias("total")).checkpoint()
+    full: dict = {}
+    for r in cells.select(imp_col, "b").collect():
+        full.setdefault(r[imp_col], []).append(r.b)
+    near = []
+    for chain, bins in full.items():
+        have = np.array(sorted(bins))
+        near += [(chain, b, int(have[np.argmin(np.abs(have - b))])) for b in range(PMM_BINS)]
+    places = stack.sparkSession.createDataFrame(near, f"{imp_col} int, __b int, b int")
+    running = F.aggregate(
+        "c", F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<double>").alias("s")),
+        lambda acc, x: F.struct((acc["t"] + x["n"]).alias("t"), F.array_append(acc["s"], (acc["t"] + x["n"]) / F.col("total")).alias("s")),
+    )["s"]
+    return places.join(cells, [imp_col, "b"]).select(imp_col, "__b", F.transform("c", lambda x: x["v"]).alias("__vals"), running.alias("__cum"))
+
+
+def _levels(df: DataFrame, col: str) -> list:
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{col} has more than {MAX_CLASSES} levels: not an unordered code")
+    return sorted(found)
 
 
 def mice(
@@ -176,17 +245,22 @@ def mice(
 ) -> tuple[DataFrame, DataFrame]:
     """Multiple imputation by chained equations: ``m`` independent chains, kept in one table.
 
-    Start: a null cell takes the median. Each sweep and
-    target regresses the target on all other columns (current values) over its observed rows, separately in each
-    chain; the coefficients and residual sd used are a draw from their posterior, so imputations differ between
-    chains by more than noise. Methods (``methods``, default by type): ``pmm`` for coded targets (up to 100
-    observed values) matches each missing row's drawn prediction to observed rows with a like predicted mean and
-    takes one of their values; ``logreg`` for 0/1 targets draws from the fitted probability; ``norm`` for others
-    adds normal noise, clipped to the observed range. Observed cells never change.
-
-    Every step is one aggregate over the rows; regressions are solved from its moments. Random numbers are hashes
-    of the id (rows) and seeded per chain, sweep and target (coefficients): results do not depend on partitions or
-    retries. Lineage is cut every sweep. Returns (stack, trace): trace has mean and sd per (imp, sweep, variable).
+    Start: a null cell takes the median (unordered codes: the most frequent level). Each sweep and target regresses the
+    target on all other columns (current values) over its observed rows, separately in each chain; the coefficients used
+    are a draw from their posterior, so imputations differ between chains by more than noise. The method follows
+    ``methods``, else the column's type alone:
+
+    * ``pmm`` (whole numbers): the row's drawn prediction is matched to observed rows with a like predicted mean, and
+      one of their values is taken; meant for codes, whose distinct values per bin are held in one array;
+    * ``norm`` (fractional numbers): normal noise around the drawn prediction, clipped to the observed range;
+    * ``logreg`` (booleans) and ``polyreg`` (strings): a draw from the probabilities of a logit of the two or more
+      unordered levels, at most ``MAX_CLASSES``; as predictors of other columns such levels are indicators.
+
+    Observed cells never change. Every step is one aggregate over the rows; least squares are solved from its moments,
+    logits by Newton steps that are one aggregate each for all chains. Random numbers are hashes of the id (rows) and
+    seeded per chain, sweep and target (coefficients): results do not depend on partitions or retries. Lineage is cut
+    every sweep. Returns (stack, trace): trace has mean and sd per (imp, sweep, variable), of level numbers for
+    unordered codes.
     """
     import numpy as np
 
@@ -195,45 +269,73 @@ def mice(
     ensure_checkpoint_dir(df.sparkSession)
     targets, predictors = list(targets), list(predictors)
     cols = list(dict.fromkeys(targets + predictors))
-    levels = {r.variable: r.n_distinct for r in distinct_counts(df, targets).collect()}
-    span = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols], *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in cols]).first()
-
-    def method(c):
-        binary = levels[c] <= 2 and span[f"lo_{c}"] == 0 and span[f"hi_{c}"] == 1
-        return (methods or {}).get(c) or ("logreg" if binary else "pmm" if levels[c] <= MAX_CODES else "norm")
-
-    base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols], *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets])
-    stack = attach(base, column_medians(df, targets).select(*[F.col(c).alias(f"__med_{c}") for c in targets]))
-    stack = stack.select(
+    by_type = {T.BooleanType: "logreg", T.StringType: "polyreg", T.DoubleType: "norm", T.FloatType: "norm", T.DecimalType: "norm"}
+    method = {c: (methods or {}).get(c) or by_type.get(type(df.schema[c].dataType), "pmm") for c in cols}
+    levels = {c: _levels(df, c) for c in cols if method[c] in ("logreg", "polyreg")}
+
+    def number(c):
+        if c not in levels:
+            return F.col(c).cast("double")
+        place = F.array_position(F.array(*[F.lit(v) for v in levels[c]]).cast(T.ArrayType(df.schema[c].dataType)), F.col(c))
+        return F.when(F.col(c).isNotNull() & (place > 0), (place - 1).cast("double"))
+
+    base = df.select(id_col, *[number(c).alias(c) for c in cols], *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets]).checkpoint()
+    span = base.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    targets = [c for c in targets if span[f"hi_{c}"] is not None]  # a column without any value stays as it is
+    plain, coded = [c for c in targets if c not in levels], [c for c in targets if c in levels]
+    start = reduce(attach, [f for f in (plain and column_medians(base, plain), coded and _modes(base, coded)) if f]) if targets else None
+    if targets:
+        base = attach(base, start.select(*[F.col(c).alias(f"__med_{c}") for c in targets]))
+    stack = base.select(
         id_col, F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col), *[f"__miss_{c}" for c in targets],
         *[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in targets else F.col(c) for c in cols],
     ).checkpoint()
     names = stack.columns
+
+    def design(others):
+        """(expression, lowest, highest value) of every regressor."""
+        out = []
+        for c in others:
+            if c in levels:
+                out += [((F.col(c) == k).cast("double"), 0.0, 1.0) for k in range(1, len(levels[c]))]
+            else:
+                out.append((F.col(c), span[f"lo_{c}"], span[f"hi_{c}"]))
+        return out
+
     traces = []
     for sweep in range(1, sweeps + 1):
         for t, c in enumerate(targets):
-            if levels[c] == 0:
-                continue
-            feats = [p for p in cols if p != c]
-            fits = {k: _draw(v, np.random.default_rng([seed, sweep, t, k])) for k, v in _moments(stack.dropna(subset=feats), c, feats, imp_col).items()}
-            drawn = _linear(imp_col, feats, {k: f[1] for k, f in fits.items()})
+            others = [p for p in cols if p != c and span[f"hi_{p}"] is not None]
+            regressors = design(others)
+            feats = [x for x, _, _ in regressors]
+            usable = stack.dropna(subset=others)
             u = hash_uniform(id_col, seed, F.col(imp_col), sweep, c)
-            if method(c) == "pmm":
+            rng = {k: np.random.default_rng([seed, sweep, t, k]) for k in range(1, m + 1)}
+            if c in levels:
+                matched, k = stack, len(levels[c])
+                cells = usable.where(~F.col(f"__miss_{c}")).groupBy(imp_col, *others, c).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+                fits = fit_classes(cells, c, feats, k, imp_col) if k > 1 else {}
+                drawn = {i: _normal_draw(b.reshape(-1), cov, rng[i]).reshape(b.shape) for i, (b, cov) in fits.items()}
+                share = _class_shares(imp_col, feats, drawn, k) if fits else []
+                # class 0 first: the number of cumulative probabilities that u reaches
+                running = [1 - sum(share[i:], F.lit(0.0)) for i in range(k - 1)] if fits else []
+                value = sum([(u >= r).cast("double") for r in running], F.lit(0.0))
+            else:
+                fits = {i: _draw(v, rng[i]) for i, v in _moments(usable, c, feats, imp_col).items()}
+                drawn = _linear(imp_col, feats, {k: f[1] for k, f in fits.items()})
+            if method[c] == "pmm":
                 fitted = {k: f[0] for k, f in fits.items()}
                 ends = {
-                    k: tuple(b[0] + sum(f(b[i] * span[f"lo_{x}"], b[i] * span[f"hi_{x}"]) for i, x in enumerate(feats, start=1)) for f in (min, max))
+                    k: tuple(b[0] + sum(f(b[i] * low, b[i] * high) for i, (_, low, high) in enumerate(regressors, start=1)) for f in (min, max))
                     for k, b in fitted.items()
                 }
                 lo = _by_chain(imp_col, {k: float(e[0]) for k, e in ends.items()})
                 width = _by_chain(imp_col, {k: float(max(e[1] - e[0], 1e-9)) / PMM_BINS for k, e in ends.items()})
                 place = lambda v: F.least(F.greatest(F.floor((v - lo) / width), F.lit(0)), F.lit(PMM_BINS - 1)).cast("int")
-                donors = _donors(stack.dropna(subset=feats), c, imp_col, place(_linear(imp_col, feats, fitted)))
+                donors = _donors(usable, c, imp_col, place(_linear(imp_col, feats, fitted)))
                 matched = stack.withColumn("__b", place(drawn)).join(donors, [imp_col, "__b"], "left")
                 value = F.get("__vals", F.least(F.size(F.filter("__cum", lambda s: s < u)), F.size("__vals") - 1))
-            elif method(c) == "logreg":
-                # the drawn linear fit of a 0/1 target is its probability, kept inside (0, 1)
-                matched, value = stack, (u < F.least(F.greatest(drawn, F.lit(0.001)), F.lit(0.999))).cast("double")
-            else:
+            elif method[c] == "norm":
                 noise = _by_chain(imp_col, {k: f[2] for k, f in fits.items()}) * _normal_from_hash(id_col, seed, F.col(imp_col), sweep, c)
                 matched, value = stack, F.least(F.greatest(drawn + noise, F.lit(span[f"lo_{c}"])), F.lit(span[f"hi_{c}"]))
             stack = matched.withColumn(c, F.when(F.col(f"__miss_{c}"), F.coalesce(value, F.col(c))).otherwise(F.col(c))).select(*names)
@@ -242,5 +344,12 @@ def mice(
         traces.append(stats.select(imp_col, F.lit(sweep).alias("sweep"), F.inline(F.array(*[
             F.struct(F.lit(c).alias("variable"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("sd")) for c in targets
         ]))))
-    out = stack.select(id_col, imp_col, *[F.col(c).cast(df.schema[c].dataType) if c in targets else F.col(c) for c in cols])
+
+    def back(c):
+        if c not in levels:
+            return F.col(c).cast(df.schema[c].dataType) if c in targets else F.col(c)
+        own = F.array(*[F.lit(v) for v in levels[c]]).cast(T.ArrayType(df.schema[c].dataType))
+        return F.get(own, F.col(c).cast("int")).alias(c)
+
+    out = stack.select(id_col, imp_col, *[back(c) for c in cols])
     return out, reduce(DataFrame.unionByName, traces)

@@ -24,7 +24,7 @@ class RunConfig:
     folds: int = 5
     metric: str = "areaUnderROC"
     preset: str = "standard"
-    draws: Mapping[str, int] = field(default_factory=lambda: {"fast": 10, "standard": 60, "max": 200})
+    draws: Mapping[str, int] = field(default_factory=lambda: {"fast": 35, "standard": 60, "max": 120})
     parallelism: int = 4
 
     @property
@@ -115,19 +115,84 @@ def probability(model, df: DataFrame, label: str = "label", id_col: str | None =
 def search(df: DataFrame, estimator, grid: Sequence[dict], fold_col: str = "fold", label: str = "label",
            parallelism: int = 4, folds: int = 5) -> DataFrame:
     """Cross-validated search over parameter maps (grid or random draws) with a precomputed fold column
-    (values 0..folds−1). Returns one row per trial: trial, params (string), mean and sd of the fold ROC-AUC."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
+    (values 0..folds−1). One row per trial: trial, params (string), mean and sd of the ROC-AUC over the held-out folds
+    and over the folds' training rows. Trials are fitted ``parallelism`` at a time; a fold's rows are written once."""
+    from concurrent.futures import ThreadPoolExecutor
+    from statistics import fmean, pstdev
+
+    from pyspark import inheritable_thread_target
+
+    from wavekit.session import saved
 
     maps = [{estimator.getParam(k): v for k, v in g.items()} for g in grid]
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=folds,
-                        parallelism=parallelism, collectSubModels=False)
-    m = cv.fit(df)
-    std = list(getattr(m, "stdMetrics", []) or [None] * len(maps))
-    rows = [(i, str(sorted(g.items())), float(a), float(s) if s is not None else None)
-            for i, (g, a, s) in enumerate(zip(grid, m.avgMetrics, std))]
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_auc double, sd_auc double")
+    rows = saved(df)
+
+    def trial(job):
+        fold, k = job
+        train, held = rows.where(F.col(fold_col) != fold), rows.where(F.col(fold_col) == fold)
+        model = estimator.copy(maps[k]).fit(train)
+        return k, _area(model, held, label), _area(model, train, label)
+
+    jobs = [(f, k) for f in range(folds) for k in range(len(maps))]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        scores = list(pool.map(inheritable_thread_target(trial), jobs))
+    out = []
+    for k, g in enumerate(grid):
+        held, train = ([s[i] for s in scores if s[0] == k] for i in (1, 2))
+        out.append((k, str(sorted(g.items())), fmean(held), pstdev(held), fmean(train), pstdev(train)))
+    return df.sparkSession.createDataFrame(
+        out, "trial int, params string, mean_auc double, sd_auc double, mean_train_auc double, sd_train_auc double"
+    )
+
+
+def _area(model, df: DataFrame, label: str) -> float:
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0).evaluate(model.transform(df))
+
+
+def balanced_weights(df: DataFrame, label: str = "label", dst: str = "class_weight") -> DataFrame:
+    """Add n / (classes · n_class): every class weighs the same in total."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row a class
+    n, k = sum(counts.values()), len(counts)
+    pairs = [x for c, m in counts.items() for x in (F.lit(c), F.lit(n / (k * m)))]
+    return df.withColumn(dst, F.create_map(*pairs)[F.col(label)])
+
+
+def elasticnet_draws(n: int, seed: int = 42) -> list[dict]:
+    """n random settings of the elastic net: C log-uniform over 1e-5 … 1e3, l1_ratio uniform over 0 … 1, tolerance
+    log-uniform over 1e-5 … 1e-3, class weights none or balanced."""
+    rng = random.Random(seed)
+    return [
+        {"C": 10 ** rng.uniform(-5, 3), "l1_ratio": rng.random(), "tol": 10 ** rng.uniform(-5, -3), "balanced": rng.random() < 0.5}
+        for _ in range(n)
+    ]
+
+
+def search_elasticnet(df: DataFrame, draws: Sequence[dict], fold_col: str = "fold", label: str = "label", folds: int = 5,
+                      parallelism: int = 4) -> DataFrame:
+    """``search`` over ``elasticnet_draws``: one row per draw with its C, l1_ratio, tol and balanced."""
+    from functools import reduce
+
+    from pyspark.ml.classification import LogisticRegression
+
+    n = df.count() * (folds - 1) / folds
+    weighted, parts = balanced_weights(df, label), []
+    for balanced in (False, True):
+        own = [(k, d) for k, d in enumerate(draws) if d["balanced"] == balanced]
+        if not own:
+            continue
+        est = LogisticRegression(featuresCol="features", labelCol=label, standardization=False, maxIter=200)
+        if balanced:
+            est.setWeightCol("class_weight")
+        maps = [{"regParam": 1.0 / (d["C"] * n), "elasticNetParam": d["l1_ratio"], "tol": d["tol"]} for _, d in own]
+        found = search(weighted, est, maps, fold_col, label, parallelism, folds).drop("params")
+        names = df.sparkSession.createDataFrame(
+            [(i, k, float(d["C"]), float(d["l1_ratio"]), float(d["tol"]), balanced) for i, (k, d) in enumerate(own)],
+            "trial int, draw int, C double, l1_ratio double, tol double, balanced boolean",
+        )
+        parts.append(names.join(found, "trial").drop("trial"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def random_grid(space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[dict]:
@@ -196,18 +261,47 @@ def feature_importances(model, features: Sequence[str], spark, name: str) -> Dat
     return spark.createDataFrame([(name, f, float(v)) for f, v in zip(features, imp)], "model string, slot string, importance double")
 
 
-def recalibrate(scored: DataFrame, method: str = "platt", label: str = "label", score: str = "prob") -> DataFrame:
-    """Platt (logistic on the score) or isotonic mapping of scores; adds ``prob_calibrated``."""
+def class_scores(model, df: DataFrame, label: str, id_col: str, classes: int) -> DataFrame:
+    """(id, label, p0 … p_{K−1}): the class probabilities of a multi-class model."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = vector_to_array("probability")
+    return model.transform(df).select(id_col, F.col(label).cast("int").alias(label), *[p[k].alias(f"p{k}") for k in range(classes)])
+
+
+def class_importances(model, df: DataFrame, features: Sequence[str], label: str, id_col: str, classes: int, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """(class, feature, importance): drop of a class's one-vs-rest AUC when the feature is permuted over the rows, mean of
+    ``repeats``. All permutations are one frame, scored once; ``features`` are assembled into the model's vector."""
+    from wavekit.operators.evaluate import roc_auc
+    from wavekit.operators.split import permuted
+
+    def stacked(rows, *by):
+        entries = F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"p{k}").alias("prob")) for k in range(classes)])
+        long = rows.select(*by, F.col(label).alias("__y"), F.explode(entries).alias("s")).select(*by, "s.class", "s.prob", (F.col("__y") == F.col("s.class")).cast("int").alias("label"))
+        return roc_auc(long, by=[*by, "class"])
+
     from pyspark.ml.functions import vector_to_array
 
-    a = assemble(scored, [score], "__s")
+    def scored(rows, *by):
+        p = vector_to_array("probability")
+        out = model.transform(assemble(rows, features))
+        return stacked(out.select(*by, F.col(label).cast("int").alias(label), *[p[k].alias(f"p{k}") for k in range(classes)]), *by)
+
+    own = df.select(id_col, label, *features)
+    base = scored(own).select("class", F.col("auc").alias("base_auc"))
+    drops = scored(permuted(own, id_col, features, repeats, seed), "feature", "repeat").join(base, "class")
+    return drops.groupBy("class", "feature").agg(F.avg(F.col("base_auc") - F.col("auc")).alias("importance"))
+
+
+def recalibrate(fit_on: DataFrame, scored: DataFrame, method: str = "platt", label: str = "label", score: str = "prob") -> DataFrame:
+    """``scored`` with ``prob_calibrated``: Platt (maximum-likelihood logistic of the label on the score) or isotonic
+    mapping, fitted on the rows of ``fit_on``, which should not be those that are reported."""
     if method == "platt":
-        from pyspark.ml.classification import LogisticRegression
+        from wavekit.operators.models import logit
 
-        m = LogisticRegression(featuresCol="__s", labelCol=label).fit(a)
-        return m.transform(a).withColumn("prob_calibrated", vector_to_array("probability")[1]).drop(
-            "__s", "rawPrediction", "probability", "prediction")
+        fit = logit(fit_on, label, [score], model="platt")
+        return scored.withColumn("prob_calibrated", fit.probability([F.col(score)]))
     from pyspark.ml.regression import IsotonicRegression
 
-    m = IsotonicRegression(featuresCol="__s", labelCol=label, predictionCol="prob_calibrated").fit(a)
-    return m.transform(a).drop("__s")
+    m = IsotonicRegression(featuresCol="__s", labelCol=label, predictionCol="prob_calibrated").fit(assemble(fit_on, [score], "__s"))
+    return m.transform(assemble(scored, [score], "__s")).drop("__s")

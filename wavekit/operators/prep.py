@@ -47,12 +47,20 @@ def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 0, with_mean: bo
     return out.drop(*[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
 
 
+#: Levels that become one column each, at most; a column with more needs ``preprocess_pipeline``'s sparse slots.
+MAX_LEVELS = 1000
+
+
 def onehot(df: DataFrame, col: str, fit_on: DataFrame | None = None, drop_first: bool = False,
-           prefix: str | None = None) -> tuple[DataFrame, list]:
+           prefix: str | None = None, max_levels: int = MAX_LEVELS) -> tuple[DataFrame, list]:
     """0/1 columns for the levels seen in ``fit_on`` (sorted); a level unseen at fit time gives all zeros.
-    Returns (frame, levels). The level list is a small distinct set taken to the driver to fix the schema."""
+    Returns (frame, levels). The levels name the columns, so they come to the driver: at most ``max_levels``, more
+    raise."""
     src = fit_on if fit_on is not None else df
-    levels = [r[0] for r in src.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+    found = src.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
+    if len(found) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} levels; use preprocess_pipeline (sparse slots)")
+    levels = sorted(r[0] for r in found)
     used = levels[1:] if drop_first else levels
     prefix = prefix if prefix is not None else f"{col}_"
     out = df.withColumns({f"{prefix}{lv}": F.coalesce((F.col(col) == F.lit(lv)).cast("int"), F.lit(0)) for lv in used})
@@ -65,15 +73,23 @@ def poly_interactions(df: DataFrame, cols: Sequence[str], sep: str = "__x__") ->
     return df.withColumns({f"{a}{sep}{b}": F.col(a) * F.col(b) for i, a in enumerate(cols) for b in cols[i + 1:]})
 
 
-def poly_vector(df: DataFrame, slots: int, input_col: str = "features", output_col: str = "features") -> tuple[DataFrame, list[tuple[int, ...]]]:
-    """All slots of a vector and their pairwise products xᵢ·xⱼ (i < j), no squares, as one vector (sparse stays sparse).
-    Returns (frame, the slots of each term): slots · (slots + 1) / 2 terms."""
+def _expansion_terms(last: int, degree: int) -> list[tuple[int, ...]]:
+    """Slots of the terms of a polynomial expansion in the order in which it lists them: by the power of the last slot,
+    for each power all terms of the slots before it."""
+    if degree == 0 or last < 0:
+        return [()]
+    return [t + (last,) * i for i in range(degree + 1) for t in _expansion_terms(last - 1, degree - i)]
+
+
+def poly_vector(df: DataFrame, slots: int, input_col: str = "features", output_col: str = "features", degree: int = 2) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """All slots of a vector and their products of up to ``degree`` different slots (i < j < …), no powers, as one vector
+    (sparse stays sparse: a row has terms of its non-zero slots only). Returns (frame, the slots of each term); degree 3
+    gives slots + slots · (slots − 1) / 2 + slots · (slots − 1) · (slots − 2) / 6 terms."""
     from pyspark.ml.feature import PolynomialExpansion, VectorSlicer
 
-    # degree 2 gives, for every j in turn: xⱼ, x₀·xⱼ, x₁·xⱼ, …, xⱼ·xⱼ
-    terms = [t for j in range(slots) for t in [(j,), *((i, j) for i in range(j + 1))]]
+    terms = _expansion_terms(slots - 1, degree)[1:]
     kept = [k for k, t in enumerate(terms) if len(set(t)) == len(t)]
-    wide = PolynomialExpansion(degree=2, inputCol=input_col, outputCol="__poly").transform(df)
+    wide = PolynomialExpansion(degree=degree, inputCol=input_col, outputCol="__poly").transform(df)
     if output_col in wide.columns:
         wide = wide.drop(output_col)
     out = VectorSlicer(inputCol="__poly", outputCol=output_col, indices=kept).transform(wide).drop("__poly")

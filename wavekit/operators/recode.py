@@ -246,17 +246,16 @@ def weight_normalize(df: DataFrame, weight_col: str = "survey_weight", dst: str
 def target_encode(df: DataFrame, col: str, dst: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sorted distinct values → codes 0..k−1 on the typed value. Returns (encoded frame, mapping).
 
-    The mapping is computed from the distinct values (a shuffle of k rows per partition, never the
-    row set) and joined back; it holds one row per class.
+    The mapping holds one row per class. Codes come from a running total over the range-sorted distinct values, so a
+    column with very many values is no single task's window either.
     """
-    from pyspark.sql import Window
+    from wavekit.functions.ordering import running_total
+    from wavekit.session import ensure_checkpoint_dir
 
-    mapping = (
-        df.select(F.col(col).alias("value"))
-        .where(F.col("value").isNotNull())
-        .distinct()
-        .withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
-    )
+    ensure_checkpoint_dir(df.sparkSession)
+    values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    mapping = running_total(values.withColumn("__one", F.lit(1).cast("long")), ["value"], "__one", "code")
+    mapping = mapping.select("value", F.col("code").cast("int").alias("code"))
     out = df.join(mapping, F.col(col) == F.col("value"), "left").drop("value")
     out = out.withColumnRenamed("code", dst or f"{col}_code")
     return out, mapping

@@ -55,25 +55,42 @@ def stratified_rank(df: DataFrame, id_col: str, strata: Sequence[str], seed: int
     )
 
 
-def split_stratified(df: DataFrame, id_col: str, strata: Sequence[str], test_frac: float = 0.2, seed: int = 42,
+def split_stratified(df: DataFrame, id_col: str, strata: Sequence[str], test_frac: float = 0.2, seed: int | Column = 42,
                      dst: str = "split") -> DataFrame:
-    """Exact quota per stratum: the first round(test_frac·n_s) rows in md5 order are 'test', the rest 'train'."""
+    """Exact quota per stratum: the first round(test_frac·n_s) rows in md5 order are 'test', the rest 'train'.
+
+    The quota is turned into one key per stratum, the last that is 'test': bucket counts say in which bucket it lies, and
+    only that bucket is ranked. Both passes read id and strata only; the rows themselves are read once and compared with
+    their stratum's key (a table of strata, which null strata take part in)."""
     strata = list(strata)
-    keyed = df.withColumn("__h", hash_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, _digits(df)))
-    offsets = _bucket_offsets(keyed, strata).withColumn("__q", F.round(F.col("__n_s") * test_frac).cast("long"))
-    j = keyed.join(offsets, strata + ["__b"])
-    decided = (
-        F.when(F.col("__before") + F.col("__cnt") <= F.col("__q"), F.lit("test"))
-        .when(F.col("__before") >= F.col("__q"), F.lit("train"))
-    )
-    j = j.withColumn(dst, decided)
-    done = j.where(F.col(dst).isNotNull())
-    # the single boundary bucket per stratum: exact position inside it
-    w = Window.partitionBy(*strata, "__b").orderBy("__h", id_col)
-    edge = j.where(F.col(dst).isNull()).withColumn(
-        dst, F.when(F.col("__before") + F.row_number().over(w) <= F.col("__q"), "test").otherwise("train")
-    )
-    return done.unionByName(edge).drop("__h", "__b", "__cnt", "__before", "__n_s", "__q")
+
+    def keyed(rows):
+        return rows.withColumn("__h", F.coalesce(hash_key(id_col, seed), F.lit(""))).withColumn("__b", F.substring("__h", 1, digits))
+
+    own = list(dict.fromkeys([id_col, *strata, *([c for c in df.columns if isinstance(seed, Column)])]))
+    narrow = df.select(*[F.col(f"`{c}`") for c in own])
+    digits = _digits(narrow)
+    groups = {c: f"__s{k}" for k, c in enumerate(strata)}
+    named = keyed(narrow).select("__h", "__b", F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(g) for c, g in groups.items()])
+    names = list(groups.values())
+    edges = _bucket_offsets(named, names).withColumn("__q", F.round(F.col("__n_s") * test_frac).cast("long"))
+    edges = edges.where("__before < __q and __before + __cnt >= __q").select(*names, "__b", (F.col("__q") - F.col("__before")).alias("__take"))
+
+    def same(left, right, cols):
+        out = F.lit(True)
+        for c in cols:
+            out = out & left[c].eqNullSafe(right[c])
+        return out
+
+    inside = named.alias("n").join(edges.alias("e"), same(named, edges, [*names, "__b"])).select("n.*", "e.__take")
+    rank = F.row_number().over(Window.partitionBy(*names, "__b").orderBy("__h", "__id"))
+    last = inside.withColumn("__r", rank).where("__r = __take").select(*[F.col(g).alias(f"{g}_") for g in names], F.struct("__h", "__id").alias("__last"))
+    match = F.lit(True)
+    for c, g in groups.items():
+        match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"{g}_"))
+    out = keyed(df).join(last, match, "left")
+    is_test = F.coalesce(F.struct(F.col("__h").alias("__h"), F.col(f"`{id_col}`").alias("__id")) <= F.col("__last"), F.lit(False))
+    return out.withColumn(dst, F.when(is_test, "test").otherwise("train")).drop("__h", "__b", "__last", *[f"{g}_" for g in names])
 
 
 def folds_stratified(df: DataFrame, id_col: str, strata: Sequence[str], k: int = 5, seed: int = 42,

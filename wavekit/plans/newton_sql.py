@@ -116,3 +116,19 @@ def newton_multi(cells: str, prefix: str, terms: list[str], iters: int = 9) -> s
     fit = ", ".join(f"s.b{i}" for i in range(p)) + ", " + ", ".join(f"sqrt(-g.{name(i, i)}) AS se{i}" for i in range(p))
     parts.append(f"{prefix}_fit AS MATERIALIZED (SELECT {fit}, g.ll AS loglik FROM {prefix}_{iters} s, {prefix}_{iters}_s{p} g)")
     return ",\n".join(parts)
+
+
+def permutation_sql(i: str, n: str, a: str, key: str, rounds: int = 4) -> str:
+    """The keyed permutation of 0 … n − 1 (``operators.split.keyed_permutation``): ``a`` is ⌈√n⌉, the other half has
+    ⌈n / a⌉ places; a result beyond n goes through again, at most a·b − n times."""
+    b = f"(({n} + {a} - 1) // {a})"
+
+    def once(v: str) -> str:
+        x, y = f"(({v}) // {b})", f"(({v}) % {b})"
+        mixed = lambda r, half, m: f"(('0x' || substr(md5({key} || ':{r}:' || {half}), 1, 8))::BIGINT % {m})"
+        for r in range(rounds):
+            x = f"(({x} + {mixed(2 * r, y, a)}) % {a})"
+            y = f"(({y} + {mixed(2 * r + 1, x, b)}) % {b})"
+        return f"({x} * {b} + {y})"
+
+    return f"list_reduce(range(0, {a} * {b} - {n}), lambda v, k: CASE WHEN v < {n} THEN v ELSE {once('v')} END, {once(i)})"

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from wavekit.functions.scalars import attach
 from wavekit.operators import attribution, evaluate, impute, inference, ml, models, prep, profile, ranking, recode, split
 from wavekit.plans import fixtures as fx
-from wavekit.plans.newton_sql import newton_ctes
+from wavekit.plans.newton_sql import newton_ctes, newton_multi, permutation_sql
 from wavekit.plans.q_models import TIMED_SQL, timed
 from wavekit.plans.q_split import _poisson_case
 from wavekit.plans.registry import register
-from wavekit.plans.views import with_views
+from wavekit.plans.views import view, with_views
 from wavekit.session import scratch_path
 from wavekit.sources import sinks
 from wavekit.sources.tables import table
@@ -106,7 +106,20 @@ def q_search_random(spark, d):
     train, _, _, _ = prepared(spark, d)
     est = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED)
     space = {"maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "maxIter": [10, 20, 30], "subsamplingRate": [0.7, 1.0]}
-    return ml.search(train, est, ml.random_grid(space, ml.RunConfig(preset="fast").n_draws, SEED), "fold")
+    return ml.search(train, est, ml.random_grid(space, ml.RunConfig(preset="fast").n_draws, SEED), "fold", parallelism=8)
+
+
+@register("logit_elasticnet")
+def q_logit_elasticnet(spark, d):
+    """Random search over penalty, l1 share, tolerance and class weights; the coefficients of the best draw."""
+    train, _, _, meta = prepared(spark, d)
+    draws = ml.elasticnet_draws(ml.RunConfig(preset="fast").n_draws, SEED)
+    best = ml.search_elasticnet(train, draws, parallelism=8).orderBy(F.desc("mean_auc"), "draw").first()
+    rows = ml.balanced_weights(train) if best.balanced else train
+    _, coefs = ml.logit_penalized(rows, _slots(meta), C=best.C, l1_ratio=best.l1_ratio, weight="class_weight" if best.balanced else None)
+    return coefs.select(
+        "variable", "beta", *[F.lit(best[c]).alias(c) for c in ("draw", "C", "l1_ratio", "balanced", "mean_auc", "sd_auc", "mean_train_auc")]
+    )
 
 
 @register("lasso_select")
@@ -115,11 +128,11 @@ def q_lasso_select(spark, d):
 
 
 def _poly_coefs(spark, d):
-    """(variable, beta, components) of the elastic net on all slots and all products of two slots; ``components`` are
-    the base features of a term's slots."""
+    """(variable, beta, components) of the elastic net on all slots and all products of two and three slots;
+    ``components`` are the base features of a term's slots."""
     train, _, _, meta = prepared(spark, d)
     slots = meta.orderBy("slot_index").select("slot", "base_feature").collect()  # slots of the model
-    wide, terms = prep.poly_vector(train, len(slots))
+    wide, terms = prep.poly_vector(train, len(slots), degree=3)
     names = ["__x__".join(slots[k][0] for k in t) for t in terms]
     _, coefs = ml.logit_penalized(wide, names, C=1.0, l1_ratio=0.5)
     bases = spark.createDataFrame([(n, [slots[k][1] for k in t]) for n, t in zip(names, terms)], "variable string, components array<string>")
@@ -240,12 +253,54 @@ def q_stack_weights(spark, d):
     return ml.stack_weights(meta, names, spark)
 
 
-@register("recalibrate")
+# half of the rows, by hash, fit the calibration; the others are reported
+_HALF = "('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':42:calibration'), 1, 8))::UBIGINT / 4294967296.0 < 0.5"
+
+
+def _calibration_halves(spark, d):
+    from wavekit.functions.hashing import hash_uniform
+
+    s = fx.scored(spark, d).withColumn("__fit", hash_uniform("row_id", SEED, "calibration") < 0.5)
+    return s.where("__fit").drop("__fit"), s.where("not __fit").drop("__fit")
+
+
+@register(
+    "recalibrate",
+    with_views(
+        f"""WITH half AS (SELECT *, {_HALF} AS fit FROM scored),
+c AS (SELECT 1 AS g, prob AS x, count(*) AS n, CAST(count(*) AS DOUBLE) AS w, CAST(sum(label) AS DOUBLE) AS wy FROM half WHERE fit GROUP BY prob),
+{newton_ctes("c", "m")}
+SELECT row_id, label, prob, 1 / (1 + exp(-(b0 + b1 * prob))) AS prob_platt FROM half, m_fit WHERE NOT fit""",
+        "scored",
+    ),
+)
 def q_recalibrate(spark, d):
-    s = fx.scored(spark, d)
-    platt = ml.recalibrate(s, "platt").select("row_id", "label", "prob", F.col("prob_calibrated").alias("prob_platt"))
-    iso = ml.recalibrate(s, "isotonic").select("row_id", F.col("prob_calibrated").alias("prob_isotonic"))
-    return platt.join(iso, "row_id")
+    """Platt scaling fitted on one half of the rows, shown on the other."""
+    fit, rest = _calibration_halves(spark, d)
+    return ml.recalibrate(fit, rest, "platt").select("row_id", "label", "prob", F.col("prob_calibrated").alias("prob_platt"))
+
+
+@register(
+    "recalibrate_isotonic",
+    with_views(
+        f"""WITH half AS (SELECT *, {_HALF} AS fit FROM scored),
+p AS (SELECT prob2 AS x, CAST(sum(label) AS DOUBLE) AS s, count(*) AS n, row_number() OVER (ORDER BY prob2) AS i FROM half WHERE fit GROUP BY prob2),
+t AS (SELECT x, i, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn, s, n FROM p),
+-- the isotonic fit at a point: the largest, over starts up to it, of the smallest mean to an end from it on
+m AS (SELECT k.i, a.i AS lo, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) AS v FROM t k JOIN t a ON a.i <= k.i JOIN t b ON b.i >= k.i GROUP BY k.i, a.i),
+g AS (SELECT t.x, max(m.v) AS y FROM m JOIN t ON t.i = m.i GROUP BY t.x),
+e AS (SELECT h.prob2, max(CASE WHEN g.x <= h.prob2 THEN g.x END) AS x0, min(CASE WHEN g.x >= h.prob2 THEN g.x END) AS x1
+      FROM (SELECT DISTINCT prob2 FROM half WHERE NOT fit) h, g GROUP BY h.prob2)
+SELECT h.row_id, h.label, h.prob2 AS prob, CASE WHEN e.x0 IS NULL THEN u.y WHEN e.x1 IS NULL OR e.x0 = e.x1 THEN l.y
+       ELSE l.y + (u.y - l.y) * (h.prob2 - e.x0) / (e.x1 - e.x0) END AS prob_isotonic
+FROM half h JOIN e ON e.prob2 = h.prob2 LEFT JOIN g l ON l.x = e.x0 LEFT JOIN g u ON u.x = e.x1 WHERE NOT h.fit""",
+        "scored",
+    ),
+)
+def q_recalibrate_isotonic(spark, d):
+    """Isotonic calibration of the rounded score, fitted on one half of the rows, shown on the other."""
+    fit, rest = (x.withColumn("prob", F.col("prob2")) for x in _calibration_halves(spark, d))
+    return ml.recalibrate(fit, rest, "isotonic").select("row_id", "label", "prob", F.col("prob_calibrated").alias("prob_isotonic"))
 
 
 @register("model_registry")
@@ -264,13 +319,70 @@ def q_model_registry(spark, d):
     return reduce(DataFrame.unionByName, [_auc_row(n, m, test) for n, m in loaded.items()])
 
 
-@register("snapshot_features")
+view(
+    "labelled_split",
+    """SELECT d.doc_id AS row_id, CAST(l.quality AS DOUBLE) AS label, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CASE WHEN row_number() OVER (PARTITION BY l.quality ORDER BY md5(CAST(d.doc_id AS VARCHAR) || ':42'), d.doc_id)
+                 <= round(count(*) OVER (PARTITION BY l.quality) * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+
+
+@register(
+    "snapshot_features",
+    with_views(
+        """SELECT split, count(*) AS n, avg(label) AS positive_share, CAST(5 AS BIGINT) AS n_listed,
+       CAST((SELECT 3 + count(DISTINCT lang) + count(DISTINCT source) FROM labelled_split WHERE split = 'train') AS INT) AS n_slots,
+       count(*) AS n_assembled
+FROM labelled_split GROUP BY split""",
+        "labelled_split",
+    ),
+)
 def q_snapshot_features(spark, d):
-    train, test, pipe, meta = prepared(spark, d)
+    """What was written is read back and used: the reloaded preprocessor assembles the reloaded rows again."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, test, pipe, _ = prepared(spark, d)
     root = sinks.snapshot_features(train.unionByName(test).drop("features"), pipe,
                                    {"numeric": NUMERIC, "categorical": CATEGORICAL}, scratch_path(spark, "snapshot"))
-    back = spark.read.parquet(f"{root}/data")
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("positive_share"))
+    rows, preprocessor, lists = sinks.load_snapshot(spark, root)
+    out = preprocessor.transform(rows.select("split", "label", *lists["numeric"], *lists["categorical"]))
+    size = F.size(vector_to_array("features"))
+    return out.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("label").alias("positive_share"), F.lit(sum(map(len, lists.values()))).cast("long").alias("n_listed"),
+        F.max(size).alias("n_slots"), F.count("features").alias("n_assembled"),
+    )
+
+
+#: The items of the multi-class outcome and their number of classes.
+CLASS_FEATS = ["sex_raw", "region", "marijuana12", "alcohol12", "cigarette12"]
+N_CLASSES = 5
+
+
+def _class_forest(spark, d):
+    df = recode.sentinel_to_null(fx.survey_raw(spark, d))
+    df = recode.filter_complete(df, ["nicotine12", *CLASS_FEATS]).withColumn("label", (F.col("nicotine12") - 1).cast("double"))
+    df = split.split_stratified(df, "respondent_id", ["label"], 0.2, SEED).select("respondent_id", "label", "split", *CLASS_FEATS).checkpoint()
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    return ml.random_forest(ml.assemble(train, CLASS_FEATS), num_trees=100, max_depth=8, seed=SEED), test
+
+
+@register("random_forest_classes")
+def q_random_forest_classes(spark, d):
+    """Multi-class forest on the outcome code: held-out one-vs-rest AUC of every class, their means, and accuracy."""
+    model, test = _class_forest(spark, d)
+    scores = ml.class_scores(model, ml.assemble(test, CLASS_FEATS), "label", "respondent_id", N_CLASSES).checkpoint()
+    named = scores.withColumn("label", F.col("label").cast("string"))
+    per = evaluate.roc_auc_ovr(named, "label", {str(k): f"p{k}" for k in range(N_CLASSES)})
+    best = F.array_position(F.array(*[F.col(f"p{k}") for k in range(N_CLASSES)]), F.greatest(*[F.col(f"p{k}") for k in range(N_CLASSES)])) - 1
+    return attach(per, scores.agg(F.avg((best == F.col("label")).cast("double")).alias("accuracy")))
+
+
+@register("random_forest_class_importances")
+def q_random_forest_class_importances(spark, d):
+    """Drop of each class's one-vs-rest AUC when an item is permuted over the held-out rows."""
+    model, test = _class_forest(spark, d)
+    return ml.class_importances(model, test, CLASS_FEATS, "label", "respondent_id", N_CLASSES, repeats=3, seed=SEED)
 
 
 # ------------------------------------------------------------------ survey-based compositions
@@ -398,18 +510,46 @@ def q_robust_imputation(spark, d):
 
 @register("repeat_splits")
 def q_repeat_splits(spark, d):
-    """Ten seeds: stratified split, plain logit refit, test AUC; summary over seeds."""
-    df = _survey_complete(spark, d).checkpoint()
-    rows = []
-    for seed in range(10):
-        s = split.split_stratified(df, "respondent_id", ["y"], 0.2, seed)
-        fit = models.logit(s.where(F.col("split") == "train"), "y", SURVEY_FEATS, model=f"seed_{seed}")
-        test = s.where(F.col("split") == "test").withColumn("prob", fit.probability())
-        rows.append(evaluate.roc_auc(test, "y", "prob").select(F.lit(seed).alias("seed"), "auc"))
-    return profile.robustness_summary(reduce(DataFrame.unionByName, rows), "auc")
+    """Ten seeds: stratified split, plain logit refit, test AUC; summary over seeds. All seeds are groups of one split, one
+    fit and one AUC."""
+    rows = _survey_complete(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    rows = split.split_stratified(rows, "respondent_id", ["seed", "y"], 0.2, F.col("seed")).select("seed", "y", "split", *SURVEY_FEATS).checkpoint()
+    coefs, _ = models.logit_by_group(rows.where("split = 'train'"), "seed", "y", SURVEY_FEATS, model="seed")
+    wide = coefs.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("variable", "beta"))).alias("b"))
+    eta = F.col("b")["intercept"]
+    for f in SURVEY_FEATS:
+        eta = eta + F.col("b")[f] * F.col(f)
+    test = rows.where("split = 'test'").join(wide, "seed").withColumn("prob", 1 / (1 + F.exp(-eta)))
+    return profile.robustness_summary(evaluate.roc_auc(test, "y", "prob", by=["seed"]).select("seed", "auc"), "auc")
+
+
+def _importance_sql(repeats: int = 5) -> str:
+    cells = ", ".join(SURVEY_FEATS)
+    names = ", ".join(f"'{f}'" for f in SURVEY_FEATS)
+    value = lambda t: "CASE f " + " ".join(f"WHEN '{f}' THEN {t}.{f}" for f in SURVEY_FEATS) + " END"
+    eta = "b0 + " + " + ".join(f"b{i} * CASE WHEN f = '{c}' THEN v ELSE {c} END" for i, c in enumerate(SURVEY_FEATS, start=1))
+    auc = "sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg))"
+    counts = "sum(y) AS pos, count(*) - sum(y) AS neg"
+    return with_views(
+        f"""WITH timed AS ({TIMED_SQL}),
+cc AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(CAST(respondent_id AS VARCHAR) || ':42')) - 1 AS i FROM timed
+                    WHERE {" AND ".join(f"{f} IS NOT NULL" for f in SURVEY_FEATS)}),
+ic AS MATERIALIZED (SELECT {cells}, count(*) AS n, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy FROM cc GROUP BY {cells}),
+{newton_multi("ic", "p", SURVEY_FEATS)},
+dim AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM cc),
+jobs AS (SELECT f, r FROM (SELECT unnest([{names}]) AS f), (SELECT unnest(range(0, {repeats})) AS r)),
+sent AS (SELECT {permutation_sql("i", "n", "a", "'42:' || f || ':' || r")} AS i, f, r, {value("cc")} AS v FROM cc, jobs, dim),
+shown AS (SELECT f, r, y, 1 / (1 + exp(-({eta}))) AS prob FROM sent JOIN cc USING (i), p_fit),
+per AS (SELECT f, r, prob, {counts} FROM shown GROUP BY f, r, prob),
+aucs AS (SELECT f, r, {auc} AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY f, r ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per) GROUP BY f, r),
+b0s AS (SELECT prob, {counts} FROM (SELECT y, 1 / (1 + exp(-(b0 + {" + ".join(f"b{i} * {c}" for i, c in enumerate(SURVEY_FEATS, start=1))}))) AS prob FROM cc, p_fit) GROUP BY prob),
+base AS (SELECT {auc} AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b0s))
+SELECT f AS feature, avg(base.auc - aucs.auc) AS importance_mean, stddev_pop(base.auc - aucs.auc) AS importance_sd FROM aucs, base GROUP BY f""",
+        "survey_clean",
+    )
 
 
-@register("permutation_importance")
+@register("permutation_importance", _importance_sql())
 def q_permutation_importance(spark, d):
     df = _survey_complete(spark, d)
     fit = models.logit(df, "y", SURVEY_FEATS, model="all")
@@ -419,16 +559,17 @@ def q_permutation_importance(spark, d):
 
 @register("pdp_panel")
 def q_pdp_panel(spark, d):
-    """PDP of the outcome over alcohol12 levels for a plain logit and a forest, stacked with a model column."""
-    from pyspark.ml.functions import vector_to_array
+    """PDP of the outcome over alcohol12 levels for a plain logit and a forest (from leaf shares), stacked with a model
+    column."""
+    from wavekit.operators import treeshap
 
     df = _survey_complete(spark, d).checkpoint()
     fit = models.logit(df, "y", SURVEY_FEATS, model="logit")
     logit_pred = lambda x: x.withColumn("prob", fit.probability())
     rf = ml.random_forest(ml.assemble(df, SURVEY_FEATS).withColumnRenamed("y", "label"), num_trees=50, max_depth=6, seed=SEED)
-    rf_pred = lambda x: rf.transform(ml.assemble(x, SURVEY_FEATS)).withColumn("prob", vector_to_array("probability")[1])
     a = attribution.pdp_discrete(df, "alcohol12", logit_pred, SURVEY_FEATS).withColumn("model", F.lit("logit"))
-    b = attribution.pdp_discrete(df, "alcohol12", rf_pred, SURVEY_FEATS).withColumn("model", F.lit("random_forest"))
+    b = treeshap.tree_pdp(ml.assemble(df, SURVEY_FEATS), rf, "features", {"alcohol12": [SURVEY_FEATS.index("alcohol12")]}, scratch_path(spark, "pdp"))
+    b = b.select(F.col("value")[0].cast(a.schema["value"].dataType).alias("value"), "mean_prediction", "n", F.lit("random_forest").alias("model"))
     return a.unionByName(b)
 
 
@@ -480,3 +621,67 @@ def q_shap_tree_importance(spark, d):
     """mean|φ| per base feature, slots summed per row before the absolute value."""
     phi, _, meta = _tree_phi(spark, d)
     return attribution.shap_importance(phi, "row_id", meta=meta.select("slot", "base_feature"), sum_slots_first=True)
+
+
+@register(
+    "shap_tree_additive",
+    with_views("SELECT count(*) AS n_rows, count(*) AS n_additive FROM labelled_split WHERE split = 'test'", "labelled_split"),
+)
+def q_shap_tree_additive(spark, d):
+    """Held-out rows, and those of them whose attributions and expected value add up to the forest's probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wavekit.operators import treeshap
+
+    train, test, _, meta = prepared(spark, d)
+    model = ml.random_forest(train, num_trees=50, max_depth=6, seed=SEED)
+    phi, base, _ = treeshap.shap_tree(test, model, "features", "row_id", _slots(meta), scratch_path(spark, "treeshap"))
+    total = phi.groupBy("row_id").agg(F.sum("phi").alias("total"))
+    shown = model.transform(test).select("row_id", vector_to_array("probability")[1].alias("p")).join(total, "row_id")
+    return shown.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.col("p") - F.col("total") - base) < 1e-9).alias("n_additive"))
+
+
+def _tree_pairs(spark, d):
+    from wavekit.operators import treeshap
+
+    train, test, _, meta = prepared(spark, d)
+    model = ml.random_forest(train, num_trees=50, max_depth=6, seed=SEED)
+    base = {r.slot: r.base_feature for r in meta.collect()}  # slots of the model
+    return treeshap.tree_interactions(test, model, "features", _slots(meta), scratch_path(spark, "treeshap"), base)
+
+
+@register("attr_pairwise_tree")
+def q_attr_pairwise_tree(spark, d):
+    """Pair Shapley values of a forest on the held-out rows, per pair of base features."""
+    return _tree_pairs(spark, d)
+
+
+@register("three_way_proxy_tree")
+def q_three_way_proxy_tree(spark, d):
+    """Three-way proxy from the forest's pair Shapley values."""
+    return attribution.three_way_proxy(_tree_pairs(spark, d))
+
+
+@register(
+    "pdp_tree_agrees",
+    with_views("SELECT feature, count(DISTINCT v) AS n_values, count(DISTINCT v) AS n_equal FROM (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {f} AS v FROM survey_clean WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in SURVEY_FEATS if c != "time") for f in ("sex", "alcohol12", "region")
+    ) + ") GROUP BY feature", "survey_clean"),
+)
+def q_pdp_tree_agrees(spark, d):
+    """Partial dependence of a forest from leaf shares against scoring every cell again: values, and those that agree."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wavekit.operators import treeshap
+
+    df = _survey_complete(spark, d).checkpoint()
+    rf = ml.random_forest(ml.assemble(df, SURVEY_FEATS).withColumnRenamed("y", "label"), num_trees=20, max_depth=6, seed=SEED)
+    feats = ("sex", "alcohol12", "region")
+    fast = treeshap.tree_pdp(ml.assemble(df, SURVEY_FEATS), rf, "features", {f: [SURVEY_FEATS.index(f)] for f in feats}, scratch_path(spark, "pdp"))
+    predict = lambda x: rf.transform(ml.assemble(x, SURVEY_FEATS)).withColumn("prob", vector_to_array("probability")[1])
+    slow = reduce(DataFrame.unionByName, [
+        attribution.pdp_discrete(df, f, predict, SURVEY_FEATS).select(F.lit(f).alias("feature"), F.col("value").cast("double").alias("value"), F.col("mean_prediction").alias("again"))
+        for f in feats
+    ])
+    both = fast.select("feature", F.col("value")[0].alias("value"), "mean_prediction").join(slow, ["feature", "value"], "full")
+    return both.groupBy("feature").agg(F.count(F.lit(1)).alias("n_values"), F.count_if(F.abs(F.col("again") - F.col("mean_prediction")) < 1e-9).alias("n_equal"))

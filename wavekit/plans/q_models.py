@@ -479,3 +479,26 @@ FROM (SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '*
 )
 def q_sig_stars(spark, d):
     return recode.sig_stars(inference.or_table(_race_fit(spark, d).coefficients), "p_value", "odds_ratio")
+
+
+@register(
+    "lr_critical",
+    _sql(
+        """SELECT m.model_no, m.lr_df, l.level, CASE l.level WHEN 0.95 THEN 3.841458820694124 WHEN 0.99 THEN 6.634896601021213 END AS critical,
+       m.stat > CASE l.level WHEN 0.95 THEN 3.841458820694124 WHEN 0.99 THEN 6.634896601021213 END AS exceeds
+FROM (SELECT CAST(2 AS INT) AS model_no, CAST(1 AS INT) AS lr_df, 2 * ((SELECT loglik FROM m_fit) - sum(y) * ln(avg(y)) - (count(*) - sum(y)) * ln(1 - avg(y))) AS stat FROM timed) m,
+     (SELECT unnest([0.95::DOUBLE, 0.99::DOUBLE]) AS level) l""",
+        _cells("c"),
+        newton_ctes("c", "m"),
+    ),
+)
+def q_lr_critical(spark, d):
+    """The LR statistic of the trend against the critical values of its χ² distribution."""
+    from wavekit.functions import dist
+
+    df = timed(spark, d)
+    null = models.null_model(df, "y").select(F.lit(1).alias("model_no"), F.lit(1).alias("n_params"), F.col("null_loglik").alias("loglik"))
+    full = models.logit(df, "y", ["time"], model="time").stats.select(F.lit(2).alias("model_no"), "n_params", "loglik")
+    test = inference.lr_test(null.unionByName(full), "model_no").where("model_no = 2")
+    levels = test.withColumn("level", F.explode(F.array(F.lit(0.95), F.lit(0.99)))).withColumn("critical", dist.chi2_quantile("level", "lr_df"))
+    return levels.select("model_no", "lr_df", "level", "critical", (F.col("lr_stat") > F.col("critical")).alias("exceeds"))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavekit.functions.hashing import poisson1_cutpoints
-from wavekit.operators import impute, inference, models, prep, profile, split
+from wavekit.functions.scalars import attach
+from wavekit.operators import impute, inference, models, prep, profile, recode, split
 from wavekit.plans import fixtures as fx
-from wavekit.plans.newton_sql import chi2_sf_sql, two_sided_p_sql
+from wavekit.plans.newton_sql import chi2_sf_sql, permutation_sql, two_sided_p_sql
 from wavekit.plans.registry import register
 from wavekit.plans.views import view, with_views
 
@@ -97,12 +98,30 @@ def q_bootstrap(spark, d):
     return split.bootstrap_mean(fx.survey_clean(spark, d), "respondent_id", "y", 20, SEED)
 
 
+@register(
+    "bootstrap_exact",
+    with_views(
+        """SELECT CAST(r AS INT) AS replicate, count(*) AS n_boot, true AS near_mean
+FROM survey_clean, (SELECT unnest(range(1, 21)) AS r) WHERE y IS NOT NULL GROUP BY r""",
+        "survey_clean",
+    ),
+)
+def q_bootstrap_exact(spark, d):
+    """Twenty replicates of exactly n draws: their sizes, and whether the mean lies within five standard errors of the
+    rows' mean."""
+    df = fx.survey_clean(spark, d).select("respondent_id", "y")
+    of = df.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"), F.count("y").alias("n"))
+    out = attach(split.bootstrap_exact_mean(df, "respondent_id", "y", 20, SEED), of)
+    return out.select("replicate", "n_boot", (F.abs(F.col("mean") - F.col("m")) < 5 * F.col("s") / F.sqrt("n")).alias("near_mean"))
+
+
 @register(
     "permute_column",
     with_views(
-        f"""WITH a AS (SELECT respondent_id, alcohol12, row_number() OVER (ORDER BY respondent_id) AS r FROM survey_clean),
-b AS (SELECT alcohol12 AS v, row_number() OVER (ORDER BY {_md5()}) AS r FROM survey_clean)
-SELECT a.respondent_id, a.alcohol12, b.v AS alcohol12_perm FROM a JOIN b ON a.r = b.r""",
+        f"""WITH a AS (SELECT respondent_id, alcohol12, row_number() OVER (ORDER BY {_md5()}) - 1 AS i FROM survey_clean),
+dim AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM survey_clean),
+b AS (SELECT {permutation_sql("i", "n", "dim.a", "'42:alcohol12_perm:0'")} AS i, alcohol12 AS v FROM a, dim)
+SELECT a.respondent_id, a.alcohol12, b.v AS alcohol12_perm FROM a JOIN b ON a.i = b.i""",
         "survey_clean",
     ),
 )
@@ -223,7 +242,23 @@ def q_poly_cross_cells(spark, d):
     return prep.cross_cells(fx.survey_clean(spark, d), POLY)
 
 
-@register("preprocess_pipeline")
+# levels as text, as the preprocessor orders them; race and region are its categorical columns
+_PREP_NUMERIC = ["survey_weight", *KEYS]
+_PREP_SQL = "WITH " + ", ".join(
+    f"s{k} AS (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med, avg({c}) AS mean FROM survey_split WHERE split = 'train')" for k, c in enumerate(_PREP_NUMERIC)
+) + """,
+lv AS (SELECT c, v, row_number() OVER (ORDER BY c, v) AS i FROM (
+  SELECT DISTINCT 'race' AS c, race AS v FROM survey_split WHERE split = 'train' UNION SELECT DISTINCT 'region', CAST(region AS VARCHAR) FROM survey_split WHERE split = 'train'))
+""" + " UNION ALL ".join(
+    f"""SELECT CAST({k} AS INT) AS slot_index, '{c}' AS slot, '{c}' AS base_feature, 'numeric' AS kind,
+       count(*) FILTER (WHERE coalesce(CAST({c} AS DOUBLE), med) <> mean) AS n_nonzero FROM survey_split, s{k}"""
+    for k, c in enumerate(_PREP_NUMERIC)
+) + f"""
+UNION ALL SELECT CAST({len(_PREP_NUMERIC) - 1} + i AS INT), c || '=' || v, c, 'categorical',
+       (SELECT count(*) FROM survey_split x WHERE CASE lv.c WHEN 'race' THEN x.race ELSE CAST(x.region AS VARCHAR) END = lv.v) FROM lv"""
+
+
+@register("preprocess_pipeline", with_views(_PREP_SQL, "survey_split"))
 def q_preprocess_pipeline(spark, d):
     """Fit the numeric/categorical pipeline on the training split, transform every row; slot metadata joined
     to the number of non-zero values per slot (a data-sized check of the assembled vectors)."""
@@ -451,3 +486,36 @@ def q_mice_invariants(spark, d):
             F.count_if(~new.isin(codes)).alias("n_foreign"),
         ))
     return reduce(DataFrame.unionByName, parts)
+
+
+CLASS_TARGETS = {"nicotine12": "polyreg", "sex_raw": "logreg"}
+
+
+@register(
+    "mice_classes",
+    with_views(
+        "\nUNION ALL ".join(
+            f"""SELECT CAST(imp AS INT) AS imp, '{v}' AS variable, count(*) AS n_rows, count(*) - count({v}) AS n_imputed,
+       CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_foreign
+FROM survey_nonull, (SELECT unnest(range(1, 4)) AS imp) GROUP BY imp"""
+            for v in CLASS_TARGETS
+        ),
+        "survey_nonull",
+    ),
+)
+def q_mice_classes(spark, d):
+    """Unordered codes imputed by multinomial and binary logits: rows, imputed cells, and how many are still null, changed
+    an observed cell or hold a code that nobody gave (all 0)."""
+    raw = recode.sentinel_to_null(fx.survey_raw(spark, d), fx.SENTINELS)
+    full = impute.mice(raw, "respondent_id", list(CLASS_TARGETS), ["race", "region", "wave"], m=3, sweeps=2, seed=SEED, methods=CLASS_TARGETS)[0]
+    both = full.join(raw.select("respondent_id", *[F.col(c).alias(f"o_{c}") for c in CLASS_TARGETS]), "respondent_id").checkpoint()
+    parts = []
+    for c in CLASS_TARGETS:
+        codes = [r[0] for r in raw.select(c).where(F.col(c).isNotNull()).distinct().collect()]  # a coded item
+        old, new = F.col(f"o_{c}"), F.col(c)
+        parts.append(both.groupBy("imp").agg(
+            F.lit(c).alias("variable"), F.count(F.lit(1)).alias("n_rows"), F.count_if(old.isNull()).alias("n_imputed"),
+            F.count_if(new.isNull()).alias("n_null"), F.count_if(old.isNotNull() & (old != new)).alias("n_changed"),
+            F.count_if(~new.isin(codes)).alias("n_foreign"),
+        ))
+    return reduce(DataFrame.unionByName, parts)

@@ -70,24 +70,22 @@ class ModelRegistry:
         model.write().overwrite().save(self.path(name))
         return self.path(name)
 
+    def exists(self, name: str, spark: SparkSession | None = None) -> bool:
+        spark = spark or SparkSession.getActiveSession()
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
     def load(self, name: str, loader, fallbacks: Sequence[str] = ()):
-        """Load by name, trying fallback names in order; raises if none exists."""
-        last = None
+        """Load the first of name and fallbacks that was saved; raises if none was, and if the saved one can't be read."""
         for n in [name, *fallbacks]:
-            try:
+            if self.exists(n):
                 return loader.load(self.path(n))
-            except Exception as e:  # try the next name
-                last = e
-        raise FileNotFoundError(f"no model saved as {[name, *fallbacks]}: {last}")
+        raise FileNotFoundError(f"no model saved as {[name, *fallbacks]} under {self.root}")
 
     def load_many(self, names: Mapping[str, object], minimum: int = 3) -> dict:
-        """Load every model that exists ({name: loader}); at least ``minimum`` must load."""
-        got = {}
-        for n, loader in names.items():
-            try:
-                got[n] = loader.load(self.path(n))
-            except Exception:
-                continue
+        """Load every model that was saved ({name: loader}), at least ``minimum``; a saved model that can't be read
+        raises."""
+        got = {n: loader.load(self.path(n)) for n, loader in names.items() if self.exists(n)}
         if len(got) < minimum:
             raise ValueError(f"only {len(got)} models found, {minimum} required")
         return got
@@ -102,3 +100,14 @@ def snapshot_features(df: DataFrame, pipeline_model, feature_lists: Mapping[str,
     rows = [(k, i, f) for k, fs in feature_lists.items() for i, f in enumerate(fs)]
     spark.createDataFrame(rows, "list string, position int, feature string").write.mode("overwrite").parquet(f"{root}/features")
     return root
+
+
+def load_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, object, dict[str, list[str]]]:
+    """(data, fitted preprocessor, feature lists) as ``snapshot_features`` wrote them."""
+    from pyspark.ml import PipelineModel
+
+    root = root.rstrip("/")
+    lists: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{root}/features").orderBy("list", "position").collect():  # the feature lists
+        lists.setdefault(r["list"], []).append(r["feature"])
+    return spark.read.parquet(f"{root}/data"), PipelineModel.load(f"{root}/preprocessor"), lists

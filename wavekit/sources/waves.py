@@ -45,11 +45,15 @@ def scan_tsv_waves(
     string_cols: Sequence[str] = (),
     double_cols: Sequence[str] = (),
     sep: str = "\t",
+    on_error: str = "raise",
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Read every source with its pinned schema. A source that cannot be opened is reported and skipped.
+    """Read every source with its pinned schema. A source that cannot be opened raises; with ``on_error="skip"`` it is
+    left out and the report says why.
 
     Returns ({name: DataFrame}, report DataFrame(source, status, n_columns, message)).
     """
+    if on_error not in ("raise", "skip"):
+        raise ValueError(on_error)
     frames: dict[str, DataFrame] = {}
     report = []
     for src in sources:
@@ -60,7 +64,9 @@ def scan_tsv_waves(
                 spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").schema(schema).csv(src.path)
             )
             report.append((src.name, "ok", len(cols), ""))
-        except Exception as e:  # reported, not raised: one bad wave must not stop the others
+        except Exception as e:
+            if on_error == "raise":
+                raise
             report.append((src.name, "skipped", 0, f"{type(e).__name__}: {str(e)[:200]}"))
     rep = spark.createDataFrame(report, "source string, status string, n_columns int, message string")
     return frames, rep
