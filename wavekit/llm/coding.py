@@ -22,11 +22,13 @@ _SPACE_LETTERS = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 _NOT_SPACE = re.compile(r"[^ \t-\r]+")
 #: White space that str.split knows beside the six characters.
 _ODD_SPACES = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_VISIBLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Visible ASCII characters and Latin-1 letters, and the space.
+_VISIBLE = np.zeros(0x101, bool)
+_VISIBLE[[*range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]] = True
 #: The word pattern of the vocabulary for lower-case ASCII and Latin-1 letters.
 _WORD_MATCH = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _PIECES = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
-_CACHE_PARTS = 250_000
+_CACHE_PARTS = 400_000
 _COUNT = 1 << 28
 
 
@@ -171,8 +173,13 @@ def word_end_coder(model: str) -> Coder:
         return _NOT_SPACE.findall(text) if any(c in text for c in _ODD_SPACES) else text.split()
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((_VISIBLE.fullmatch(p) is not None and "<|" not in p for p in parts), bool, len(parts))
-        row = [parts[k] for k in np.flatnonzero(plain)]
+        joined = " ".join(parts)
+        seen = _VISIBLE[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), 0x100)]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        plain = np.logical_and.reduceat(seen, np.cumsum(size) - size) if parts else np.zeros(0, bool)
+        if "<|" in joined:
+            plain &= np.fromiter(("<|" not in p for p in parts), bool, len(parts))
+        row = parts if plain.all() else [parts[k] for k in np.flatnonzero(plain)]
         marked = _WORD_MATCH.sub(r"\g<0>" + mark, " ".join(row).lower())
         found = np.array(quick.encode_ordinary(marked), np.int64)
         between = np.flatnonzero(found == space)

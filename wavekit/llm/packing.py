@@ -36,6 +36,8 @@ END_ID = 1
 UNIT = 8
 #: A sequence that lacks more than this share of its tokens counts as loose.
 LOOSE = 0.01
+#: Rows of the table of ranks (task, length) up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 _CHUNK_CHARS = 1 << 20
 
 
@@ -319,6 +321,11 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hinted(table: DataFrame) -> DataFrame:
+    """Broadcast up to ``BROADCAST_ROWS`` rows (a few megabytes), shuffled beyond."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+
+
 def pack_sequences(
     docs: DataFrame, tokenizer_json: str, text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, unit: int = UNIT, loose: float = LOOSE
 ) -> DataFrame:
@@ -353,8 +360,8 @@ def pack_sequences(
     row = "item long, lo long, hi long, first long, at long, stream boolean"
     by_length = spark.createDataFrame(plan.rows, row).groupBy("item").agg(F.collect_list(F.struct("lo", "hi", "first", "at", "stream")).alias("plan"))
     placed = (
-        coded.join(ranks, ["task", "item"])
-        .join(tasks, "task")
+        coded.join(_hinted(ranks), ["task", "item"])
+        .join(_hinted(tasks), "task")
         .join(F.broadcast(by_length), "item", "left")  # at most a plan's rows: bounded by the lengths
         .withColumn("rank", F.col("rank0") + F.col("nth"))
         .withColumn("place", F.expr("filter(plan, p -> p.lo <= rank and rank < p.hi)[0]"))
