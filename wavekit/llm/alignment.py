@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavekit.llm.coding import Coder, byte_level_bytes, byte_level_coder, gather, piece_bytes, piece_coder
+from wavekit.llm.coding import COMPACT, Coder, byte_level_bytes, byte_level_coder, gather, piece_bytes, piece_coder
 from wavekit.session import scratch_path
 
 #: Bytes of one stretch of a document: longer documents take several places of the state vector.
@@ -214,7 +214,7 @@ def align_tokenizers(
                 chunk += 1
 
     path = scratch_path(spark, "alignment")
-    source.mapInArrow(run, T.StructType(fields + local)).write.option("compression", "zstd").parquet(path)
+    source.mapInArrow(run, T.StructType(fields + local)).write.options(**COMPACT).parquet(path)
     coded = spark.read.parquet(path)
 
     counted = coded.where("pairs is not null").select("chunk", F.posexplode(F.arrays_zip("pairs", "pair_n")).alias("pos", "x"))

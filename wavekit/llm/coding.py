@@ -28,7 +28,9 @@ _VISIBLE[[*range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7,
 #: The word pattern of the vocabulary for lower-case ASCII and Latin-1 letters.
 _WORD_MATCH = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _PIECES = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
-_CACHE_PARTS = 400_000
+_CACHE_PARTS = 250_000
+#: How token tables are written: small on disk, and a writer that buffers 16 MB.
+COMPACT = {"compression": "zstd", "parquet.block.size": str(1 << 24)}
 _COUNT = 1 << 28
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavekit.llm.coding import word_end_coder
+from wavekit.llm.coding import COMPACT, word_end_coder
 from wavekit.session import scratch_path
 
 CAPACITY = 2048
@@ -345,7 +345,7 @@ def pack_sequences(
     names = {c: f"__{k}" for k, c in enumerate(kept)}
     path = scratch_path(spark, "tokens")
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{text_col}`").alias("text"))
-    tokenise(inner, tokenizer_json, "text", end_id, capacity).write.option("compression", "zstd").parquet(path)
+    tokenise(inner, tokenizer_json, "text", end_id, capacity).write.options(**COMPACT).parquet(path)
     coded = spark.read.parquet(path)
 
     # counts by (task, item length): bounded by tasks × capacity, whatever the rows
