@@ -285,29 +285,38 @@ def dense_index(df: DataFrame, id_col: str, seed: int = 42, dst: str = "index")
     return _rank_strings(keyed, "__key").withColumn(dst, F.col("__rank") - 1).drop("__key", "__rank")
 
 
-def keyed_permutation(index: Column, n: int, key: Column | str, rounds: int = 4) -> Column:
-    """A permutation of 0 … n − 1 chosen by ``key``, as an expression: a Feistel network on a · b ≥ n places (a = ⌈√n⌉,
-    b = ⌈n / a⌉) whose halves are added to modulo a and b; a result beyond n goes through it again. There are fewer
-    than a such places and each is met once, so the walk always ends, and few rows walk at all."""
+def _feistel(n: int, key: Column, rounds: int):
+    """(places, one pass of the network as a function of a Column) for a permutation of 0 … n − 1 by ``key``."""
     a = max(1, math.isqrt(max(n, 1) - 1) + 1)
     b = -(-max(n, 1) // a)
-    key = F.lit(key) if isinstance(key, str) else key
 
-    def mixed(r: int, half: Column, m: int) -> Column:
-        return F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit(str(r)), half.cast("string"))), 1, 8), 16, 10).cast("long") % m
+    def mixed(number: Column, half: Column, m: int) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", key, number.cast("string"), half.cast("string"))), 1, 8), 16, 10).cast("long") % m
+
+    def half_round(acc, k):
+        # even steps change the first half, odd ones the second
+        even = k % 2 == 0
+        x = F.when(even, (acc["x"] + mixed(k, acc["y"], a)) % a).otherwise(acc["x"])
+        y = F.when(even, acc["y"]).otherwise((acc["y"] + mixed(k, acc["x"], b)) % b)
+        return F.struct(x.alias("x"), y.alias("y"))
 
     def once(v: Column) -> Column:
-        x, y = F.floor(v / b).cast("long"), v % b
-        for r in range(rounds):
-            x = (x + mixed(2 * r, y, a)) % a
-            y = (y + mixed(2 * r + 1, x, b)) % b
-        return x * b + y
+        start = F.struct(F.floor(v / b).cast("long").alias("x"), (v % b).cast("long").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, half_round, lambda s: s["x"] * b + s["y"])
+
+    return a * b, once
 
-    first = once(index)
-    if a * b == n:
-        return first
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    return F.when(first < n, first).otherwise(walk)
+
+def keyed_permutation(df: DataFrame, index: str, n: int, key: Column | str, dst: str, rounds: int = 4) -> DataFrame:
+    """Add ``dst``: the place of ``index`` under a permutation of 0 … n − 1 chosen by ``key``. A Feistel network on
+    a · b ≥ n places (a = ⌈√n⌉, b = ⌈n / a⌉) whose halves are added to modulo a and b; a result beyond n goes through it
+    again. There are fewer than a such places and each is met once, so the walk always ends, and few rows walk."""
+    places, once = _feistel(n, F.lit(key) if isinstance(key, str) else key, rounds)
+    out = df.withColumn(dst, once(F.col(index).cast("long")))
+    if places == n:
+        return out
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(places - n)), F.col(dst), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    return out.withColumn(dst, F.when(F.col(dst) < n, F.col(dst)).otherwise(walk))
 
 
 def permuted(df: DataFrame, id_col: str, cols: Sequence[str], repeats: int = 1, seed: int = 42) -> DataFrame:
@@ -321,9 +330,9 @@ def permuted(df: DataFrame, id_col: str, cols: Sequence[str], repeats: int = 1,
     n = indexed.count()
     jobs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in cols for r in range(repeats)])
     sent = indexed.select("__index", *cols, F.explode(jobs).alias("__job"))
-    place = keyed_permutation(F.col("__index"), n, F.concat_ws(":", F.lit(str(seed)), F.col("__job.feature"), F.col("__job.repeat").cast("string")))
-    sent = sent.select(
-        place.alias("__index"), "__job.feature", "__job.repeat",
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("__job.feature"), F.col("__job.repeat").cast("string"))
+    sent = keyed_permutation(sent, "__index", n, key, "__place").select(
+        F.col("__place").alias("__index"), "__job.feature", "__job.repeat",
         *[F.when(F.col("__job.feature") == c, F.col(f"`{c}`")).alias(f"__v{k}") for k, c in enumerate(cols)],
     )
     out = indexed.join(sent, "__index").drop("__index")

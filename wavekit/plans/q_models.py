@@ -484,7 +484,7 @@ def q_sig_stars(spark, d):
 @register(
     "lr_critical",
     _sql(
-        """SELECT m.model_no, m.lr_df, l.level, CASE l.level WHEN 0.95 THEN 3.841458820694124 WHEN 0.99 THEN 6.634896601021213 END AS critical,
+        """SELECT m.model_no, m.lr_df, l.level, CASE l.level WHEN 0.95 THEN 3.841458820694124::DOUBLE WHEN 0.99 THEN 6.634896601021213::DOUBLE END AS critical,
        m.stat > CASE l.level WHEN 0.95 THEN 3.841458820694124 WHEN 0.99 THEN 6.634896601021213 END AS exceeds
 FROM (SELECT CAST(2 AS INT) AS model_no, CAST(1 AS INT) AS lr_df, 2 * ((SELECT loglik FROM m_fit) - sum(y) * ln(avg(y)) - (count(*) - sum(y)) * ln(1 - avg(y))) AS stat FROM timed) m,
      (SELECT unnest([0.95::DOUBLE, 0.99::DOUBLE]) AS level) l""",
