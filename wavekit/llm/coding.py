@@ -13,15 +13,14 @@ from collections.abc import Callable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space of any script but the six characters that texts are cut at.
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 _WORDS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t-\r])")
 _SPACE_LETTERS = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
-_NOT_SPACE = re.compile(r"[^ \t-\r]+")
-#: White space that str.split knows beside the six characters.
-_ODD_SPACES = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Visible ASCII characters and Latin-1 letters, and the space.
 _VISIBLE = np.zeros(0x101, bool)
 _VISIBLE[[*range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]] = True
@@ -44,35 +43,57 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Texts to ids: ``split`` gives the parts of a text, ``encode`` the ids of many parts one after the other and
-    their numbers. Parts met so far are kept, up to a bounded number."""
-
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    """Texts to ids: ``split`` gives the parts of every text (their numbers, the parts one after the other or, with the place
+    of each part among them, the distinct ones), ``encode`` the ids of many parts one after the other and their numbers.
+    Parts met so far are kept, up to a bounded number."""
+
+    def __init__(
+        self, split: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray | None, list[str]]],
+        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+    ):
         self.split, self.encode = split, encode
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
 
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        by_text = [self.split(t) for t in texts]
-        n = np.fromiter(map(len, by_text), np.int64, len(by_text))
-        parts = list(chain.from_iterable(by_text))
+        n, code, parts = self.split(texts)
         if len(self.known) >= _CACHE_PARTS:
             self.known, self.flat = {}, self.flat[:0]
         place = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
-        gaps = np.flatnonzero(place < 0).tolist()
-        if gaps:
-            unmet = list(dict.fromkeys(parts[k] for k in gaps))
+        gaps = np.flatnonzero(place < 0)
+        if len(gaps):
+            at = gaps.tolist()
+            unmet = list(dict.fromkeys(parts[k] for k in at))
             ids, size = self.encode(unmet)
-            first = len(self.flat) + np.cumsum(size) - size
+            found = (len(self.flat) + np.cumsum(size) - size) * _COUNT + size
             self.flat = np.concatenate((self.flat, ids))
-            self.known.update(zip(unmet, (first * _COUNT + size).tolist()))
-            place[gaps] = [self.known[parts[k]] for k in gaps]
+            self.known.update(zip(unmet, found.tolist()))
+            place[gaps] = found if len(unmet) == len(at) else [self.known[parts[k]] for k in at]
+        if code is not None:
+            place = place[code]
         size = place % _COUNT
         ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
         return gather(self.flat, place // _COUNT, size), np.diff(ends)
 
 
+def _listed(split: Callable[[str], list[str]]) -> Callable[[Sequence[str]], tuple[np.ndarray, None, list[str]]]:
+    """The parts of many texts from a function that lists those of one."""
+
+    def run(texts: Sequence[str]) -> tuple[np.ndarray, None, list[str]]:
+        by_text = [split(t) for t in texts]
+        return np.fromiter(map(len, by_text), np.int64, len(by_text)), None, list(chain.from_iterable(by_text))
+
+    return run
+
+
+def _between_spaces(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """What stands between the six white-space characters (empty parts included), split and numbered by Arrow."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    return lists.value_lengths().to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
 def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
@@ -144,7 +165,7 @@ def byte_level_coder(model: str) -> Coder:
         rest = _library_ids(tok, [parts[k] for k in np.flatnonzero(~plain)])
         return _merged(plain, (id_of[found], np.diff(ends, prepend=0)), rest)
 
-    return Coder(split, encode)
+    return Coder(_listed(split), encode)
 
 
 def word_end_coder(model: str) -> Coder:
@@ -171,14 +192,12 @@ def word_end_coder(model: str) -> Coder:
     id_of = np.array([vocab[t] for t in tokens], np.int32)
     space = next(k for k, t in enumerate(tokens) if byte_of.get(t) == ord(" "))
 
-    def split(text: str) -> list[str]:
-        return _NOT_SPACE.findall(text) if any(c in text for c in _ODD_SPACES) else text.split()
-
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = " ".join(parts)
         seen = _VISIBLE[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), 0x100)]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        plain = np.logical_and.reduceat(seen, np.cumsum(size) - size) if parts else np.zeros(0, bool)
+        # a part and the space behind it (none behind the last one) at a time
+        plain = np.logical_and.reduceat(np.append(seen, True), np.cumsum(size) - size) if parts else np.zeros(0, bool)
         if "<|" in joined:
             plain &= np.fromiter(("<|" not in p for p in parts), bool, len(parts))
         row = parts if plain.all() else [parts[k] for k in np.flatnonzero(plain)]
@@ -189,7 +208,7 @@ def word_end_coder(model: str) -> Coder:
         rest = _library_ids(tok, [parts[k] for k in np.flatnonzero(~plain)])
         return _merged(plain, (id_of[found[found != space]], np.diff(ends, prepend=0)), rest)
 
-    return Coder(split, encode)
+    return Coder(_between_spaces, encode)
 
 
 def piece_coder(model: bytes) -> Coder:
@@ -208,7 +227,7 @@ def piece_coder(model: bytes) -> Coder:
         lone = m.encode("\n ")[len(barrier) :]
         return _flat([lone if p == " " else x if p[0] == " " else x[len(barrier) :] for p, x in zip(parts, ids)])
 
-    return Coder(lambda t: _PIECES.findall(" " + t) if t else [], encode)
+    return Coder(_listed(lambda t: _PIECES.findall(" " + t) if t else []), encode)
 
 
 def byte_level_bytes(model: str) -> list[bytes]:

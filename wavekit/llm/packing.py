@@ -38,7 +38,7 @@ UNIT = 8
 LOOSE = 0.01
 #: Rows of the table of ranks (task, length) up to which it is broadcast.
 BROADCAST_ROWS = 200_000
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 22
 
 
 # -- the plan, on the driver ----------------------------------------------------------------------------------------
