@@ -314,9 +314,9 @@ def test_interactions_hold_all_slots(spark):
     _, _, _, meta = q_ml.prepared(spark, SMOKE_DIR)
     n = meta.count()
     coefs = q_ml.q_logit_poly(spark, SMOKE_DIR)
-    assert coefs.columns == ["variable", "beta"] and coefs.count() == 1 + n * (n + 1) // 2
+    assert coefs.columns == ["variable", "beta"] and coefs.count() == 1 + n + math.comb(n, 2) + math.comb(n, 3)
     combos = {r.combo for r in q_ml.q_interaction_rank(spark, SMOKE_DIR).collect()}
-    assert {"lang x source", "lang x n_words", "n_chars x source"} <= combos
+    assert {"lang x source", "lang x n_words", "n_chars x source", "lang x n_words x source"} <= combos
 
 
 def test_kendall_by_the_bits_of_the_ranks(spark):
