@@ -182,7 +182,7 @@ def search_elasticnet(df: DataFrame, draws: Sequence[dict], fold_col: str = "fol
         own = [(k, d) for k, d in enumerate(draws) if d["balanced"] == balanced]
         if not own:
             continue
-        est = LogisticRegression(featuresCol="features", labelCol=label, standardization=False, maxIter=200)
+        est = LogisticRegression(featuresCol="features", labelCol=label, standardization=False, maxIter=100)
         if balanced:
             est.setWeightCol("class_weight")
         maps = [{"regParam": 1.0 / (d["C"] * n), "elasticNetParam": d["l1_ratio"], "tol": d["tol"]} for _, d in own]

@@ -319,6 +319,10 @@ def keyed_permutation(df: DataFrame, index: str, n: int, key: Column | str, dst:
     return out.withColumn(dst, F.when(F.col(dst) < n, F.col(dst)).otherwise(walk))
 
 
+#: Values that a task sends to their permuted places, about.
+SENT_ROWS = 50_000
+
+
 def permuted(df: DataFrame, id_col: str, cols: Sequence[str], repeats: int = 1, seed: int = 42) -> DataFrame:
     """The rows of ``df`` once per column of ``cols`` and repeat, with that column permuted over all rows: columns
     ``feature`` and ``repeat`` (0-based) added. One dense index serves all; a row sends its value of every column to the
@@ -329,7 +333,11 @@ def permuted(df: DataFrame, id_col: str, cols: Sequence[str], repeats: int = 1,
     indexed = saved(dense_index(df, id_col, seed, "__index"))
     n = indexed.count()
     jobs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in cols for r in range(repeats)])
-    sent = indexed.select("__index", *cols, F.explode(jobs).alias("__job"))
+    # a row becomes columns × repeats rows: enough partitions for those
+    parts = -(-n * len(cols) * repeats // SENT_ROWS)
+    narrow = indexed.select("__index", *cols)
+    narrow = narrow.repartition(parts, "__index") if parts > narrow.rdd.getNumPartitions() else narrow
+    sent = narrow.select("*", F.explode(jobs).alias("__job"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("__job.feature"), F.col("__job.repeat").cast("string"))
     sent = keyed_permutation(sent, "__index", n, key, "__place").select(
         F.col("__place").alias("__index"), "__job.feature", "__job.repeat",
