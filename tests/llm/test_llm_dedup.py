@@ -203,20 +203,23 @@ def test_a_long_text_in_pieces_gives_the_same(spark, monkeypatch):
     assert found() == whole
 
 
-def lines_brute(rows, mean=3, least=2):
+def lines_brute(rows, least=2, long_line=20):
     docs = {(r[0], r[1] or "") for r in rows}
     chunks = {}
     for doc_id, text in docs:
         lines = text.split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        cut = [0] + [i for i in range(1, len(lines)) if (h[i - 1] * 31 + h[i]) % mean == 0] + [len(lines)]
+        pair = {i: (h[i - 1] * 31 + h[i]) % 2**32 for i in range(1, len(lines))}
+        lowest = {i for i in pair if i - 1 in pair and i + 1 in pair and pair[i] < min(pair[i - 1], pair[i + 1])}
+        own = {i for i, x in enumerate(lines) if x.count(" ") >= long_line - 1}
+        cut = sorted({0, len(lines)} | {i for i in pair if i in lowest or i in own or i - 1 in own})
         chunks[doc_id, text] = [(a, b - a, "\n".join(lines[a:b])) for a, b in zip(cut, cut[1:])]
     first = {}
     for (doc_id, text), cs in chunks.items():
         tkey = xxhash.xxh64_intdigest(text.encode(), 42)
         tkey -= (1 << 64) * (tkey >> 63)
         for a, n, c in cs:
-            if n >= least:
+            if n >= least or c.count(" ") >= long_line - 1:
                 place = (doc_id is None, doc_id or 0, tkey, a)
                 first[c] = min(first.get(c, place), place)
     out = Counter()
@@ -226,7 +229,7 @@ def lines_brute(rows, mean=3, least=2):
         tkey -= (1 << 64) * (tkey >> 63)
         kept, removed = [], 0
         for a, n, c in chunks[doc_id, text]:
-            if n >= least and first[c] != (doc_id is None, doc_id or 0, tkey, a):
+            if c in first and (n >= least or c.count(" ") >= long_line - 1) and first[c] != (doc_id is None, doc_id or 0, tkey, a):
                 removed += n
             else:
                 kept.append(c)
@@ -250,3 +253,14 @@ def test_lines_equal_brute_force(spark, edge, clashing, empty):
         assert Counter((x.doc_id, x.n_lines, x.n_removed, x.kept) for x in got) == lines_brute(rows)
     assert dedup_lines(empty).count() == 0
     assert any(k[2] >= 8 for k in lines_brute(made))
+
+
+def test_lines_of_repeated_passages_go(spark):
+    """A passage of 20 lines in 200 documents, each between lines of their own, and one long line."""
+    passage = [words(900 + k, 6) for k in range(20)]
+    rows = [(k, "\n".join([words(10_000 + 10 * k + j, 5) for j in range(5)] + passage + [words(20_000 + 10 * k + j, 5) for j in range(5)])) for k in range(200)]
+    gone = sum(r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert gone >= 0.75 * 199 * 20
+    line = words(77, 72)
+    one = [(k, "\n".join([words(30_000 + k, 5), line, words(40_000 + k, 5)])) for k in range(50)]
+    assert sum(r.n_removed for r in dedup_lines(spark.createDataFrame(one, "doc_id long, text string")).collect()) == 49

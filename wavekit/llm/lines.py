@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wavekit.llm.common import cut, whole_text
 
-#: One boundary in so many pairs of lines, on average.
-MEAN_LINES = 3
+#: A line of at least so many words is a chunk of its own.
+LONG_LINE = 20
 _N = 1 << 32
 
 
@@ -19,25 +19,40 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _chunks(lines: Column, mean_lines: int) -> Column:
-    """Chunks of an array of lines as numbers start · 2³² + length. A chunk ends before line i where the rolling
-    hash 31 · h(line i-1) + h(line i) of the line hashes is divisible by ``mean_lines``: a boundary depends on the
-    two lines beside it alone, so lines put in or taken out elsewhere do not move it."""
+def _is_long(line: Column, long_line: int) -> Column:
+    """At least so many words, counted by the spaces between them."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= long_line - 1
 
-    def edges(h: Column) -> Column:
-        n = F.size(h)
-        inner = F.filter(
-            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-            lambda i: (i < n) & ((F.get(h, i - 1) * 31 + F.get(h, i)) % mean_lines == 0),
-        )
-        return F.concat(F.array(F.lit(0)), inner, F.array(n))
+
+def _chunks(lines: Column, long_line: int) -> Column:
+    """Chunks of an array of lines as numbers start · 2³² + length. A pair of neighbouring lines has the rolling hash
+    31 · h(line i-1) + h(line i) modulo 2³² of the line hashes; a chunk ends between the two lines of a pair whose hash is
+    smaller than those of the pairs before and behind it, so no two boundaries are one line apart and a boundary depends
+    on the four lines around it alone: lines put in or taken out elsewhere do not move it. A long line is a chunk of its
+    own."""
+
+    def edges(pairs: Column, long: Column) -> Column:
+        n = F.size(lines)
+
+        def ends(i: Column) -> Column:
+            here = F.get(pairs, i - 1)
+            lowest = (i > 1) & (here < F.get(pairs, i - 2)) & (here < F.get(pairs, i))
+            return (i < n) & (F.coalesce(lowest, F.lit(False)) | F.get(long, i) | F.get(long, i - 1))
+
+        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), ends), F.array(n))
+
+    def pair_hashes(h: Column) -> Column:
+        both = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.size(h)), lambda x, y: (x * 31 + y) % _N)
+        return F.when(F.size(h) > 1, both).otherwise(F.array().cast("array<bigint>"))
 
     def chunk(e: Column) -> Column:
         code = lambda k: F.get(e, k).cast("long") * _N + F.get(e, k + 1) - F.get(e, k)
         return F.transform(F.sequence(F.lit(0), F.size(e) - 2), code)
 
     line_hash = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    return _once(_once(line_hash, edges), chunk)
+    long = F.transform(lines, lambda x: _is_long(x, long_line))
+    both = F.struct(_once(line_hash, pair_hashes).alias("pairs"), long.alias("long"))
+    return _once(_once(both, lambda b: edges(b["pairs"], b["long"])), chunk)
 
 
 def _start(code: Column) -> Column:
@@ -53,9 +68,10 @@ def _lines_of(lines: Column, code: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, min_lines: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_line: int = LONG_LINE
 ) -> DataFrame:
-    """Remove every chunk of at least ``min_lines`` lines that occurs before in the corpus.
+    """Remove every chunk of at least ``min_lines`` lines, and every line of at least ``long_line`` words, that occurs before
+    in the corpus.
 
     Returns one row per input row: ``<id_col>, n_lines, n_removed, kept`` (the kept chunks, joined by line feeds;
     empty if nothing is left). Of a repeated chunk the occurrence with the smallest (id, null last; then hash of
@@ -73,7 +89,7 @@ def dedup_lines(
     lines = F.split("text", "\n", -1)
 
     def long_chunks(x: Column) -> Column:
-        some = F.filter(_chunks(x, mean_lines), lambda c: _length(c) >= min_lines)
+        some = F.filter(_chunks(x, long_line), lambda c: (_length(c) >= min_lines) | _is_long(F.get(x, _start(c)), long_line))
         return F.transform(some, lambda c: F.struct(c.alias("code"), _lines_of(x, c).alias("chunk")))
 
     found = base.select("id", "tkey", F.explode(_once(lines, long_chunks)).alias("c")).select(
@@ -103,7 +119,7 @@ def dedup_lines(
                 F.aggregate(kept, F.lit(0), lambda a, c: a + _length(c)).alias("n"),
             )
 
-        return _once(F.array_except(_chunks(x, mean_lines), F.col("gone")), put_together)
+        return _once(F.array_except(_chunks(x, long_line), F.col("gone")), put_together)
 
     n_lines = F.size(lines)
     whole = F.struct(F.col("text").alias("kept"), n_lines.alias("n"))

@@ -120,12 +120,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n_lines FROM t),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-e AS (SELECT *, CASE WHEN i = 0 OR (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 3 = 0 THEN 1 ELSE 0 END AS cut FROM h),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 19 AS long FROM l),
+p AS (SELECT *, (lag(h) OVER w * 31 + h) % 4294967296 AS p, lag(long) OVER w AS long_before FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, CASE WHEN i = 0 OR long OR long_before OR (p < lag(p) OVER w AND p < lead(p) OVER w) THEN 1 ELSE 0 END AS cut
+      FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
-chunk AS (SELECT doc_id, k, min(i) AS start, count(*) AS n, any_value(n_lines) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS txt
+chunk AS (SELECT doc_id, k, min(i) AS start, count(*) AS n, bool_or(long) AS long, any_value(n_lines) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS txt
           FROM c GROUP BY doc_id, k),
-r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY txt, n >= 2 ORDER BY doc_id, start) > 1 AS gone FROM chunk)
+r AS (SELECT *, (n >= 2 OR long) AND row_number() OVER (PARTITION BY txt, n >= 2 OR long ORDER BY doc_id, start) > 1 AS gone FROM chunk)
 SELECT doc_id, CAST(any_value(n_lines) AS INTEGER) AS n_lines,
        CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS INTEGER) AS n_removed,
        sha256(coalesce(string_agg(txt, chr(10) ORDER BY start) FILTER (WHERE NOT gone), '')) AS kept_sha256

@@ -9,7 +9,9 @@ have the same symbols inside, wherever they stand.
 Every window takes as its anchor the highest-level symbol that depends on words of the window only (the smallest
 mixed name among several), so equal windows have equal anchors, and neighbouring windows mostly share one. Two
 shuffles follow: anchors find out whether a second document has them; windows at shared anchors are compared by
-their hashes under the anchor's name (128 bits together) to find the smallest id.
+their 64-bit hashes under the anchor's name, itself made of words of the window, to find the smallest id. No words are
+compared. Names are content hashes made inside the tasks, so rounds need no shuffle, and two rounds of pairs are made:
+symbols of higher rounds depend on more words than a window has.
 """
 
 from __future__ import annotations
@@ -357,7 +359,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns one row per input row: ``<id_col>, n_words, n_removed, kept`` (the kept words joined by one space).
     Words are runs of non-white space, unchanged; windows are judged on the input, not on what is left. Ids are
-    integers; a null id counts as larger than all others (two null ids are not smaller than one another). Rows
+    integers; a null id counts as the largest one (two null ids, or a null id and 2⁶³ − 1, are not smaller than one another). Rows
     that repeat an id are told apart by their text; rows that repeat both get the same result. Null text counts as
     empty; texts under 13 words keep all of theirs. Extra columns are ignored; an empty table gives an empty table.
 
@@ -369,7 +371,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     odd = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 or i is null")
     text = whole_text(text_col)
     tkey = F.lit(0).cast("long") if odd.isEmpty() else F.xxhash64(text)
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), tkey.alias("tkey"), text.alias("text"))
+    number = F.col(id_col).cast("long")
+    named = docs.select(F.coalesce(number, F.lit(_LAST)).alias("doc"), tkey.alias("tkey"), text.alias("text"), number.isNull().alias("unnamed"))
+    base = named.drop("unnamed")
 
     found = base.mapInArrow(_anchor_rows, "key long, own byte, doc long, tkey long, anchor long")
     near = Window.partitionBy("key", "own").orderBy("doc")
@@ -392,7 +396,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("doc", "tkey")
         .agg(F.collect_list(F.struct("start", "n", "mask")).alias("gone"))
     )
-    out = base.join(gone, ["doc", "tkey"], "left").select("doc", "text", "gone")
+    out = named.join(gone, ["doc", "tkey"], "left").select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc"), "text", "gone")
     out = out.mapInArrow(_keep_rows, "id long, n_words long, n_removed long, kept string")
-    own_id = F.when(F.col("id") != _LAST, F.col("id")).cast(docs.schema[id_col].dataType)
+    own_id = F.col("id").cast(docs.schema[id_col].dataType)
     return out.select(own_id.alias(id_col), "n_words", "n_removed", "kept")
