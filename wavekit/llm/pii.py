@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,14 +147,23 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
         return []
     found: list[Span] = []
     taken: list[tuple[int, int]] = []
-    for source, base in ((_base, True), (_further, False)):
-        for kind, s, e in source(text):
-            near = text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW]
-            helped = any(w.lower() in CONTEXT[kind] for w in _WORDS.findall(near))
-            score = min(1.0, PRIOR[kind] + CONTEXT_BONUS * helped)
-            if base or (score >= threshold and not any(s < b and a < e for a, b in taken)):
-                found.append((kind, s, e, score, base))
-                taken.append((s, e))
+    starts: list[int] = []
+    reach: list[int] = []  # the furthest end among the taken spans up to each start
+    for base, source in ((True, _base), (False, _further)):
+        for _, own in groupby(source(text), lambda x: x[0]):
+            new = []
+            for kind, s, e in own:
+                near = text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW]
+                helped = any(w.lower() in CONTEXT[kind] for w in _WORDS.findall(near))
+                score = min(1.0, PRIOR[kind] + CONTEXT_BONUS * helped)
+                # of the taken spans that start before this one's end, the furthest end says whether any overlaps
+                k = bisect_left(starts, e) if not base else 0
+                if base or (score >= threshold and not (k and reach[k - 1] > s)):
+                    found.append((kind, s, e, score, base))
+                    new.append((s, e))
+            # spans of one kind don't overlap each other: they are put among the taken ones together
+            taken = sorted(taken + new)
+            starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
