@@ -121,12 +121,42 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.least(cap, F.col("weight") * F.lit(float(level))))
 
 
+#: Equal rows that one task numbers.
+SAME_ROWS = 100_000
+
+
+def _number_equal(rows: DataFrame) -> DataFrame:
+    """(id, source, size, nth): every row, with rows equal in the three numbered from 1. Equal rows are counted; a count
+    beyond ``SAME_ROWS`` becomes several pieces, which are dealt over tasks before they become rows again."""
+    counts = rows.groupBy("id", "source", "size").agg(F.count("*").alias("n"))
+    once = counts.where("n = 1").select("id", "source", "size", F.lit(1).cast("long").alias("nth"))
+    pieces = counts.where("n > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {SAME_ROWS})")))
+    dealt = pieces.repartition(F.xxhash64("id", "source", "size", "piece"))
+    last = F.least(F.col("n"), (F.col("piece") + 1) * SAME_ROWS)
+    many = dealt.select("id", "source", "size", F.explode(F.sequence(F.col("piece") * SAME_ROWS + 1, last)).alias("nth"))
+    return once.unionByName(many)
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with the keys of ``mix_sources``'s rows: ``__n_words`` and, for rows that agree in id, source and
-    number of words, ``__nth`` from 1. Only needed where ids repeat."""
+    number of words, ``__nth`` from 1. Only needed where ids repeat. Rows of one key are spread over buckets by a number
+    of their own: a bucket's rows are numbered together, and the buckets' counts say where it starts."""
     words = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
-    same = Window.partitionBy(id_col, source_col, "__n_words").orderBy(F.xxhash64(whole_text(text_col)))
-    return docs.withColumn("__n_words", words).withColumn("__nth", F.row_number().over(same).cast("long"))
+    # written with their numbers, so that both uses below see the same rows in the same buckets
+    rows = cut(docs.withColumn("__n_words", words).withColumn("__row", F.monotonically_increasing_id()))
+    key = [id_col, source_col, "__n_words"]
+    bucket = F.shiftright("__row", 33).alias("__task")
+    sizes = rows.groupBy(*key, bucket).agg(F.count("*").alias("__n"))
+    # one row a task that holds rows of the key
+    before = Window.partitionBy(*key).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(key)], "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy(*key, F.shiftright("__row", 33)).orderBy("__row"))
+    rows = rows.withColumn("__place", place)
+    match = F.shiftright("__row", 33) == F.col("__task")
+    for i, c in enumerate(key):
+        match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}"))
+    out = rows.join(starts, match).withColumn("__nth", (F.col("__first") + F.col("__place")).cast("long"))
+    return out.drop("__row", "__place", "__task", "__first", *[f"__k{i}" for i in range(len(key))])
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -152,7 +182,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
     # Repeated rows are numbered so that each has a key of its own without depending on row order.
-    base = cut(base.groupBy("id", "source", "size").agg(F.count("*").alias("n")).withColumn("nth", F.explode(F.expr("sequence(1, n)"))).drop("n"))
+    base = cut(_number_equal(base))
     sizes = cut(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     targets = source_targets(sizes)
     targets = targets.withColumnRenamed("source", "s")
