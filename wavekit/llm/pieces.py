@@ -39,11 +39,101 @@ def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class MergeOrder:
+    """Which two pieces may stand side by side in the encoding of a merge-trained vocabulary.
+
+    Such a vocabulary merges, again and again, the adjacent pair whose concatenation was learnt first (ties: the left
+    one). A sequence of pieces is the result exactly if every adjacent pair in it is the result for its own text, and for
+    every prefix of a text exactly one last piece goes with the result for what is before it. So the order of merges
+    becomes a rule on neighbours, and the search for the best segmentation a search for the one that keeps to it."""
+
+    def __init__(self, pieces: dict[str, int], scores: Sequence[float]):
+        merged = sorted((p for p in pieces if len(p) > 1), key=lambda p: (-scores[pieces[p]], pieces[p]))
+        symbols = sorted({c for p in pieces for c in p})
+        rank = {p: k for k, p in enumerate(merged)}
+        number = {p: k for k, p in enumerate([*symbols, *merged])}
+        n = self.n = len(number)
+        self.left, self.right = np.arange(n), np.arange(n)
+        self.reached = np.ones(n, bool)
+        pairs: dict[int, int] = {}
+        for p in merged:
+            for cut in range(1, len(p)):
+                if p[:cut] in number and p[cut:] in number:
+                    pairs[number[p[:cut]] * n + number[p[cut:]]] = number[p]
+            parts = _merge(list(p), rank, stop=2)
+            if len(parts) == 2 and "".join(parts) == p:
+                self.left[number[p]], self.right[number[p]] = number[parts[0]], number[parts[1]]
+            else:
+                self.reached[number[p]] = False
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.rank, self.number = rank, number
+        self._empty()
+
+    def _empty(self) -> None:
+        self._seen, self._answer = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._empty()
+
+    def beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b may follow piece a; answers are kept by pair."""
+        code = a * self.n + b
+        slot = (code.astype(np.uint64) * _BASE >> np.uint64(44)).astype(np.int64)
+        new = np.flatnonzero(self._seen[slot] != code)
+        out = self._answer[slot]
+        if len(new):
+            out[new] = self._beside(a[new], b[new])
+            self._seen[slot[new]], self._answer[slot[new]] = code[new], out[new]
+        return out
+
+    def _beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Undo the merges inside both pieces, the last one first: the pair is not the result if, at any time, the two
+        symbols at the border would have merged before the merge that is undone next."""
+        out, rows = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), self.n + 1)
+        while len(rows):
+            at = np.minimum(np.searchsorted(self.keys, a * self.n + b), len(self.keys) - 1)
+            stops = (self.keys[at] == a * self.n + b) & (self.made[at] < limit)
+            out[rows[stops]] = False
+            inner_a, inner_b = self.right[a], self.left[b]
+            can_a, can_b = inner_a != a, inner_b != b
+            take_a = can_a & ((a > b) | ~can_b)
+            limit = np.where(take_a, a, b + 1)
+            go = ~stops & (can_a | can_b)
+            a, b = np.where(take_a, inner_a, a)[go], np.where(take_a, b, inner_b)[go]
+            limit, rows = limit[go], rows[go]
+        return out
+
+
+def _merge(symbols: list[str], rank: dict[str, int], stop: int = 1) -> list[str]:
+    """The merges one by one, until no pair is known or ``stop`` symbols are left."""
+    while len(symbols) > stop:
+        best = min(range(len(symbols) - 1), key=lambda k: (rank.get(symbols[k] + symbols[k + 1], len(rank)), k))
+        if symbols[best] + symbols[best + 1] not in rank:
+            break
+        symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+    return symbols
+
+
 class PieceTable:
     """Pieces and scores of a vocabulary, as sorted substring hashes by length. Small (the vocabulary): it travels
     to the workers with the function that uses it."""
 
-    def __init__(self, pieces: Sequence[str], scores: Sequence[float], byte_ids: Sequence[int] | None, unk_id: int | None, skip: set[int]):
+    def __init__(
+        self, pieces: Sequence[str], scores: Sequence[float], byte_ids: Sequence[int] | None, unk_id: int | None, skip: set[int], merges: bool = False
+    ):
+        # runs of spaces share one score, the lowest: they merge last and from the left
+        self.runs = {len(p): i for i, p in enumerate(pieces) if merges and i not in skip and p and not p.strip(SPACE)}
+        skip = skip | {i for k, i in self.runs.items() if k > 1}
+        own = {p: i for i, p in enumerate(pieces) if i not in skip and p}
+        self.order = MergeOrder(own, scores) if merges else None
+        #: by id: the piece's number in the order of merges
+        self.number = np.array([self.order.number.get(p, -1) if merges and i not in skip else -1 for i, p in enumerate(pieces)], np.int64)
         self.byte_ids = None if byte_ids is None else np.asarray(byte_ids, np.int32)
         self.unk_id = unk_id
         by_length: dict[int, list[int]] = {}
@@ -73,7 +163,7 @@ class PieceTable:
         raw = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in pieces]
         for b, i in enumerate(byte_ids if byte_ids is not None else ()):
             raw[i] = bytes([b])
-        for i in skip - set(byte_ids if byte_ids is not None else ()):
+        for i in skip - set(byte_ids if byte_ids is not None else ()) - set(self.runs.values()):
             raw[i] = b""
         self.raw_len = np.fromiter(map(len, raw), np.int64, len(raw))
         self.raw_start = np.concatenate(([0], np.cumsum(self.raw_len)[:-1])) if raw else np.zeros(0, np.int64)
@@ -95,13 +185,18 @@ class PieceTable:
         bytes_ = {pieces[i]: i for i in range(n) if m.is_byte(i)}
         byte_ids = [bytes_[f"<0x{b:02X}>"] for b in range(256)] if len(bytes_) == 256 else None
         skip = {i for i in range(n) if m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)}
-        return cls(pieces, [m.get_score(i) for i in range(n)], byte_ids, m.unk_id(), skip)
+        scores = [m.get_score(i) for i in range(n)]
+        # a merge-trained vocabulary has the ranks of its merges for scores, others log-probabilities
+        ranks = [scores[i] for i in range(n) if i not in skip and len(pieces[i].strip(SPACE)) > 0]
+        merges = len(ranks) > 1 and all(x <= 0 and x == int(x) for x in ranks) and len(set(ranks)) == len(ranks)
+        return cls(pieces, scores, byte_ids, m.unk_id(), skip, merges)
 
     # -- encoding ---------------------------------------------------------------------------------------------
 
     def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, number of ids of each word) of the best segmentations of words of one length;
-        at equal scores the longer last piece wins. All words advance together, one character at a time."""
+        """(ids one after the other, number of ids of each word) of the best segmentations of words of one length: the
+        largest sum of scores (at equal sums the longer last piece wins), or with an order of merges the one whose
+        neighbours keep to it. All words advance together, one character at a time."""
         codes = _codes(words)
         pre, size, n = _prefix_hashes(codes), len(words[0]), len(words)
         power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(self.longest + 1)]
@@ -124,11 +219,19 @@ class PieceTable:
                 at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
                 hit = keys[at] == h[maybe]
                 row, at = maybe[hit], at[hit]
-                value = best[end - k, row] + scores[at]
-                if k == 1:
-                    better = np.ones(len(row), bool)
-                else:
+                if self.order is not None:
+                    # only the piece that may stand behind the last one of what is before it scores at all
+                    before = piece[end - k, row]
+                    mine, others = self.number[ids[at]], self.number[before]
+                    may = self.order.reached[mine]
+                    inner = np.flatnonzero(may & (before >= 0)) if end > k else np.zeros(0, np.int64)
+                    may[inner] = self.order.beside(others[inner], mine[inner])
+                    row, at = row[may], at[may]
+                    value = best[end - k, row]
                     better = value >= top[row]
+                else:
+                    value = best[end - k, row] + scores[at]
+                    better = np.ones(len(row), bool) if k == 1 else value >= top[row]
                 row, at = row[better], at[better]
                 top[row], length[row], which[row] = value[better], k, ids[at]
         ends, rows = np.full(n, size), np.arange(n)
@@ -164,7 +267,11 @@ class PieceTable:
         return self.byte_ids[list(raw)].tolist()
 
     def _scalar(self, word: str) -> np.ndarray:
-        """The same maximum piece by piece on the text itself; used where a substring hash met a foreign key."""
+        """The same result on the text itself; used where a substring hash met a foreign key."""
+        if self.order is not None:
+            id_of = {p: i for i, p in enumerate(self.pieces) if self.number[i] >= 0}
+            ids = [[id_of[p]] if p in id_of else self._fallback(p) for p in _merge(list(word), self.order.rank)]
+            return np.asarray(list(chain.from_iterable(ids)), np.int32)
         own = {self.pieces[i]: (i, s) for keys, ids, scores in self.keys.values() for i, s in zip(ids.tolist(), scores.tolist())}
         best, back = [0.0], [(0, -1)]
         for end in range(1, len(word) + 1):
@@ -205,9 +312,50 @@ class PieceTable:
         if len(self._cache) >= _CACHE_WORDS:
             self._cache, self._flat = {}, np.zeros(0, np.int32)
         unmet = [w for w in words if w not in self._cache]
-        unmet.sort(key=len)
+        spaced = [w for w in unmet if w.startswith(SPACE * 2)] if self.order is not None else []
+        if spaced:
+            self._meet([c for c in dict.fromkeys(SPACE + w.lstrip(SPACE) for w in spaced) if c not in self._cache])
+            self._append(spaced, [self._spaced(w) for w in spaced])
+            unmet = [w for w in unmet if w not in self._cache]
+        self._meet(unmet)
+        place = np.fromiter(map(self._cache.__getitem__, words), np.int64, len(words))
+        return place // _COUNT, place % _COUNT
+
+    def _append(self, words: list[str], ids: list[np.ndarray]) -> None:
+        at = len(self._flat) + np.cumsum([0, *(len(x) for x in ids[:-1])])
+        self._flat = np.concatenate((self._flat, *ids))
+        self._cache.update(zip(words, (at * _COUNT + np.array([len(x) for x in ids])).tolist()))
+
+    def _spaced(self, word: str) -> np.ndarray:
+        """A word behind several spaces: the last one is the word's if they merge, else the run's."""
+        core = word.lstrip(SPACE)
+        n, place = len(word) - len(core), self._cache[SPACE + core]
+        ids = self._flat[place // _COUNT : place // _COUNT + place % _COUNT]
+        lone = self.runs.get(1)
+        if len(ids) and ids[0] == lone:
+            ids = ids[1:]
+        else:
+            n -= 1
+        longest = max(self.runs, default=1)
+        sizes = [longest] * (n // longest) + self._run(n % longest)
+        run = [i for k in sizes for i in ([self.runs[k]] if k in self.runs else self._fallback(" ") * k)]
+        return np.concatenate((np.array(run, np.int32), ids))
+
+    def _run(self, n: int) -> list[int]:
+        """Sizes of the pieces of a run of spaces: the leftmost two that make a piece merge, until none do."""
+        sizes, k = [1] * n, 0
+        while k < len(sizes) - 1:
+            if sizes[k] + sizes[k + 1] in self.runs:
+                sizes[k : k + 2] = [sizes[k] + sizes[k + 1]]
+                k = max(0, k - 1)
+            else:
+                k += 1
+        return sizes
+
+    def _meet(self, words: list[str]) -> None:
+        words = sorted(words, key=len)
         found, at = [self._flat], len(self._flat)
-        for size, group in groupby(unmet, len):
+        for size, group in groupby(words, len):
             group, step = list(group), max(1, _MATRIX // (size + 1))
             for k in range(0, len(group), step):
                 part = group[k : k + step]
@@ -216,8 +364,6 @@ class PieceTable:
                 self._cache.update(zip(part, ((at + np.cumsum(count) - count) * _COUNT + count).tolist()))
                 at += len(flat)
         self._flat = np.concatenate(found)
-        place = np.fromiter(map(self._cache.__getitem__, words), np.int64, len(words))
-        return place // _COUNT, place % _COUNT
 
     def encode_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of whole texts, some million characters at a time."""
@@ -283,8 +429,8 @@ def _with(b: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
 def encode_pieces(
     docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None
 ) -> DataFrame:
-    """Add ``ids_col`` (array of int): the segmentation of the whole text with the largest sum of piece scores; with
-    ``decoded_col`` also the text that these ids decode to, in the same pass (one Python worker a task, not two).
+    """Add ``ids_col`` (array of int): the segmentation of the whole text with the largest sum of piece scores, or, for a
+    merge-trained vocabulary, the one that its merges give; with ``decoded_col`` also the text that these ids decode to, in the same pass (one Python worker a task, not two).
 
     Spaces become U+2581 and one is put before the text; characters without a piece become UTF-8 byte pieces, as
     does a literal U+2581, so that decoding gives the text back exactly. Null and empty texts have no ids. Rows,
