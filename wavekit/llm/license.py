@@ -396,12 +396,13 @@ def fit_licences(background: Sequence[str], epochs: int = 12, rate: float = 0.05
 
 
 def train_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = BACKGROUND_DOCS, max_windows: int = BACKGROUND_WINDOWS) -> LicenceModel:
-    """The unknown class learns from a bounded sample of corpus windows: ``max_docs`` documents by hash of the
-    text, ``max_windows`` windows of 24 words."""
-    text = whole_text(text_col)
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).where("octet_length(t) <= 65536")
-    # equal texts have one hash: they count once
-    rows = hash_sample(rows, F.col("h"), max_docs, docs.count()).dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 40)), "t").limit(max_docs).select("t")
+    """The unknown class learns from a bounded sample of corpus windows: of the ``max_docs`` distinct texts with the
+    smallest hashes, whatever their lengths, the ``max_windows`` windows of 24 words with the smallest hashes. Windows
+    are made where the texts lie; hashes and chosen windows alone are gathered."""
+    rows = docs.select(whole_text(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    hashes = hash_sample(rows.select("h"), F.col("h"), max_docs, docs.count()).distinct()
+    chosen = hashes.orderBy(F.pmod("h", F.lit(1 << 40)), "h").limit(max_docs)
+    rows = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("t")  # at most max_docs rows
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -410,9 +411,9 @@ def train_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for line in t.split("\n"):
                     words = line.split()
                     found += [" ".join(words[k : k + WINDOW]) for k in range(0, len(words), WINDOW)]
-                yield pd.DataFrame({"w": found[:: max(1, len(found) // 8)]}, dtype=object)
+                yield pd.DataFrame({"w": found}, dtype=object)
 
-    sample = sorted({r.w for r in rows.mapInPandas(windows, "w string").orderBy(F.xxhash64("w")).limit(max_windows).collect()})
+    sample = sorted({r.w for r in rows.mapInPandas(windows, "w string").distinct().orderBy(F.xxhash64("w")).limit(max_windows).collect()})
     return fit_licences(sample)
 
 

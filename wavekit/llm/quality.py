@@ -9,12 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wavekit.llm.common import hash_sample, whole_text
 
 PASSAGE_BYTES = 512
 #: Bounds of the training sample; scoring has none.
 MAX_TRAIN_DOCS = 6000
+#: Bytes of the training texts together, about: 64 MB are 130,000 passages.
+MAX_TRAIN_BYTES = 64 << 20
 MAX_TRAIN_PASSAGES = 2000  # longer documents are not trained on
 _CHUNK = 1 << 19  # bytes of text worked on at a time: some ten arrays of eight bytes each
 
@@ -185,9 +188,11 @@ def fit_mil(x: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12
 def train_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     max_docs: int = MAX_TRAIN_DOCS, max_passages: int = MAX_TRAIN_PASSAGES, passage_bytes: int = PASSAGE_BYTES,
+    max_bytes: int = MAX_TRAIN_BYTES,
 ) -> AttentionMIL:
-    """Fit on a bounded sample of the labelled rows: ``max_docs`` documents of at most ``max_passages`` passages,
-    chosen by a hash of the id among rows whose crc32(id as text) mod 4 is not 2 and whose label is 0 or 1."""
+    """Fit on a bounded sample of the labelled rows: ``max_docs`` documents of at most ``max_passages`` passages and
+    about ``max_bytes`` of text together, chosen by a hash of the id among rows whose crc32(id as text) mod 4 is not 2 and
+    whose label is 0 or 1 (equal texts of one id count once). Features are made in the texts' own partitions."""
     i = F.col("i")
     usable = (
         labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
@@ -207,16 +212,23 @@ def train_quality(
                     "x": [x[e - c : e].astype("<f4").tobytes() for e, c in zip(ends, counts)],
                 })
 
-    text = whole_text(text_col)
+    # ids, hashes and sizes choose the rows; the texts stay where they are until the features are made
+    rows = docs.select(F.col(id_col).alias("i"), whole_text(text_col).alias("t"))
+    narrow = rows.select("i", F.xxhash64("t").alias("h"), F.octet_length("t").cast("long").alias("n"))
+    narrow = narrow.where(F.col("n") <= max_passages * passage_bytes).join(F.broadcast(sample.select("i")), "i")  # at most max_docs ids
+    order = [F.pmod(F.xxhash64("i"), F.lit(1 << 40)), F.col("i"), F.col("h")]
+    narrow = narrow.distinct().orderBy(*order).limit(max_docs)
+    total = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # at most max_docs rows
+    chosen = narrow.withColumn("before", F.coalesce(total, F.lit(0))).where(F.col("before") < max_bytes).select("i", "h").join(sample, "i")
     rows = (
-        docs.select(F.col(id_col).alias("i"), text.alias("t"))
-        .where(F.octet_length("t") <= max_passages * passage_bytes)
-        .join(F.broadcast(sample), "i")  # at most max_docs rows
-        .orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 40)), "i", "t").limit(max_docs)
+        rows.withColumn("h", F.xxhash64("t"))
+        .join(F.broadcast(chosen), ["i", "h"])
+        .dropDuplicates(["i", "h"])
+        .select("i", "y", "t")
         .mapInPandas(features, sample.schema.add("x", "binary"))
-        .toPandas()
+        .toPandas()  # at most about max_bytes of text in passages
         .sort_values(["i", "x"])
-    )
+    )
     x = [np.frombuffer(v, "<f4").reshape(-1, N_FEATURES) for v in rows["x"]]
     return fit_mil(x, rows["y"].to_numpy(np.float32))
 

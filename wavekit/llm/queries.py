@@ -56,7 +56,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_documents(spark, sf_dir)
     model = train_quality(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
-    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
     return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
