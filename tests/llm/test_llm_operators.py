@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wavekit.llm import digest, license, mixing, pieces, pii, quality
 
+from tests.conftest import SMOKE_DIR
 from .conftest import edge_rows, words
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,6 +76,24 @@ def test_account_numbers_before_words_and_numbers():
         pii.find_spans(t)
 
 
+def test_many_spans_are_linear():
+    """Over 100,000 spans in one text, of base and further kinds."""
+    import time
+
+    part = "a.b@c.de 10.2.3.4 +49 30 1234567 DE89 3704 0044 0532 0130 00 social security 078-05-1120 amex card 378282246310005\n"
+    start = time.time()
+    pii.find_spans(part * 2_000)
+    once = time.time() - start
+    found = pii.find_spans(part * 20_000)
+    assert len(found) >= 100_000 and time.time() - start - once < 30 * max(once, 0.2)
+    few = pii.find_spans(part * 30)
+    taken: list = []
+    for kind, s, e, _, base in few:
+        assert base or not any(s < b and a < e for k, a, b, _, other in few if (k, a, b) != (kind, s, e))
+        taken.append((s, e))
+    assert len(few) == len(pii.find_spans(part)) * 30
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 10**6, "1" * 10**6, "1 " * 10**6, "+" + "(" * 10**6, "a@" * 10**5, "1." * 10**5):
         pii.find_spans(t)
@@ -378,6 +397,25 @@ def test_licence_rows(edge, clashing, empty):
     assert license.scan_licences(empty, license.train_licences(empty)).count() == 0
 
 
+def test_many_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SAME_ROWS", 1000)
+    same = spark.range(25_300).select(F.lit(1).cast("long").alias("id"), F.lit("a").alias("source"), F.lit(7).cast("long").alias("size"))
+    rows = same.unionByName(spark.createDataFrame([(2, None, 3), (None, "a", 1), (None, "a", 1)], same.schema))
+    out = mixing._number_equal(rows).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r.id, r.source, r.size, r.nth) for r in out) == Counter(
+        [*((1, "a", 7, k) for k in range(1, 25_301)), (2, None, 3, 1), (None, "a", 1, 1), (None, "a", 1, 2)]
+    )
+    assert len({r.task for r in out if r.id == 1}) > 1
+
+
+def test_repeated_ids_are_numbered(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (1, "c d", "s"), (1, "c", "s"), (None, None, None), (None, "", None), (2, "x", None)], "doc_id long, text string, source string").repartition(3)
+    got = mixing.numbered(docs).collect()
+    assert Counter((r.doc_id, r.source, r["__n_words"], r["__nth"]) for r in got) == Counter(
+        [(1, "s", 2, 1), (1, "s", 2, 2), (1, "s", 2, 3), (1, "s", 1, 1), (None, None, 0, 1), (None, None, 0, 2), (2, None, 1, 1)]
+    )
+
+
 # -- pieces -----------------------------------------------------------------------------------------------------
 
 
@@ -417,7 +455,19 @@ def sum_of(table, library, ids):
 TEXTS = ["Hello  world\n\tx ", " ", "   a b ▁c ▁", "naïve \U0001f600\U0001f600 façade", "x" * 3000, "\r\n\n", "a", "The thathering of inly.\nEand 12.5% (x)", "漢字 かな", "\x00\x01"]
 
 
-def test_segmentations_are_the_best_and_decode_exactly(table, library):
+def test_ids_are_those_of_the_library(table, library, spark):
+    """The order of merges as a rule on neighbours: every text's ids, runs of spaces and characters without a piece too."""
+    r = random.Random(8)
+    parts = [" ", "  ", "    ", "a", "b", "the", "xx", "é", "日", "本", "\n", ".", ",", "1", "ing", "tion", "\t", "\U0001f600", "aaa", "ﬁ", "\r", "▁▁"[:0], "ether"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(16))) for _ in range(4000)]
+    texts += [" " * n + w for n in range(70) for w in ("", "word", "日", "a")] + [words(k, 300) for k in range(20)] + ["x" * 4000, "ab" * 3000]
+    texts += [r.text for r in spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").select("text").collect()]
+    got = table.encode_batch(texts)
+    assert table.order is not None and [x.tolist() for x in got] == library.encode(texts)
+
+
+def test_segmentations_are_the_best_and_decode_exactly(library):
+    table = pieces.PieceTable.from_model(pieces.MODEL_FILE, merges=False)
     for t, ids in zip(TEXTS, table.encode_batch(TEXTS)):
         assert table.decode(ids) == t
         if "▁" not in t:

@@ -175,8 +175,9 @@ class PieceTable:
         return self.__dict__ | {"_cache": {}, "_flat": np.zeros(0, np.int32)}
 
     @classmethod
-    def from_model(cls, path: str) -> PieceTable:
-        """Read with the sentencepiece library on the driver; executors need no file."""
+    def from_model(cls, path: str, merges: bool | None = None) -> PieceTable:
+        """Read with the sentencepiece library on the driver; executors need no file. ``merges`` says whether the scores are
+        ranks of merges (default: whether they look like it); without, their largest sum is sought."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -188,7 +189,8 @@ class PieceTable:
         scores = [m.get_score(i) for i in range(n)]
         # a merge-trained vocabulary has the ranks of its merges for scores, others log-probabilities
         ranks = [scores[i] for i in range(n) if i not in skip and len(pieces[i].strip(SPACE)) > 0]
-        merges = len(ranks) > 1 and all(x <= 0 and x == int(x) for x in ranks) and len(set(ranks)) == len(ranks)
+        if merges is None:
+            merges = len(ranks) > 1 and all(x <= 0 and x == int(x) for x in ranks) and len(set(ranks)) == len(ranks)
         return cls(pieces, scores, byte_ids, m.unk_id(), skip, merges)
 
     # -- encoding ---------------------------------------------------------------------------------------------
