@@ -400,7 +400,7 @@ def test_licence_rows(edge, clashing, empty):
 def test_many_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SAME_ROWS", 1000)
     same = spark.range(25_300).select(F.lit(1).cast("long").alias("id"), F.lit("a").alias("source"), F.lit(7).cast("long").alias("size"))
-    rows = same.unionByName(spark.createDataFrame([(2, None, 3), (None, "a", 1), (None, "a", 1)], same.schema))
+    rows = same.unionByName(spark.createDataFrame([(2, None, 3), (None, "a", 1), (None, "a", 1)], "id long, source string, size long"))
     out = mixing._number_equal(rows).withColumn("task", F.spark_partition_id()).collect()
     assert Counter((r.id, r.source, r.size, r.nth) for r in out) == Counter(
         [*((1, "a", 7, k) for k in range(1, 25_301)), (2, None, 3, 1), (None, "a", 1, 1), (None, "a", 1, 2)]
