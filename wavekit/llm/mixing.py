@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wavekit.llm.common import WORD, cut, whole_text
+from wavekit.llm.common import WORD, cut, partitions_for, whole_text
 
 #: Source weights by code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -131,7 +131,8 @@ def _number_equal(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("id", "source", "size").agg(F.count("*").alias("n"))
     once = counts.where("n = 1").select("id", "source", "size", F.lit(1).cast("long").alias("nth"))
     pieces = counts.where("n > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {SAME_ROWS})")))
-    dealt = pieces.repartition(F.xxhash64("id", "source", "size", "piece"))
+    # a stated number of tasks: by their bytes the few pieces would be put into one
+    dealt = pieces.repartition(partitions_for(rows.sparkSession, rows.count(), SAME_ROWS), F.xxhash64("id", "source", "size", "piece"))
     last = F.least(F.col("n"), (F.col("piece") + 1) * SAME_ROWS)
     many = dealt.select("id", "source", "size", F.explode(F.sequence(F.col("piece") * SAME_ROWS + 1, last)).alias("nth"))
     return once.unionByName(many)
