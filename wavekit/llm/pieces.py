@@ -20,8 +20,8 @@ _LITERAL = "\udfff"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(44)
 _COUNT = 1 << 28
-_CHUNK_CHARS = 1 << 20
-_CACHE_WORDS = 200_000
+_CHUNK_CHARS = 1 << 21
+_CACHE_WORDS = 500_000
 _MATRIX = 1 << 20
 _NONE = -np.inf
 
