@@ -381,6 +381,29 @@ def test_every_family_of_a_window(licences):
     assert [sorted(f["family"] for f in x if f["confirmed"]) for x in found] == list(texts.values())
 
 
+#: Wordings that no template has as they stand, with the family that they state.
+HELD_OUT = {
+    "// SPDX-License-Identifier: MIT": "mit",
+    "# SPDX-License-Identifier: Apache-2.0 -- see LICENSE": "apache",
+    "/* SPDX-License-Identifier: GPL-2.0-or-later */": "gpl",
+    "  SPDX-License-Identifier: ISC": "isc",
+    "Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd",
+    "Unless required by applicable law or agreed to in writing, this software is distributed under the License on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.": "apache",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above notice appears in all copies.": "isc",
+    "(Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt)": "boost",
+    "The accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at eclipse.org": "eclipse",
+    "Note that this is free and unencumbered software released into the public domain by its author.": "unlicense",
+    "Our library is released under the MIT License, as are its tools.": "mit",
+    "The whole tree is licensed under the GNU General Public License, version 3 or any later one.": "gpl",
+}
+
+
+def test_held_out_wordings(licences):
+    found = licences.scan([*HELD_OUT, "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: NTP"], 0.5, 0.6)
+    got = [sorted({f["family"] for f in x if f["confirmed"]}) for x in found]
+    assert got == [*([f] for f in HELD_OUT.values()), [], []]
+
+
 def test_related_families_are_told_apart_by_their_own_pairs(licences):
     h = license._tokens(b"You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation")[0]
     logits = np.zeros(len(licences.families))

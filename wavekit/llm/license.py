@@ -20,49 +20,88 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
         "This project is released under the terms of the Apache 2.0 license",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "This software is distributed under the terms of the MIT license",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "SPDX-License-Identifier: MIT",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License",
         "Use of this source code is governed by a BSD-style license",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Distributed under the terms of the GPL version 2 or later",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1",
         "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3",
         "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc_by": (
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc_by_sa": (
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "cc_by_nc": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "cc0": (
         "Released into the public domain under CC0 1.0",
         "To the extent possible under law, the author has waived all copyright and related rights to this work",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "eclipse": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
+        "SPDX-License-Identifier: Unlicense",
     ),
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced without written permission of the publisher",
@@ -87,6 +126,8 @@ BACKGROUND_WINDOWS = 3000
 VOCABULARY = 4000
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
+#: Share of a template that confirms a window without a word pair of that family alone.
+SHARED_SIMILARITY = 0.8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -205,13 +246,13 @@ class LicenceModel:
     def _judge(self, logits: np.ndarray, h: np.ndarray, before: np.ndarray, min_similarity: float) -> list[tuple[str, float, bool, int, int]]:
         """(family, similarity, confirmed, first word, last word + 1) of a window that states a licence: every family
         whose template is near and of whose templates it has a word pair that no other family's have (related
-        families share most pairs); if none has one, the likeliest family when its template is near. Where none is
+        families share most pairs); if none has one, the likeliest family when nearly all of its template is there. Where none is
         confirmed, the likeliest family stands for the window."""
         pairs = _pairs(h)
         likeliest = self.families[int(logits[:-1].argmax())]
         near = {f: m for f in self.families[:-1] if (m := self._match(f, pairs, before))[0] >= min_similarity}
         have = set(pairs.tolist())
-        sure = [f for f in near if have & self.own_pairs[f]] or [f for f in near if f == likeliest]
+        sure = [f for f in near if have & self.own_pairs[f]] or [f for f in near if f == likeliest and near[f][0] >= SHARED_SIMILARITY]
         if sure:
             return [(f, near[f][0], True, near[f][1], near[f][2]) for f in sure]
         return [(likeliest, self._match(likeliest, pairs, before)[0], False, 0, len(h))]
