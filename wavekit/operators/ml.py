@@ -8,7 +8,7 @@ members and folds (the reference's "pre-transform once" tactic), then unpersiste
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -93,14 +93,23 @@ def gbt(df: DataFrame, label: str = "label", max_iter: int = 100, max_depth: int
     return GBTClassifier(**params).fit(df)
 
 
+def together(jobs: Mapping[str, Callable[[], object]], parallelism: int = 4) -> dict:
+    """{name: result} of independent jobs (fits) that are submitted ``parallelism`` at a time, so that small ones share the
+    cluster instead of waiting for each other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return dict(zip(jobs, pool.map(inheritable_thread_target(lambda job: job()), jobs.values())))
+
+
 def gbt_panel(df: DataFrame, label: str = "label", seed: int = 42, id_col: str = "row_id") -> dict:
     """Two differently regularised boosting members standing in for the external boosting libraries."""
-    return {
-        "boost_a": gbt(df, label, max_iter=60, max_depth=6, step=0.1, subsample=0.8, subset="onethird", seed=seed,
-                       id_col=id_col),
-        "boost_b": gbt(df, label, max_iter=80, max_depth=4, step=0.05, subsample=0.8, max_bins=64, seed=seed + 1,
-                       id_col=id_col),
-    }
+    return together({
+        "boost_a": lambda: gbt(df, label, max_iter=60, max_depth=6, step=0.1, subsample=0.8, subset="onethird", seed=seed, id_col=id_col),
+        "boost_b": lambda: gbt(df, label, max_iter=80, max_depth=4, step=0.05, subsample=0.8, max_bins=64, seed=seed + 1, id_col=id_col),
+    })
 
 
 def probability(model, df: DataFrame, label: str = "label", id_col: str | None = None) -> DataFrame:
@@ -117,11 +126,9 @@ def search(df: DataFrame, estimator, grid: Sequence[dict], fold_col: str = "fold
     """Cross-validated search over parameter maps (grid or random draws) with a precomputed fold column
     (values 0..folds−1). One row per trial: trial, params (string), mean and sd of the ROC-AUC over the held-out folds
     and over the folds' training rows. Trials are fitted ``parallelism`` at a time; a fold's rows are written once."""
-    from concurrent.futures import ThreadPoolExecutor
+    from functools import partial
     from statistics import fmean, pstdev
 
-    from pyspark import inheritable_thread_target
-
     from wavekit.session import saved
 
     maps = [{estimator.getParam(k): v for k, v in g.items()} for g in grid]
@@ -134,8 +141,7 @@ def search(df: DataFrame, estimator, grid: Sequence[dict], fold_col: str = "fold
         return k, _area(model, held, label), _area(model, train, label)
 
     jobs = [(f, k) for f in range(folds) for k in range(len(maps))]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(inheritable_thread_target(trial), jobs))
+    scores = list(together({job: partial(trial, job) for job in jobs}, parallelism).values())
     out = []
     for k, g in enumerate(grid):
         held, train = ([s[i] for s in scores if s[0] == k] for i in (1, 2))

@@ -7,7 +7,7 @@ Labelled table (FIXTURES.md T8): documents ⋈ labels, y = quality; features: le
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,7 +212,7 @@ def q_gbt_panel(spark, d):
 
 def _trained_panel(spark, d):
     train, test, _, _ = prepared(spark, d)
-    members = {n: f(train) for n, f in _panel(train, test).items()}
+    members = ml.together({n: partial(f, train) for n, f in _panel(train, test).items()})
     members.update(ml.gbt_panel(train, seed=SEED))
     return train, test, members
 
@@ -486,7 +486,7 @@ def q_temporal_validation(spark, d):
     feats = [f for f in SURVEY_FEATS if f != "time"]
     va = ml.assemble(df, feats).withColumnRenamed("y", "label").withColumnRenamed("respondent_id", "row_id").checkpoint()
     train, test = va.where(F.col("split") == "train"), va.where(F.col("split") == "test")
-    members = {n: fit(train) for n, fit in STACK_BASES.items()}
+    members = ml.together({n: partial(fit, train) for n, fit in STACK_BASES.items()})
     return reduce(DataFrame.unionByName, [_auc_row(n, m, test) for n, m in members.items()])
 
 
@@ -496,14 +496,14 @@ def q_robust_imputation(spark, d):
     keys = list(fx.KEY_VARS)
     df = split.split_stratified(timed(spark, d), "respondent_id", ["y"], 0.2, SEED).withColumnRenamed("y", "label")
     df = df.withColumnRenamed("respondent_id", "row_id").checkpoint()
-    rows = []
-    for strategy, fill in [("median", None), ("mean", None), ("most_frequent", None), ("constant", 0)]:
-        tr, te, _ = impute.impute_simple(df.where(F.col("split") == "train"), df.where(F.col("split") == "test"), keys,
-                                         strategy, fill)
-        feats = keys + ["sex", "region", "time"]
-        m = ml.random_forest(ml.assemble(tr, feats), num_trees=50, max_depth=6, seed=SEED)
-        rows.append(_auc_row(strategy, m, ml.assemble(te, feats)))
-    out = reduce(DataFrame.unionByName, rows)
+    feats = keys + ["sex", "region", "time"]
+
+    def fitted(strategy, fill):
+        tr, te, _ = impute.impute_simple(df.where(F.col("split") == "train"), df.where(F.col("split") == "test"), keys, strategy, fill)
+        return _auc_row(strategy, ml.random_forest(ml.assemble(tr, feats), num_trees=50, max_depth=6, seed=SEED), ml.assemble(te, feats))
+
+    fills = {"median": None, "mean": None, "most_frequent": None, "constant": 0}
+    out = reduce(DataFrame.unionByName, ml.together({s: partial(fitted, s, f) for s, f in fills.items()}).values())
     return profile.diff_from_first(out.withColumn("order", F.when(F.col("model") == "median", 0).otherwise(1)), "auc",
                                    "order", "auc_diff_from_median").drop("order")
 

@@ -271,10 +271,26 @@ def q_preprocess_pipeline(spark, d):
     return meta.join(nz, "slot_index", "left")
 
 
-@register("model_matrix")
+MATRIX_SLOTS = 7  # five levels of race, region, alcohol12
+
+
+@register(
+    "model_matrix",
+    with_views(
+        "WITH lv AS (SELECT race, row_number() OVER (ORDER BY n DESC, race) - 1 AS k FROM (SELECT race, count(*) AS n FROM survey_clean GROUP BY race)) "
+        "SELECT respondent_id, y AS label, "
+        + ", ".join(f"CAST(lv.k = {k} AS INT)::DOUBLE AS x{k}" for k in range(MATRIX_SLOTS - 2))
+        + f", CAST(region AS DOUBLE) AS x{MATRIX_SLOTS - 2}, CAST(alcohol12 AS DOUBLE) AS x{MATRIX_SLOTS - 1} FROM survey_clean JOIN lv USING (race)",
+        "survey_clean",
+    ),
+)
 def q_model_matrix(spark, d):
-    mm = prep.model_matrix(fx.survey_clean(spark, d), "y ~ race + region + alcohol12")
-    return mm.select("respondent_id", "label", F.col("features").cast("string").alias("features"))
+    """The expanded slots: levels of race by frequency, then the numbers as they are (missing stays missing)."""
+    from pyspark.ml.functions import vector_to_array
+
+    mm = prep.model_matrix(fx.survey_clean(spark, d), "y ~ race + region + alcohol12").withColumn("x", vector_to_array("features"))
+    slots = [F.when(~F.isnan(F.col("x")[k]), F.col("x")[k]).alias(f"x{k}") for k in range(MATRIX_SLOTS)]
+    return mm.select("respondent_id", "label", *slots)
 
 
 # ------------------------------------------------------------------ imputed family (T4)
