@@ -76,14 +76,15 @@ def chi2_sf_sql(x: str, df: str) -> str:
     )
 
 
-def newton_multi(cells: str, prefix: str, terms: list[str], iters: int = 9) -> str:
+def newton_multi(cells: str, prefix: str, terms: list[str], iters: int = 9, group: str = "1") -> str:
     """CTEs of a logit with any number of parameters (intercept, then ``terms``: expressions of the cell columns)
-    by Newton steps. Each step sums the score and the information matrix over the cells and solves by sweeping
-    the augmented matrix, one CTE a pivot. ``<prefix>_fit`` has one row: b0..bk, se0..sek, loglik."""
+    by Newton steps, one per value of ``group`` (an expression of the cell columns). Each step sums the score and the
+    information matrix over the cells and solves by sweeping the augmented matrix, one CTE a pivot. ``<prefix>_fit`` has
+    one row a group: g, b0..bk, se0..sek, loglik."""
     x = ["1.0", *[f"CAST({t} AS DOUBLE)" for t in terms]]
     p = len(x)
-    design = f"{prefix}_x AS MATERIALIZED (SELECT n, w, wy, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(x)) + f" FROM {cells})"
-    parts = [design, f"{prefix}_0 AS MATERIALIZED (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in range(p)) + ")"]
+    design = f"{prefix}_x AS MATERIALIZED (SELECT {group} AS g, n, w, wy, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(x)) + f" FROM {cells})"
+    parts = [design, f"{prefix}_0 AS MATERIALIZED (SELECT DISTINCT g, " + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in range(p)) + f" FROM {prefix}_x)"]
     eta = " + ".join(f"s.b{i} * c.x{i}" for i in range(p))
     upper = [(i, j) for i in range(p) for j in range(i, p)]
 
@@ -93,10 +94,10 @@ def newton_multi(cells: str, prefix: str, terms: list[str], iters: int = 9) -> s
     for k in range(iters + 1):
         sums = [f"sum(v * x{i} * x{j}) AS {name(i, j)}" for i, j in upper] + [f"sum(x{i} * (wy - w * p)) AS g{i}" for i in range(p)]
         parts.append(
-            f"{prefix}_{k}_s0 AS MATERIALIZED (SELECT {', '.join(sums)}, "
+            f"{prefix}_{k}_s0 AS MATERIALIZED (SELECT g, {', '.join(sums)}, "
             f"sum(-wy * ln(1 + exp(-eta)) - (w - wy) * ln(1 + exp(eta))) AS ll "
             f"FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT c.*, {eta} AS eta, 1 / (1 + exp(-({eta}))) AS p "
-            f"FROM {prefix}_x c, {prefix}_{k} s)))"
+            f"FROM {prefix}_x c JOIN {prefix}_{k} s ON c.g = s.g)) GROUP BY g)"
         )
         for d in range(p):  # sweep on pivot d: after all pivots the matrix is minus the inverse, g the step
             piv = name(d, d)
@@ -109,12 +110,12 @@ def newton_multi(cells: str, prefix: str, terms: list[str], iters: int = 9) -> s
                 else:
                     cols.append(f"{name(i, j)} - {name(i, d)} * {name(d, j)} / {piv} AS {name(i, j)}")
             cols += [f"g{d} / {piv} AS g{d}" if i == d else f"g{i} - {name(i, d)} * g{d} / {piv} AS g{i}" for i in range(p)]
-            parts.append(f"{prefix}_{k}_s{d + 1} AS MATERIALIZED (SELECT {', '.join(cols)}, ll FROM {prefix}_{k}_s{d})")
+            parts.append(f"{prefix}_{k}_s{d + 1} AS MATERIALIZED (SELECT g, {', '.join(cols)}, ll FROM {prefix}_{k}_s{d})")
         if k < iters:
             step = ", ".join(f"s.b{i} + g.g{i} AS b{i}" for i in range(p))
-            parts.append(f"{prefix}_{k + 1} AS MATERIALIZED (SELECT {step} FROM {prefix}_{k} s, {prefix}_{k}_s{p} g)")
+            parts.append(f"{prefix}_{k + 1} AS MATERIALIZED (SELECT s.g, {step} FROM {prefix}_{k} s JOIN {prefix}_{k}_s{p} g ON s.g = g.g)")
     fit = ", ".join(f"s.b{i}" for i in range(p)) + ", " + ", ".join(f"sqrt(-g.{name(i, i)}) AS se{i}" for i in range(p))
-    parts.append(f"{prefix}_fit AS MATERIALIZED (SELECT {fit}, g.ll AS loglik FROM {prefix}_{iters} s, {prefix}_{iters}_s{p} g)")
+    parts.append(f"{prefix}_fit AS MATERIALIZED (SELECT s.g, {fit}, g.ll AS loglik FROM {prefix}_{iters} s JOIN {prefix}_{iters}_s{p} g ON s.g = g.g)")
     return ",\n".join(parts)
 
 

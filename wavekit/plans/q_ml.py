@@ -303,6 +303,15 @@ def q_recalibrate_isotonic(spark, d):
     return ml.recalibrate(fit, rest, "isotonic").select("row_id", "label", "prob", F.col("prob_calibrated").alias("prob_isotonic"))
 
 
+view(
+    "labelled_split",
+    """SELECT d.doc_id AS row_id, CAST(l.quality AS DOUBLE) AS label, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CASE WHEN row_number() OVER (PARTITION BY l.quality ORDER BY md5(CAST(d.doc_id AS VARCHAR) || ':42'), d.doc_id)
+                 <= round(count(*) OVER (PARTITION BY l.quality) * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+
+
 @register("model_registry")
 def q_model_registry(spark, d):
     from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
@@ -319,13 +328,30 @@ def q_model_registry(spark, d):
     return reduce(DataFrame.unionByName, [_auc_row(n, m, test) for n, m in loaded.items()])
 
 
-view(
-    "labelled_split",
-    """SELECT d.doc_id AS row_id, CAST(l.quality AS DOUBLE) AS label, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars,
-       CASE WHEN row_number() OVER (PARTITION BY l.quality ORDER BY md5(CAST(d.doc_id AS VARCHAR) || ':42'), d.doc_id)
-                 <= round(count(*) OVER (PARTITION BY l.quality) * 0.2) THEN 'test' ELSE 'train' END AS split
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+@register(
+    "model_registry_reload",
+    with_views(
+        """SELECT model, count(*) AS n_rows, count(*) AS n_equal
+FROM labelled_split, (SELECT unnest(['logit_l2', 'random_forest', 'gbt']) AS model) WHERE split = 'test' GROUP BY model""",
+        "labelled_split",
+    ),
 )
+def q_model_registry_reload(spark, d):
+    """Models saved and loaded by name: held-out rows, and those that the loaded model scores like the fitted one."""
+    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+
+    train, test, _, _ = prepared(spark, d)
+    kinds = {"logit_l2": LogisticRegressionModel, "random_forest": RandomForestClassificationModel, "gbt": GBTClassificationModel}
+    fitted = ml.together({n: partial(STACK_BASES[n], train) for n in kinds})
+    reg = sinks.ModelRegistry(scratch_path(spark, "registry"))
+    for n, model in fitted.items():
+        reg.save(f"best_{n}_model", model)
+    loaded = reg.load_many({f"best_{n}_model": kind for n, kind in kinds.items()}, minimum=3)
+    rows = []
+    for n, model in fitted.items():
+        own = ml.probability(model, test, id_col="row_id").join(ml.probability(loaded[f"best_{n}_model"], test, id_col="row_id").withColumnRenamed("prob", "again"), ["row_id", "label"])
+        rows.append(own.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.col("prob") - F.col("again")) < 1e-12).alias("n_equal")).withColumn("model", F.lit(n)))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @register(
@@ -508,7 +534,26 @@ def q_robust_imputation(spark, d):
                                    "order", "auc_diff_from_median").drop("order")
 
 
-@register("repeat_splits")
+def _repeat_sql() -> str:
+    feats = ", ".join(SURVEY_FEATS)
+    eta = "b0 + " + " + ".join(f"b{i} * {c}" for i, c in enumerate(SURVEY_FEATS, start=1))
+    return with_views(
+        f"""WITH timed AS ({TIMED_SQL}),
+rs AS MATERIALIZED (SELECT r.seed, t.*, row_number() OVER (PARTITION BY r.seed, y ORDER BY md5(CAST(respondent_id AS VARCHAR) || ':' || r.seed), respondent_id)
+         <= round(count(*) OVER (PARTITION BY r.seed, y) * 0.2) AS test
+       FROM timed t, (SELECT unnest(range(0, 10)) AS seed) r WHERE {" AND ".join(f"{f} IS NOT NULL" for f in SURVEY_FEATS)}),
+ic AS MATERIALIZED (SELECT seed, {feats}, count(*) AS n, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy FROM rs WHERE NOT test GROUP BY seed, {feats}),
+{newton_multi("ic", "p", SURVEY_FEATS, group="seed")},
+per AS (SELECT seed, prob, sum(y) AS pos, count(*) - sum(y) AS neg FROM (SELECT rs.seed, y, 1 / (1 + exp(-({eta}))) AS prob FROM rs JOIN p_fit ON p_fit.g = rs.seed WHERE test) GROUP BY seed, prob),
+aucs AS (SELECT seed, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc
+         FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY seed ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per) GROUP BY seed)
+SELECT avg(auc) AS mean, stddev_samp(auc) AS sd, min(auc) AS min, max(auc) AS max, max(auc) - min(auc) AS range,
+       quantile_cont(auc, 0.025) AS q025, quantile_cont(auc, 0.975) AS q975, count(*) AS n FROM aucs""",
+        "survey_clean",
+    )
+
+
+@register("repeat_splits", _repeat_sql())
 def q_repeat_splits(spark, d):
     """Ten seeds: stratified split, plain logit refit, test AUC; summary over seeds. All seeds are groups of one split, one
     fit and one AUC."""
