@@ -264,3 +264,15 @@ def test_lines_of_repeated_passages_go(spark):
     line = words(77, 72)
     one = [(k, "\n".join([words(30_000 + k, 5), line, words(40_000 + k, 5)])) for k in range(50)]
     assert sum(r.n_removed for r in dedup_lines(spark.createDataFrame(one, "doc_id long, text string")).collect()) == 49
+
+
+def test_the_largest_id_is_no_null(spark):
+    last = (1 << 63) - 1
+    shared = words(5, 30)
+    rows = [(3, shared), (last, shared + " end"), (None, shared + " other"), (None, words(6, 20))]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == Counter(
+        [(3, 30, 0, shared), (last, 31, 30, "end"), (None, 31, 30, "other"), (None, 20, 0, words(6, 20))]
+    )
+    only = dedup_substrings(spark.createDataFrame([(last, shared), (7, "a")], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in only} == {last, 7}

@@ -370,10 +370,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
     odd = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 or i is null")
     text = whole_text(text_col)
-    tkey = F.lit(0).cast("long") if odd.isEmpty() else F.xxhash64(text)
     number = F.col(id_col).cast("long")
-    named = docs.select(F.coalesce(number, F.lit(_LAST)).alias("doc"), tkey.alias("tkey"), text.alias("text"), number.isNull().alias("unnamed"))
-    base = named.drop("unnamed")
+    # where ids do not tell rows apart the text does; the last bit tells a null id from the largest number, whose place it
+    # takes (no column of its own: the texts' exchange serves both joins below)
+    unnamed = number.isNull().cast("long")
+    tkey = F.lit(0).cast("long") if odd.isEmpty() else F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(unnamed)
+    base = docs.select(F.coalesce(number, F.lit(_LAST)).alias("doc"), tkey.alias("tkey"), text.alias("text"))
 
     found = base.mapInArrow(_anchor_rows, "key long, own byte, doc long, tkey long, anchor long")
     near = Window.partitionBy("key", "own").orderBy("doc")
@@ -396,7 +398,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("doc", "tkey")
         .agg(F.collect_list(F.struct("start", "n", "mask")).alias("gone"))
     )
-    out = named.join(gone, ["doc", "tkey"], "left").select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc"), "text", "gone")
+    has_id = (F.col("doc") != _LAST) | (F.col("tkey").bitwiseAND(F.lit(1)) == 0)
+    out = base.join(gone, ["doc", "tkey"], "left").select(F.when(has_id, F.col("doc")).alias("doc"), "text", "gone")
     out = out.mapInArrow(_keep_rows, "id long, n_words long, n_removed long, kept string")
     own_id = F.col("id").cast(docs.schema[id_col].dataType)
     return out.select(own_id.alias(id_col), "n_words", "n_removed", "kept")
