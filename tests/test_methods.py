@@ -325,3 +325,8 @@ def test_models_and_waves_that_cannot_be_read(spark, tmp_path, tree_rows):
         waves.scan_tsv_waves(spark, missing)
     frames, report = waves.scan_tsv_waves(spark, missing, on_error="skip")
     assert frames == {} and report.first().status == "skipped"
+
+
+def test_jobs_side_by_side(spark):
+    jobs = {k: (lambda k=k: spark.range(1000 + k).where("id % 7 = 0").groupBy((F.col("id") % 3).alias("g")).count().agg(F.sum("count")).first()[0]) for k in range(60)}
+    assert ml.together(jobs, 8) == {k: len(range(0, 1000 + k, 7)) for k in range(60)}

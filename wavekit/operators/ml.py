@@ -100,8 +100,10 @@ def together(jobs: Mapping[str, Callable[[], object]], parallelism: int = 4) ->
 
     from pyspark import inheritable_thread_target
 
+    # each job has its own copy of the caller's properties: a shared one is written by several threads
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return dict(zip(jobs, pool.map(inheritable_thread_target(lambda job: job()), jobs.values())))
+        running = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        return {name: r.result() for name, r in running.items()}
 
 
 def gbt_panel(df: DataFrame, label: str = "label", seed: int = 42, id_col: str = "row_id") -> dict:
