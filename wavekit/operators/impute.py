@@ -94,24 +94,26 @@ def _normal_from_hash(id_col: str, seed, *extra):
 
 #: Bins of the prediction in predictive mean matching.
 PMM_BINS = 400
+#: Codes in all bins of all chains up to which the donors are broadcast to the rows.
+DONOR_VALUES = 100_000
 #: Levels of an unordered column, at most (more raise), and the ridge that keeps separated classes finite.
 MAX_CLASSES = 50
 RIDGE = 1e-3
 
 
-def _moments(stack: DataFrame, target: str, feats: Sequence[Column], imp_col: str) -> dict:
-    """Per chain: X'X, X'y, y'y and n over the observed rows, from one partially aggregated pass (chains x
+def _moments(rows: DataFrame, target: str, feats: Sequence[Column], imp_col: str) -> dict:
+    """Per chain: X'X, X'y, y'y and n over observed rows with counts ``n``, from one partially aggregated pass (chains x
     features² numbers reach the driver)."""
     import numpy as np
 
     x = [F.lit(1.0), *feats]
-    p, y = len(x), F.col(target)
+    p, y, n = len(x), F.col(target), F.col("n")
     rows = (
-        stack.where(~F.col(f"__miss_{target}")).groupBy(imp_col)
+        rows.groupBy(imp_col)
         .agg(
-            F.count(F.lit(1)).alias("n"), F.sum(y * y).alias("yy"),
-            F.array(*[F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p)]).alias("xx"),
-            F.array(*[F.sum(v * y) for v in x]).alias("xy"),
+            F.sum(n).alias("n"), F.sum(n * y * y).alias("yy"),
+            F.array(*[F.sum(n * x[i] * x[j]) for i in range(p) for j in range(i, p)]).alias("xx"),
+            F.array(*[F.sum(n * v * y) for v in x]).alias("xy"),
         ).collect()
     )
     out = {}
@@ -202,22 +204,34 @@ def fit_classes(cells: DataFrame, target: str, feats: Sequence[Column], classes:
     return {k: (betas[k], np.linalg.inv(information[k])) for k in information}
 
 
-def _donors(stack: DataFrame, target: str, imp_col: str, bin_: Column) -> DataFrame:
-    """(chain, bin, values, cumulative shares) of the observed codes by bin of the predicted mean; an empty bin takes
-    the nearest one that has donors. The codes stay on the cluster; which bins have any (chains × bins) does not."""
+def _donors(rows: DataFrame, target: str, imp_col: str, bin_: Column) -> DataFrame:
+    """(chain, bin, values, cumulative shares) of the observed codes by bin of the predicted mean, from rows with counts
+    ``n``; an empty bin takes the nearest one that has donors. Up to ``DONOR_VALUES`` codes in all bins are put in order on
+    the driver and broadcast; more stay on the cluster, and only which bins have any (chains × bins) does not."""
     import numpy as np
 
-    counts = stack.where(~F.col(f"__miss_{target}")).groupBy(imp_col, bin_.alias("b"), F.col(target).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    sorted_ = F.array_sort(F.collect_list(F.struct("v", "n")))
-    cells = counts.groupBy(imp_col, "b").agg(sorted_.alias("c"), F.sum("n").alias("total")).checkpoint()
+    spark = rows.sparkSession
+    counts = rows.groupBy(imp_col, bin_.alias("b"), F.col(target).alias("v")).agg(F.sum("n").alias("n"))
+
+    def nearest(full):
+        for chain, bins in full.items():
+            have = np.array(sorted(bins))
+            for b in range(PMM_BINS):
+                yield chain, b, int(have[np.argmin(np.abs(have - b))])
+
+    found = counts.limit(DONOR_VALUES + 1).collect()
+    if len(found) <= DONOR_VALUES:
+        held: dict = {}
+        for r in sorted(found, key=lambda r: r.v):
+            held.setdefault(r[imp_col], {}).setdefault(r.b, []).append((r.v, r.n))
+        shares = {(k, b): ([v for v, _ in c], (np.cumsum([n for _, n in c]) / sum(n for _, n in c)).tolist()) for k, bins in held.items() for b, c in bins.items()}
+        out = spark.createDataFrame([(k, b, *shares[k, at]) for k, b, at in nearest(held)], f"{imp_col} int, __b int, __vals array<double>, __cum array<double>")
+        return F.broadcast(out.coalesce(1))
+    cells = counts.groupBy(imp_col, "b").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("c"), F.sum("n").alias("total")).checkpoint()
     full: dict = {}
     for r in cells.select(imp_col, "b").collect():
         full.setdefault(r[imp_col], []).append(r.b)
-    near = []
-    for chain, bins in full.items():
-        have = np.array(sorted(bins))
-        near += [(chain, b, int(have[np.argmin(np.abs(have - b))])) for b in range(PMM_BINS)]
-    places = stack.sparkSession.createDataFrame(near, f"{imp_col} int, __b int, b int")
+    places = spark.createDataFrame(list(nearest(full)), f"{imp_col} int, __b int, b int")
     running = F.aggregate(
         "c", F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<double>").alias("s")),
         lambda acc, x: F.struct((acc["t"] + x["n"]).alias("t"), F.array_append(acc["s"], (acc["t"] + x["n"]) / F.col("total")).alias("s")),
@@ -256,6 +270,9 @@ def mice(
     * ``logreg`` (booleans) and ``polyreg`` (strings): a draw from the probabilities of a logit of the two or more
       unordered levels, at most ``MAX_CLASSES``; as predictors of other columns such levels are indicators.
 
+    Rows without a missing target are the same in all chains and sweeps: they are counted once by their values, and only
+    the others are kept per chain.
+
     Observed cells never change. Every step is one aggregate over the rows; least squares are solved from its moments,
     logits by Newton steps that are one aggregate each for all chains. Random numbers are hashes of the id (rows) and
     seeded per chain, sweep and target (coefficients): results do not depend on partitions or retries. Lineage is cut
@@ -264,7 +281,7 @@ def mice(
     """
     import numpy as np
 
-    from wavekit.session import ensure_checkpoint_dir
+    from wavekit.session import ensure_checkpoint_dir, written
 
     ensure_checkpoint_dir(df.sparkSession)
     targets, predictors = list(targets), list(predictors)
@@ -279,18 +296,22 @@ def mice(
         place = F.array_position(F.array(*[F.lit(v) for v in levels[c]]).cast(T.ArrayType(df.schema[c].dataType)), F.col(c))
         return F.when(F.col(c).isNotNull() & (place > 0), (place - 1).cast("double"))
 
-    base = df.select(id_col, *[number(c).alias(c) for c in cols], *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets]).checkpoint()
+    base = written(df.select(id_col, *[number(c).alias(c) for c in cols], *[F.col(c).isNull().alias(f"__miss_{c}") for c in targets]))
     span = base.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
     targets = [c for c in targets if span[f"hi_{c}"] is not None]  # a column without any value stays as it is
     plain, coded = [c for c in targets if c not in levels], [c for c in targets if c in levels]
     start = reduce(attach, [f for f in (plain and column_medians(base, plain), coded and _modes(base, coded)) if f]) if targets else None
     if targets:
         base = attach(base, start.select(*[F.col(c).alias(f"__med_{c}") for c in targets]))
-    stack = base.select(
-        id_col, F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col), *[f"__miss_{c}" for c in targets],
+    chains = F.explode(F.sequence(F.lit(1), F.lit(m))).alias(imp_col)
+    some = reduce(lambda x, y: x | y, [F.col(f"__miss_{c}") for c in targets], F.lit(False))
+    whole = base.where(~some)
+    stack = base.where(some).select(
+        id_col, chains, *[f"__miss_{c}" for c in targets],
         *[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in targets else F.col(c) for c in cols],
     ).checkpoint()
     names = stack.columns
+    settled = written(whole.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))) if targets else None  # the same in every chain
 
     def design(others):
         """(expression, lowest, highest value) of every regressor."""
@@ -302,18 +323,54 @@ def mice(
                 out.append((F.col(c), span[f"lo_{c}"], span[f"hi_{c}"]))
         return out
 
+    def observed(c, others):
+        """(chain, columns, n): the rows that ``c`` is regressed over."""
+        own = stack.where(~F.col(f"__miss_{c}")).select(imp_col, *cols, F.lit(1).cast("long").alias("n"))
+        return own.unionByName(settled.select(chains, *cols, "n")).dropna(subset=others)
+
+    # what the settled rows add to the moments of every regression never changes
+    fixed = {}
+    for c in targets:
+        others = [p for p in cols if p != c and span[f"hi_{p}"] is not None]
+        if c not in levels:
+            once = settled.dropna(subset=others).select(F.lit(0).alias(imp_col), *cols, "n")
+            fixed[c] = _moments(once, c, [x for x, _, _ in design(others)], imp_col).get(0)
+
+    def moments(c, others, feats):
+        """The settled rows' moments and those of the chain's other rows where ``c`` is observed."""
+        rows = stack.where(~F.col(f"__miss_{c}")).dropna(subset=others).withColumn("n", F.lit(1).cast("long"))
+        out = _moments(rows, c, feats, imp_col)
+        if fixed[c]:
+            out = {k: tuple(x + y for x, y in zip(fixed[c], out[k])) if k in out else fixed[c] for k in range(1, m + 1)}
+        return out
+
+    # mean and squares of the settled rows, for the trace
+    level = settled.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(f"{c}__s") for c in targets]).first() if targets else None
+    centre = {c: level[f"{c}__s"] / level["n"] for c in targets} if targets and level["n"] else {}
+    spread = settled.agg(*[F.sum(F.col("n") * (F.col(c) - centre[c]) ** 2).alias(c) for c in targets]).first() if centre else None
+
+    def stats(c):
+        """(mean, sd) of ``c`` in a chain: its rows joined with the settled ones."""
+        n1, mean1, m1 = F.count(c).cast("double"), F.coalesce(F.avg(c), F.lit(0.0)), F.coalesce(F.var_pop(c), F.lit(0.0)) * F.count(c)
+        n0, mean0, m0 = (float(level["n"]), centre[c], spread[c]) if centre else (0.0, 0.0, 0.0)
+        n = n0 + n1
+        mean = F.when(n > 0, (n0 * mean0 + n1 * mean1) / F.when(n > 0, n))
+        sd = F.when(n > 1, F.sqrt((m0 + m1 + n0 * n1 / n * (mean1 - mean0) ** 2) / F.when(n > 1, n - 1)))
+        return mean.alias("mean"), sd.alias("sd")
+
+    every = df.sparkSession.range(1, m + 1).select(F.col("id").cast("int").alias(imp_col))
     traces = []
     for sweep in range(1, sweeps + 1):
+        held = []
         for t, c in enumerate(targets):
             others = [p for p in cols if p != c and span[f"hi_{p}"] is not None]
             regressors = design(others)
             feats = [x for x, _, _ in regressors]
-            usable = stack.dropna(subset=others)
             u = hash_uniform(id_col, seed, F.col(imp_col), sweep, c)
             rng = {k: np.random.default_rng([seed, sweep, t, k]) for k in range(1, m + 1)}
             if c in levels:
                 matched, k = stack, len(levels[c])
-                cells = usable.where(~F.col(f"__miss_{c}")).groupBy(imp_col, *others, c).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+                cells = observed(c, others).groupBy(imp_col, *others, c).agg(F.sum("n").alias("n")).checkpoint()
                 fits = fit_classes(cells, c, feats, k, imp_col) if k > 1 else {}
                 drawn = {i: _normal_draw(b.reshape(-1), cov, rng[i]).reshape(b.shape) for i, (b, cov) in fits.items()}
                 share = _class_shares(imp_col, feats, drawn, k) if fits else []
@@ -321,7 +378,7 @@ def mice(
                 running = [1 - sum(share[i:], F.lit(0.0)) for i in range(k - 1)] if fits else []
                 value = sum([(u >= r).cast("double") for r in running], F.lit(0.0))
             else:
-                fits = {i: _draw(v, rng[i]) for i, v in _moments(usable, c, feats, imp_col).items()}
+                fits = {i: _draw(v, rng[i]) for i, v in moments(c, others, feats).items()}
                 drawn = _linear(imp_col, feats, {k: f[1] for k, f in fits.items()})
             if method[c] == "pmm":
                 fitted = {k: f[0] for k, f in fits.items()}
@@ -332,18 +389,21 @@ def mice(
                 lo = _by_chain(imp_col, {k: float(e[0]) for k, e in ends.items()})
                 width = _by_chain(imp_col, {k: float(max(e[1] - e[0], 1e-9)) / PMM_BINS for k, e in ends.items()})
                 place = lambda v: F.least(F.greatest(F.floor((v - lo) / width), F.lit(0)), F.lit(PMM_BINS - 1)).cast("int")
-                donors = _donors(usable, c, imp_col, place(_linear(imp_col, feats, fitted)))
+                donors = _donors(observed(c, others), c, imp_col, place(_linear(imp_col, feats, fitted)))
                 matched = stack.withColumn("__b", place(drawn)).join(donors, [imp_col, "__b"], "left")
                 value = F.get("__vals", F.least(F.size(F.filter("__cum", lambda s: s < u)), F.size("__vals") - 1))
             elif method[c] == "norm":
                 noise = _by_chain(imp_col, {k: f[2] for k, f in fits.items()}) * _normal_from_hash(id_col, seed, F.col(imp_col), sweep, c)
                 matched, value = stack, F.least(F.greatest(drawn + noise, F.lit(span[f"lo_{c}"])), F.lit(span[f"hi_{c}"]))
             stack = matched.withColumn(c, F.when(F.col(f"__miss_{c}"), F.coalesce(value, F.col(c))).otherwise(F.col(c))).select(*names)
+            if t < len(targets) - 1:  # the next target reads these rows several times
+                stack = stack.persist()
+                held.append(stack)
         stack = stack.checkpoint()
-        stats = stack.groupBy(imp_col).agg(*[f(c).alias(f"{c}__{k}") for c in targets for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
-        traces.append(stats.select(imp_col, F.lit(sweep).alias("sweep"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("variable"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("sd")) for c in targets
-        ]))))
+        for rows in held:
+            rows.unpersist()
+        of = stack.join(F.broadcast(every), imp_col, "right").groupBy(imp_col).agg(F.array(*[F.struct(F.lit(c).alias("variable"), *stats(c)) for c in targets]).alias("__t"))
+        traces.append(of.select(imp_col, F.lit(sweep).alias("sweep"), F.inline("__t")))
 
     def back(c):
         if c not in levels:
@@ -351,5 +411,5 @@ def mice(
         own = F.array(*[F.lit(v) for v in levels[c]]).cast(T.ArrayType(df.schema[c].dataType))
         return F.get(own, F.col(c).cast("int")).alias(c)
 
-    out = stack.select(id_col, imp_col, *[back(c) for c in cols])
+    out = stack.select(id_col, imp_col, *cols).unionByName(whole.select(id_col, chains, *cols)).select(id_col, imp_col, *[back(c) for c in cols])
     return out, reduce(DataFrame.unionByName, traces)

@@ -56,6 +56,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``saved``, as a parquet table under the checkpoint folder: for rows that several passes read a few columns of."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for tables written by a job (never machine-local)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
