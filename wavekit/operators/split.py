@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavekit.functions.hashing import hash_key, hash_uniform, poisson1_weight
+from wavekit.session import saved, written
 
 BUCKET_ROWS = 100_000  # rows of one stratum that a bucket holds on average, at most
+FEW_STRATA = 100_000  # strata up to which a table with one row per stratum is broadcast
 
 
 def _digits(df: DataFrame) -> int:
@@ -60,21 +63,24 @@ def split_stratified(df: DataFrame, id_col: str, strata: Sequence[str], test_fra
     """Exact quota per stratum: the first round(test_frac·n_s) rows in md5 order are 'test', the rest 'train'.
 
     The quota is turned into one key per stratum, the last that is 'test': bucket counts say in which bucket it lies, and
-    only that bucket is ranked. Both passes read id and strata only; the rows themselves are read once and compared with
-    their stratum's key (a table of strata, which null strata take part in)."""
+    only that bucket is ranked. Id and strata are written once for these passes; then the rows themselves are read once and
+    compared with their stratum's key (a table of strata, which null strata take part in). That table and the table of
+    boundary buckets have one row per stratum and are broadcast, so rows are never shuffled by their (few) strata."""
     strata = list(strata)
 
-    def keyed(rows):
-        return rows.withColumn("__h", F.coalesce(hash_key(id_col, seed), F.lit(""))).withColumn("__b", F.substring("__h", 1, digits))
+    def keyed(rows, key, by):
+        return rows.withColumn("__h", F.coalesce(hash_key(key, by), F.lit(""))).withColumn("__b", F.substring("__h", 1, digits))
 
-    own = list(dict.fromkeys([id_col, *strata, *([c for c in df.columns if isinstance(seed, Column)])]))
-    narrow = df.select(*[F.col(f"`{c}`") for c in own])
-    digits = _digits(narrow)
     groups = {c: f"__s{k}" for k, c in enumerate(strata)}
-    named = keyed(narrow).select("__h", "__b", F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(g) for c, g in groups.items()])
     names = list(groups.values())
+    own = [F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(g) for c, g in groups.items()]]
+    narrow = written(df.select(*own, *([seed.alias("__seed")] if isinstance(seed, Column) else [])))
+    digits = _digits(narrow)
+    named = keyed(narrow, "__id", F.col("__seed") if isinstance(seed, Column) else seed).select("__h", "__b", "__id", *names)
     edges = _bucket_offsets(named, names).withColumn("__q", F.round(F.col("__n_s") * test_frac).cast("long"))
     edges = edges.where("__before < __q and __before + __cnt >= __q").select(*names, "__b", (F.col("__q") - F.col("__before")).alias("__take"))
+    edges = saved(edges)
+    small = F.broadcast if edges.count() <= FEW_STRATA else lambda t: t
 
     def same(left, right, cols):
         out = F.lit(True)
@@ -82,13 +88,14 @@ def split_stratified(df: DataFrame, id_col: str, strata: Sequence[str], test_fra
             out = out & left[c].eqNullSafe(right[c])
         return out
 
-    inside = named.alias("n").join(edges.alias("e"), same(named, edges, [*names, "__b"])).select("n.*", "e.__take")
+    inside = named.alias("n").join(small(edges.alias("e")), same(named, edges, [*names, "__b"])).select("n.*", "e.__take")
     rank = F.row_number().over(Window.partitionBy(*names, "__b").orderBy("__h", "__id"))
     last = inside.withColumn("__r", rank).where("__r = __take").select(*[F.col(g).alias(f"{g}_") for g in names], F.struct("__h", "__id").alias("__last"))
+    last = saved(last)
     match = F.lit(True)
     for c, g in groups.items():
         match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"{g}_"))
-    out = keyed(df).join(last, match, "left")
+    out = keyed(df, id_col, seed).join(small(last), match, "left")
     is_test = F.coalesce(F.struct(F.col("__h").alias("__h"), F.col(f"`{id_col}`").alias("__id")) <= F.col("__last"), F.lit(False))
     return out.withColumn(dst, F.when(is_test, "test").otherwise("train")).drop("__h", "__b", "__last", *[f"{g}_" for g in names])
 
@@ -319,32 +326,115 @@ def keyed_permutation(df: DataFrame, index: str, n: int, key: Column | str, dst:
     return out.withColumn(dst, F.when(F.col(dst) < n, F.col(dst)).otherwise(walk))
 
 
-#: Values that a task sends to their permuted places, about.
-SENT_ROWS = 50_000
+@lru_cache(maxsize=256)
+def _round_tables(key: str, a: int, b: int, rounds: int) -> list:
+    """What the steps of the network add, by the half that they read (about √n numbers a step)."""
+    import hashlib
+
+    import numpy as np
+
+    tables = []
+    for k in range(2 * rounds):
+        read, m = (b, a) if k % 2 == 0 else (a, b)
+        raw = b"".join(hashlib.md5(f"{key}:{k}:{half}".encode()).digest()[:4] for half in range(read))
+        tables.append(np.frombuffer(raw, ">u4").astype(np.int64) % m)
+    return tables
+
+
+def permuted_places(index, n: int, key: str, rounds: int = 4):
+    """``keyed_permutation`` of a numpy array of places."""
+    import numpy as np
+
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = -(-max(n, 1) // a)
+    tables = _round_tables(key, a, b, rounds)
+
+    def once(v):
+        x, y = v // b, v % b
+        for k, added in enumerate(tables):
+            if k % 2 == 0:
+                x = (x + added[y]) % a
+            else:
+                y = (y + added[x]) % b
+        return x * b + y
+
+    out = once(np.asarray(index, np.int64))
+    while (beyond := np.flatnonzero(out >= n)).size:
+        out[beyond] = once(out[beyond])
+    return out
+
+
+#: Places of one group of permuted rows, and rows whose values a task sends at once.
+PLACE_BLOCK = 20_000
+SENT_ROWS = 200_000
 
 
 def permuted(df: DataFrame, id_col: str, cols: Sequence[str], repeats: int = 1, seed: int = 42) -> DataFrame:
     """The rows of ``df`` once per column of ``cols`` and repeat, with that column permuted over all rows: columns
     ``feature`` and ``repeat`` (0-based) added. One dense index serves all; a row sends its value of every column to the
-    place that the keyed permutation of (column, repeat) gives, in one shuffle."""
-    from wavekit.session import saved
+    place that the keyed permutation of (column, repeat) gives. Values travel packed, one list for each block of places, and
+    a block's rows and lists meet in one task, where the lists are put in order: the shuffle holds a value and its place,
+    not a row, for every permuted row."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     cols = list(cols)
     indexed = saved(dense_index(df, id_col, seed, "__index"))
     n = indexed.count()
-    jobs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in cols for r in range(repeats)])
-    # a row becomes columns × repeats rows: enough partitions for those
-    parts = -(-n * len(cols) * repeats // SENT_ROWS)
-    narrow = indexed.select("__index", *cols)
-    narrow = narrow.repartition(parts, "__index") if parts > narrow.rdd.getNumPartitions() else narrow
-    sent = narrow.select("*", F.explode(jobs).alias("__job"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("__job.feature"), F.col("__job.repeat").cast("string"))
-    sent = keyed_permutation(sent, "__index", n, key, "__place").select(
-        F.col("__place").alias("__index"), "__job.feature", "__job.repeat",
-        *[F.when(F.col("__job.feature") == c, F.col(f"`{c}`")).alias(f"__v{k}") for k, c in enumerate(cols)],
-    )
-    out = indexed.join(sent, "__index").drop("__index")
-    return out.withColumns({c: F.when(F.col("feature") == c, F.col(f"__v{k}")).otherwise(F.col(f"`{c}`")) for k, c in enumerate(cols)}).drop(*[f"__v{k}" for k in range(len(cols))])
+    block = PLACE_BLOCK
+    kinds = {t: f"__v{k}" for k, t in enumerate(dict.fromkeys(df.schema[c].dataType for c in cols))}  # one column of values a type
+    held = [kinds[df.schema[c].dataType] for c in cols]
+    packed = T.StructType([
+        T.StructField("__block", T.LongType()), T.StructField("__col", T.IntegerType()), T.StructField("__repeat", T.ArrayType(T.IntegerType())),
+        T.StructField("__at", T.ArrayType(T.IntegerType())), *[T.StructField(v, T.ArrayType(t)) for t, v in kinds.items()],
+    ])
+    wire = to_arrow_schema(packed)
+
+    def pack(rows: pa.Table):
+        import numpy as np
+
+        index, size = rows.column("__index").to_numpy(), rows.num_rows
+        for k, c in enumerate(cols):
+            places = np.concatenate([permuted_places(index, n, f"{seed}:{c}:{r}") for r in range(repeats)])
+            order = np.argsort(places // block, kind="stable")
+            blocks, counts = np.unique(places[order] // block, return_counts=True)
+            ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            lists = {"__repeat": pa.array(order // size, pa.int32()), "__at": pa.array(places[order] % block, pa.int32()),
+                     held[k]: rows.column(c).combine_chunks().take(pa.array(order % size))}
+            out = {"__block": pa.array(blocks, pa.int64()), "__col": pa.array(np.full(len(blocks), k), pa.int32())}
+            out |= {name: pa.ListArray.from_arrays(ends, v) for name, v in lists.items()}
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if f.name in out else pa.nulls(len(blocks), f.type) for f in wire], schema=wire)
+
+    def send(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= SENT_ROWS:
+                yield from pack(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+        if size:
+            yield from pack(pa.Table.from_batches(waiting))
+
+    names, schema = list(df.columns), T.StructType([*df.schema, T.StructField("feature", T.StringType()), T.StructField("repeat", T.IntegerType())])
+
+    def place(rows: pa.Table, lists: pa.Table) -> pa.Table:
+        import numpy as np
+
+        rows, size = rows.sort_by("__index").select(names), rows.num_rows
+        parts, repeat = [], pa.array(np.repeat(np.arange(repeats, dtype=np.int32), size))
+        for k, c in enumerate(cols):
+            own = lists.filter(pa.array(lists.column("__col").to_numpy() == k))
+            flat = {name: own.column(name).combine_chunks().flatten() for name in ("__repeat", "__at", held[k])}
+            order = np.empty(size * repeats, np.int64)
+            order[flat["__repeat"].to_numpy().astype(np.int64) * size + flat["__at"].to_numpy()] = np.arange(size * repeats)
+            out = pa.concat_tables([rows] * repeats)
+            out = out.set_column(names.index(c), c, flat[held[k]].take(pa.array(order)).cast(out.schema.field(c).type))
+            parts.append(out.append_column("feature", pa.array([c]).take(pa.array(np.zeros(size * repeats, np.int64)))).append_column("repeat", repeat))
+        return pa.concat_tables(parts)
+
+    sent = indexed.select("__index", *cols).mapInArrow(send, packed)
+    rows = indexed.withColumn("__block", F.floor(F.col("__index") / block).cast("long"))
+    return rows.groupBy("__block").cogroup(sent.groupBy("__block")).applyInArrow(place, schema)
 
 
 def permute_column(df: DataFrame, id_col: str, col: str, seed: int = 42, dst: str | None = None) -> DataFrame:
