@@ -279,21 +279,20 @@ def class_scores(model, df: DataFrame, label: str, id_col: str, classes: int) ->
 
 def class_importances(model, df: DataFrame, features: Sequence[str], label: str, id_col: str, classes: int, repeats: int = 3, seed: int = 42) -> DataFrame:
     """(class, feature, importance): drop of a class's one-vs-rest AUC when the feature is permuted over the rows, mean of
-    ``repeats``. All permutations are one frame, scored once; ``features`` are assembled into the model's vector."""
+    ``repeats``. All permutations are one frame; equal rows (label and features) are counted first and scored once;
+    ``features`` are assembled into the model's vector."""
+    from pyspark.ml.functions import vector_to_array
+
     from wavekit.operators.evaluate import roc_auc
     from wavekit.operators.split import permuted
 
-    def stacked(rows, *by):
-        entries = F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"p{k}").alias("prob")) for k in range(classes)])
-        long = rows.select(*by, F.col(label).alias("__y"), F.explode(entries).alias("s")).select(*by, "s.class", "s.prob", (F.col("__y") == F.col("s.class")).cast("int").alias("label"))
-        return roc_auc(long, by=[*by, "class"])
-
-    from pyspark.ml.functions import vector_to_array
-
     def scored(rows, *by):
+        cells = rows.groupBy(*by, label, *features).agg(F.count(F.lit(1)).alias("__n"))
         p = vector_to_array("probability")
-        out = model.transform(assemble(rows, features))
-        return stacked(out.select(*by, F.col(label).cast("int").alias(label), *[p[k].alias(f"p{k}") for k in range(classes)]), *by)
+        entries = F.array(*[F.struct(F.lit(k).alias("class"), p[k].alias("prob")) for k in range(classes)])
+        out = model.transform(assemble(cells, features)).select(*by, "__n", F.col(label).cast("int").alias("__y"), F.explode(entries).alias("s"))
+        long = out.select(*by, "__n", "s.class", "s.prob", (F.col("__y") == F.col("s.class")).cast("int").alias("label"))
+        return roc_auc(long, by=[*by, "class"], weight="__n")
 
     own = df.select(id_col, label, *features)
     base = scored(own).select("class", F.col("auc").alias("base_auc"))

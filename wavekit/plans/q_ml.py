@@ -20,7 +20,7 @@ from wavekit.plans.q_models import TIMED_SQL, timed
 from wavekit.plans.q_split import _poisson_case
 from wavekit.plans.registry import register
 from wavekit.plans.views import view, with_views
-from wavekit.session import scratch_path
+from wavekit.session import scratch_path, written
 from wavekit.sources import sinks
 from wavekit.sources.tables import table
 
@@ -596,7 +596,7 @@ SELECT f AS feature, avg(base.auc - aucs.auc) AS importance_mean, stddev_pop(bas
 
 @register("permutation_importance", _importance_sql())
 def q_permutation_importance(spark, d):
-    df = _survey_complete(spark, d)
+    df = written(_survey_complete(spark, d).select("respondent_id", "y", *SURVEY_FEATS))
     fit = models.logit(df, "y", SURVEY_FEATS, model="all")
     predict = lambda x: x.withColumn("prob", fit.probability())
     return attribution.permutation_importance(df, SURVEY_FEATS, predict, "respondent_id", "y", repeats=5)
