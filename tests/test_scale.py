@@ -83,3 +83,28 @@ def test_metrics_score_rows_once(spark):
     assert row.log_loss == pytest.approx(-np.mean(np.where(y, np.log(c), np.log(1 - c))))
     wins = (p[y][:, None] > p[~y]).sum() + 0.5 * (p[y][:, None] == p[~y]).sum()
     assert row.auc == pytest.approx(wins / (y.sum() * (~y).sum()))
+
+
+def test_elastic_nets_are_fitted_together(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    from wavekit.operators import ml
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(900, 3))
+    y = (r.random(900) < 1 / (1 + np.exp(-x @ np.array([1, -0.5, 0])))).astype(float)
+    df = ml.assemble(spark.createDataFrame([(*map(float, v), float(t), k % 3) for k, (v, t) in enumerate(zip(x, y))], "a double, b double, c double, label double, fold int"), ["a", "b", "c"])
+    settings = [{"reg": 0.02, "l1_ratio": a, "tol": 1e-6, "balanced": b} for a, b in ((1.0, False), (0.5, True))]
+    plain = {}
+    for k, s in enumerate(settings):
+        areas = []
+        for f in range(3):
+            est = LogisticRegression(standardization=False, regParam=0.02, elasticNetParam=s["l1_ratio"], tol=1e-10)
+            if s["balanced"]:
+                est.setWeightCol("class_weight")
+            model = est.fit(ml.balanced_weights(df).where(F.col("fold") != f))
+            areas.append(ml._area(model, df.where(F.col("fold") == f), "label"))
+        plain[k] = np.mean(areas)
+    monkeypatch.setattr(LogisticRegression, "fit", lambda *_: pytest.fail("one fit for each setting and fold"))
+    for t in ml.search_logit(df, settings, folds=3).collect():
+        assert t.mean_auc == pytest.approx(plain[t.trial], abs=1e-4)

@@ -74,12 +74,9 @@ def _slots(meta):
 
 
 def _search_lasso(spark, d):
-    from pyspark.ml.classification import LogisticRegression
-
     train, _, _, meta = prepared(spark, d)
     n = train.count()
-    est = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=1.0, standardization=False)
-    trials = ml.search(train, est, [{"regParam": 1.0 / (c * n)} for c in C_GRID], "fold")
+    trials = ml.search_logit(train, [{"reg": 1.0 / (c * n), "l1_ratio": 1.0, "tol": 1e-6, "balanced": False} for c in C_GRID], "fold")
     best = trials.orderBy(F.desc("mean_auc"), "trial").first()["trial"]
     _, coefs = ml.logit_penalized(train, _slots(meta), C=C_GRID[best], l1_ratio=1.0)
     return coefs, trials
@@ -114,7 +111,7 @@ def q_logit_elasticnet(spark, d):
     """Random search over penalty, l1 share, tolerance and class weights; the coefficients of the best draw."""
     train, _, _, meta = prepared(spark, d)
     draws = ml.elasticnet_draws(ml.RunConfig(preset="fast").n_draws, SEED)
-    best = ml.search_elasticnet(train, draws, parallelism=8).orderBy(F.desc("mean_auc"), "draw").first()
+    best = ml.search_elasticnet(train, draws).orderBy(F.desc("mean_auc"), "draw").first()
     rows = ml.balanced_weights(train) if best.balanced else train
     _, coefs = ml.logit_penalized(rows, _slots(meta), C=best.C, l1_ratio=best.l1_ratio, weight="class_weight" if best.balanced else None)
     return coefs.select(
@@ -152,24 +149,13 @@ def q_interaction_rank(spark, d):
 @register("logit_multinomial")
 def q_logit_multinomial(spark, d):
     """Multi-class outcome code (1..5) on the survey items; CV over the penalty, coefficients per class, top-10."""
-    from pyspark.ml.classification import LogisticRegression
-
-    df = recode.sentinel_to_null(fx.survey_raw(spark, d))
     feats = ["sex_raw", "region", "marijuana12", "alcohol12", "cigarette12"]
+    df = recode.sentinel_to_null(fx.survey_raw(spark, d))
     df = recode.filter_complete(df, ["nicotine12"] + feats).withColumn("label", (F.col("nicotine12") - 1).cast("double"))
-    df = split.folds_stratified(df, "respondent_id", ["label"], k=5, seed=SEED)
-    df = ml.assemble(df, feats).checkpoint()
-    est = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", elasticNetParam=1.0)
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
+    df = split.folds_stratified(written(df.select("respondent_id", "label", *feats)), "respondent_id", ["label"], k=5, seed=SEED)
     lambdas = [10 ** (-1 - k / 10) for k in range(50)]  # penalty path, strongest first
-    grid = ParamGridBuilder().addGrid(est.regParam, lambdas).build()
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="label"),
-                        foldCol="fold", numFolds=5, parallelism=4).fit(df)
-    best = cv.bestModel
-    mat = best.coefficientMatrix.toArray()
-    rows = [(int(k), f, float(mat[k, j])) for k in range(mat.shape[0]) for j, f in enumerate(feats)]
+    _, mat = ml.multinomial_path(df, feats, "label", lambdas)
+    rows = [(k, f, b) for k, row in enumerate(mat) for f, b in zip(feats, row)]
     coefs = spark.createDataFrame(rows, "class int, variable string, beta double").withColumn("abs_beta", F.abs("beta"))
     return ranking.top_n(coefs, "abs_beta", 10, "variable", by=["class"])
 
@@ -241,7 +227,8 @@ def q_stacking(spark, d):
     rows, which none of them has seen."""
     train, test, _, _ = prepared(spark, d)
     meta, names, _ = ml.stacking(train, STACK_BASES, "fold", "label", 5, "row_id")
-    scored = ml.stack_scores(meta, {n: STACK_BASES[n](train) for n in names}, test).checkpoint()
+    fitted = ml.together({n: partial(STACK_BASES[n], train) for n in names})
+    scored = ml.stack_scores(meta, fitted, test).checkpoint()
     rows = [evaluate.metric_set(scored, "label", c).withColumn("model", F.lit(n)) for n, c in [("stacking", "prob"), *((n, n) for n in names)]]
     return reduce(DataFrame.unionByName, rows)
 
@@ -417,7 +404,8 @@ SURVEY_FEATS = ["time", "sex", "marijuana12", "alcohol12", "cigarette12", "regio
 
 
 def _survey_complete(spark, d):
-    return recode.filter_complete(timed(spark, d), SURVEY_FEATS)
+    # the period terms without the weight, whose mean would be one more pass over the survey
+    return recode.filter_complete(recode.period_terms(fx.survey_clean(spark, d), "wave", fx.BREAK_YEAR), SURVEY_FEATS)
 
 
 def _held_out_logit(train, test, feats, name):
@@ -508,8 +496,8 @@ def q_nested_models(spark, d):
 @register("temporal_validation")
 def q_temporal_validation(spark, d):
     """Panel fitted on the early waves, scored on the late waves."""
-    df = split.split_temporal(_survey_complete(spark, d), "wave", 1999, 2000)
     feats = [f for f in SURVEY_FEATS if f != "time"]
+    df = split.split_temporal(_survey_complete(spark, d), "wave", 1999, 2000)
     va = ml.assemble(df, feats).withColumnRenamed("y", "label").withColumnRenamed("respondent_id", "row_id").checkpoint()
     train, test = va.where(F.col("split") == "train"), va.where(F.col("split") == "test")
     members = ml.together({n: partial(fit, train) for n, fit in STACK_BASES.items()})
@@ -520,9 +508,10 @@ def q_temporal_validation(spark, d):
 def q_robust_imputation(spark, d):
     """Forest AUC by imputation strategy (fitted on the training split), difference from the median baseline."""
     keys = list(fx.KEY_VARS)
-    df = split.split_stratified(timed(spark, d), "respondent_id", ["y"], 0.2, SEED).withColumnRenamed("y", "label")
-    df = df.withColumnRenamed("respondent_id", "row_id").checkpoint()
     feats = keys + ["sex", "region", "time"]
+    df = recode.period_terms(fx.survey_clean(spark, d), "wave", fx.BREAK_YEAR)
+    df = split.split_stratified(df, "respondent_id", ["y"], 0.2, SEED).withColumnRenamed("y", "label")
+    df = df.withColumnRenamed("respondent_id", "row_id").checkpoint()
 
     def fitted(strategy, fill):
         tr, te, _ = impute.impute_simple(df.where(F.col("split") == "train"), df.where(F.col("split") == "test"), keys, strategy, fill)

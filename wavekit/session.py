@@ -63,6 +63,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one partition of ``spread`` rows, at most about.
+PART_ROWS = 200_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``written`` rows in even partitions by the hash of ``key``: as many as there are cores where the rows suffice for
+    more than a few, more as the rows grow, so that no learner's task holds a growing share of them."""
+    rows = written(df)
+    n, cores = rows.count(), df.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(cores, -(-n // 5_000)), -(-n // PART_ROWS)), key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for tables written by a job (never machine-local)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
