@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavekit.functions.scalars import attach
+from wavekit.session import spread
 
 #: Values that a partial dependence is taken at, at most.
 MAX_GRID = 1000
@@ -71,6 +72,7 @@ def shap_importance(phi: DataFrame, id_col: str, meta: DataFrame | None = None,
     if meta is not None:
         x = x.join(meta.select(F.col("slot").alias("feature"), "base_feature"), "feature")
         if sum_slots_first:
+            x = spread(x.select(*by, id_col, "base_feature", "phi"), id_col)  # a task groups a bounded number of rows
             x = x.groupBy(*by, id_col, "base_feature").agg(F.sum("phi").alias("phi")).withColumnRenamed("base_feature", "feature")
             per = x.groupBy(*by, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
         else:

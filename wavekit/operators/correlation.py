@@ -66,11 +66,11 @@ def conditional_ranks(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, di
     rows and in those where each null-bearing column is present; bucketed cumulative counts turn counts into
     ranks; a join by value brings each column's ranks to its rows. Rows are never multiplied by pairs."""
     from wavekit.operators.evaluate import cumulative_counts
-    from wavekit.session import ensure_checkpoint_dir
+    from wavekit.session import ensure_checkpoint_dir, written
 
     ensure_checkpoint_dir(df.sparkSession)
     cols = list(cols)
-    num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    num = written(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))  # read three times
     nulls = num.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"c{i}") for i in range(len(cols))]).first()
     holes = [i for i in range(len(cols)) if nulls[f"c{i}"]]
     values = F.array(*[F.struct(F.lit(i).alias("j"), F.col(f"c{i}").alias("v")) for i in range(len(cols))])

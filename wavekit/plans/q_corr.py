@@ -6,6 +6,7 @@ from wavekit.operators import correlation, recode
 from wavekit.plans import fixtures as fx
 from wavekit.plans.registry import register
 from wavekit.plans.views import with_views
+from wavekit.session import written
 
 COR_COLS = ["wave", "sex", "region", "marijuana12", "alcohol12", "cigarette12", "survey_weight", "y"]
 PAIRS = [(a, b) for i, a in enumerate(COR_COLS) for b in COR_COLS[i + 1:]]
@@ -119,5 +120,5 @@ SELECT *, reason = 'kept' AS keep FROM r""",
 
 @register("select_features", _select_sql())
 def q_select_features(spark, d):
-    df = recode.sentinel_to_null(fx.survey_raw(spark, d))
+    df = written(recode.sentinel_to_null(fx.survey_raw(spark, d)).select(*SEL_COLS))
     return correlation.select_features(df, SEL_COLS, 0.70, 0.5, leakage=["nicotine12"])

@@ -15,6 +15,7 @@ from wavekit.plans import fixtures as fx
 from wavekit.plans.newton_sql import chi2_sf_sql, permutation_sql, two_sided_p_sql
 from wavekit.plans.registry import register
 from wavekit.plans.views import view, with_views
+from wavekit.session import written
 
 SEED = 42
 KEYS = list(fx.KEY_VARS)
@@ -262,12 +263,14 @@ UNION ALL SELECT CAST({len(_PREP_NUMERIC) - 1} + i AS INT), c || '=' || v, c, 'c
 def q_preprocess_pipeline(spark, d):
     """Fit the numeric/categorical pipeline on the training split, transform every row; slot metadata joined
     to the number of non-zero values per slot (a data-sized check of the assembled vectors)."""
-    s = _split(spark, d)
-    model, meta = prep.preprocess_pipeline(s.where(F.col("split") == "train"), ["survey_weight", *KEYS], ["race", "region"])
+    s = written(_split(spark, d).select("split", *_PREP_NUMERIC, "race", "region"))
+    model, meta = prep.preprocess_pipeline(s.where(F.col("split") == "train"), _PREP_NUMERIC, ["race", "region"])
     from pyspark.ml.functions import vector_to_array
 
-    vec = model.transform(s).select(F.posexplode(vector_to_array("features")))
-    nz = vec.groupBy(F.col("pos").alias("slot_index")).agg(F.count_if(F.col("col") != 0).alias("n_nonzero"))
+    vec = model.transform(s).select(vector_to_array("features").alias("v"))
+    slots = meta.count()  # one wide aggregate, no row per slot
+    counts = vec.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("v")[k] != 0) for k in range(slots)]).alias("c"))
+    nz = counts.where("n > 0").select(F.posexplode("c").alias("slot_index", "n_nonzero"))
     return meta.join(nz, "slot_index", "left")
 
 
@@ -299,7 +302,8 @@ STACK_COLS = KEYS + ["survey_weight"]
 
 
 def stack(spark, d):
-    return impute.imputed_stack(fx.survey_clean(spark, d), STACK_COLS, m=fx.N_IMPUTATIONS)
+    # the medians and every statistic of the copies read the written rows
+    return impute.imputed_stack(written(fx.survey_clean(spark, d)), STACK_COLS, m=fx.N_IMPUTATIONS)
 
 
 view(
