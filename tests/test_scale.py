@@ -108,3 +108,38 @@ def test_elastic_nets_are_fitted_together(spark, monkeypatch):
     monkeypatch.setattr(LogisticRegression, "fit", lambda *_: pytest.fail("one fit for each setting and fold"))
     for t in ml.search_logit(df, settings, folds=3).collect():
         assert t.mean_auc == pytest.approx(plain[t.trial], abs=1e-4)
+
+
+def test_class_importances_equal_rows_scored_one_by_one(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from wavekit.operators import ml
+
+    r = random.Random(5)
+    rows = [(k, float(r.randrange(3)), r.randrange(4), r.randrange(3)) for k in range(240)]
+    df = spark.createDataFrame([(k, c if r.random() < 0.3 else float(a % 3), a, b) for k, c, a, b in rows], "id long, label double, a int, b int")
+    model = ml.random_forest(ml.assemble(df, ["a", "b"]), num_trees=5, max_depth=3, seed=1)
+
+    def areas(own):
+        scored = model.transform(ml.assemble(own, ["a", "b"])).select("label", vector_to_array("probability").alias("p")).collect()
+        y, p = np.array([s.label for s in scored]), np.array([s.p for s in scored])
+        out = []
+        for k in range(3):
+            pos, neg = p[y == k, k][:, None], p[y != k, k]
+            out.append(((pos > neg).sum() + 0.5 * (pos == neg).sum()) / (len(pos) * len(neg)))
+        return np.array(out)
+
+    moved = split.permuted(df, "id", ["a", "b"], 2, 42).cache()
+    got = {(t["class"], t.feature): t.importance for t in ml.class_importances(model, df, ["a", "b"], "label", "id", 3, repeats=2).collect()}
+    for f in ("a", "b"):
+        want = areas(df) - np.mean([areas(moved.where((F.col("feature") == f) & (F.col("repeat") == k))) for k in (0, 1)], axis=0)
+        for k in range(3):
+            assert got[k, f] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_spread_rows_keep_all_rows_in_bounded_partitions(spark, monkeypatch):
+    from wavekit import session
+
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    out = session.spread(spark.range(1000).withColumn("x", F.col("id") % 3).coalesce(1), "id")
+    assert out.count() == 1000 and out.agg(F.sum("id")).first()[0] == 499500 and out.rdd.getNumPartitions() >= 10

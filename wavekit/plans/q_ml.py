@@ -20,7 +20,7 @@ from wavekit.plans.q_models import TIMED_SQL, timed
 from wavekit.plans.q_split import _poisson_case
 from wavekit.plans.registry import register
 from wavekit.plans.views import view, with_views
-from wavekit.session import scratch_path, written
+from wavekit.session import scratch_path, spread, written
 from wavekit.sources import sinks
 from wavekit.sources.tables import table
 
@@ -375,7 +375,8 @@ N_CLASSES = 5
 def _class_forest(spark, d):
     df = recode.sentinel_to_null(fx.survey_raw(spark, d))
     df = recode.filter_complete(df, ["nicotine12", *CLASS_FEATS]).withColumn("label", (F.col("nicotine12") - 1).cast("double"))
-    df = split.split_stratified(df, "respondent_id", ["label"], 0.2, SEED).select("respondent_id", "label", "split", *CLASS_FEATS).checkpoint()
+    df = spread(df.select("respondent_id", "label", *CLASS_FEATS), "respondent_id")
+    df = split.split_stratified(df, "respondent_id", ["label"], 0.2, SEED).checkpoint()
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
     return ml.random_forest(ml.assemble(train, CLASS_FEATS), num_trees=100, max_depth=8, seed=SEED), test
 
@@ -417,7 +418,8 @@ def _held_out_logit(train, test, feats, name):
 
 
 def _survey_split(spark, d):
-    df = split.split_stratified(_survey_complete(spark, d), "respondent_id", ["y"], 0.2, SEED).checkpoint()
+    df = spread(_survey_complete(spark, d).select("respondent_id", "y", *SURVEY_FEATS), "respondent_id")
+    df = split.split_stratified(df, "respondent_id", ["y"], 0.2, SEED).checkpoint()
     return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
 
 
@@ -510,6 +512,7 @@ def q_robust_imputation(spark, d):
     keys = list(fx.KEY_VARS)
     feats = keys + ["sex", "region", "time"]
     df = recode.period_terms(fx.survey_clean(spark, d), "wave", fx.BREAK_YEAR)
+    df = spread(df.select("respondent_id", "y", *feats), "respondent_id")
     df = split.split_stratified(df, "respondent_id", ["y"], 0.2, SEED).withColumnRenamed("y", "label")
     df = df.withColumnRenamed("respondent_id", "row_id").checkpoint()
 
