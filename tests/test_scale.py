@@ -143,3 +143,21 @@ def test_spread_rows_keep_all_rows_in_bounded_partitions(spark, monkeypatch):
     monkeypatch.setattr(session, "PART_ROWS", 100)
     out = session.spread(spark.range(1000).withColumn("x", F.col("id") % 3).coalesce(1), "id")
     assert out.count() == 1000 and out.agg(F.sum("id")).first()[0] == 499500 and out.rdd.getNumPartitions() >= 10
+
+
+def test_multinomial_path_on_counted_rows(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from wavekit.operators import ml
+
+    r = random.Random(2)
+    rows = [(a, b, float(min(2, (a + r.randrange(3)) // 2)), k % 2) for k in range(400) for a, b in [(r.randrange(4), r.randrange(1, 6))]]
+    df = ml.assemble(spark.createDataFrame(rows, "a int, b int, label double, fold int"), ["a", "b"]).cache()
+    penalties = [0.3, 0.01]
+    plain = lambda own, q: LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=q).fit(own)
+    f1 = MulticlassClassificationEvaluator(labelCol="label")
+    means = [np.mean([f1.evaluate(plain(df.where(F.col("fold") != f), q).transform(df.where(F.col("fold") == f))) for f in (0, 1)]) for q in penalties]
+    best, mat = ml.multinomial_path(df, ["a", "b"], "label", penalties, folds=2)
+    assert best == penalties[int(np.argmax(means))]
+    assert np.array(mat) == pytest.approx(plain(df, best).coefficientMatrix.toArray(), abs=2e-3)
