@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavekit.operators import evaluate, impute, split
+from wavekit.operators import correlation, evaluate, impute, split
 
 
 def test_split_never_shuffles_rows_by_their_strata(spark):
@@ -161,3 +161,46 @@ def test_multinomial_path_on_counted_rows(spark):
     best, mat = ml.multinomial_path(df, ["a", "b"], "label", penalties, folds=2)
     assert best == penalties[int(np.argmax(means))]
     assert np.array(mat) == pytest.approx(plain(df, best).coefficientMatrix.toArray(), abs=2e-3)
+
+
+def _plain_tau(rows):
+    """(n, tau-b) of pairs without nulls; NaN is one value above all others."""
+    above = lambda x, y: (x != x and y == y) or x > y
+    sign = lambda x, y: above(x, y) - above(y, x)
+    signs = [(sign(x1, x2), sign(y1, y2)) for k, (x1, y1) in enumerate(rows) for x2, y2 in rows[:k]]
+    return len(rows), sum(a * b for a, b in signs) / (sum(a != 0 for a, _ in signs) * sum(b != 0 for _, b in signs)) ** 0.5
+
+
+def test_kendall_cells_do_not_grow_with_columns_of_many_values(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(r.randrange(4), r.random(), r.choice([None, 1.5, float("nan"), -0.0, 0.0]), None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a int, w double, b double, none int")
+    seen, plain = [], correlation.pair_cells
+
+    def counted(*args, **more):
+        out = plain(*args, **more)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(correlation, "pair_cells", counted)
+    got = {(x.var1, x.var2): (x.n, x.tau_b) for x in correlation.kendall(df, df.columns).collect()}
+    assert sum(seen) <= 4 * 3  # cells of (a, b); with w every row would be a cell
+    assert got.keys() == {("a", "w"), ("a", "b"), ("w", "b")}
+    for (x, y), (n, tau) in got.items():
+        i, j = df.columns.index(x), df.columns.index(y)
+        want = _plain_tau([(t[i], t[j]) for t in rows if t[i] is not None and t[j] is not None])
+        assert n == want[0] and tau == pytest.approx(want[1])
+
+
+def test_kendall_of_a_value_that_fills_several_ranges(spark, monkeypatch):
+    from wavekit import session
+
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    monkeypatch.setattr(correlation, "FEW_VALUES", 8)
+    r = random.Random(8)
+    rows = [(r.choice([5.0, 5.0, 5.0, float("nan"), None, float(r.randrange(100))]), r.randrange(3), r.choice([None, 0, 1])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "w double, a int, b int").repartition(3)
+    got = {(x.var1, x.var2): (x.n, x.tau_b) for x in correlation.kendall(df, df.columns).collect()}
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        want = _plain_tau([(t[i], t[j]) for t in rows if t[i] is not None and t[j] is not None])
+        assert got[df.columns[i], df.columns[j]] == (want[0], pytest.approx(want[1]))

@@ -1,13 +1,16 @@
 """Pairwise-complete correlation: Pearson, Spearman (average ranks) and Kendall τ-b.
 
 Pearson is one wide aggregate. Spearman ranks each column once over its distinct values (again only for pairs
-with a column that has nulls) and is one wide aggregate of the joined ranks. Kendall collapses every pair to
-value cells and counts concordances by the bits of one column's ranks, with running totals over the other.
+with a column that has nulls) and is one wide aggregate of the joined ranks. Kendall sorts the rows once by each
+column of many values and counts, as they stream by, its concordances with all columns of few values; other pairs
+are collapsed to value cells, and concordances counted by the bits of one column's ranks, with running totals over
+the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +18,20 @@ from pyspark.sql import functions as F
 from wavekit.functions.ordering import running_total
 from wavekit.operators.profile import distinct_counts
 
+#: Values up to which (about) a column counts as one of few values: counts by value are a short vector.
+FEW_VALUES = 64
+
+
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     cols = list(cols)
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
-def pair_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(var1, var2, a, b, n): counts of pairwise-complete value cells for every column pair."""
+def pair_cells(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(var1, var2, a, b, n): counts of pairwise-complete value cells for every column pair; a row counts ``weight``
+    times."""
     stacked = df.select(
+        (F.col(weight) if weight else F.lit(1).cast("long")).alias("w"),
         F.inline(
             F.array(
                 *[
@@ -31,10 +40,10 @@ def pair_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     for x, y in _pairs(cols)
                 ]
             )
-        )
+        ),
     )
     return stacked.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("var1", "var2", "a", "b").agg(
-        F.count(F.lit(1)).alias("n")
+        F.sum("w").alias("n")
     )
 
 
@@ -145,22 +154,150 @@ def concordances(cells: DataFrame) -> DataFrame:
     return nodes.groupBy(*pair).agg(F.sum(net.cast("decimal(38,0)")).cast("double").alias("c_minus_d"))
 
 
+def few_values(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
+    """{column: its values, ascending, NaN last} of the columns that have about ``FEW_VALUES`` values at most."""
+    about = df.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    few = [c for i, c in enumerate(cols) if about[i] <= FEW_VALUES]
+    if not few:
+        return {}
+    sets = df.agg(*[F.collect_set(F.col(c) + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(few)]).first()  # -0.0 is 0.0
+    return {c: sorted(sets[i], key=lambda v: (v != v, v)) for i, c in enumerate(few)}
+
+
+def ordered_concordances(df: DataFrame, by: str, few: dict[str, list[float]]) -> list[tuple]:
+    """[(column, n, ties_by, ties_column, c_minus_d)] of ``by`` with every column of few values, over their complete rows.
+
+    The rows are sorted once by ``by``, in ranges of about equal size that may cut one value's rows. A task counts, as its
+    rows stream by, each column's values before and in every group of equal ``by``, and returns for its range one row: the
+    counts of the first and last group, which may go on in the next range, and those, ties and concordances of the groups
+    between. Ranges are then joined in order from these short rows. All sums are exact integers."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wavekit.session import PART_ROWS
+
+    names, sizes = list(few), [len(v) + 1 for v in few.values()]  # place 0 of a column counts its nulls
+    at = np.cumsum([0, *sizes])
+    places = [slice(int(i) + 1, int(j)) for i, j in zip(at, at[1:])]
+    code = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, few[c])).cast("array<double>"), F.col(c)), F.lit(0)).cast("int")
+    rows = df.where(F.col(by).isNotNull()).select(by, *[code(c).alias(f"k{j}") for j, c in enumerate(names)])
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    placed = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, by, "tie").sortWithinPartitions(by)
+    same = lambda x, y: (x == y) | ((x != x) & (y != y))  # noqa: E731  NaN is one value
+
+    def concordant(counts, before):
+        """Concordant less discordant pairs of the rows of ``counts`` (groups × values) with the rows before each group."""
+        upto = np.cumsum(before, axis=1)
+        return (counts * (2 * upto - before - upto[:, -1:])).sum()
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        first = last = None
+        inner, net, ties = np.zeros(at[-1], np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        step = max(1, 1_000_000 // int(at[-1]))  # rows whose counts are held at once
+        for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            v = b.column(0).to_numpy(zero_copy_only=False)
+            new = np.append(True, ~same(v[1:], v[:-1]))
+            group, keys = np.cumsum(new) - 1, v[new]
+            spots = np.concatenate([group * at[-1] + at[j] + b.column(j + 1).to_numpy(zero_copy_only=False) for j in range(len(names))])
+            counts = np.bincount(spots, minlength=len(keys) * at[-1]).reshape(len(keys), -1)
+            if last is not None and same(last[0], keys[0]):
+                counts[0] += last[1]
+            elif last is not None:
+                keys, counts = np.append(last[0], keys), np.vstack((last[1], counts))
+            if first is None and len(keys) > 1:
+                first, keys, counts = (keys[0], counts[0]), keys[1:], counts[1:]
+            last, counts = (keys[-1], counts[-1]), counts[:-1]
+            before = inner + np.cumsum(counts, axis=0) - counts
+            for j, own in enumerate(places):
+                net[j] += concordant(counts[:, own], before[:, own])
+                m = counts[:, own].sum(axis=1)
+                ties[j] += (m * (m - 1) // 2).sum()
+            inner += counts.sum(axis=0)
+        if last is not None:
+            ends = [x for x in (first, last) if x is not None]
+            row = {
+                "task": TaskContext.get().partitionId(), "keys": [float(k) for k, _ in ends], "ends": [c.tolist() for _, c in ends],
+                "inner": inner.tolist(), "net": net.tolist(), "ties": ties.tolist(),
+            }
+            yield pa.RecordBatch.from_pylist([row])
+
+    kinds = "task long, keys array<double>, ends array<array<long>>, inner array<long>, net array<long>, ties array<long>"
+    ranges = sorted(placed.drop("tie").mapInArrow(count, kinds).collect())  # one short row a task
+    total, net, ties = np.zeros(at[-1], object), [0] * len(names), [0] * len(names)
+    vector = lambda x: np.array(x, object)
+
+    def join(counts):
+        nonlocal total
+        for j, own in enumerate(places):
+            net[j] += concordant(counts[None, own], total[None, own])
+        total = total + counts
+
+    def close(group):
+        for j, own in enumerate(places):
+            m = sum(group[own])
+            ties[j] += m * (m - 1) // 2
+        join(group)
+
+    key = group = None
+    for r in ranges:
+        for i, (k, c) in enumerate(zip(r.keys, r.ends)):
+            if i:  # what lies between the first and the last group
+                close(group)
+                join(vector(r.inner))
+                net, ties = ([x + y for x, y in zip(mine, more)] for mine, more in ((net, r.net), (ties, r.ties)))
+                key, group = k, vector(c)
+            elif group is not None and same(key, k):
+                group = group + vector(c)
+            else:
+                if group is not None:
+                    close(group)
+                key, group = k, vector(c)
+    if group is not None:
+        close(group)
+    own_ties = [sum(m * (m - 1) // 2 for m in total[own]) for own in places]
+    return [(c, sum(total[own]), ties[j], own_ties[j], net[j]) for j, (c, own) in enumerate(zip(names, places))]
+
+
 def kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(var1, var2, n, tau_b): concordances of the value cells of every pair, counted by the bits of the ranks; tie
-    corrections from the cell margins."""
+    """(var1, var2, n, tau_b) of every pair. A column of many values is sorted once for all columns of few values
+    (``ordered_concordances``); pairs of two columns of few values, whose rows are counted first, and of two columns of many
+    are taken from their value cells, with tie corrections from the cell margins."""
+    from wavekit.session import ensure_checkpoint_dir, written
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = list(cols)
+    num = written(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])).toDF(*cols)  # read by every step
+    few = few_values(num, cols)
+    many = [c for c in cols if c not in few]
+    counted = num.groupBy(*few).agg(F.count(F.lit(1)).alias("__n"))
+    parts = [_cell_sums(pair_cells(part, own, w)) for part, own, w in ((counted, list(few), "__n"), (num, many, None)) if len(own) > 1]
+    if few and many:
+        rows = []
+        for c in many:
+            for other, n, ties, other_ties, net in ordered_concordances(num, c, few):
+                first = cols.index(c) < cols.index(other)
+                pair, both = ((c, other), (ties, other_ties)) if first else ((other, c), (other_ties, ties))
+                rows += [(*pair, int(n), *map(float, both), float(net))] if n else []
+        parts.append(df.sparkSession.createDataFrame(rows, "var1 string, var2 string, N long, ties_a double, ties_b double, c_minus_d double"))
+    n0 = F.col("N") * (F.col("N") - 1) / 2
+    tau = F.col("c_minus_d") / F.sqrt((n0 - F.col("ties_a")) * (n0 - F.col("ties_b")))
+    return reduce(DataFrame.unionByName, parts).select("var1", "var2", F.col("N").alias("n"), tau.alias("tau_b"))
+
+
+def _cell_sums(cells: DataFrame) -> DataFrame:
+    """(var1, var2, N, ties_a, ties_b, c_minus_d) of every pair from its value cells."""
     # value cells are bounded by distinct value pairs: materialise once (reliable checkpoint) instead of
     # re-deriving them from the rows in every branch below
-    cells = pair_cells(df, cols).checkpoint()
+    cells = cells.checkpoint()
     ta = cells.groupBy("var1", "var2", "a").agg(F.sum("n").alias("m")).groupBy("var1", "var2").agg(
         F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("ties_a"), F.sum("m").alias("N")
     )
     tb = cells.groupBy("var1", "var2", "b").agg(F.sum("n").alias("m")).groupBy("var1", "var2").agg(
         F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("ties_b")
     )
-    out = ta.join(tb, ["var1", "var2"]).join(concordances(cells), ["var1", "var2"], "left").fillna(0.0, ["c_minus_d"])
-    n0 = F.col("N") * (F.col("N") - 1) / 2
-    tau = F.col("c_minus_d") / F.sqrt((n0 - F.col("ties_a")) * (n0 - F.col("ties_b")))
-    return out.select("var1", "var2", F.col("N").alias("n"), tau.alias("tau_b"))
+    return ta.join(tb, ["var1", "var2"]).join(concordances(cells), ["var1", "var2"], "left").fillna(0.0, ["c_minus_d"])
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", mask_below: float | None = None) -> DataFrame:
