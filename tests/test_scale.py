@@ -204,3 +204,29 @@ def test_kendall_of_a_value_that_fills_several_ranges(spark, monkeypatch):
     for i, j in ((0, 1), (0, 2), (1, 2)):
         want = _plain_tau([(t[i], t[j]) for t in rows if t[i] is not None and t[j] is not None])
         assert got[df.columns[i], df.columns[j]] == (want[0], pytest.approx(want[1]))
+
+
+def test_search_fits_in_few_partitions_and_equal_trials_once(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from wavekit import session
+    from wavekit.operators import ml
+
+    fitted = []
+
+    class Counted(DecisionTreeClassifier):
+        def _fit(self, dataset):
+            fitted.append((self.getOrDefault("maxDepth"), dataset.rdd.getNumPartitions(), dataset.count()))
+            return super()._fit(dataset)
+
+    r = random.Random(4)
+    rows = [(k, float(r.random() < 0.3 + 0.1 * (k % 5)), float(k % 5), k % 2) for k in range(400)]
+    df = ml.assemble(spark.createDataFrame(rows, "row_id int, label double, x double, fold int"), ["x"])
+    grid = [{"maxDepth": 1}, {"maxDepth": 3}, {"maxDepth": 1}]
+    monkeypatch.setattr(session, "PART_ROWS", 200)
+    for given in (df.repartition(30), df.coalesce(1)):
+        fitted.clear()
+        out = ml.search(given, Counted(labelCol="label"), grid, folds=2).orderBy("trial").collect()
+        assert sorted(fitted) == [(1, 2, 200), (1, 2, 200), (3, 2, 200), (3, 2, 200)]  # every row of a fold, in 2 partitions
+        assert [(t.trial, t.params) for t in out] == [(k, str(sorted(g.items()))) for k, g in enumerate(grid)]
+        assert out[0][1:] == out[2][1:] and all(0 < t.mean_auc < 1 for t in out)

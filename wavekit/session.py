@@ -63,7 +63,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of one partition of ``spread`` rows, at most about.
+#: Rows of one partition of ``spread`` or ``packed`` rows, at most about.
 PART_ROWS = 200_000
 
 
@@ -75,6 +75,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return rows.repartition(max(1, min(cores, -(-n // 5_000)), -(-n // PART_ROWS)), key)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``saved`` rows in no more partitions than ``PART_ROWS`` asks for: for many fits side by side whose stages are short,
+    as what the tasks send to the driver grows with partitions × stages."""
+    rows = saved(df)
+    parts, have = max(1, -(-rows.count() // PART_ROWS)), rows.rdd.getNumPartitions()
+    if have < parts:
+        return saved(rows.repartition(parts))
+    return saved(rows.coalesce(parts)) if have > parts else rows
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for tables written by a job (never machine-local)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
