@@ -101,6 +101,53 @@ def test_alignment_equals_brute_force(spark, libraries, chunk):
     assert all(g.n_groups == g.n_links and g.groups_sha256 == (hashlib.sha256(g.groups.encode()).hexdigest() if g.groups else "") for g in got)
 
 
+def test_ids_between_common_cuts_are_those_of_the_text(libraries):
+    texts = [t or "" for _, t, *_ in edge_rows()] + odd_texts(3000)
+    texts += [f"{x}{c} {c}\n{x}" for c in map(chr, [*range(1, 0x300), *range(0x1680, 0x1682), *range(0x2000, 0x2070), 0x3000]) for x in ("a", "é")]
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        coders = coding.byte_level_coder(f.read()), coding.piece_coder(g.read())
+    for t in filter(None, texts):
+        raw = (" " + t).encode()
+        flat = np.frombuffer(raw, np.uint8)
+        parts = [x.tobytes().decode() for x in np.split(flat, coding.common_cuts(flat))]
+        assert coders[0].encode(parts)[0].tolist() == libraries[0](" " + t), repr(t)[:200]
+        assert coders[1].encode(parts)[0].tolist() == libraries[1](t), repr(t)[:200]
+
+
+def aligner():
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        a, b = f.read(), g.read()
+    return alignment.Aligner(coding.byte_level_coder(a), coding.piece_coder(b), coding.byte_level_bytes(a), coding.piece_bytes(b))
+
+
+def test_a_part_that_repeats_is_aligned_once(monkeypatch):
+    handed = []
+    monkeypatch.setattr(alignment, "lockstep", lambda a, b, *rest, f=alignment.lockstep: handed.append(len(a) + len(b)) or f(a, b, *rest))
+    align = aligner()
+    text = "some words, and\nsome other words: naïve ones"
+    one = align([text])
+    once = sum(handed)
+    many = align([text, None, "", text + " ▁"] + [text] * 500)  # 500 texts went through the lockstep before
+    assert sum(handed) <= 4 * once
+    assert many.n_links.tolist() == [one.n_links[0], 0, 0, 0] + [one.n_links[0]] * 500
+    assert many.groups[-1] == one.groups[0] and bytes(many.groups[3]) == b""
+    assert np.array_equal(many.pairs, one.pairs) and np.array_equal(many.pair_n, 501 * one.pair_n)
+
+
+def test_parts_kept_by_a_worker_are_bounded(monkeypatch):
+    align = aligner()
+    texts = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(30)]
+    want = align(texts)
+    monkeypatch.setattr(alignment, "CACHE_PARTS", 10)
+    for k, t in enumerate(texts):
+        assert align([t]).groups == [want.groups[k]]
+        assert len(align.known) == len(align.good) <= 20
+    monkeypatch.undo()
+    monkeypatch.setattr(alignment, "CACHE_BYTES", 10)
+    align([texts[0]]), align([texts[1]])
+    assert len(align.known) == 20
+
+
 def test_alignment_of_clashing_and_empty_tables(spark, clashing, edge, empty):
     sums = lambda df: sorted(map(tuple, alignment.align_tokenizers(df, A, B, groups=False).collect()), key=str)
     more = clashing.withColumns({c: F.lit("x") for c in ("chunk", "links", "pairs", "n_a", "groups", "total")})
