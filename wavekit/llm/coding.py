@@ -77,13 +77,13 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Coder:
     """Texts to ids: ``split`` gives the parts of every text (their numbers, the parts one after the other or, with the place
     of each part among them, the distinct ones), ``encode`` the ids of many parts one after the other and their numbers.
-    Parts met so far are kept, up to a bounded number."""
+    Parts met so far are kept, up to a bounded number. ``inside`` gives the parts of a stretch between common cuts."""
 
     def __init__(
         self, split: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray | None, list[str]]],
-        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], inside: Callable[[str], list[str]] | None = None,
     ):
-        self.split, self.encode = split, encode
+        self.split, self.encode, self.inside = split, encode, inside
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
 
@@ -108,6 +108,19 @@ class Coder:
         ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
         return gather(self.flat, place // _COUNT, size), np.diff(ends)
 
+    def once(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each) of stretches between common cuts, a text's lead included;
+        nothing is kept."""
+        plain = plain_parts(stretches)
+        rest = [self.inside(stretches[k]) for k in np.flatnonzero(~plain)]
+        parts = list(chain.from_iterable(rest))
+        number = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+        ids, n = self.encode(list(number))
+        code = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        ends = np.concatenate(([0], np.cumsum(n[code])))[np.concatenate(([0], np.cumsum([len(x) for x in rest], dtype=np.int64)))]
+        whole = self.encode([stretches[k] for k in np.flatnonzero(plain)])
+        return _merged(plain, whole, (gather(ids, (np.cumsum(n) - n)[code], n[code]), np.diff(ends)))
+
 
 def _listed(split: Callable[[str], list[str]]) -> Callable[[Sequence[str]], tuple[np.ndarray, None, list[str]]]:
     """The parts of many texts from a function that lists those of one."""
@@ -197,7 +210,7 @@ def byte_level_coder(model: str) -> Coder:
         rest = _library_ids(tok, [parts[k] for k in np.flatnonzero(~plain)])
         return _merged(plain, (id_of[found], np.diff(ends, prepend=0)), rest)
 
-    return Coder(_listed(split), encode)
+    return Coder(_listed(split), encode, split)
 
 
 def word_end_coder(model: str) -> Coder:
@@ -259,7 +272,7 @@ def piece_coder(model: bytes) -> Coder:
         lone = m.encode("\n ")[len(barrier) :]
         return _flat([lone if p == " " else x if p[0] == " " else x[len(barrier) :] for p, x in zip(parts, ids)])
 
-    return Coder(_listed(lambda t: _PIECES.findall(" " + t) if t else []), encode)
+    return Coder(_listed(lambda t: _PIECES.findall(" " + t) if t else []), encode, _PIECES.findall)
 
 
 def byte_level_bytes(model: str) -> list[bytes]:
