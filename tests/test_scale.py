@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavekit.operators import correlation, evaluate, impute, split
+from wavekit.operators import correlation, evaluate, impute, profile, split
 
 
 def test_split_never_shuffles_rows_by_their_strata(spark):
@@ -230,3 +230,57 @@ def test_search_fits_in_few_partitions_and_equal_trials_once(spark, monkeypatch)
         assert sorted(fitted) == [(1, 2, 200), (1, 2, 200), (3, 2, 200), (3, 2, 200)]  # every row of a fold, in 2 partitions
         assert [(t.trial, t.params) for t in out] == [(k, str(sorted(g.items()))) for k, g in enumerate(grid)]
         assert out[0][1:] == out[2][1:] and all(0 < t.mean_auc < 1 for t in out)
+
+
+def _broadcast_rows(plan):
+    """Rows of every broadcast table of an executed plan."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _broadcast_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _broadcast_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if name.startswith("BroadcastExchange") else []
+    children = plan.children()
+    return own + [n for i in range(children.size()) for n in _broadcast_rows(children.apply(i))]
+
+
+@pytest.mark.parametrize("by", [["imp"], []])
+def test_value_counts_never_pass_through_the_driver(spark, tmp_path, by):
+    n, imps = 4000, 5
+    spark.range(n).select((F.col("id") * 7 % n + 0.5).alias("x"), (F.col("id") % 3).alias("z")).write.parquet(f"{tmp_path}/rows")
+    stack = spark.read.parquet(f"{tmp_path}/rows").withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(imps))))
+    counts = profile.column_counts(stack, ["x", "z"], by)
+    q = profile.column_quantiles(counts, [0.5], by)
+    got = {(*[r[b] for b in by], r.variable): r.value for r in q.collect()}
+    groups = [(i,) for i in range(1, imps + 1)] if by else [()]
+    assert got == {(*g, v): m for g in groups for v, m in (("x", n / 2), ("z", 1.0))}
+    sent, buckets = _broadcast_rows(q._jdf.queryExecution().executedPlan()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sent and max(sent) <= 2 * len(groups) * buckets
+
+
+def test_imputation_compare_sends_no_value_counts_to_the_driver(spark, tmp_path):
+    n, imps = 4000, 5
+    spark.range(n).select((F.col("id") * 7 % n + 0.5).alias("x"), (F.col("id") % 3).alias("z")).write.parquet(f"{tmp_path}/rows")
+    stack = spark.read.parquet(f"{tmp_path}/rows").withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(imps)))).withColumn("z", F.col("z") + F.col("imp"))
+    out = profile.imputation_compare(stack, ["x", "z"])
+    got = {(r.imp, r.variable): (r.mean, r.min, r.median, r.max, r.mode) for r in out.collect()}
+    assert set(got) == {(i, v) for i in range(1, imps + 1) for v in ("x", "z")}
+    for i in range(1, imps + 1):
+        assert got[i, "x"] == (pytest.approx(n / 2), 0.5, n / 2, n - 0.5, 0.5)
+        assert got[i, "z"] == (pytest.approx(i + sum(k % 3 for k in range(n)) / n), i, i + 1, i + 2, i)
+    sent = _broadcast_rows(out._jdf.queryExecution().executedPlan())
+    assert sent and max(sent) <= 2 * imps * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("buckets", [1, 2, 7, 64])
+def test_cumulative_counts_of_groups(spark, buckets, descending):
+    r = random.Random(9)
+    rows = [(g, float(v), r.randrange(1, 9)) for g in ("a", "b", None) for v in {r.randrange(-300, 300) for _ in range(200)}]
+    rows.append(("c", 1.0, 4))  # a group of one key
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    for few in (False, True):
+        got = {(x.g, x.v): (x.n, x.n_before) for x in evaluate.cumulative_counts(df, "v", ["n"], buckets, descending, ["g"], few).collect()}
+        assert got == {
+            (g, v): (n, sum(m for h, w, m in rows if h == g and (w > v if descending else w < v))) for g, v, n in rows if g is not None
+        }

@@ -12,6 +12,7 @@ The same machinery gives exact average ranks (see ``cumulative_counts``).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,15 +25,24 @@ from wavekit.session import saved
 BANDS = ((0.03, "Excellent"), (0.05, "Good"), (0.10, "Moderate"), (None, "Significant"))
 
 
+def with_group(rows: DataFrame, groups: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
+    """``rows`` with the columns of their group's row in ``groups``, which has every group; rows with a null in ``by`` fall
+    out. A left join, as Spark expects exploded rows to be no larger than the table they came from, and an inner join may
+    then send all of them through the driver: here only ``groups`` can be broadcast. ``few``: it always is."""
+    whole = reduce(lambda x, y: x & y, [F.col(b).isNotNull() for b in by])
+    return rows.where(whole).join(F.broadcast(groups) if few else groups, list(by), "left")
+
+
 def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets: int | None = None,
-                      descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+                      descending: bool = False, by: Sequence[str] = (), few: bool = False) -> DataFrame:
     """For a table with one row per distinct ``key`` (per group of ``by``) and count columns ``cols``, add
     ``<c>_before`` = Σ c over keys strictly before this key in the same group (ascending or descending).
 
     Balanced without a single-task window: approximate-quantile boundaries (global, or per group — a
     groups × buckets table) cut each group's keys into buckets; bucket totals give offsets through a window
     over the small (group, bucket) table; cumulative sums run in windows partitioned by (group, bucket).
-    Exactness never depends on the boundaries, only the balance does."""
+    Exactness never depends on the boundaries, only the balance does. ``few``: groups × buckets are few, whatever the rows;
+    their tables are broadcast and the counts are shuffled once."""
     from pyspark.ml.feature import Bucketizer
 
     by = list(by)
@@ -49,10 +59,11 @@ def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets:
         splits = [float("-inf")] + bounds + [float("inf")]
         bucketed = Bucketizer(splits=splits, inputCol="__k", outputCol="__b").transform(keyed)
     elif nb > 1:
-        edges = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(k, probs, 10000)).alias("__edges"))
-        bucketed = keyed.join(edges, by).withColumn(
-            "__b", F.size(F.filter(F.col("__edges"), lambda e: e <= F.col("__k"))).cast("double")
-        ).drop("__edges")
+        edges = counts.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx(k, probs, 10000))).alias("__edges"))
+        # how many edges are not above the key, by halving steps; groups without a key have no edges and fall out
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(nb.bit_length()))])
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__edges", at + step - 1) <= F.col("__k"), at + step).otherwise(at))
+        bucketed = with_group(keyed, edges, by, few).withColumn("__b", F.when(F.col("__edges").isNotNull(), below.cast("double"))).drop("__edges")
     else:
         bucketed = keyed.withColumn("__b", F.lit(0.0))
     if descending:
@@ -64,7 +75,7 @@ def cumulative_counts(counts: DataFrame, key: str, cols: Sequence[str], buckets:
     )
     order = F.col("__k").desc() if descending else F.col("__k").asc()
     win = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = bucketed.join(F.broadcast(offsets) if not by else offsets, by + ["__b"])
+    out = with_group(bucketed, offsets, [*by, "__b"], few or not by)
     return out.select(
         *[c for c in counts.columns],
         *[(F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(win), F.lit(0))).alias(f"{c}_before") for c in cols],

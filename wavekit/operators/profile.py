@@ -72,9 +72,10 @@ def column_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def column_quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by…, variable, prob, value): exact quantiles of every column of a ``column_counts`` table."""
+    """(by…, variable, prob, value): exact quantiles of every column of a ``column_counts`` table. ``by`` has few groups
+    (imputations, waves)."""
     keys = [*by, "variable"]
-    return _quantiles(counts.select(*keys, F.col("value").alias("__v"), F.col("n").alias("__c")), probs, keys)
+    return _quantiles(counts.select(*keys, F.col("value").alias("__v"), F.col("n").alias("__c")), probs, keys, few=True)
 
 
 def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -209,12 +210,12 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     return _quantiles(counts, probs, list(by))
 
 
-def _quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    from wavekit.operators.evaluate import cumulative_counts
+def _quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str], few: bool = False) -> DataFrame:
+    from wavekit.operators.evaluate import cumulative_counts, with_group
 
     if by:
         totals = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
-        cum = cumulative_counts(counts, "__v", ["__c"], by=by).join(totals, by)
+        cum = with_group(cumulative_counts(counts, "__v", ["__c"], by=by, few=few), totals, by, few)
     else:
         cum = attach(cumulative_counts(counts, "__v", ["__c"]), counts.agg(F.sum("__c").alias("__n")))
     rows = cum.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
